@@ -37,6 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids that may be broadcast to the documents (at most 24 MB); more are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id isn't in ids (one column); a null id stays. The counted side is broadcast only below a bound."""
+    ids = cut(ids.toDF("left_out").where("left_out is not null").distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_column] == ids["left_out"], "left_anti")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

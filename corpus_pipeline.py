@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from quillspark.llm import packing, quality, simhash
-from quillspark.llm.common import read, shared_folder
+from pyspark.sql import DataFrame, SparkSession
+from quillspark.llm import decontaminate, line_dedup, packing, quality, simhash
+from quillspark.llm.common import read, shared_folder, without
 from quillspark.llm.queries import tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality.quality(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    return without(docs, quality.quality(docs).where("not kept").select("doc_id"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that another place keeps; a document may lose all its lines."""
+    return line_dedup.rewrite(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near-duplicates."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi")
+    return without(docs, simhash.near_duplicates(docs).where("doc_id != component_id").select("doc_id"))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +37,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
     ("simhash_near_dedup", simhash_stage),
+    ("benchmark_decontamination", benchmark_stage),
     ("best_fit_packing", packing_stage),
 ]
 

@@ -1,12 +1,16 @@
 """Exact removal of repeated passages by super-k-mer partitioning.
 
 A window is `width` consecutive words of one document. Each window's minimiser is its least
-word in an order that puts long words, which are rare, first; consecutive windows that share
+word in an order that puts the longest words, which are rare, first; consecutive windows that share
 it travel as one packed string to the minimiser's bucket, where the windows of all strings
 are sorted and every one that also starts in a document of smaller id is marked. Words are
 compared exactly: hashes only order the windows.
 
-Skew: a first pass counts the packed strings of each minimiser. Those above a fraction of a
+A first pass counts the packed strings of each minimiser and notes in a bit map of fixed size
+which minimisers occur in two documents; the strings of the others can't repeat anywhere and
+don't travel (a false positive of the bit map only sends a string in vain).
+
+Skew: by the same counts, minimisers above a fraction of a
 partition (so a bounded number of minimisers) are hot: their windows travel one by one, get
 their least document by a map-side combined minimum, and are joined back to it by a join that
 adaptive execution may split.
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillspark.llm.common import MEMO_WORDS, cut, mix, partitions, split_words, steps, text_of, word_ids
 
@@ -30,6 +34,8 @@ from quillspark.llm.common import MEMO_WORDS, cut, mix, partitions, split_words,
 HOT_SHARE, HOT_LEAST = 0.25, 2000
 #: Spans that may be broadcast to the documents (24 bytes each); more are shuffled.
 BROADCAST_SPANS = 1_000_000
+#: Words of 64 bits in the bit map of minimisers that two documents share (32 MB, broadcast).
+MAP_WORDS = 1 << 22
 STRINGS = "bucket long, doc_id long, pos long, packed binary"
 
 
@@ -40,7 +46,7 @@ class Order(dict):
         if len(self) > MEMO_WORDS:
             self.clear()
         n = len(word)
-        self[word] = k = xxhash.xxh64_intdigest(word) >> 2 | (0 if n > 9 else 1 if n > 6 else 2 if n > 3 else 3) << 62
+        self[word] = k = xxhash.xxh64_intdigest(word) >> 6 | 63 - min(n, 63) << 58
         return k
 
 
@@ -61,8 +67,8 @@ def runs(words: list[bytes], bounds: np.ndarray, order: Order, width: int) -> tu
     return low[starts].view(np.int64), starts, sizes, owner[starts]
 
 
-def super_kmers(docs: DataFrame, width: int, mode: str, hot: frozenset[int] = frozenset()) -> DataFrame:
-    """mode count: minimisers with their numbers of strings; strings: those of the others than hot; windows: the windows of hot ones."""
+def super_kmers(docs: DataFrame, width: int, mode: str, hot: frozenset[int] = frozenset(), shared=None) -> DataFrame:
+    """mode count: minimisers with their numbers of strings and least and greatest documents; strings: those of the others than hot; windows: the windows of hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, hots = Order(), np.array(sorted(hot), dtype=np.int64)
@@ -70,10 +76,16 @@ def super_kmers(docs: DataFrame, width: int, mode: str, hot: frozenset[int] = fr
             words, bounds = split_words(texts)
             low, starts, sizes, owner = runs(words, bounds, order, width)
             if mode == "count":
-                keys, n = np.unique(low, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["bucket", "n"])
+                ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)[owner]
+                turn = np.argsort(low, kind="stable")
+                keys, first = np.unique(low[turn], return_index=True)
+                cols = [keys, np.diff(np.r_[first, len(low)]), *[f.reduceat(ids[turn], first) if len(first) else first for f in (np.minimum, np.maximum)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["bucket", "n", "least", "most"])
                 continue
             take = np.isin(low, hots) == (mode == "windows")
+            if mode == "strings":
+                bit = bit_of(low)
+                take &= (np.frombuffer(shared.value, dtype=np.uint64)[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
             low, starts, sizes, owner = low[take], starts[take], sizes[take], owner[take]
             if mode == "windows":
                 at = np.repeat(starts - np.r_[0, np.cumsum(sizes)][:-1], sizes) + np.arange(sizes.sum())
@@ -81,7 +93,25 @@ def super_kmers(docs: DataFrame, width: int, mode: str, hot: frozenset[int] = fr
             packed = [b" ".join(words[s:e]) for s, e in zip(starts.tolist(), (starts + sizes + width - 1).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(low), part.column("doc_id").take(pa.array(owner)), pa.array(starts - bounds[owner]), pa.array(packed, pa.binary())], ["bucket", "doc_id", "pos", "packed"])
 
-    return docs.mapInArrow(run, "bucket long, n long" if mode == "count" else STRINGS)
+    return docs.mapInArrow(run, "bucket long, n long, least long, most long" if mode == "count" else STRINGS)
+
+
+def bit_of(keys: np.ndarray) -> np.ndarray:
+    return mix(keys.view(np.uint64)) % np.uint64(64 * MAP_WORDS)
+
+
+def bit_map(keys: DataFrame) -> bytes:
+    """A bit map of fixed size over all keys; what reaches the driver is at most its MAP_WORDS words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = bit_of(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    words = keys.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    out = np.zeros(MAP_WORDS, dtype=np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out.tobytes()
 
 
 def marked(doc: np.ndarray, pos: np.ndarray, packed: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,11 +152,12 @@ def marked(doc: np.ndarray, pos: np.ndarray, packed: list[bytes], width: int) ->
 def spans(docs: DataFrame, width: int = 13) -> DataFrame:
     """(doc_id, begin, end): word spans to remove; they may touch and overlap."""
     n = partitions(docs)
-    counts = super_kmers(docs, width, "count").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = super_kmers(docs, width, "count").groupBy("bucket").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     counts = cut(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(counts.where("least < most").select("bucket")))
     limit = max(HOT_LEAST, HOT_SHARE * (counts.agg(F.sum("n")).first()[0] or 0) / n)
     # at most n / HOT_SHARE minimisers can be above the limit
-    hot = frozenset(r.bucket for r in counts.where(F.col("n") > limit).select("bucket").collect())
+    hot = frozenset(r.bucket for r in counts.where((F.col("n") > limit) & (F.col("least") < F.col("most"))).select("bucket").collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -155,7 +186,7 @@ def spans(docs: DataFrame, width: int = 13) -> DataFrame:
                     held.append(batch)
         yield from out(held)
 
-    strings = super_kmers(docs, width, "strings", hot).repartition(n, "bucket").sortWithinPartitions("bucket")
+    strings = super_kmers(docs, width, "strings", hot, shared).repartition(n, "bucket").sortWithinPartitions("bucket")
     found = strings.mapInArrow(run, "doc_id long, begin long, end long")
     if hot:
         windows = cut(super_kmers(docs, width, "windows", hot).select("doc_id", "pos", "packed"))
@@ -167,7 +198,11 @@ def spans(docs: DataFrame, width: int = 13) -> DataFrame:
 
 def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every document."""
-    found = cut(found)
+    # touching and overlapping spans of a document are one
+    w = W.partitionBy("doc_id").orderBy("begin", "end")
+    fresh = found.withColumn("fresh", F.coalesce(F.col("begin") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    island = fresh.withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    found = cut(island.groupBy("doc_id", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")))
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts")).withColumnRenamed("doc_id", "cut_id")
     if found.count() <= BROADCAST_SPANS:
         by_doc = F.broadcast(by_doc)

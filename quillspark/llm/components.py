@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     Nulls have no place in edges. No edges: no rows. Loops and repeated edges change nothing.
     """
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
+    edges, before = cut(edges), None
     while True:
         edges, *seen = _star(edges)
         if seen == before or not seen[0]:

@@ -7,8 +7,8 @@ are sorted and every one that also starts in a document of smaller id is marked.
 compared exactly: hashes only order the windows.
 
 A first pass counts the packed strings of each minimiser and notes in a bit map of fixed size
-which minimisers occur in two documents; the strings of the others can't repeat anywhere and
-don't travel (a false positive of the bit map only sends a string in vain).
+which minimisers have two strings or more; the only string of another can't repeat anywhere
+and doesn't travel (a false positive of the bit map only sends a string in vain).
 
 Skew: by the same counts, minimisers above a fraction of a
 partition (so a bounded number of minimisers) are hot: their windows travel one by one, get
@@ -34,7 +34,7 @@ from quillspark.llm.common import MEMO_WORDS, cut, mix, partitions, split_words,
 HOT_SHARE, HOT_LEAST = 0.25, 2000
 #: Spans that may be broadcast to the documents (24 bytes each); more are shuffled.
 BROADCAST_SPANS = 1_000_000
-#: Words of 64 bits in the bit map of minimisers that two documents share (32 MB, broadcast).
+#: Words of 64 bits in the bit map of minimisers that two strings share (32 MB, broadcast).
 MAP_WORDS = 1 << 22
 STRINGS = "bucket long, doc_id long, pos long, packed binary"
 
@@ -68,7 +68,7 @@ def runs(words: list[bytes], bounds: np.ndarray, order: Order, width: int) -> tu
 
 
 def super_kmers(docs: DataFrame, width: int, mode: str, hot: frozenset[int] = frozenset(), shared=None) -> DataFrame:
-    """mode count: minimisers with their numbers of strings and least and greatest documents; strings: those of the others than hot; windows: the windows of hot ones."""
+    """mode count: minimisers with their numbers of strings; strings: those of the others than hot; windows: the windows of hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, hots = Order(), np.array(sorted(hot), dtype=np.int64)
@@ -76,11 +76,8 @@ def super_kmers(docs: DataFrame, width: int, mode: str, hot: frozenset[int] = fr
             words, bounds = split_words(texts)
             low, starts, sizes, owner = runs(words, bounds, order, width)
             if mode == "count":
-                ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)[owner]
-                turn = np.argsort(low, kind="stable")
-                keys, first = np.unique(low[turn], return_index=True)
-                cols = [keys, np.diff(np.r_[first, len(low)]), *[f.reduceat(ids[turn], first) if len(first) else first for f in (np.minimum, np.maximum)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["bucket", "n", "least", "most"])
+                keys, n = np.unique(low, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32))], ["bucket", "n"])
                 continue
             take = np.isin(low, hots) == (mode == "windows")
             if mode == "strings":
@@ -93,7 +90,7 @@ def super_kmers(docs: DataFrame, width: int, mode: str, hot: frozenset[int] = fr
             packed = [b" ".join(words[s:e]) for s, e in zip(starts.tolist(), (starts + sizes + width - 1).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(low), part.column("doc_id").take(pa.array(owner)), pa.array(starts - bounds[owner]), pa.array(packed, pa.binary())], ["bucket", "doc_id", "pos", "packed"])
 
-    return docs.mapInArrow(run, "bucket long, n long, least long, most long" if mode == "count" else STRINGS)
+    return docs.mapInArrow(run, "bucket long, n int" if mode == "count" else STRINGS)
 
 
 def bit_of(keys: np.ndarray) -> np.ndarray:
@@ -152,12 +149,12 @@ def marked(doc: np.ndarray, pos: np.ndarray, packed: list[bytes], width: int) ->
 def spans(docs: DataFrame, width: int = 13) -> DataFrame:
     """(doc_id, begin, end): word spans to remove; they may touch and overlap."""
     n = partitions(docs)
-    counts = super_kmers(docs, width, "count").groupBy("bucket").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    counts = super_kmers(docs, width, "count").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = cut(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(counts.where("least < most").select("bucket")))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(counts.where("n > 1").select("bucket")))
     limit = max(HOT_LEAST, HOT_SHARE * (counts.agg(F.sum("n")).first()[0] or 0) / n)
     # at most n / HOT_SHARE minimisers can be above the limit
-    hot = frozenset(r.bucket for r in counts.where((F.col("n") > limit) & (F.col("least") < F.col("most"))).select("bucket").collect())
+    hot = frozenset(r.bucket for r in counts.where(F.col("n") > limit).select("bucket").collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

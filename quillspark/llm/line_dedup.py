@@ -31,7 +31,7 @@ MIN_CHARS = 16
 SHINGLE = 9
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 5
-#: Lines to remove that may be broadcast to the documents (16 bytes each); more are shuffled.
+#: Places of lines that may be broadcast to the documents (40 bytes each at most); more are shuffled.
 BROADCAST_LINES = 1_000_000
 GLUE = re.compile(r"\s+")
 
@@ -131,6 +131,8 @@ def verified(keys: np.ndarray, ids: list[bytes], texts: list[str], similarity: f
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """line and its normalised text of `wanted` (line, doc_id, line_no)."""
     by_doc = wanted.groupBy(F.col("doc_id").alias("want_id")).agg(F.collect_list(F.struct("line_no", "line")).alias("want"))
+    if wanted.count() <= BROADCAST_LINES:
+        by_doc = F.broadcast(by_doc)
     joined = docs.join(by_doc, F.col("doc_id") == F.col("want_id")).select("text", F.col("want.line_no").alias("numbers"), F.col("want.line").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +147,19 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "line binary, line_text string")
 
 
-def links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): verified links between distinct lines, enough to connect all that are linked through a shared band."""
-    banded = distinct.select("line", F.explode("bands").alias("band"))
+def links(docs: DataFrame, occ: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): verified links between distinct lines, enough to connect all that are linked through a shared band.
+
+    Bands travel with the first 8 bytes of a line's hash; lines that share those are told
+    apart again when they meet with their texts.
+    """
+    short = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("long")
+    banded = occ.groupBy("line").agg(F.first("bands").alias("bands")).select(short("line").alias("id"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = cut(banded.join(shared, "band"))
-    wanted = distinct.join(members.select(F.col("line").alias("w")).distinct(), F.col("line") == F.col("w"), "left_semi").select("line", "first.doc_id", "first.line_no")
-    texts = line_texts(docs, wanted)
+    members = cut(banded.join(shared, "band").select("id", "band"))
+    met_ids = members.select(F.col("id").alias("w")).distinct()
+    wanted = distinct.join(met_ids, short("line") == F.col("w"), "left_semi").select("line", "first.doc_id", "first.line_no")
+    texts = line_texts(docs, cut(wanted)).withColumn("id", short("line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -176,17 +184,17 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield from out()
 
-    met = members.join(texts, "line").select("band", "line", "line_text").repartition(partitions(docs), "band").sortWithinPartitions("band")
+    met = members.join(texts, "id").select("band", "line", "line_text").repartition(partitions(docs), "band").sortWithinPartitions("band")
     return met.mapInArrow(run, "u binary, v binary")
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line_no) of every line to remove."""
     occ = cut(occurrences(docs))
-    distinct = occ.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    distinct = occ.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     distinct = cut(distinct)
-    roots = components(links(docs, distinct, similarity))
-    joined = distinct.select("line", "first", "n").join(roots, F.col("line") == F.col("node"), "left")
+    roots = components(links(docs, occ, distinct, similarity))
+    joined = distinct.join(roots, F.col("line") == F.col("node"), "left")
     member = joined.select("line", "first", "n", F.coalesce("root", "line").alias("root"))
     member = member.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("of")).where("of > 1").join(member.select("line", F.col("root").alias("r")), F.col("r") == F.col("root"))
     return occ.select("line", "doc_id", "line_no").join(member.select(F.col("line").alias("l"), "stays"), F.col("l") == F.col("line")).where("doc_id != stays.doc_id or line_no != stays.line_no").select("doc_id", "line_no")

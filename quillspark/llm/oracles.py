@@ -2,4 +2,53 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from quillspark.llm.chat import CONTROL, END, TURN
+from quillspark.llm.quality import FENCE, LEAST_DOCS, MEASURES
+
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+SUBSTRINGS = f"""with d as (select doc_id, {WORDS} as ws from documents),
+p as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) as i from d),
+w as (select doc_id, i, array_to_string(ws[i : i + 12], ' ') as win from p),
+dup as (select doc_id, i from w join (select win, min(doc_id) as m from w group by win) using (win) where doc_id > m),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as i from dup),
+pos as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as x from d),
+kept as (select pos.doc_id, count(*) filter (gone.i is not null) as n_removed, string_agg(x, ' ' order by pos.i) filter (gone.i is null) as t from pos left join gone using (doc_id, i) group by pos.doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)"""
+
+
+def _quality() -> str:
+    bins = ", ".join(f"({e.replace(' div ', ' // ')}) as b{k}" for k, (e, _) in enumerate(MEASURES.values()))
+    sketch = " union all ".join(f"select lang, source, {k} as measure, b{k} as bin from base where not base_failed" for k in range(len(MEASURES)))
+    slack = "case measure " + " ".join(f"when {k} then {s}" for k, (_, s) in enumerate(MEASURES.values())) + " end"
+
+    def fence(keys: str) -> str:
+        by = keys + ", " if keys else ""
+        return f"""(select {by}measure, max(docs) as docs, min(bin) filter (4 * upto >= 3 * docs) + {FENCE} * (min(bin) filter (4 * upto >= 3 * docs) - min(bin) filter (4 * upto >= docs)) + {slack} as fence
+        from (select *, sum(n) over (partition by {by}measure order by bin) as upto, sum(n) over (partition by {by}measure) as docs from (select {by}measure, bin, count(*) as n from sk group by {by}measure, bin)) group by {by}measure)"""
+
+    limits = ", ".join(f"max(limit_) filter (measure = {k}) as m{k}" for k in range(len(MEASURES)))
+    within = " and ".join(f"b{k} <= m{k}" for k in range(len(MEASURES)))
+    return rf"""with d as (select doc_id, lang, source, coalesce(text, '') as text, {WORDS} as ws from documents),
+tri as (select doc_id, i, array_to_string(ws[i : i + 2], ' ') as win from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) as i from d)),
+rep as (select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from tri join (select doc_id, win from tri group by all having count(*) > 1) using (doc_id, win)) group by doc_id),
+lines as (select doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from d),
+counts as (select d.doc_id, lang, source, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words from d join lines using (doc_id) left join rep using (doc_id)),
+base as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {bins} from counts),
+sk as ({sketch}),
+lim as (select o.lang, o.source, o.measure as measure, case when o.docs >= {LEAST_DOCS} then o.fence when l.docs >= {LEAST_DOCS} then l.fence else a.fence end as limit_ from {fence('lang, source')} o join {fence('lang')} l on l.lang is not distinct from o.lang and l.measure = o.measure join {fence('')} a on a.measure = o.measure),
+t as (select lang, source, {limits} from lim group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce({within}, false) as kept
+from base left join t on base.lang is not distinct from t.lang and base.source is not distinct from t.source"""
+
+
+def _chat() -> str:
+    esc = lambda x: "replace(" * (len(CONTROL) + 1) + f"{x}, '\\', '\\\\')" + "".join(f", '{c}', '{c[0]}\\{c[1:]}')" for c in sorted(CONTROL, key=len, reverse=True))
+    both = "'</s>[INST] ok [/INST]'"
+    return f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', {both} union all select -1, 1, 'assistant', {both}),
+t as (select *, length({esc('role')}) + length({esc('text')}) + {len(TURN) + len(END) + 2} as chars from c),
+g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns, coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as loss, sum(chars) as chars from t group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(chars as bigint) as formatted_chars from g"""
+
+
+ORACLES: dict[str, str] = {"op6_chat": _chat(), "op9_substring_dedup": SUBSTRINGS, "op10_quality": _quality()}

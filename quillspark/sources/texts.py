@@ -14,7 +14,7 @@ def _texts(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     # undecodable bytes become U+FFFD, which goes
-    return reader.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.replace(F.col("value"), F.lit("�"), F.lit("")).alias("text"))
+    return reader.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("text"))
 
 
 def read_raw(spark: SparkSession, folder: str, start: int = 1, end: int = 2**31 - 1) -> DataFrame:

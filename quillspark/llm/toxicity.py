@@ -199,9 +199,12 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float],
         if r.term and r.toxic / n > 3 * share:
             g = 2 * (r.toxic * math.log(r.toxic / (n * share)) + (r.clean * math.log(r.clean / (n * (1 - share))) if r.clean else 0.0))
             if g >= least:
-                found.append((g, r.term, math.log((r.toxic + 0.5) / (r.clean + 0.5)) - math.log(share / (1 - share))))
+                found.append((g, r.toxic, r.term, math.log((r.toxic + 0.5) / (r.clean + 0.5)) - math.log(share / (1 - share))))
     found = sorted(found, reverse=True)[:MAX_TERMS]
-    return {t[1:]: w for _, t, w in found if t[0] == "="}, {t[1:]: w for _, t, w in found if t[0] == "^"}, n1, n0
+    starts, often = {t[1:]: w for *_, t, w in found if t[0] == "^"}, {t[1:]: n for _, n, t, _ in found if t[0] == "^"}
+    # a word that is one of many with the same beginning is found by that; only words of their own can be misspelt
+    words = {t[1:]: w for _, n, t, w in found if t[0] == "=" and not any(often.get(t[1 : k + 1], 0) > 2 * n for k in PREFIXES)}
+    return words, starts, n1, n0
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

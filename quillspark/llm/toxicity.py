@@ -14,22 +14,25 @@ an empty table gives no rows. Labels, language, source and id are never inputs o
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import MEMO_WORDS, steps, text_of
+from quillspark.llm.common import MEMO_WORDS, cut, steps, text_of
 
 #: Labelled documents that the lexicon and the model are fitted on, at most (those of least hash).
 MAX_LABELLED = 20_000
 #: Lexicon terms, at most (those of most evidence).
 MAX_TERMS = 2_000
 PREFIXES = (4, 5, 6, 7)
+#: States of the automaton that a worker holds before it starts anew, and words of its memo.
+MAX_STATES, MEMO_RAW = 100_000, 1_000_000
 #: Words on each side of a hit that are its context.
 CONTEXT = 12
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -41,6 +44,9 @@ QUOTES = re.compile("[\"“”„«»]".encode())
 REPORTS = frozenset("said says wrote writes called calls quoted quote told tells reported stated word words term".split())
 
 
+NO_HIT = (0, 0.0, "")
+
+
 def plain(word: bytes) -> str:
     """The letters of a word, lower case, disguises undone."""
     text = word.decode("utf-8", "replace").lower()
@@ -55,47 +61,68 @@ def plain(word: bytes) -> str:
     return DRAWN.sub(r"\1", text)
 
 
+class State(dict):
+    """Letter to the next state; a state is the trie nodes that what was read can be at, with 0 or 1 edits spent."""
+
+    def __init__(self, trie: Trie, nodes: frozenset[tuple[int, int]]) -> None:
+        super().__init__()
+        self.trie, self.nodes = trie, nodes
+        self.term = max((trie.ends[n] for n, _ in nodes if n in trie.ends), default=(0.0, None))[1]
+
+    def __missing__(self, letter: str) -> State:
+        self[letter] = state = self.trie.state(self.trie.read(self.nodes, letter))
+        return state
+
+
 class Trie:
-    """Lexicon words; "" marks an end."""
+    """Lexicon words as a trie, intersected with the Levenshtein automaton of one edit.
+
+    Both run as one automaton over the letters of the text's word; its states are made when
+    they are first reached, so a word costs one look-up per letter until no term is near.
+    """
 
-    def __init__(self, words) -> None:
-        self.root: dict = {}
-        self.halves: set[str] = set()
+    def __init__(self, words: Iterable[str], weight: Callable[[str], float] = lambda w: 0.0) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: dict[int, tuple[float, str]] = {}
         for w in words:
-            node = self.root
+            node = 0
             for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-            h = len(w) // 2
-            self.halves |= {"<" + w[:h], ">" + w[h:]}
-        self.sizes = {len(w) for w in words}
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                node = self.children[node][c]
+            self.ends[node] = (weight(w), w)
+        self.begin()
+
+    def begin(self) -> None:
+        self.known: dict[frozenset[tuple[int, int]], State] = {}
+        self.start = self.state({(0, 0)})
+
+    def state(self, nodes: set[tuple[int, int]]) -> State:
+        """The state of these nodes and of those that a left-out letter leads to."""
+        whole = frozenset(nodes | {(child, 1) for n, spent in nodes if not spent for child in self.children[n].values()})
+        if whole not in self.known:
+            self.known[whole] = State(self, whole)
+        return self.known[whole]
+
+    def read(self, nodes: frozenset[tuple[int, int]], letter: str) -> set[tuple[int, int]]:
+        out = {(self.children[n][letter], spent) for n, spent in nodes if letter in self.children[n]}
+        for n, spent in nodes:
+            if not spent:  # an added letter, or another one in its place
+                out.add((n, 1))
+                out.update((child, 1) for child in self.children[n].values())
+        return out
 
     def near(self, word: str) -> str | None:
-        """A lexicon word one edit away: the word's automaton intersected with the trie.
-
-        The automaton's state is two bit sets of matched lengths, without and with the edit.
-        One edit leaves one half of the lexicon word as it is, which is tested first.
-        """
-        n = len(word)
-        if not any("<" + word[: s // 2] in self.halves or ">" + word[n - (s - s // 2) :] in self.halves for s in (n - 1, n, n + 1) if s in self.sizes):
-            return None
-        match: dict[str, int] = {}
-        for i, c in enumerate(word):
-            match[c] = match.get(c, 0) | 1 << i
-        stack = [(self.root, 1, 3)]
-        while stack:
-            node, zero, one = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if (zero | one) >> n & 1:
-                        return child
-                    continue
-                m = match.get(c, 0)
-                z = (zero & m) << 1
-                o = (one & m) << 1 | zero << 1 | zero | z << 1
-                if z or o & (2 << n) - 1:
-                    stack.append((child, z, o & (2 << n) - 1))
-        return None
+        """The lexicon word of most weight at most one edit away."""
+        if len(self.known) > MAX_STATES:
+            self.begin()
+        state = self.start
+        for c in word:
+            state = state[c]
+            if not state.nodes:
+                return None
+        return state.term
 
 
 class Lexicon(dict):
@@ -104,10 +131,11 @@ class Lexicon(dict):
     def __init__(self, words: dict[str, float], starts: dict[str, float], banned: frozenset[str] = frozenset()) -> None:
         super().__init__()
         self.words, self.starts, self.banned = words, starts, banned
-        self.trie = Trie([w for w in words if len(w) >= 5])
+        self.trie = Trie([w for w in words if len(w) >= 5], words.__getitem__)
+        self.heads = {w[: PREFIXES[0]] for w in starts}
 
     def __missing__(self, raw: bytes) -> tuple[int, float, str]:
-        if len(self) > MEMO_WORDS:
+        if len(self) > MEMO_RAW:
             self.clear()
         self[raw] = hit = self.look(plain(raw))
         return hit
@@ -115,12 +143,17 @@ class Lexicon(dict):
     def look(self, word: str) -> tuple[int, float, str]:
         if w := self.words.get(word):
             return 1, w, word
-        best = max((self.starts.get(word[:k], 0.0) for k in PREFIXES), default=0.0) if len(word) >= PREFIXES[0] else 0.0
-        if best:
+        if word[: PREFIXES[0]] in self.heads and (best := max(self.starts.get(word[:k], 0.0) for k in PREFIXES)):
             return 2, best, word
         if len(word) >= 5 and word not in self.banned and (near := self.trie.near(word)):
             return 3, self.words[near], word
-        return 0, 0.0, ""
+        return NO_HIT
+
+
+@functools.lru_cache(maxsize=2)
+def lexicon_of(words: tuple[tuple[str, float], ...], starts: tuple[tuple[str, float], ...], banned: frozenset[str]) -> Lexicon:
+    """A worker's lexicon, kept from task to task."""
+    return Lexicon(dict(words), dict(starts), banned)
 
 
 def hits(words: list[bytes], lexicon: Lexicon) -> list[tuple[int, int, float, str, bool]]:
@@ -150,6 +183,17 @@ def features(found: list[tuple[int, int, float, str, bool]], n_words: int) -> li
     return [1.0, math.log1p(kinds[1]), math.log1p(kinds[2]), math.log1p(kinds[3]), math.log1p(quoted), float(window.max()), min(5.0, 100 * len(found) / n_words)]
 
 
+class Terms(dict):
+    """Raw word to its terms: =word, and ^beginning of each length."""
+
+    def __missing__(self, raw: bytes) -> tuple[str, ...]:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        w = plain(raw)
+        self[raw] = terms = ("=" + w, *["^" + w[:k] for k in PREFIXES if len(w) >= k]) if len(w) >= 3 else ()
+        return terms
+
+
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """text and toxic of at most `most` labelled training documents; the label side is bounded by `most` rows."""
     train = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and crc32(cast(label_id as string)) % 5 != 0")
@@ -161,25 +205,13 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float],
     """Terms whose presence in toxic documents can't be chance (G test above what the best of all terms would reach by chance)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, memo = ({}, {}), {}
+        seen, memo = (Counter(), Counter()), Terms()
         for part, texts in steps(batches):
             for t, toxic in zip(texts, part.column("toxic").to_pylist(), strict=True):
-                terms = set()
-                for raw in set(t.split()):
-                    if (w := memo.get(raw)) is None:
-                        if len(memo) > MEMO_WORDS:
-                            memo.clear()
-                        memo[raw] = w = plain(raw)
-                    if len(w) >= 3:
-                        terms.add("=" + w)
-                        terms.update("^" + w[:k] for k in PREFIXES if len(w) >= k)
-                own = seen[1 if toxic else 0]
-                for x in terms:
-                    own[x] = own.get(x, 0) + 1
-                own[""] = own.get("", 0) + 1
-            if len(seen[0]) > MEMO_WORDS:
+                seen[1 if toxic else 0].update({""}.union(*map(memo.__getitem__, set(t.split()))))
+            if len(seen[0]) + len(seen[1]) > MEMO_WORDS:
                 yield out(seen)
-                seen = ({}, {})
+                seen = (Counter(), Counter())
         yield out(seen)
 
     def out(seen) -> pa.RecordBatch:
@@ -224,11 +256,12 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, n_hits of every document; scoring is one pass without a shuffle."""
     docs = text_of(docs, id_column, text_column)
-    train = sample(docs, labels, max_labelled)
+    train = cut(sample(docs, labels, max_labelled))
     words, starts, n1, n0 = learn_lexicon(train)
+    terms = tuple(words.items()), tuple(starts.items())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(words, starts)
+        lexicon = lexicon_of(*terms, frozenset())
         for part, texts in steps(batches):
             rows = [(len(w := t.split()), hits(w, lexicon)) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([n for n, _ in rows], pa.int64()), *[pa.array([[h[k] for h in r] for _, r in rows], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_()))]], ["toxic", "n", "place", "kind", "weight", "term", "quoted"])
@@ -244,7 +277,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         w = np.r_[math.log((n1 + 0.5) / (n0 + 0.5)), np.zeros(7)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(words, starts, banned)
+        lexicon = lexicon_of(*terms, banned)
         for part, texts in steps(batches):
             found = [(hits(own := t.split(), lexicon), len(own)) for t in texts]
             z = np.array([features(*f) for f in found]) @ w[1:] + w[0]

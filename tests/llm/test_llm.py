@@ -34,6 +34,17 @@ def words(t):
     return [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]
 
 
+def test_trie_against_brute_force():
+    rng = np.random.default_rng(3)
+    make = lambda n: "".join(rng.choice(list("abcd"), n))
+    terms = sorted({make(rng.integers(3, 8)) for _ in range(60)})
+    trie = toxicity.Trie(terms, len)
+    edits = lambda w: {w[:i] + x + w[j:] for i in range(len(w) + 1) for j in (i, i + 1) if j <= len(w) for x in ["", *"abcd"]}
+    for w in [make(rng.integers(1, 9)) for _ in range(1500)]:
+        near = [t for t in terms if w in edits(t)]
+        assert trie.near(w) == max(near, key=lambda t: (len(t), t), default=None), w
+
+
 def test_token_counts(docs, empty):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, P.path("byte_bpe_50k.json")).collect()}

@@ -15,7 +15,6 @@ lines and stays with an empty text; an empty table gives no rows. Other columns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,30 +23,45 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import Forest, cut, mix, partitions, steps, text_of
+from quillspark.llm.common import cut, mix, partitions, steps, text_of
 from quillspark.llm.components import components
 
 MIN_CHARS = 16
 SHINGLE = 9
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 5
+#: Characters whose shingles are hashed at a time; a longer line is a run of its own.
+CACHED = 1 << 15
 #: Places of lines that may be broadcast to the documents (40 bytes each at most); more are shuffled.
 BROADCAST_LINES = 1_000_000
-GLUE = re.compile(r"\s+")
 
 
 def normal(line: str) -> str:
-    return GLUE.sub(" ", line.lower()).strip()
+    return " ".join(line.lower().split())
 
 
 def signatures(lines: list[str], width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Band keys (bands per line) of lines of at least `width` characters."""
+    """Band keys (bands per line) of lines of at least `width` characters, in runs of lines that a core's cache holds."""
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    turn = np.cumsum(sizes) // CACHED
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(lines)]
+    rng = np.random.default_rng(11)
+    hashes = [(np.uint32(rng.integers(1, 1 << 31) * 2 + 1), np.uint32(rng.integers(0, 1 << 32))) for _ in range(bands * rows)]
+    out = np.zeros((len(lines), bands), dtype=np.uint64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            out[a:b] = band_keys(lines[a:b], sizes[a:b], width, bands, hashes)
+    return out.view(np.int64)
+
+
+def band_keys(lines: list[str], sizes: np.ndarray, width: int, bands: int, hashes: list[tuple[np.uint32, np.uint32]]) -> np.ndarray:
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32)
-    ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)))
+    ends = np.cumsum(sizes)
     m = len(codes) - width + 1
     h = np.zeros(m, dtype=np.uint32)
     for k in range(width):
-        h = h * np.uint32(0x01000193) + codes[k : k + m]
+        h *= np.uint32(0x01000193)
+        h += codes[k : k + m]
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     h ^= h >> np.uint32(12)
     # shingles that cross into the next line leave
@@ -56,17 +70,16 @@ def signatures(lines: list[str], width: int = SHINGLE, bands: int = BANDS, rows:
         at = ends[:-1] - e
         inside[at[at < m]] = False
     h = h[inside]
-    starts = np.r_[0, np.cumsum(np.diff(np.r_[0, ends]) - width + 1)[:-1]]
-    rng = np.random.default_rng(11)
-    out = np.zeros((len(lines), bands), dtype=np.uint64)
-    for b in range(bands):
-        key = np.full(len(lines), np.uint64(b + 1))
-        for _ in range(rows):
-            x = h * np.uint32(rng.integers(1, 1 << 31) * 2 + 1) + np.uint32(rng.integers(0, 1 << 32))
-            x ^= x >> np.uint32(16)
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts).astype(np.uint64))
-        out[:, b] = key
-    return out.view(np.int64)
+    starts = np.r_[0, np.cumsum(sizes - width + 1)[:-1]]
+    least, x = np.zeros((len(hashes), len(lines)), dtype=np.uint64), np.empty_like(h)
+    for k, (times, plus) in enumerate(hashes):
+        np.multiply(h, times, out=x)
+        x += plus
+        least[k] = np.minimum.reduceat(x, starts)
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
+    for row in least.reshape(bands, -1, len(lines)).transpose(1, 0, 2):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + row)
+    return keys.T
 
 
 def shingles(line: str, width: int = SHINGLE) -> set[str]:
@@ -96,35 +109,40 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def verified(keys: np.ndarray, ids: list[bytes], texts: list[str], similarity: float) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links between lines within each bucket."""
+    """A spanning forest of the links between lines within each bucket.
+
+    Lines come in order of their number of shingles; a line is compared with each component
+    so far until one member links, so a group of near copies costs one comparison a line.
+    """
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
     out: set[tuple[bytes, bytes]] = set()
-    refused: set[tuple[bytes, bytes]] = set()
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
         if e - s < 2:
             continue
-        forest, seen = Forest(), []
-        for r in sorted(order[s:e].tolist(), key=lambda r: len(texts[r])):
-            own = None
-            for x, size, other in reversed(seen):
-                # sorted by number of shingles: those before are too short once one is
-                own = own if own is not None else shingles(texts[r])
-                if size < similarity * len(own):
-                    break
-                a, b = ids[r], ids[x]
-                pair = (a, b) if a > b else (b, a)
-                if forest.find(a) == forest.find(b) or pair in refused:
-                    continue
-                both = len(own & other)
-                if both >= similarity * (len(own) + size - both):
-                    forest.union(a, b)
-                    out.add(pair)
+        rows = [(len(own), ids[r], own) for r in order[s:e].tolist() for own in (shingles(texts[r]),)]
+        rows.sort(key=lambda x: x[:2])
+        components: list[list[tuple[int, bytes, set[str]]]] = []
+        for row in rows:
+            size, a, own = row
+            joined, others = [row], []
+            for component in components:
+                if component[-1][0] < similarity * size:
+                    continue  # too short for this line and for all after it
+                for n, b, other in reversed(component):
+                    if n < similarity * size:
+                        others.append(component)
+                        break
+                    both = len(own & other)
+                    if both >= similarity * (size + n - both):
+                        if a != b:
+                            out.add((a, b) if a > b else (b, a))
+                        joined = component + joined
+                        break
                 else:
-                    refused.add(pair)
-            own = own if own is not None else shingles(texts[r])
-            seen.append((r, len(own), own))
-            seen.sort(key=lambda x: x[1])
+                    others.append(component)
+            joined.sort(key=lambda x: x[:2])
+            components = [*others, joined]
     return list(out)
 
 
@@ -151,11 +169,12 @@ def links(docs: DataFrame, occ: DataFrame, distinct: DataFrame, similarity: floa
     """(u, v): verified links between distinct lines, enough to connect all that are linked through a shared band.
 
     Bands travel with the first 8 bytes of a line's hash; lines that share those are told
-    apart again when they meet with their texts.
+    apart again when they meet with their texts. Of buckets with the same lines one is verified.
     """
     short = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("long")
     banded = occ.groupBy("line").agg(F.first("bands").alias("bands")).select(short("line").alias("id"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.expr("bit_xor(id)").alias("x"), F.expr("bit_xor(xxhash64(id))").alias("y")).where("n > 1")
+    shared = buckets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")
     members = cut(banded.join(shared, "band").select("id", "band"))
     met_ids = members.select(F.col("id").alias("w")).distinct()
     wanted = distinct.join(met_ids, short("line") == F.col("w"), "left_semi").select("line", "first.doc_id", "first.line_no")

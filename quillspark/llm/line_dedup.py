@@ -165,17 +165,44 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "line binary, line_text string")
 
 
-def links(docs: DataFrame, occ: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, id) in order of band: those whose band has two or more, with the bucket's size and two digests of its ids."""
+
+    def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        band, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+        same = band[1:] == band[:-1]
+        keep = np.r_[same, False] | np.r_[False, same]
+        band, own = band[keep], own[keep]
+        if len(band):
+            starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            n = np.diff(np.r_[starts, len(band)])
+            digests = [np.bitwise_xor.reduceat(x, starts) for x in (own, mix(own.view(np.uint64)).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(own), *[pa.array(np.repeat(x, n)) for x in (n, *digests)]], ["band", "id", "n", "x", "y"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        band, own = batch.column("band").to_numpy(), batch.column("id").to_numpy()
+        if not len(band):
+            continue
+        last = int(np.searchsorted(band, band[-1]))  # rows before belong to buckets that have ended
+        if last or held and held[-1][0][-1] != band[0]:
+            yield from out([*held, (band[:last], own[:last])])
+            held = []
+        held.append((band[last:], own[last:]))
+    if held:
+        yield from out(held)
+
+
+def links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """(u, v): verified links between distinct lines, enough to connect all that are linked through a shared band.
 
     Bands travel with the first 8 bytes of a line's hash; lines that share those are told
     apart again when they meet with their texts. Of buckets with the same lines one is verified.
     """
     short = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("long")
-    banded = occ.groupBy("line").agg(F.first("bands").alias("bands")).select(short("line").alias("id"), F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.expr("bit_xor(id)").alias("x"), F.expr("bit_xor(xxhash64(id))").alias("y")).where("n > 1")
-    shared = buckets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")
-    members = cut(banded.join(shared, "band").select("id", "band"))
+    banded = distinct.select(short("line").alias("id"), F.explode("bands").alias("band")).repartition(partitions(docs), "band").sortWithinPartitions("band")
+    buckets = banded.select("band", "id").mapInArrow(shared_buckets, "band long, id long, n long, x long, y long")
+    members = cut(buckets.groupBy("id", "n", "x", "y").agg(F.min("band").alias("band")).select("id", "band"))
     met_ids = members.select(F.col("id").alias("w")).distinct()
     wanted = distinct.join(met_ids, short("line") == F.col("w"), "left_semi").select("line", "first.doc_id", "first.line_no")
     texts = line_texts(docs, cut(wanted)).withColumn("id", short("line"))
@@ -210,9 +237,9 @@ def links(docs: DataFrame, occ: DataFrame, distinct: DataFrame, similarity: floa
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line_no) of every line to remove."""
     occ = cut(occurrences(docs))
-    distinct = occ.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    distinct = occ.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     distinct = cut(distinct)
-    roots = components(links(docs, occ, distinct, similarity))
+    roots = components(links(docs, distinct, similarity))
     joined = distinct.join(roots, F.col("line") == F.col("node"), "left")
     member = joined.select("line", "first", "n", F.coalesce("root", "line").alias("root"))
     member = member.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("of")).where("of > 1").join(member.select("line", F.col("root").alias("r")), F.col("r") == F.col("root"))

@@ -62,10 +62,11 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
         chosen = leaves.groupBy("tree").agg(F.min_by("node", F.struct(-F.col("total"), "node")).alias("leaf"))
     else:
         chosen = leaves.withColumn("r", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), "node"))).where(F.col("r") <= best).select("tree", F.col("node").alias("leaf"))
-    marked = chosen.withColumn("node", F.col("leaf"))
+    marked = cut(chosen.withColumn("node", F.col("leaf")))
     for step in reversed(steps[:-1]):
         s = step.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        marked = marked.unionByName(marked.join(s, [F.col("t").eqNullSafe(F.col("tree")), F.col("n") == F.col("node")]).select("tree", "leaf", F.col("up").alias("node")))
+        # cut off each time, or the plan doubles; the longest jumps come first, when there are few rows
+        marked = cut(marked.unionByName(marked.join(s, [F.col("t").eqNullSafe(F.col("tree")), F.col("n") == F.col("node")]).select("tree", "leaf", F.col("up").alias("node"))))
     depth = jumps.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("hops").alias("depth"))
     return marked.join(depth, [F.col("t").eqNullSafe(F.col("tree")), F.col("n") == F.col("node")]).select("tree", "leaf", "node", "depth")
 

@@ -17,6 +17,8 @@ rows. Everything is DataFrame operations.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quillspark.llm.common import cut
@@ -49,14 +51,21 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     """
     here = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"), F.lit(True).alias("there"))
     jumps = nodes.join(here, [F.col("t").eqNullSafe(F.col("tree")), F.col("parent") == F.col("p")], "left").select("tree", "node", F.expr("if(there, parent, null)").alias("up"), F.lit(1).alias("hops"), F.col("score").cast("double").alias("total"))
-    jumps, steps = cut(jumps), []
+    active = cut(jumps)
+    steps, over = [], [active.where("up is null")]
     while True:
-        steps.append(jumps.select("tree", "node", "up"))
-        if jumps.where("up is not null").isEmpty():
+        live = active.where("up is not null")
+        steps.append(live.select("tree", "node", "up"))
+        if live.isEmpty():
             break
-        far = jumps.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("hops").alias("h"), F.col("total").alias("s"))
-        jumps = cut(jumps.join(far, [F.col("t").eqNullSafe(F.col("tree")), F.col("n") == F.col("up")], "left").select("tree", "node", F.col("u").alias("up"), F.expr("hops + coalesce(h, 0)").alias("hops"), F.expr("total + coalesce(s, 0)").alias("total")))
-    parents = steps[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+        far = active.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("hops").alias("h"), F.col("total").alias("s"))
+        moved = cut(live.join(far, [F.col("t").eqNullSafe(F.col("tree")), F.col("n") == F.col("up")], "left").select("tree", "node", F.col("u").alias("up"), F.expr("hops + coalesce(h, 0)").alias("hops"), F.expr("total + coalesce(s, 0)").alias("total")))
+        over.append(moved.where("up is null"))
+        # trees whose every node has met its root take part in no more rounds
+        still = moved.where("up is not null").select(F.col("tree").alias("t")).distinct()
+        active = cut(active.where("up is null").unionByName(moved).join(still, F.col("t").eqNullSafe(F.col("tree")), "left_semi"))
+    jumps = functools.reduce(DataFrame.unionByName, over)
+    parents = steps[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = jumps.join(parents, [F.col("t").eqNullSafe(F.col("tree")), F.col("n") == F.col("node")], "left_anti")
     if best == 1:  # a map-side combined maximum, as a tree may have many leaves
         chosen = leaves.groupBy("tree").agg(F.min_by("node", F.struct(-F.col("total"), "node")).alias("leaf"))
@@ -64,7 +73,7 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
         chosen = leaves.withColumn("r", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), "node"))).where(F.col("r") <= best).select("tree", F.col("node").alias("leaf"))
     marked = cut(chosen.withColumn("node", F.col("leaf")))
     for step in reversed(steps[:-1]):
-        s = step.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        s = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         # cut off each time, or the plan doubles; the longest jumps come first, when there are few rows
         marked = cut(marked.unionByName(marked.join(s, [F.col("t").eqNullSafe(F.col("tree")), F.col("n") == F.col("node")]).select("tree", "leaf", F.col("up").alias("node"))))
     depth = jumps.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("hops").alias("depth"))

@@ -18,15 +18,16 @@ walks; repeated items each match; null ids of items are kept; an empty table giv
 
 from __future__ import annotations
 
+import functools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import MEMO_WORDS, split_words, steps, text_of
+from quillspark.llm.common import split_words, steps, text_of
 
 #: Items that are broadcast at a time.
 ITEM_BLOCK = 20_000
@@ -36,6 +37,8 @@ SAMPLED, WALK = 4, 16
 AGREEMENT, RECALL = 0.75, 0.999
 #: Words outside the items' vocabulary share so many symbols; they only steer walks.
 OTHERS = 1 << 14
+#: Raw words that a worker's memo of symbols may hold before it starts anew.
+MEMO_RAW = 1_000_000
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…¿¡–—"
 
 
@@ -140,6 +143,13 @@ class Items:
         return found
 
 
+@functools.lru_cache(maxsize=2)
+def prepared(block: tuple[tuple[int | None, str], ...], similarity: float) -> tuple[Items, Symbols]:
+    """A worker's keys and symbols of a block, kept from task to task."""
+    keys = Items(list(block), similarity)
+    return keys, Symbols(keys.vocabulary)
+
+
 class Symbols(dict):
     """Raw word to its symbol."""
 
@@ -148,10 +158,10 @@ class Symbols(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, raw: bytes) -> int:
-        if len(self) > MEMO_WORDS:
+        if len(self) > MEMO_RAW:
             self.clear()
-        v = self.vocabulary.get(w := plain(raw))
-        self[raw] = v = len(self.vocabulary) + xxhash.xxh32_intdigest(w.encode()) % OTHERS if v is None else v
+        v = self.vocabulary.get(plain(raw))
+        self[raw] = v = len(self.vocabulary) + zlib.crc32(raw) % OTHERS if v is None else v
         return v
 
 
@@ -199,8 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         block = [(r.item_id, r.text) for r in own.toLocalIterator()]
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            keys = Items(block, similarity)
-            symbols = Symbols(keys.vocabulary)
+            keys, symbols = prepared(tuple(block), similarity)
             for part, texts in steps(batches):
                 rows = matches(texts, keys, symbols)
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5

@@ -39,7 +39,10 @@ AGREEMENT, RECALL = 0.75, 0.999
 OTHERS = 1 << 14
 #: Raw words that a worker's memo of symbols may hold before it starts anew.
 MEMO_RAW = 1_000_000
+#: A place's bits beside its item's number, and the value of place 0.
+PLACE_BITS, PLACE_ZERO = 40, 1 << 38
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…¿¡–—"
+EDGE_ASCII = EDGE.encode("ascii", "ignore")
 
 
 def plain(word: bytes) -> str:
@@ -56,7 +59,9 @@ def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int,
         change = row[:-1] + (window != x)
         drop = row + 1
         take = drop[1:] < change
-        new, source = np.r_[k, np.where(take, drop[1:], change)], np.r_[0, np.where(take, begin[1:], begin[:-1])]
+        new, source = np.full(n + 1, k), np.zeros(n + 1, dtype=np.int64)
+        np.minimum(drop[1:], change, out=new[1:])
+        np.copyto(source[1:], np.where(take, begin[1:], begin[:-1]))
         # insertions: the least of new[i] + (j - i) over i <= j
         base = new - place
         low = np.minimum.accumulate(base)
@@ -68,6 +73,37 @@ def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int,
     return int(row[end]), int(begin[end]), end
 
 
+class Level:
+    """Partial keys of one length in one repetition, numbered, as arrays.
+
+    Those of `ended` are whole keys with their items; a row whose partial key is of `opened`
+    goes on to `following`, found by its number and the next symbol.
+    """
+
+    def __init__(self, names: dict[tuple[int, ...], int], ended: dict[tuple[int, ...], list[int]], opened: set[tuple[int, ...]]) -> None:
+        sizes = np.zeros(len(names), dtype=np.int64)
+        for key, own in ended.items():
+            sizes[names[key]] = len(own)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.items = np.array([i for key in sorted(ended, key=names.__getitem__) for i in ended[key]], dtype=np.int64)
+        self.is_open = np.zeros(len(names), dtype=bool)
+        self.is_open[[names[key] for key in opened]] = True
+        self.goes_on = bool(opened)
+        self.known, self.number = np.zeros(1, dtype=np.int64), np.full(1, -1, dtype=np.int64)
+
+    def lead_to(self, names: dict[tuple[int, ...], int], following: dict[tuple[int, ...], int], size: int) -> None:
+        codes = sorted((names[key[:-1]] * size + key[-1], i) for key, i in following.items())
+        if codes:
+            self.known, self.number = (np.array(x, dtype=np.int64) for x in zip(*codes, strict=True))
+
+    def found(self, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row's start, item) of every row on a whole key."""
+        n = self.sizes[group]
+        ends = np.cumsum(n)
+        ramp = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+        return np.repeat(start, n), self.items[np.repeat(self.starts[group], n) + ramp]
+
+
 class Items:
     """The keys of one block of items in every repetition."""
 
@@ -77,70 +113,75 @@ class Items:
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, own in split for w in own}))}
         self.ids = [i for i, _ in split]
         self.words = [np.array([self.vocabulary[w] for w in own], dtype=np.int32) for _, own in split]
+        self.distinct = [np.unique(w) for w in self.words]
         self.most = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
         self.reps = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREEMENT**SAMPLED))
         self.keys = []
         rng = np.random.default_rng(seed)
-        size = len(self.vocabulary) + OTHERS
+        known, size = len(self.vocabulary), len(self.vocabulary) + OTHERS
+        self.seen = np.zeros(size, dtype=bool)
         for _ in range(self.reps if split else 0):
             bits = rng.integers(0, 2, (WALK, size), dtype=np.int8)
             at = np.sort(rng.choice(np.arange(1, WALK), SAMPLED - 1, replace=False)).tolist()
             anchors = [int(rng.integers(0, max(1, len(w) - WALK // 2))) if len(w) > WALK // 2 else 0 for w in self.words]
             # the key's coordinates in turn; an item whose walk leaves it stops there with the key it has
-            levels: list[dict[tuple[int, ...], list[int]]] = [{} for _ in range(SAMPLED)]
-            opens: list[set[tuple[int, ...]]] = [set() for _ in range(SAMPLED)]
+            ended: list[dict[tuple[int, ...], list[int]]] = [{} for _ in range(SAMPLED)]
+            opened: list[set[tuple[int, ...]]] = [set() for _ in range(SAMPLED)]
             for k, (w, a) in enumerate(zip(self.words, anchors, strict=True)):
                 p, key = a, (int(w[a]),)
                 for j in range(WALK):
                     if j in at:
                         if p >= len(w):
                             break
-                        opens[len(key) - 1].add(key)
+                        opened[len(key) - 1].add(key)
                         key += (int(w[p]),)
                     if p < len(w):
                         p += int(bits[j, w[p]])
-                levels[len(key) - 1].setdefault(key, []).append(k)
-            self.keys.append((bits, at, anchors, levels, opens))
-
-    def candidates(self, ids: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
-        """(place where the item would begin, item) of all windows that agree with a key."""
-        found: set[tuple[int, int]] = set()
-        n = len(ids)
-        padded = np.r_[ids, np.full(WALK + 1, len(self.vocabulary), dtype=np.int32)]
-        for bits, at, anchors, levels, opens in self.keys:
-            first = np.zeros(len(self.vocabulary) + OTHERS, dtype=bool)
-            first[[k[0] for k in levels[0].keys() | opens[0]]] = True
-            start = np.flatnonzero(first[ids])
-            # groups: rows of a partial key; its number is that of its tuple
-            names = {k: i for i, k in enumerate(levels[0].keys() | opens[0])}
-            table = np.full(len(self.vocabulary) + OTHERS, -1, dtype=np.int64)
-            for k, i in names.items():
-                table[k[0]] = i
-            group, pos, level, j = table[ids[start]], start.copy(), 0, 0
-            for step in [*at, None]:
-                for key, items in levels[level].items():
-                    rows = start[group == names[key]]
-                    found.update((p - anchors[i], i) for i in items for p in rows.tolist())
-                if step is None or not opens[level]:
+                ended[len(key) - 1].setdefault(key, []).append(k)
+            names = [{key: i for i, key in enumerate(sorted(e.keys() | o))} for e, o in zip(ended, opened, strict=True)]
+            levels = [Level(*x) for x in zip(names, ended, opened, strict=True)]
+            for level, own, following in zip(levels, names, names[1:]):
+                level.lead_to(own, following, known)
+            first = np.full(known, -1, dtype=np.int64)
+            for key, i in names[0].items():
+                first[key[0]] = i
+            self.keys.append((bits, at, np.array(anchors, dtype=np.int64), first, levels))
+
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """(item, place where it would begin) of all windows that agree with a key, in order."""
+        found = [np.zeros(0, dtype=np.int64)]
+        n, size = len(ids), len(self.vocabulary)
+        padded = np.concatenate([ids, np.full(WALK + 1, size, dtype=np.int32)])
+        inside = np.flatnonzero(ids < size)
+        symbols = ids[inside]
+        for bits, at, anchors, first, levels in self.keys:
+            group = first[symbols]
+            start, group = inside[group >= 0], group[group >= 0]
+            pos, j = start, 0
+            for level, step in zip(levels, [*at, None], strict=True):
+                rows, items = level.found(start, group)
+                found.append(items << PLACE_BITS | (rows - anchors[items] + PLACE_ZERO))
+                if step is None or not level.goes_on:
                     break
-                is_open = np.zeros(len(names), dtype=bool)
-                is_open[[names[k] for k in opens[level]]] = True
-                live = is_open[group]
+                live = level.is_open[group]
                 start, pos, group = start[live], pos[live], group[live]
                 while j < step:
                     pos = pos + bits[j, padded[pos]]
                     j += 1
-                following = {k: i for i, k in enumerate(levels[level + 1].keys() | opens[level + 1])}
-                size = len(self.vocabulary)
-                known = np.array(sorted(names[k[:-1]] * size + k[-1] for k in following), dtype=np.int64)
-                number = np.array([i for _, i in sorted((names[k[:-1]] * size + k[-1], i) for k, i in following.items())], dtype=np.int64)
                 here = padded[pos].astype(np.int64)
                 code = np.where(here < size, group * size + here, -1)
-                spot = np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))
-                ok = (known[spot] == code) & (pos < n) if len(known) else np.zeros(len(code), dtype=bool)
-                start, pos, group = start[ok], pos[ok], number[spot[ok]]
-                names, level = following, level + 1
-        return found
+                spot = np.minimum(np.searchsorted(level.known, code), len(level.known) - 1)
+                ok = (level.known[spot] == code) & (level.number[spot] >= 0) & (pos < n)
+                start, pos, group = start[ok], pos[ok], level.number[spot[ok]]
+        codes = np.unique(np.concatenate(found))
+        return list(zip((codes >> PLACE_BITS).tolist(), ((codes & (1 << PLACE_BITS) - 1) - PLACE_ZERO).tolist(), strict=True))
+
+    def share(self, item: int, window: np.ndarray) -> int:
+        """Distinct words of the item that the window holds."""
+        self.seen[window] = True
+        n = int(np.count_nonzero(self.seen[self.distinct[item]]))
+        self.seen[window] = False
+        return n
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,30 +192,31 @@ def prepared(block: tuple[tuple[int | None, str], ...], similarity: float) -> tu
 
 
 class Symbols(dict):
-    """Raw word to its symbol."""
+    """Raw word, its A-Z in lower case, to its symbol."""
 
     def __init__(self, vocabulary: dict[str, int]) -> None:
         super().__init__()
         self.vocabulary = vocabulary
+        self.raw = {w.encode(): k for w, k in vocabulary.items()}
 
     def __missing__(self, raw: bytes) -> int:
         if len(self) > MEMO_RAW:
             self.clear()
-        v = self.vocabulary.get(plain(raw))
+        v = self.raw.get(raw.strip(EDGE_ASCII) or raw) if raw.isascii() else self.vocabulary.get(plain(raw))
         self[raw] = v = len(self.vocabulary) + zlib.crc32(raw) % OTHERS if v is None else v
         return v
 
 
 def matches(texts: list[bytes], items: Items, symbols: Symbols) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, begin, end) of the best verified window of each text and item."""
-    words, bounds = split_words(texts)
+    words, bounds = split_words([t.lower() for t in texts])
     if not words or not items.words:
         return []
     ids = np.fromiter(map(symbols.__getitem__, words), dtype=np.int32, count=len(words))
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     done: dict[tuple[int, int], int] = {}
-    for p, i in sorted(items.candidates(ids, owner), key=lambda x: (x[1], x[0])):
+    for i, p in items.candidates(ids):
         item, most = items.words[i], items.most[i]
         d = int(owner[min(max(p + len(item) // 2, 0), len(ids) - 1)])
         for d in {d, int(owner[min(max(p, 0), len(ids) - 1)]), int(owner[min(max(p + len(item) - 1, 0), len(ids) - 1)])}:
@@ -186,7 +228,7 @@ def matches(texts: list[bytes], items: Items, symbols: Symbols) -> list[tuple[in
             if hi - lo < len(item) - most:
                 continue
             window = ids[lo:hi]
-            if len(np.intersect1d(item, window)) * 2 < len(set(item.tolist())) - 2 * most:
+            if items.share(i, window) * 2 < len(items.distinct[i]) - 2 * most:
                 continue
             dist, b, e = edit_distance(item, window, most)
             if dist <= most and (dist, lo + b) < best.get((d, i), (most + 1, 0))[:2]:

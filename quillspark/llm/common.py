@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -19,6 +19,19 @@ STEP_BYTES = 2 << 20
 MEMO_WORDS = 400_000
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """A worker's state of one operator, kept from task to task; what another operator left is given back first."""
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -18,7 +18,6 @@ walks; repeated items each match; null ids of items are kept; an empty table giv
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import split_words, steps, text_of
+from quillspark.llm.common import kept, split_words, steps, text_of
 
 #: Items that are broadcast at a time.
 ITEM_BLOCK = 20_000
@@ -184,11 +183,14 @@ class Items:
         return n
 
 
-@functools.lru_cache(maxsize=2)
 def prepared(block: tuple[tuple[int | None, str], ...], similarity: float) -> tuple[Items, Symbols]:
     """A worker's keys and symbols of a block, kept from task to task."""
-    keys = Items(list(block), similarity)
-    return keys, Symbols(keys.vocabulary)
+
+    def make() -> tuple[Items, Symbols]:
+        keys = Items(list(block), similarity)
+        return keys, Symbols(keys.vocabulary)
+
+    return kept(("decontaminate", block, similarity), make)
 
 
 class Symbols(dict):

@@ -24,8 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import MEMO_WORDS, cut, split_words, steps, text_of
-from quillspark.llm.token_counts import SPACE, merger
+from quillspark.llm.common import MEMO_WORDS, cut, kept, split_words, steps, text_of
+from quillspark.llm.token_counts import SPACE, RankMerger
 
 #: Pieces that one packing task holds (about 40 bytes each).
 PIECES_PER_TASK = 200_000
@@ -45,14 +45,19 @@ class WordEncoder:
     """
 
     def __init__(self, vocabulary: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(vocabulary)
-        self.merger = merger(vocabulary)
+        self.vocabulary = vocabulary
+        self.merger = RankMerger(vocabulary)
         self.special = [s.encode() for s in self.merger.special]
         self.find = regex.compile(WORDS).findall
         self.clear()
 
+    @functools.cached_property
+    def tok(self):
+        """The tokenizer itself, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids, self.starts = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
@@ -91,9 +96,8 @@ class WordEncoder:
         return ids, cuts
 
 
-@functools.cache
 def encoder(vocabulary: str) -> WordEncoder:
-    return WordEncoder(vocabulary)
+    return kept(("packing", vocabulary), lambda: WordEncoder(vocabulary))
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

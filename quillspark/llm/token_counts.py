@@ -13,7 +13,6 @@ id and the text are ignored.
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import MEMO_WORDS, segment_sums, steps, text_of
+from quillspark.llm.common import MEMO_WORDS, kept, segment_sums, steps, text_of
 
 #: White_Space of Unicode, as the vocabulary's library reads \s.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -120,9 +119,8 @@ class RankMerger:
         return segment_sums(np.fromiter(map(self.memo.__getitem__, tokens), dtype=np.int64, count=len(tokens)), bounds) + special
 
 
-@functools.cache
 def merger(vocabulary: str) -> RankMerger:
-    return RankMerger(vocabulary)
+    return kept(("token_counts", vocabulary), lambda: RankMerger(vocabulary))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -1,14 +1,16 @@
 """Fuzzy line dedup by MinHash.
 
-Lines are compared in lower case with white space collapsed. Each line of at least MIN_CHARS
-characters gets MinHash values of its character shingles, banded so that a pair at the
-threshold shares a band with probability over 0.95. Equal lines are one row before banding.
+Lines are compared in lower case with white space collapsed. Every line with a character left
+takes part: equal lines are one row, found by their hash. Each line of at least MIN_CHARS
+characters also gets MinHash values of its character shingles, banded so that a pair at the
+threshold shares a band with probability over 0.95.
 Distinct lines that share a band meet with their texts and are verified by exact Jaccard
 similarity of their shingle sets; a bucket emits a spanning forest of its verified links.
 Distributed union-find joins them, and of each component the line that comes first (by
 document id, then line number) stays, in that place only.
 
-Cases: a null or empty text stays as it is and has no lines; shorter lines stay; lines that
+Cases: a null or empty text stays as it is and has no lines; lines of white space only stay;
+shorter lines have no bands, so only equal ones are found; lines that
 repeat within one document count like those of other documents; a document may lose all its
 lines and stays with an empty text; an empty table gives no rows. Other columns are kept.
 """
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.llm.common import cut, mix, partitions, steps, text_of
 from quillspark.llm.components import components
 
+#: Characters from which a line is compared with lines that aren't equal; shorter ones have too few shingles.
 MIN_CHARS = 16
 SHINGLE = 9
 SIMILARITY = 0.8
@@ -87,22 +90,23 @@ def shingles(line: str, width: int = SHINGLE) -> set[str]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """line (16-byte hash of the normalised line), doc_id, line_no, bands of every line long enough."""
+    """line (16-byte hash of the normalised line), doc_id, line_no, bands of every line with a character; a line under MIN_CHARS has no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches):
             doc, number, lines = [], [], []
             for d, t in enumerate(texts):
                 for k, line in enumerate(t.decode("utf-8", "replace").split("\n")):
-                    if len(line) >= MIN_CHARS and len(x := normal(line)) >= MIN_CHARS:
+                    if x := normal(line):
                         doc.append(d), number.append(k), lines.append(x)
             if lines:
                 own = list(dict.fromkeys(lines))
                 place = {x: i for i, x in enumerate(own)}
                 at = np.fromiter(map(place.__getitem__, lines), dtype=np.int64, count=len(lines))
-                keys = signatures(own)[at]
+                long = np.fromiter((len(x) >= MIN_CHARS for x in own), dtype=bool, count=len(own))
+                keys = signatures([x for x in own if len(x) >= MIN_CHARS])[(np.cumsum(long) - 1)[at[long[at]]]]
                 ids = pa.array([xxhash.xxh3_128_digest(x.encode()) for x in own], pa.binary()).take(pa.array(at))
-                bands = pa.ListArray.from_arrays(np.arange(len(lines) + 1, dtype=np.int32) * BANDS, pa.array(keys.reshape(-1)))
+                bands = pa.ListArray.from_arrays(np.r_[0, np.cumsum(long[at] * BANDS)].astype(np.int32), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([ids, part.column("doc_id").take(pa.array(doc)), pa.array(number, pa.int32()), bands], ["line", "doc_id", "line_no", "bands"])
 
     return docs.mapInArrow(run, "line binary, doc_id long, line_no int, bands array<long>")
@@ -199,6 +203,7 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     Bands travel with the first 8 bytes of a line's hash; lines that share those are told
     apart again when they meet with their texts. Of buckets with the same lines one is verified.
     """
+    distinct = distinct.where("size(bands) > 0")
     short = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("long")
     banded = distinct.select(short("line").alias("id"), F.explode("bands").alias("band")).repartition(partitions(docs), "band").sortWithinPartitions("band")
     buckets = banded.select("band", "id").mapInArrow(shared_buckets, "band long, id long, n long, x long, y long")

@@ -181,6 +181,12 @@ def test_lines(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_short_lines(spark):
+    texts = ["and ornd.\nkept one", " And  ornd. \n\n \n好的。", "好的。\nx\nX\n\nand orne."]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "and ornd.\nkept one", 1: "\n \n好的。", 2: "x\n\nand orne."}
+
+
 def test_decontamination(spark, docs, empty):
     item = "seven wizards mix strange potions beneath a pale and silent moon tonight"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "not in any of these documents at all today"), (4, "")], "item_id long, text string")

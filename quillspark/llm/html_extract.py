@@ -3,8 +3,11 @@
 A page is cut into text blocks with their root-to-leaf tag paths. For each path the text
 length and the punctuation are aggregated over the page; the length ratio (characters per
 node) and the punctuation ratio are smoothed over paths that follow each other on the page,
-fused as a product, and paths above a threshold from the page's own mean and deviation, or
-inside the container that holds most of the fused mass, are content. Subtrees whose element
+fused as a product, and only paths above a threshold from the page's own mean and deviation
+can be content. All article and main elements together are one container, every other parent
+is one. If the article and main elements hold the most fused mass, all their paths above the
+threshold and their headings, short by nature, are content and paths outside are not; else those of the heaviest parent are, and
+paths anywhere that reach the mean. Subtrees whose element
 or whose class, id or role says menu, header, footer, sidebar, notice, advert, form, script,
 style or comments are never content.
 
@@ -31,6 +34,8 @@ SKIP = frozenset("nav header footer aside form menu button select option fieldse
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 NAMED = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|ad|ads|advert|adverts|advertisement|advertising|banner|promo|promoted|sponsor|sponsored|cookie|cookies|consent|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|pagination|pager|comment|comments|commentlist|disqus|respond|replies|reviews|widget|copyright|legal|disclaimer|toolbar|search|form)(?:$|[\s_-]|\d)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+SEMANTIC = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCT = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -128,19 +133,22 @@ def content(page: str) -> str:
     length = np.array([chars[p] / nodes[p] for p in names])
     punct = np.array([marks[p] / nodes[p] for p in names])
     fused = smooth(length) * (1 + smooth(punct))
-    # the container of the most fused mass: an article or main element if there is one, else the best parent
-    mass: defaultdict[str, float] = defaultdict(float)
+    limit = max(0.0, float(fused.mean() - fused.std())) * (1 - 1e-9)
+    # the fused mass of all article and main elements' paths above the limit, and of each other parent
+    inner, named, mass = set(), 0.0, defaultdict(float)
     for p, f in zip(names, fused, strict=True):
         parts = p.split("/")
-        named = next((i for i in range(len(parts) - 1, -1, -1) if parts[i] in ("article", "main")), None)
-        mass["/".join(parts[: named + 1]) if named is not None else "/".join(parts[:-1])] += float(f) * nodes[p]
-    semantic = {k: v for k, v in mass.items() if k.split("/")[-1] in ("article", "main")}
-    best = max(semantic or mass, key=lambda k: (semantic or mass)[k])
-    if semantic:
-        keep = {p for p in names if p == best or p.startswith(best + "/")}
+        if not SEMANTIC.isdisjoint(parts):
+            if f >= limit or not HEADINGS.isdisjoint(parts):
+                inner.add(p)
+                named += float(f) * nodes[p]
+        else:
+            mass["/".join(parts[:-1])] += float(f) * nodes[p]
+    best = max(mass, key=mass.__getitem__, default=None)
+    if best is None or inner and named >= mass[best]:
+        keep = inner
     else:
-        limit = max(0.0, float(fused.mean() - fused.std()))
-        keep = {p for p, f in zip(names, fused, strict=True) if f >= limit and (p.startswith(best) or f >= fused.mean())}
+        keep = {p for p, f in zip(names, fused, strict=True) if f >= limit and (p not in inner and p.startswith(best) or f >= fused.mean())}
     return " ".join(t for p, t, _ in found if p in keep)
 
 

@@ -147,6 +147,22 @@ def test_html(page, text):
     assert html_extract.content(page) == text
 
 
+LONG = "Long text, with commas, and more of it here, so that it weighs something."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<main><h1>Title</h1><p>The lead.</p><article><p>Body, one.</p></article></main>", "Title The lead. Body, one."),
+        (f"<div><article><p>{LONG}</p></article></div><section><article><p>Second, here.</p></article></section>", f"{LONG} Second, here."),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><ul><li><article><p>Card</p></article><li><article><p>Card 2</p></article></ul>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG}</p><div><p>{LONG}</p></div><section><p>{LONG}</p></section><blockquote><p>{LONG}</p></blockquote><ul><li>x</ul></article>", " ".join([LONG] * 4)),
+    ],
+)
+def test_html_containers(page, text):
+    assert html_extract.content(page) == text
+
+
 def test_quality(docs, empty):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     for i, t in enumerate(TEXTS):

@@ -13,7 +13,7 @@ Repetitions are as many as the target recall needs at the given agreement of one
 Items are handled in blocks of ITEM_BLOCK, so the broadcast side is bounded at any number.
 
 Cases: an item or text without words never matches; an item of few words takes shorter
-walks; repeated items each match; null ids of items are kept; an empty table gives no rows.
+walks, from any of its words; repeated items each match; null ids of items are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from quillspark.llm.common import kept, split_words, steps, text_of
 ITEM_BLOCK = 20_000
 #: Sampled coordinates (the anchor word included), and the longest walk.
 SAMPLED, WALK = 4, 16
+#: Items of fewer words anchor at any of their words, so that no single edited word is in every key.
+SHORT = 15
 #: Agreement of one sampled coordinate that recall is planned for, and the target.
 AGREEMENT, RECALL = 0.75, 0.999
 #: Words outside the items' vocabulary share so many symbols; they only steer walks.
@@ -122,7 +124,7 @@ class Items:
         for _ in range(self.reps if split else 0):
             bits = rng.integers(0, 2, (WALK, size), dtype=np.int8)
             at = np.sort(rng.choice(np.arange(1, WALK), SAMPLED - 1, replace=False)).tolist()
-            anchors = [int(rng.integers(0, max(1, len(w) - WALK // 2))) if len(w) > WALK // 2 else 0 for w in self.words]
+            anchors = [int(rng.integers(0, len(w) if len(w) < SHORT else len(w) - WALK // 2)) for w in self.words]
             # the key's coordinates in turn; an item whose walk leaves it stops there with the key it has
             ended: list[dict[tuple[int, ...], list[int]]] = [{} for _ in range(SAMPLED)]
             opened: list[set[tuple[int, ...]]] = [set() for _ in range(SAMPLED)]

@@ -211,6 +211,20 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 6, 8, 9, 10, 14, 15, 30])
+def test_decontamination_recall_at_the_limit(n):
+    rng = np.random.default_rng(5)
+    items = [[f"w{x}" for x in rng.integers(0, 10**6, n)] for _ in range(200)]
+    keys = decontaminate.Items([(i, " ".join(w)) for i, w in enumerate(items)], 0.8)
+    for first in (True, False):
+        texts = []
+        for w in items:
+            at = list(range(n // 5)) if first else rng.choice(n, n // 5, replace=False).tolist()
+            texts.append(" ".join(["pre"] * 20 + [f"x{k}" if k in at else x for k, x in enumerate(w)] + ["post"] * 20).encode())
+        got = {r[:2] for r in decontaminate.matches(texts, keys, decontaminate.Symbols(keys.vocabulary))}
+        assert sum((k, k) in got for k in range(200)) >= 195
+
+
 def test_edit_distance():
     rng = np.random.default_rng(3)
     for _ in range(60):

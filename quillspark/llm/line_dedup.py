@@ -3,7 +3,7 @@
 Lines are compared in lower case with white space collapsed. Every line with a character left
 takes part: equal lines are one row, found by their hash. Each line of at least MIN_CHARS
 characters also gets MinHash values of its character shingles, banded so that a pair at the
-threshold shares a band with probability over 0.95.
+threshold shares a band with probability over 0.99.
 Distinct lines that share a band meet with their texts and are verified by exact Jaccard
 similarity of their shingle sets; a bucket emits a spanning forest of its verified links.
 Distributed union-find joins them, and of each component the line that comes first (by
@@ -32,7 +32,7 @@ from quillspark.llm.components import components
 MIN_CHARS = 16
 SHINGLE = 9
 SIMILARITY = 0.8
-BANDS, ROWS = 8, 5
+BANDS, ROWS = 10, 4
 #: Characters whose shingles are hashed at a time; a longer line is a run of its own.
 CACHED = 1 << 15
 #: Places of lines that may be broadcast to the documents (40 bytes each at most); more are shuffled.

@@ -197,6 +197,15 @@ def test_lines(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_banding_recall():
+    rng = np.random.default_rng(6)
+    make = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    # 90 shingles each, 80 of them shared: Jaccard 0.8; the end differs
+    pairs = [(x + make(10), x + make(10)) for x in (make(88) for _ in range(2000))]
+    keys = [line_dedup.signatures([p[k] for p in pairs]) for k in (0, 1)]
+    assert np.mean((keys[0] == keys[1]).any(axis=1)) >= 0.985
+
+
 def test_short_lines(spark):
     texts = ["and ornd.\nkept one", " And  ornd. \n\n \n好的。", "好的。\nx\nX\n\nand orne."]
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}

@@ -37,29 +37,64 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the session names none (tests on one machine) a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where the session names none, a temporary one on a local master, an error on a cluster."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quillspark-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "quillspark-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder."""
+    """Cut the lineage with a reliable checkpoint in the session's shared folder.
+
+    Its files go once nothing on the driver refers to the returned table any more.
+    """
     shared_folder(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, name: str = "own", id_column: str = "doc_id") -> DataFrame:
+    """docs with a number of each row's own that orders as the id does (null last).
+
+    Distinct ids are their own numbers. Where ids repeat or are null the rows are sorted by
+    id and text and written with their places, so that rows alike in both have an order too.
+    """
+    ids = docs.groupBy(id_column).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.coalesce(F.bool_or(F.col(id_column).isNull()), F.lit(False)).alias("missing")).first()
+    if (ids.most or 1) == 1 and not ids.missing:
+        return docs.withColumn(name, F.col(id_column).cast("long"))
+    # the last key deals rows alike in id and text, of which there may be many, over several tasks
+    order = docs.orderBy(F.col(id_column).asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id())
+    return cut(order.withColumn(name, F.monotonically_increasing_id()))
+
+
 #: Ids that may be broadcast to the documents (at most 24 MB); more are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
 def without(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Rows of docs whose id isn't in ids (one column); a null id stays. The counted side is broadcast only below a bound."""
-    ids = cut(ids.toDF("left_out").where("left_out is not null").distinct())
+    name = free_name(docs, "left_out")
+    ids = cut(ids.toDF(name).where(F.col(name).isNotNull()).distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_column] == ids["left_out"], "left_anti")
+    return docs.join(ids, docs[id_column] == ids[name], "left_anti")
 
 
 def partitions(df: DataFrame) -> int:

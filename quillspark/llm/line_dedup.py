@@ -1,18 +1,20 @@
 """Fuzzy line dedup by MinHash.
 
 Lines are compared in lower case with white space collapsed. Every line with a character left
-takes part: equal lines are one row, found by their hash. Each line of at least MIN_CHARS
-characters also gets MinHash values of its character shingles, banded so that a pair at the
-threshold shares a band with probability over 0.99.
+takes part: equal lines are one row, found by their 128-bit hash. Each distinct line of at
+least SHINGLE characters also gets MinHash values of its character shingles, banded so that a
+pair at the threshold shares a band with probability over 0.99.
 Distinct lines that share a band meet with their texts and are verified by exact Jaccard
 similarity of their shingle sets; a bucket emits a spanning forest of its verified links.
 Distributed union-find joins them, and of each component the line that comes first (by
 document id, then line number) stays, in that place only.
 
 Cases: a null or empty text stays as it is and has no lines; lines of white space only stay;
-shorter lines have no bands, so only equal ones are found; lines that
+a line shorter than a shingle has none, so only lines equal to it are found; lines that
 repeat within one document count like those of other documents; a document may lose all its
-lines and stays with an empty text; an empty table gives no rows. Other columns are kept.
+lines and stays with an empty text; an empty table gives no rows. A null id comes after all
+others; rows of one id are documents of their own, in the order of their texts' hashes, and of
+rows alike in id and text one keeps the lines. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +27,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import cut, mix, partitions, steps, text_of
+from quillspark.llm.common import cut, free_name, mix, numbered, partitions, steps, text_of
 from quillspark.llm.components import components
 
-#: Characters from which a line is compared with lines that aren't equal; shorter ones have too few shingles.
-MIN_CHARS = 16
 SHINGLE = 9
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
@@ -37,10 +37,18 @@ BANDS, ROWS = 10, 4
 CACHED = 1 << 15
 #: Places of lines that may be broadcast to the documents (40 bytes each at most); more are shuffled.
 BROADCAST_LINES = 1_000_000
+#: Digests of lines that a task remembers to have signed before it starts anew.
+MEMO_LINES = 200_000
+#: Band keys that one task sorts (16 bytes each); there are as many tasks as that takes.
+KEYS_PER_TASK = 4_000_000
 
 
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    """Lower case, white space collapsed."""
+    line = line.lower()
+    if line.isprintable() and "  " not in line:  # then single spaces are its only white space
+        return line.strip()
+    return " ".join(line.split())
 
 
 def signatures(lines: list[str], width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -48,16 +56,16 @@ def signatures(lines: list[str], width: int = SHINGLE, bands: int = BANDS, rows:
     sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     turn = np.cumsum(sizes) // CACHED
     cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(lines)]
-    rng = np.random.default_rng(11)
-    hashes = [(np.uint32(rng.integers(1, 1 << 31) * 2 + 1), np.uint32(rng.integers(0, 1 << 32))) for _ in range(bands * rows)]
+    multipliers = np.random.default_rng(11).integers(1, 1 << 31, bands * rows).astype(np.uint32) * np.uint32(2) + np.uint32(1)
     out = np.zeros((len(lines), bands), dtype=np.uint64)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a < b:
-            out[a:b] = band_keys(lines[a:b], sizes[a:b], width, bands, hashes)
+            out[a:b] = band_keys(lines[a:b], sizes[a:b], width, bands, multipliers)
     return out.view(np.int64)
 
 
-def band_keys(lines: list[str], sizes: np.ndarray, width: int, bands: int, hashes: list[tuple[np.uint32, np.uint32]]) -> np.ndarray:
+def band_keys(lines: list[str], sizes: np.ndarray, width: int, bands: int, multipliers: np.ndarray) -> np.ndarray:
+    """Shingles get a mixed 32-bit hash; an odd multiplier permutes it, and the least product is the MinHash value."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32)
     ends = np.cumsum(sizes)
     m = len(codes) - width + 1
@@ -74,10 +82,9 @@ def band_keys(lines: list[str], sizes: np.ndarray, width: int, bands: int, hashe
         inside[at[at < m]] = False
     h = h[inside]
     starts = np.r_[0, np.cumsum(sizes - width + 1)[:-1]]
-    least, x = np.zeros((len(hashes), len(lines)), dtype=np.uint64), np.empty_like(h)
-    for k, (times, plus) in enumerate(hashes):
+    least, x = np.zeros((len(multipliers), len(lines)), dtype=np.uint64), np.empty_like(h)
+    for k, times in enumerate(multipliers):
         np.multiply(h, times, out=x)
-        x += plus
         least[k] = np.minimum.reduceat(x, starts)
     keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
     for row in least.reshape(bands, -1, len(lines)).transpose(1, 0, 2):
@@ -85,34 +92,82 @@ def band_keys(lines: list[str], sizes: np.ndarray, width: int, bands: int, hashe
     return keys.T
 
 
-def shingles(line: str, width: int = SHINGLE) -> set[str]:
-    return {line[i : i + width] for i in range(len(line) - width + 1)}
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
-    """line (16-byte hash of the normalised line), doc_id, line_no, bands of every line with a character; a line under MIN_CHARS has no bands."""
+    """h, g (the 128-bit hash of the normalised line), own, line_no, and whether it is the line's first in its row.
+
+    The first of a line in a task (as far as that remembers) has its band keys as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed: set[bytes] = set()
         for part, texts in steps(batches):
-            doc, number, lines = [], [], []
+            doc, number, lines, first = [], [], [], []
             for d, t in enumerate(texts):
+                here = set()
                 for k, line in enumerate(t.decode("utf-8", "replace").split("\n")):
                     if x := normal(line):
-                        doc.append(d), number.append(k), lines.append(x)
-            if lines:
-                own = list(dict.fromkeys(lines))
-                place = {x: i for i, x in enumerate(own)}
-                at = np.fromiter(map(place.__getitem__, lines), dtype=np.int64, count=len(lines))
-                long = np.fromiter((len(x) >= MIN_CHARS for x in own), dtype=bool, count=len(own))
-                keys = signatures([x for x in own if len(x) >= MIN_CHARS])[(np.cumsum(long) - 1)[at[long[at]]]]
-                ids = pa.array([xxhash.xxh3_128_digest(x.encode()) for x in own], pa.binary()).take(pa.array(at))
-                bands = pa.ListArray.from_arrays(np.r_[0, np.cumsum(long[at] * BANDS)].astype(np.int32), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids, part.column("doc_id").take(pa.array(doc)), pa.array(number, pa.int32()), bands], ["line", "doc_id", "line_no", "bands"])
-
-    return docs.mapInArrow(run, "line binary, doc_id long, line_no int, bands array<long>")
-
-
-def verified(keys: np.ndarray, ids: list[bytes], texts: list[str], similarity: float) -> list[tuple[bytes, bytes]]:
+                        doc.append(d), number.append(k), lines.append(x), first.append(x not in here)
+                        here.add(x)
+            if not lines:
+                continue
+            distinct = dict.fromkeys(lines)
+            place = dict(zip(distinct, range(len(distinct)), strict=True))
+            at = np.fromiter(map(place.__getitem__, lines), dtype=np.int64, count=len(lines))
+            digests = [xxhash.xxh3_128_digest(x.encode()) for x in distinct]
+            halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            fresh = np.fromiter((len(x) >= SHINGLE and k not in signed for x, k in zip(distinct, digests, strict=True)), dtype=bool, count=len(digests))
+            if len(signed) > MEMO_LINES:
+                signed.clear()
+            signed.update(digests)
+            row_of = np.full(len(digests), -1)
+            row_of[fresh] = np.arange(np.count_nonzero(fresh))
+            bearer = np.zeros(len(lines), dtype=bool)
+            bearer[np.unique(at, return_index=True)[1]] = True
+            row = pa.array(row_of[at], mask=~bearer | (row_of[at] < 0))
+            keys = signatures([x for x, f in zip(distinct, fresh.tolist(), strict=True) if f]).T if fresh.any() else np.zeros((BANDS, 0), dtype=np.int64)
+            bands = [pa.array(np.ascontiguousarray(k)).take(row) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(halves[at, 0]), pa.array(halves[at, 1]), part.column("own").take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(first), *bands], ["h", "g", "own", "line_no", "first", *BAND_COLUMNS])
+
+    return docs.mapInArrow(run, "h long, g long, own long, line_no int, first boolean, " + ", ".join(f"{b} long" for b in BAND_COLUMNS))
+
+
+BAND_COLUMNS = [f"b{k}" for k in range(BANDS)]
+
+
+def shingle_codes(lines: list[str], width: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct shingles of each line as numbers, equal for equal shingles of these lines and for no others."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32)
+    m = max(0, len(codes) - width + 1)
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[codes] = True
+    letters = np.flatnonzero(seen)
+    if len(letters) ** width < 1 << 64:  # the letters are digits of one number
+        digit = np.zeros(0x110000, dtype=np.uint64)
+        digit[letters] = np.arange(len(letters), dtype=np.uint64)
+        codes = digit[codes]
+        h = np.zeros(m, dtype=np.uint64)
+        for k in range(width):
+            h *= np.uint64(len(letters))
+            h += codes[k : k + m]
+    else:  # numbers of prefixes of the shingle, one letter longer each time
+        h = codes[:m].astype(np.int64)
+        for k in range(1, width):
+            h = np.unique(h << 21 | codes[k : k + m], return_inverse=True)[1]
+    out, at = [], 0
+    for line in lines:
+        own = np.sort(h[at : at + len(line) - width + 1])
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        at += len(line)
+    return out
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def verified(keys: np.ndarray, ids: np.ndarray, texts: list[str], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links between lines within each bucket.
 
     Lines come in order of their number of shingles; a line is compared with each component
@@ -120,13 +175,15 @@ def verified(keys: np.ndarray, ids: list[bytes], texts: list[str], similarity: f
     """
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
-    out: set[tuple[bytes, bytes]] = set()
+    place = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+    sets = shingle_codes(list(place))
+    out: set[tuple[int, int]] = set()
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
         if e - s < 2:
             continue
-        rows = [(len(own), ids[r], own) for r in order[s:e].tolist() for own in (shingles(texts[r]),)]
+        rows = [(len(own), int(ids[r]), own) for r in order[s:e].tolist() for own in (sets[place[texts[r]]],)]
         rows.sort(key=lambda x: x[:2])
-        components: list[list[tuple[int, bytes, set[str]]]] = []
+        components: list[list[tuple[int, int, np.ndarray]]] = []
         for row in rows:
             size, a, own = row
             joined, others = [row], []
@@ -137,10 +194,10 @@ def verified(keys: np.ndarray, ids: list[bytes], texts: list[str], similarity: f
                     if n < similarity * size:
                         others.append(component)
                         break
-                    both = len(own & other)
+                    both = common(own, other)
                     if both >= similarity * (size + n - both):
                         if a != b:
-                            out.add((a, b) if a > b else (b, a))
+                            out.add((max(a, b), min(a, b)))
                         joined = component + joined
                         break
                 else:
@@ -151,11 +208,11 @@ def verified(keys: np.ndarray, ids: list[bytes], texts: list[str], similarity: f
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line and its normalised text of `wanted` (line, doc_id, line_no)."""
-    by_doc = wanted.groupBy(F.col("doc_id").alias("want_id")).agg(F.collect_list(F.struct("line_no", "line")).alias("want"))
+    """id and its normalised text of `wanted` (id, own, line_no)."""
+    by_doc = wanted.groupBy(F.col("own").alias("want_own")).agg(F.collect_list(F.struct("line_no", "id")).alias("want"))
     if wanted.count() <= BROADCAST_LINES:
         by_doc = F.broadcast(by_doc)
-    joined = docs.join(by_doc, F.col("doc_id") == F.col("want_id")).select("text", F.col("want.line_no").alias("numbers"), F.col("want.line").alias("ids"))
+    joined = docs.join(by_doc, F.col("own") == F.col("want_own")).select("text", F.col("want.line_no").alias("numbers"), F.col("want.id").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches):
@@ -164,68 +221,69 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 lines = t.decode("utf-8", "replace").split("\n")
                 ids += own
                 out += [normal(lines[k]) for k in numbers]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(out, pa.string())], ["line", "line_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "line_text"])
 
-    return joined.mapInArrow(run, "line binary, line_text string")
+    return joined.mapInArrow(run, "id long, line_text string")
+
+
+def dealt(distinct: DataFrame, tasks: int) -> DataFrame:
+    """Band keys with their lines' ids, packed into one row per batch and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.select(BAND_COLUMNS)
+            keys = np.concatenate([c.to_numpy() for c in bands.columns])
+            pairs = np.stack([keys, np.tile(batch.column("id").to_numpy(), BANDS)], axis=1)
+            task = (keys.view(np.uint64) % np.uint64(tasks)).astype(np.int32)
+            order = np.argsort(task, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(task[order]) != 0]) if len(order) else order
+            ends = np.r_[starts, len(order)].astype(np.int32) * np.int32(16)
+            packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(pairs[order]))])
+            yield pa.RecordBatch.from_arrays([pa.array(task[order][starts]), packed], ["task", "pairs"])
+
+    return distinct.where("b0 is not null").select("id", *BAND_COLUMNS).mapInArrow(run, "task int, pairs binary").repartitionById(tasks, "task")
 
 
 def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, id) in order of band: those whose band has two or more, with the bucket's size and two digests of its ids."""
-
-    def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        band, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-        same = band[1:] == band[:-1]
-        keep = np.r_[same, False] | np.r_[False, same]
-        band, own = band[keep], own[keep]
-        if len(band):
-            starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-            n = np.diff(np.r_[starts, len(band)])
-            digests = [np.bitwise_xor.reduceat(x, starts) for x in (own, mix(own.view(np.uint64)).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(own), *[pa.array(np.repeat(x, n)) for x in (n, *digests)]], ["band", "id", "n", "x", "y"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        band, own = batch.column("band").to_numpy(), batch.column("id").to_numpy()
-        if not len(band):
-            continue
-        last = int(np.searchsorted(band, band[-1]))  # rows before belong to buckets that have ended
-        if last or held and held[-1][0][-1] != band[0]:
-            yield from out([*held, (band[:last], own[:last])])
-            held = []
-        held.append((band[last:], own[last:]))
-    if held:
-        yield from out(held)
+    """The members of every band key that two or more lines have, with the bucket's size and two digests of its ids."""
+    packed = [x for batch in batches for x in batch.column("pairs").to_pylist()]
+    band, own = np.frombuffer(b"".join(packed), dtype=np.int64).reshape(-1, 2).T
+    order = np.argsort(band)
+    band, own = band[order], own[order]
+    same = band[1:] == band[:-1]
+    keep = np.r_[same, False] | np.r_[False, same] if len(band) else np.zeros(0, dtype=bool)
+    band, own = band[keep], own[keep]
+    if len(band):
+        starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        n = np.diff(np.r_[starts, len(band)])
+        digests = [np.bitwise_xor.reduceat(x, starts) for x in (own, mix(mix(own.view(np.uint64))).view(np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(own), *[pa.array(np.repeat(x, n)) for x in (n, *digests)]], ["band", "id", "n", "x", "y"])
 
 
 def links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): verified links between distinct lines, enough to connect all that are linked through a shared band.
+    """(u, v): verified links between the ids of distinct lines, enough to connect all that are linked through a shared band.
 
-    Bands travel with the first 8 bytes of a line's hash; lines that share those are told
-    apart again when they meet with their texts. Of buckets with the same lines one is verified.
+    Of buckets with the same lines one is verified.
     """
-    distinct = distinct.where("size(bands) > 0")
-    short = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("long")
-    banded = distinct.select(short("line").alias("id"), F.explode("bands").alias("band")).repartition(partitions(docs), "band").sortWithinPartitions("band")
-    buckets = banded.select("band", "id").mapInArrow(shared_buckets, "band long, id long, n long, x long, y long")
+    tasks = max(partitions(docs), -(-distinct.count() * BANDS // KEYS_PER_TASK))
+    buckets = dealt(distinct, tasks).mapInArrow(shared_buckets, "band long, id long, n long, x long, y long")
     members = cut(buckets.groupBy("id", "n", "x", "y").agg(F.min("band").alias("band")).select("id", "band"))
-    met_ids = members.select(F.col("id").alias("w")).distinct()
-    wanted = distinct.join(met_ids, short("line") == F.col("w"), "left_semi").select("line", "first.doc_id", "first.line_no")
-    texts = line_texts(docs, cut(wanted)).withColumn("id", short("line"))
+    wanted = cut(distinct.join(members.select(F.col("id").alias("w")).distinct(), F.col("id") == F.col("w"), "left_semi").select("id", "own", "line_no"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def out() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            pairs = verified(t["band"].to_numpy(), t["line"].to_pylist(), t["line_text"].to_pylist(), similarity)
+            pairs = verified(t["band"].to_numpy(), t["id"].to_numpy(), t["line_text"].to_pylist(), similarity)
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
 
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
                 b = batch.column("band").to_numpy()
-                last = int(np.searchsorted(b, b[-1]))
+                last = int(np.searchsorted(b, b[-1]))  # rows before belong to buckets that have ended
                 if last or held and held[-1].column("band")[-1].as_py() != b[0]:
                     held.append(batch.slice(0, last))
                     yield from out()
@@ -235,29 +293,41 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield from out()
 
-    met = members.join(texts, "id").select("band", "line", "line_text").repartition(partitions(docs), "band").sortWithinPartitions("band")
-    return met.mapInArrow(run, "u binary, v binary")
+    met = members.join(line_texts(docs, wanted), "id").select("band", "id", "line_text").repartition(partitions(docs), "band").sortWithinPartitions("band")
+    return met.mapInArrow(run, "u long, v long")
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, line_no) of every line to remove."""
+    """(own, line_no) of every line to remove from docs (own, text)."""
     occ = cut(occurrences(docs))
-    distinct = occ.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    distinct = cut(distinct)
+    least = F.min(F.expr("if(first, own, null)")), F.expr("min_by(line_no, if(first, own, null))")
+    distinct = occ.groupBy("h", "g").agg(least[0].alias("own"), least[1].alias("line_no"), F.count("*").alias("n"), *[F.max(b).alias(b) for b in BAND_COLUMNS])
+    distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()))
     roots = components(links(docs, distinct, similarity))
-    joined = distinct.join(roots, F.col("line") == F.col("node"), "left")
-    member = joined.select("line", "first", "n", F.coalesce("root", "line").alias("root"))
-    member = member.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("of")).where("of > 1").join(member.select("line", F.col("root").alias("r")), F.col("r") == F.col("root"))
-    return occ.select("line", "doc_id", "line_no").join(member.select(F.col("line").alias("l"), "stays"), F.col("l") == F.col("line")).where("doc_id != stays.doc_id or line_no != stays.line_no").select("doc_id", "line_no")
+    # a root has no row of its own, and a component's lines are few beside the lines alone
+    ties = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    tied = distinct.join(ties, F.col("id") == F.col("node")).select("h", "g", "root", F.struct("own", "line_no").alias("place"))
+    stays = tied.groupBy(F.col("root").alias("r")).agg(F.min("place").alias("stays"))
+    tied = tied.join(stays, F.col("root") == F.col("r")).select("h", "g", "stays.own", "stays.line_no")
+    alone = distinct.where("n > 1").join(ties, F.col("id") == F.col("node"), "left_anti").select("h", "g", "own", "line_no")
+    stays = cut(alone.unionByName(tied)).toDF("h_", "g_", "own_", "line_no_")
+    if stays.count() <= BROADCAST_LINES:
+        stays = F.broadcast(stays)
+    again = occ.join(stays, (F.col("h") == F.col("h_")) & (F.col("g") == F.col("g_")))
+    return again.where("own != own_ or line_no != line_no_").select("own", "line_no")
+
+
+def gone_by_row(docs: DataFrame, similarity: float) -> DataFrame:
+    """own_ and gone (the numbers of the lines to remove) of the rows that lose lines."""
+    gone = cut(duplicate_lines(docs, similarity))
+    by_row = gone.groupBy(F.col("own").alias("own_")).agg(F.collect_set("line_no").alias("gone"))
+    return F.broadcast(by_row) if gone.count() <= BROADCAST_LINES else by_row
 
 
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_removed and text (the lines that stay; null stays null) of every document."""
-    cols = text_of(docs, id_column, text_column)
-    gone = cut(duplicate_lines(cols, similarity))
-    by_doc = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone"))
-    if gone.count() <= BROADCAST_LINES:
-        by_doc = F.broadcast(by_doc)
+    """doc_id, n_lines, n_removed and text (the lines that stay; null stays null) of every row."""
+    cols = numbered(text_of(docs, id_column, text_column))
+    by_row = gone_by_row(cols.select("own", "text"), similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches):
@@ -272,7 +342,7 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_column: str =
             text = pc.if_else(pc.is_valid(part.column("text")), pa.array(kept, pa.string()), pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), text], ["doc_id", "n_lines", "n_removed", "text"])
 
-    return cols.join(by_doc, F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_lines long, n_removed long, text string")
+    return cols.join(by_row, F.col("own") == F.col("own_"), "left").select("doc_id", "text", "gone").mapInArrow(run, "doc_id long, n_lines long, n_removed long, text string")
 
 
 def rewrite(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -280,17 +350,16 @@ def rewrite(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Where there is a column n_chars it follows the text.
     """
-    gone = cut(duplicate_lines(text_of(docs, "doc_id"), similarity))
-    by_doc = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    if gone.count() <= BROADCAST_LINES:
-        by_doc = F.broadcast(by_doc)
-    names = docs.columns
-    joined = docs.join(by_doc, docs["doc_id"] == F.col("_gone_id"), "left").select(*[docs[c] for c in names], "_gone")
+    names, own, gone = docs.columns, free_name(docs, "own"), free_name(docs, "gone")
+    rows = numbered(docs, own)
+    by_row = gone_by_row(rows.select(F.col(own).alias("own"), F.col("text").cast("string").alias("text")), similarity)
+    by_row = by_row.toDF(key := free_name(rows, "own_"), gone)
+    joined = rows.join(by_row, F.col(own) == F.col(key), "left")
     # lines are numbered from 0 by splitting on line feeds only, as in occurrences()
     lines = F.split("text", "\n", -1)
-    numbered = F.arrays_zip(lines.alias("x"), F.sequence(F.lit(0), F.size(lines) - 1).alias("k"))
-    stay = F.array_join(F.transform(F.filter(numbered, lambda z: ~F.array_contains("_gone", z["k"])), lambda z: z["x"]), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(stay))
+    numbers = F.arrays_zip(lines.alias("x"), F.sequence(F.lit(0), F.size(lines) - 1).alias("k"))
+    stay = F.array_join(F.transform(F.filter(numbers, lambda z: ~F.array_contains(gone, z["k"])), lambda z: z["x"]), "\n")
+    out = joined.withColumn("text", F.when(F.col(gone).isNull() | F.col("text").isNull(), F.col("text")).otherwise(stay))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

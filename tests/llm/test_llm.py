@@ -212,6 +212,53 @@ def test_short_lines(spark):
     assert got == {0: "and ornd.\nkept one", 1: "\n \n好的。", 2: "x\n\nand orne."}
 
 
+def brute_lines(rows):
+    """Lines that stay, by row: equal normalised lines and those of 9-character shingle similarity 0.8 or more are one, the first stays."""
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0))
+    places = [(r, k, " ".join(x.lower().split())) for r in order for k, x in enumerate((rows[r][1] or "").split("\n"))]
+    places = [p for p in places if p[2]]
+    shingles = {x: {x[i : i + 9] for i in range(len(x) - 8)} for _, _, x in places}
+    own, forest = list(shingles), common.Forest()
+    first = {x: i for i, x in enumerate(own)}
+    for i, x in enumerate(own):
+        for y in own[:i]:
+            a, b = shingles[x], shingles[y]
+            if a and b and len(a & b) >= 0.8 * len(a | b):
+                forest.union(i, first[y])
+    seen, gone = set(), set()
+    for r, k, x in places:
+        root = forest.find(first[x])
+        if root in seen:
+            gone.add((r, k))
+        seen.add(root)
+    return [t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (r, k) not in gone) for r, (_, t) in enumerate(rows)]
+
+
+def test_lines_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    make = lambda n: "".join(rng.choice(list("abcdefghij klmnopäß日本"), n)).strip()
+    base = [make(n) for n in rng.integers(5, 160, 60)]
+    pool = base + [x[:-1] + "q" for x in base] + [make(3) + x for x in base] + ["  " + x.upper() for x in base[:20]] + ["ab", "好的。", " ", ""]
+    rows = [(i, "\n".join(rng.choice(pool, rng.integers(0, 9)))) for i in range(60)]
+    rows += [(None, rows[3][1]), (None, "only here once\n" + rows[4][1]), (5, rows[7][1] + "\nonly here twice"), (70, None), (71, "only here once")]
+    want = brute_lines(rows)
+    docs = spark.createDataFrame([(i, t, f"r{k}", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, own string, gone int")
+    got = {r.gone: r for r in line_dedup.rewrite(docs).collect()}
+    assert docs.columns == line_dedup.rewrite(docs.limit(0)).columns
+    # rows of one id come in the order of a hash: either may be first
+    loose = {k for k, (i, _) in enumerate(rows) if i is None or i == 5}
+    wrong = [k for k in range(len(rows)) if k not in loose and got[k].text != want[k]]
+    assert not wrong and all(r.own == f"r{k}" for k, r in got.items())
+    assert sum((r.text or "").count("only here once") for r in got.values()) == 1 and got[64].text == "only here once"
+
+
+def test_lines_of_rows_alike(spark):
+    text = "one line of some length here\nand one more of that length"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.n_removed) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(False, 0), (False, 2), (True, 2), (True, 2)]
+
+
 def test_decontamination(spark, docs, empty):
     item = "seven wizards mix strange potions beneath a pale and silent moon tonight"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "not in any of these documents at all today"), (4, "")], "item_id long, text string")

@@ -70,14 +70,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(docs: DataFrame, name: str = "own", id_column: str = "doc_id") -> DataFrame:
+def distinct_ids(docs: DataFrame, id_column: str = "doc_id") -> bool:
+    """Whether no id repeats or is null."""
+    ids = docs.groupBy(id_column).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.coalesce(F.bool_or(F.col(id_column).isNull()), F.lit(False)).alias("missing")).first()
+    return (ids.most or 1) == 1 and not ids.missing
+
+
+def numbered(docs: DataFrame, name: str = "own", id_column: str = "doc_id", distinct: bool | None = None) -> DataFrame:
     """docs with a number of each row's own that orders as the id does (null last).
 
     Distinct ids are their own numbers. Where ids repeat or are null the rows are sorted by
     id and text and written with their places, so that rows alike in both have an order too.
     """
-    ids = docs.groupBy(id_column).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.coalesce(F.bool_or(F.col(id_column).isNull()), F.lit(False)).alias("missing")).first()
-    if (ids.most or 1) == 1 and not ids.missing:
+    if distinct_ids(docs, id_column) if distinct is None else distinct:
         return docs.withColumn(name, F.col(id_column).cast("long"))
     # the last key deals rows alike in id and text, of which there may be many, over several tasks
     order = docs.orderBy(F.col(id_column).asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id())

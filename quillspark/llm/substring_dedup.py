@@ -16,7 +16,9 @@ their least document by a map-side combined minimum, and are joined back to it b
 adaptive execution may split.
 
 Cases: a null or empty text and a text of fewer words than a window lose nothing; a passage
-repeated within one document only stays; an empty table gives no rows.
+repeated within one document only stays; an empty table gives no rows. A null id is neither
+smaller nor larger than another: its row loses nothing and makes no other lose. Rows of one id
+are rows of their own that lose by smaller ids only, not by each other. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quillspark.llm.common import MEMO_WORDS, cut, mix, partitions, split_words, steps, text_of, word_ids
+from quillspark.llm.common import MEMO_WORDS, cut, distinct_ids, mix, numbered, partitions, split_words, steps, text_of, word_ids
 
 #: A minimiser is hot above this share of a partition's packed strings, or this many if that is more.
 HOT_SHARE, HOT_LEAST = 0.25, 2000
@@ -36,7 +38,6 @@ HOT_SHARE, HOT_LEAST = 0.25, 2000
 BROADCAST_SPANS = 1_000_000
 #: Words of 64 bits in the bit map of minimisers that two strings share (32 MB, broadcast).
 MAP_WORDS = 1 << 22
-STRINGS = "bucket long, doc_id long, pos long, packed binary"
 
 
 class Order(dict):
@@ -68,7 +69,11 @@ def runs(words: list[bytes], bounds: np.ndarray, order: Order, width: int) -> tu
 
 
 def super_kmers(docs: DataFrame, width: int, mode: str, hot: frozenset[int] = frozenset(), shared=None) -> DataFrame:
-    """mode count: minimisers with their numbers of strings; strings: those of the others than hot; windows: the windows of hot ones."""
+    """mode count: minimisers with their numbers of strings; strings: those of the others than hot; windows: the windows of hot ones.
+
+    Columns of docs other than the text travel with each string.
+    """
+    ids = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, hots = Order(), np.array(sorted(hot), dtype=np.int64)
@@ -88,9 +93,9 @@ def super_kmers(docs: DataFrame, width: int, mode: str, hot: frozenset[int] = fr
                 at = np.repeat(starts - np.r_[0, np.cumsum(sizes)][:-1], sizes) + np.arange(sizes.sum())
                 low, owner, starts, sizes = np.repeat(low, sizes), np.repeat(owner, sizes), at, np.ones(len(at), dtype=np.int64)
             packed = [b" ".join(words[s:e]) for s, e in zip(starts.tolist(), (starts + sizes + width - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(low), part.column("doc_id").take(pa.array(owner)), pa.array(starts - bounds[owner]), pa.array(packed, pa.binary())], ["bucket", "doc_id", "pos", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(low), *[part.column(c).take(pa.array(owner)) for c in ids], pa.array(starts - bounds[owner]), pa.array(packed, pa.binary())], ["bucket", *ids, "pos", "packed"])
 
-    return docs.mapInArrow(run, "bucket long, n int" if mode == "count" else STRINGS)
+    return docs.mapInArrow(run, "bucket long, n int" if mode == "count" else "bucket long, " + "".join(f"{c} long, " for c in ids) + "pos long, packed binary")
 
 
 def bit_of(keys: np.ndarray) -> np.ndarray:
@@ -112,7 +117,7 @@ def bit_map(keys: DataFrame) -> bytes:
 
 
 def marked(doc: np.ndarray, pos: np.ndarray, packed: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, begin, end) of the words of windows that also start in a smaller document, within whole buckets."""
+    """Spans (string, begin, end) of the words of windows that also start in a smaller document, within whole buckets."""
     words, bounds = split_words(packed)
     ids, sizes = word_ids(words), np.diff(bounds) - width + 1
     row = np.repeat(np.arange(len(packed)), sizes)
@@ -143,12 +148,13 @@ def marked(doc: np.ndarray, pos: np.ndarray, packed: list[bytes], width: int) ->
     first = np.r_[True, (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])]
     last = np.r_[first[1:], True]
     begin = pos[row[hit[first]]] + offset[hit[first]]
-    return doc[row[hit[first]]], begin, begin + (hit[last] - hit[first]) + width
+    return row[hit[first]], begin, begin + (hit[last] - hit[first]) + width
 
 
 def spans(docs: DataFrame, width: int = 13) -> DataFrame:
-    """(doc_id, begin, end): word spans to remove; they may touch and overlap."""
-    n = partitions(docs)
+    """(own, begin, end): word spans to remove; they may touch and overlap. docs: doc_id, text, and own where it isn't doc_id."""
+    docs, n = docs.where("doc_id is not null"), partitions(docs)
+    own = "own" if "own" in docs.columns else "doc_id"
     counts = super_kmers(docs, width, "count").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(counts.where("n > 1").select("bucket")))
@@ -163,9 +169,9 @@ def spans(docs: DataFrame, width: int = 13) -> DataFrame:
         def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if parts:
                 t = pa.Table.from_batches(parts)
-                got = marked(t["doc_id"].to_numpy(), t["pos"].to_numpy(), t["packed"].to_pylist(), width)
-                if len(got[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["doc_id", "begin", "end"])
+                row, begin, end = marked(t["doc_id"].to_numpy(), t["pos"].to_numpy(), t["packed"].to_pylist(), width)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t[own].to_numpy()[row], begin, end)], ["own", "begin", "end"])
 
         for whole in batches:
             for k in range(0, whole.num_rows, 4000):
@@ -184,26 +190,26 @@ def spans(docs: DataFrame, width: int = 13) -> DataFrame:
         yield from out(held)
 
     strings = super_kmers(docs, width, "strings", hot, shared).repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = strings.mapInArrow(run, "doc_id long, begin long, end long")
+    found = strings.mapInArrow(run, "own long, begin long, end long")
     if hot:
-        windows = cut(super_kmers(docs, width, "windows", hot).select("doc_id", "pos", "packed"))
+        windows = cut(super_kmers(docs, width, "windows", hot).drop("bucket"))
         least = windows.groupBy("packed").agg(F.min("doc_id").alias("least"))
-        more = windows.join(least, "packed").where("doc_id > least").select("doc_id", F.col("pos").alias("begin"), (F.col("pos") + width).alias("end"))
+        more = windows.join(least, "packed").where("doc_id > least").select(F.col(own).alias("own"), F.col("pos").alias("begin"), (F.col("pos") + width).alias("end"))
         found = found.unionByName(more)
     return found
 
 
 def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every document."""
+    """doc_id, n_words, n_removed and kept of every row of docs (own, doc_id, text) without the spans found (own, begin, end)."""
     # touching and overlapping spans of a document are one
-    w = W.partitionBy("doc_id").orderBy("begin", "end")
+    w = W.partitionBy("own").orderBy("begin", "end")
     fresh = found.withColumn("fresh", F.coalesce(F.col("begin") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     island = fresh.withColumn("island", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    found = cut(island.groupBy("doc_id", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")))
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts")).withColumnRenamed("doc_id", "cut_id")
+    found = cut(island.groupBy("own", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")))
+    by_doc = found.groupBy(F.col("own").alias("cut_own")).agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
     if found.count() <= BROADCAST_SPANS:
         by_doc = F.broadcast(by_doc)
-    joined = docs.join(by_doc, F.col("doc_id") == F.col("cut_id"), "left").select("doc_id", "text", F.col("cuts.begin").alias("begins"), F.col("cuts.end").alias("ends"))
+    joined = docs.join(by_doc, F.col("own") == F.col("cut_own"), "left").select("doc_id", "text", F.col("cuts.begin").alias("begins"), F.col("cuts.end").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches):
@@ -223,5 +229,9 @@ def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, width: int = 13, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row."""
     cols = text_of(docs, id_column, text_column)
+    if distinct_ids(cols):
+        return remove_spans(cols.withColumn("own", F.col("doc_id")), spans(cols, width))
+    cols = numbered(cols, distinct=False)
     return remove_spans(cols, spans(cols, width))

@@ -212,6 +212,31 @@ def test_short_lines(spark):
     assert got == {0: "and ornd.\nkept one", 1: "\n \n好的。", 2: "x\n\nand orne."}
 
 
+def test_substrings_of_repeated_and_null_ids(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pool = [f"w{k}" for k in range(30)] + ["longest"]
+    passages = [list(rng.choice(pool, 20)) for _ in range(6)]
+    pick = lambda: " ".join(list(rng.choice(pool, 8)) + passages[rng.integers(6)] + list(rng.choice(pool, 8)) + passages[rng.integers(6)])
+    rows = [(int(i), pick()) for i in rng.integers(0, 12, 30)] + [(None, pick()), (None, None), (3, None)]
+    rows += [rows[0], rows[5], (None, rows[30][1])]
+    first: dict = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 12 if i is not None else 0):
+            first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
+    want = []
+    for i, t in rows:
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 12 if i is not None else 0) if first[tuple(w[k : k + 13])] < i for j in range(13)}
+        want.append((i is None, i or 0, len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, own string")
+    read = lambda: sorted((r.doc_id is None, r.doc_id or 0, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(docs).collect())
+    assert read() == sorted(want) and sum(n for _, _, n, _ in want) > 100
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 0)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.001)
+    assert read() == sorted(want)
+
+
 def brute_lines(rows):
     """Lines that stay, by row: equal normalised lines and those of 9-character shingle similarity 0.8 or more are one, the first stays."""
     order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0))

@@ -34,6 +34,8 @@ from quillspark.llm.common import MEMO_WORDS, cut, distinct_ids, mix, numbered,
 
 #: A minimiser is hot above this share of a partition's packed strings, or this many if that is more.
 HOT_SHARE, HOT_LEAST = 0.25, 2000
+#: Packed strings that one task sorts (about 100 bytes each); there are as many tasks as that takes.
+STRINGS_PER_TASK = 500_000
 #: Spans that may be broadcast to the documents (24 bytes each); more are shuffled.
 BROADCAST_SPANS = 1_000_000
 #: Words of 64 bits in the bit map of minimisers that two strings share (32 MB, broadcast).
@@ -153,12 +155,14 @@ def marked(doc: np.ndarray, pos: np.ndarray, packed: list[bytes], width: int) ->
 
 def spans(docs: DataFrame, width: int = 13) -> DataFrame:
     """(own, begin, end): word spans to remove; they may touch and overlap. docs: doc_id, text, and own where it isn't doc_id."""
-    docs, n = docs.where("doc_id is not null"), partitions(docs)
+    docs = docs.where("doc_id is not null")
     own = "own" if "own" in docs.columns else "doc_id"
     counts = super_kmers(docs, width, "count").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(counts.where("n > 1").select("bucket")))
-    limit = max(HOT_LEAST, HOT_SHARE * (counts.agg(F.sum("n")).first()[0] or 0) / n)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    n = max(partitions(docs), -(-total // STRINGS_PER_TASK))
+    limit = max(HOT_LEAST, HOT_SHARE * total / n)
     # at most n / HOT_SHARE minimisers can be above the limit
     hot = frozenset(r.bucket for r in counts.where(F.col("n") > limit).select("bucket").collect())
 

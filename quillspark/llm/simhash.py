@@ -10,7 +10,9 @@ No link is lost. A bucket emits a spanning forest of its verified links, not all
 exact copies are one fingerprint, so a group of copies makes one row.
 
 Cases: a null or empty text has fingerprint zero and links like any other; fewer words than a
-shingle are one shingle; an empty table gives no rows; extra columns are ignored.
+shingle are one shingle; an empty table gives no rows; extra columns are ignored. Rows of one
+id are fingerprinted each; a row of a null id is linked too, and a component is named by its
+least id that isn't null (null if all are).
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.llm.common import Forest, cut, partitions, steps, text_of
 from quillspark.llm.components import components
 
-#: Pairs verified at once within a bucket.
-BLOCK = 1 << 22
+#: Pairs verified at once within a bucket, and members from which a bucket is cut further.
+BLOCK, LARGE = 1 << 22, 2048
+#: Variants that one task sorts (16 bytes each); there are as many tasks as that takes.
+VARIANTS_PER_TASK = 2_000_000
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -68,6 +72,22 @@ def masks(radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(most + 1) for bits in combinations(range(32), r)]
 
 
+def near_groups(fps: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+    """Groups of places such that any two fingerprints at most `radius` bits apart meet in one.
+
+    Few are one group; of many, two that near agree on one of radius + 1 ranges of bits.
+    """
+    if len(fps) <= LARGE:
+        yield np.arange(len(fps))
+        return
+    cuts = np.linspace(0, 64, radius + 2).astype(int).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        part = (fps.view(np.uint64) >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
+        order = np.argsort(part, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+        yield from (own for own in np.split(order, starts[1:]) if len(own) > 1)
+
+
 def verified(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within buckets of equal keys."""
     order = np.argsort(keys, kind="stable")
@@ -86,14 +106,15 @@ def verified(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
                     us.append(a[ok]), vs.append(b[ok])
             continue
         for s in at.tolist():
-            own = np.unique(fps[s : s + size])
-            forest, rows = Forest(), max(1, BLOCK // len(own))
-            for k in range(0, len(own), rows):
-                i, j = np.nonzero(near(own[k : k + rows, None], own[None, :]))
-                i += k
-                i, j = i[i > j], j[i > j]
-                links = [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.union(x, y)]
-                us.append(own[[x for x, _ in links]]), vs.append(own[[y for _, y in links]])
+            own, forest = np.unique(fps[s : s + size]), Forest()
+            for at in near_groups(own, radius):
+                rows = max(1, BLOCK // len(at))
+                for k in range(0, len(at), rows):
+                    i, j = np.nonzero(near(own[at[k : k + rows], None], own[None, at]))
+                    i, j = at[i + k], at[j]
+                    i, j = i[i > j], j[i > j]
+                    links = [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.union(x, y)]
+                    us.append(own[[x for x, _ in links]]), vs.append(own[[y for _, y in links]])
     none = np.zeros(0, dtype=np.int64)
     u, v = np.concatenate([none, *us]), np.concatenate([none, *vs])
     pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
@@ -103,6 +124,7 @@ def verified(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """(u, v): links between distinct fingerprints fp, enough to connect all that are linked."""
+    tasks = max(partitions(distinct), -(-distinct.count() * 2 * len(masks(radius)) // VARIANTS_PER_TASK))
     flips = F.array(*[F.lit(m).cast("long") for m in masks(radius)])
     halves = F.array(F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32)))
     variants = distinct.select("fp", F.explode(F.flatten(F.transform(halves, lambda h: F.transform(flips, lambda m: h.bitwiseXOR(m))))).alias("key"))
@@ -113,14 +135,11 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
             u, v = verified(*(np.concatenate(x) for x in zip(*parts, strict=True)), radius)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return variants.repartition(partitions(distinct), "key").mapInArrow(run, "u long, v long")
+    return variants.repartition(tasks, "key").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) of every row.
-
-    Rows of one doc_id are one document each; ids should be distinct.
-    """
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) of every row."""
     fps = cut(fingerprints(docs, width, id_column, text_column))
     firsts = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(firsts.select("fp"), radius))

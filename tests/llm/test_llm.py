@@ -100,7 +100,15 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_simhash_links_lose_none():
+def test_simhash_of_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(7, BASE, 1), (None, BASE, 2), (7, "x y z", 3), (9, BASE, 4), (None, "alone", 5)], "doc_id long, text string, fp int")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 7), (7, 7), (7, 7), (9, 7)]
+
+
+@pytest.mark.parametrize("large", [2048, 4])
+def test_simhash_links_lose_none(large, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", large)
     rng = np.random.default_rng(2)
     fps = np.unique(np.concatenate([b ^ np.bitwise_or.reduce(np.left_shift(np.int64(1), rng.integers(0, 63, (30, 3))), axis=1) for b in rng.integers(0, 1 << 62, 20)]))
     keys = np.concatenate([(fps & 0xFFFFFFFF) ^ m for m in simhash.masks(4)] + [((fps >> 32) & 0xFFFFFFFF | 1 << 32) ^ m for m in simhash.masks(4)])

@@ -3,13 +3,17 @@
 The lexicon (words and word beginnings with their evidence) is learned from a bounded sample
 of labelled documents. A term that is in neither form is run as a Levenshtein automaton of
 one edit through the trie of lexicon words, which catches misspellings; disguised spellings
-(digits for letters, separators, drawn-out letters) are undone first. Each hit gets a score
-from its context window: other hits near it add, quotation marks around it or a reporting
-word before it take away. A small logistic model on these scores, fitted on the same sample,
-gives the document's score.
+(digits for letters, separators, drawn-out letters) are undone first. A spelling near a
+lexicon word that the sample shows to be no more toxic than any word is not taken for one.
+Each hit gets a score from its context window: other hits near it add; quotation marks that
+open before it and close after it, both within the window, or a reporting word before it take
+away. A small logistic model on these scores, fitted on the same sample, gives the document's
+score.
 
 Cases: a null or empty text has no hits; without toxic labels every score is the base rate;
-an empty table gives no rows. Labels, language, source and id are never inputs of a score.
+an empty table gives no rows; rows of repeated and null ids are scored each (of a null id held_out
+is null). Labels, language, source and id are never inputs of a
+score, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ from quillspark.llm.common import MEMO_WORDS, cut, steps, text_of
 
 #: Labelled documents that the lexicon and the model are fitted on, at most (those of least hash).
 MAX_LABELLED = 20_000
-#: Lexicon terms, at most (those of most evidence).
-MAX_TERMS = 2_000
 PREFIXES = (4, 5, 6, 7)
+#: Letters that a word near a lexicon word must have, as must that; among shorter ones a neighbour is mostly another word.
+LEAST_LETTERS = 4
 #: States of the automaton that a worker holds before it starts anew, and words of its memo.
 MAX_STATES, MEMO_RAW = 100_000, 1_000_000
 #: Words on each side of a hit that are its context.
@@ -39,9 +43,13 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 DRAWN = re.compile(r"(.)\1{2,}")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 INNER = re.compile(r"[\W\d_]+")
-QUOTES = re.compile("[\"“”„«»]".encode())
-#: Words that report another's words.
-REPORTS = frozenset("said says wrote writes called calls quoted quote told tells reported stated word words term".split())
+#: Quotation marks at the edges of a word (UTF-8), and words that report another's words, by language.
+QUOTES = [q.encode() for q in "\"“”„«»"]
+REPORTS = frozenset(
+    "said says wrote writes called calls quoted quote told tells reported stated word words term "
+    "dit disait écrit appelle cité mot mots terme sagte sagt schrieb nannte zitiert wort wörter begriff "
+    "dijo dice escribió llamó citó palabra palabras término".split()
+)
 
 
 NO_HIT = (0, 0.0, "")
@@ -131,7 +139,7 @@ class Lexicon(dict):
     def __init__(self, words: dict[str, float], starts: dict[str, float], banned: frozenset[str] = frozenset()) -> None:
         super().__init__()
         self.words, self.starts, self.banned = words, starts, banned
-        self.trie = Trie([w for w in words if len(w) >= 5], words.__getitem__)
+        self.trie = Trie([w for w in words if len(w) >= LEAST_LETTERS], words.__getitem__)
         self.heads = {w[: PREFIXES[0]] for w in starts}
 
     def __missing__(self, raw: bytes) -> tuple[int, float, str]:
@@ -145,7 +153,7 @@ class Lexicon(dict):
             return 1, w, word
         if word[: PREFIXES[0]] in self.heads and (best := max(self.starts.get(word[:k], 0.0) for k in PREFIXES)):
             return 2, best, word
-        if len(word) >= 5 and word not in self.banned and (near := self.trie.near(word)):
+        if len(word) >= LEAST_LETTERS and word not in self.banned and (near := self.trie.near(word)):
             return 3, self.words[near], word
         return NO_HIT
 
@@ -156,18 +164,27 @@ def lexicon_of(words: tuple[tuple[str, float], ...], starts: tuple[tuple[str, fl
     return Lexicon(dict(words), dict(starts), banned)
 
 
+def within_quotes(words: list[bytes], at: int) -> bool:
+    """Whether the mark nearest before the word's end opens and the one nearest after its begin closes, both within its window."""
+    opens = lambda w: w.startswith(tuple(QUOTES))
+    before = next((k for k in range(at, max(-1, at - CONTEXT - 1), -1) if opens(words[k]) or k < at and closes(words[k])), None)
+    if before is None or before < at and closes(words[before]):
+        return False
+    after = next((k for k in range(at, min(len(words), at + CONTEXT + 1)) if closes(words[k]) or k > at and opens(words[k])), None)
+    return after is not None and not (after > at and opens(words[after]))
+
+
+def closes(word: bytes) -> bool:
+    return word.rstrip(b".,;:!?)").endswith(tuple(QUOTES))
+
+
 def hits(words: list[bytes], lexicon: Lexicon) -> list[tuple[int, int, float, str, bool]]:
     """(place, kind, weight, term, quoted) of each hit."""
-    found = [(i, *h) for i, h in enumerate(map(lexicon.__getitem__, words)) if h[0]]
-    if not found:
-        return []
-    out, at, inside = [], 0, 0
-    for i, kind, weight, term in found:
-        inside += sum(len(QUOTES.findall(w)) for w in words[at:i])
-        at = i
-        before = inside + (1 if QUOTES.match(words[i]) else 0)
-        told = any(plain(w) in REPORTS for w in words[max(0, i - 4) : i])
-        out.append((i, kind, weight, term, bool(before % 2 or told)))
+    out = []
+    for i, (kind, weight, term) in enumerate(map(lexicon.__getitem__, words)):
+        if kind:
+            told = any(plain(w) in REPORTS for w in words[max(0, i - 4) : i])
+            out.append((i, kind, weight, term, told or within_quotes(words, i)))
     return out
 
 
@@ -195,9 +212,12 @@ class Terms(dict):
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """text and toxic of at most `most` labelled training documents; the label side is bounded by `most` rows."""
+    """text and toxic of at most `most` labelled training documents; the label side is bounded by `most` rows.
+
+    Of labels of one document the highest counts.
+    """
     train = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and crc32(cast(label_id as string)) % 5 != 0")
-    train = train.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+    train = train.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     return docs.join(F.broadcast(train), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
 
 
@@ -219,23 +239,18 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float],
         return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([s.get(t, 0) for t in terms], pa.int64()) for s in reversed(seen)]], ["term", "toxic", "clean"])
 
     counts = train.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # few terms are as one-sided as this; the two totals come along
-    rows = counts.where("term = '' or toxic >= 4 and toxic >= 2 * clean").orderBy(F.expr("term = ''").desc(), F.desc("toxic"), "term").limit(20 * MAX_TERMS).collect()
-    n1, n0 = next(((r.toxic, r.clean) for r in rows if r.term == ""), (0, 0))
+    counts = cut(counts)
+    base = counts.where("term = ''").first()
+    n1, n0 = (base.toxic, base.clean) if base else (0, 0)
     if not n1 or not n0:
         return {}, {}, n1, n0
-    share, found = n1 / (n1 + n0), []
+    share = n1 / (n1 + n0)
     least = 2 * math.log(max(2, 400 * (n1 + n0))) + 2
-    for r in rows:
-        n = r.toxic + r.clean
-        if r.term and r.toxic / n > 3 * share:
-            g = 2 * (r.toxic * math.log(r.toxic / (n * share)) + (r.clean * math.log(r.clean / (n * (1 - share))) if r.clean else 0.0))
-            if g >= least:
-                found.append((g, r.toxic, r.term, math.log((r.toxic + 0.5) / (r.clean + 0.5)) - math.log(share / (1 - share))))
-    found = sorted(found, reverse=True)[:MAX_TERMS]
-    starts, often = {t[1:]: w for *_, t, w in found if t[0] == "^"}, {t[1:]: n for _, n, t, _ in found if t[0] == "^"}
-    # a word that is one of many with the same beginning is found by that; only words of their own can be misspelt
-    words = {t[1:]: w for _, n, t, w in found if t[0] == "=" and not any(often.get(t[1 : k + 1], 0) > 2 * n for k in PREFIXES)}
+    g = F.expr(f"2 * (toxic * ln(toxic / ((toxic + clean) * {share!r}d)) + if(clean > 0, clean * ln(clean / ((toxic + clean) * {1 - share!r}d)), 0d))")
+    # significant terms of a bounded sample are few, and all of them are the lexicon
+    found = counts.where(f"term != '' and toxic >= 4 and toxic > {3 * share!r}d * (toxic + clean)").where(g >= least).collect()
+    weigh = lambda r: math.log((r.toxic + 0.5) / (r.clean + 0.5)) - math.log(share / (1 - share))
+    words, starts = ({r.term[1:]: weigh(r) for r in sorted(found) if r.term[0] == mark} for mark in "=^")
     return words, starts, n1, n0
 
 
@@ -253,28 +268,43 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def near_misses(train: DataFrame, terms: tuple) -> frozenset[str]:
+    """Spellings near a lexicon word that the sample shows in clean documents as often as chance would."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, seen = lexicon_of(*terms, frozenset()), (Counter(), Counter())
+        for part, texts in steps(batches):
+            for t, toxic in zip(texts, part.column("toxic").to_pylist(), strict=True):
+                near = {h[2] for h in map(lexicon.__getitem__, set(t.split())) if h[0] == 3}
+                seen[1 if toxic else 0].update(near | {""})
+        words = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([s.get(w, 0) for w in words], pa.int64()) for s in reversed(seen)]], ["word", "toxic", "clean"])
+
+    rows = train.select("text", "toxic").mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
+    n1, n0 = next(((r.toxic, r.clean) for r in rows if not r.word), (0, 0))
+    return frozenset(r.word for r in rows if r.word and r.clean and (r.toxic + 0.5) * (n0 + 1) <= 3 * (r.clean + 0.5) * (n1 + 1))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted, n_hits of every document; scoring is one pass without a shuffle."""
+    """doc_id, held_out, score, predicted, n_hits and n_near (hits by a misspelling) of every row; scoring is one pass without a shuffle."""
     docs = text_of(docs, id_column, text_column)
     train = cut(sample(docs, labels, max_labelled))
     words, starts, n1, n0 = learn_lexicon(train)
-    terms = tuple(words.items()), tuple(starts.items())
+    terms, banned = (tuple(words.items()), tuple(starts.items())), frozenset()
+    n_features = len(features([], 0))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = lexicon_of(*terms, frozenset())
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = lexicon_of(*terms, banned)
         for part, texts in steps(batches):
-            rows = [(len(w := t.split()), hits(w, lexicon)) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([n for n, _ in rows], pa.int64()), *[pa.array([[h[k] for h in r] for _, r in rows], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_()))]], ["toxic", "n", "place", "kind", "weight", "term", "quoted"])
+            x = [features(hits(w, lexicon), len(w)) for t in texts for w in (t.split(),)]
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
-    banned: frozenset[str] = frozenset()
     if words or starts:
-        seen = train.select("text", "toxic").mapInArrow(find, "toxic int, n long, place array<long>, kind array<long>, weight array<double>, term array<string>, quoted array<boolean>").collect()
-        rows = [(r.toxic, r.n, list(zip(r.place, r.kind, r.weight, r.term, r.quoted, strict=True))) for r in seen]
-        banned = frozenset(h[3] for t, _, found in rows if not t for h in found if h[1] == 3)
-        x = np.array([features([h for h in found if h[1] != 3 or h[3] not in banned], n) for _, n, found in rows])
-        w = fit(x, np.array([float(t > 0) for t, _, _ in rows]))
+        banned = near_misses(train, terms)
+        rows = train.select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").collect()  # at most max_labelled rows of a few numbers
+        w = fit(np.array([r.x for r in rows]), np.array([float(r.toxic > 0) for r in rows]))
     else:
-        w = np.r_[math.log((n1 + 0.5) / (n0 + 0.5)), np.zeros(7)]
+        w = np.r_[math.log((n1 + 0.5) / (n0 + 0.5)), np.zeros(n_features)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_of(*terms, banned)
@@ -282,7 +312,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
             found = [(hits(own := t.split(), lexicon), len(own)) for t in texts]
             z = np.array([features(*f) for f in found]) @ w[1:] + w[0]
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array([len(f) for f, _ in found], pa.int64())], ["doc_id", "score", "predicted", "n_hits"])
+            counts = [pa.array([sum(h[1] in kinds for h in f) for f, _ in found], pa.int64()) for kinds in ((1, 2, 3), (3,))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *counts], ["doc_id", "score", "predicted", "n_hits", "n_near"])
 
-    scored = docs.mapInArrow(score, "doc_id long, score double, predicted int, n_hits long")
-    return scored.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "score", "predicted", "n_hits")
+    scored = docs.mapInArrow(score, "doc_id long, score double, predicted int, n_hits long, n_near long")
+    return scored.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out"), "score", "predicted", "n_hits", "n_near")

@@ -347,6 +347,50 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.where("false"), labels).count() == 0 and toxicity.toxicity(docs, labels.where("false")).count() == len(rows)
 
 
+def test_quotes_pair_within_the_window():
+    words = lambda s: s.encode().split()
+    for text, at, quoted in [
+        ('he said "you grumplet" loudly', 3, True),
+        ('a "stray mark and then grumplet', 5, False),
+        ("grumplet «one» more", 0, False),
+        ('"one" grumplet "two"', 1, False),
+        ('"grumplet"', 0, True),
+        ('"grumplet,', 0, False),
+        ('"' + "x " * 20 + 'grumplet" y', 21, False),
+        ("“you silly grumplet!” he wrote", 2, True),
+    ]:
+        assert toxicity.within_quotes(words(text), at) == quoted, text
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """The model's hits by a plain search for words one edit apart, on the same lexicon."""
+    one_edit = lambda a, b: a == b or any(a[:i] + a[i + 1 :] == b or a[:i] == b[:i] and a[i + 1 :] == b[i + 1 :] and len(a) == len(b) for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+    lexicon = toxicity.Lexicon({"grumplet": 2.0, "snork": 1.0}, {"blab": 1.5})
+    rng = np.random.default_rng(7)
+    pool = ["grumplet", "grumplt", "gr\u00fcmplet", "gumplets", "snork", "snorc", "sn0rk", "blabber", "blab", "bla", "s-n-o-r-k", "snoooork", "plain", "words", "grum"]
+    for _ in range(200):
+        text = [str(x) for x in rng.choice(pool, 12)]
+        got = [h[:3] for h in toxicity.hits([w.encode() for w in text], lexicon)]
+        want = []
+        for i, w in enumerate(text):
+            p = toxicity.plain(w.encode())
+            if p in lexicon.words:
+                want.append((i, 1, lexicon.words[p]))
+            elif any(p[:k] in lexicon.starts for k in toxicity.PREFIXES):
+                want.append((i, 2, 1.5))
+            elif near := [t for t in lexicon.words if one_edit(p, t)]:
+                want.append((i, 3, max(lexicon.words[t] for t in near)))
+        assert got == want, text
+
+
+def test_toxicity_of_repeated_and_null_ids(spark):
+    rows = [(i % 50, f"word{i % 7} and grumplet" if i % 2 else f"word{i % 7} and more", i % 2) for i in range(100)] + [(None, "grumplet", 0), (None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(1, None), (1, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 102 and all(0 <= r.score <= 1 for r in got) and sum(r.doc_id is None for r in got) == 2
+
+
 def test_automaton():
     trie = toxicity.Trie(["idiot", "stupid"])
     for w, hit in {"idoit": None, "idiott": "idiot", "idit": "idiot", "ideot": "idiot", "stupid": "stupid", "xdiot": "idiot", "stpuid": None, "other": None}.items():

@@ -12,7 +12,9 @@ or whose class, id or role says menu, header, footer, sidebar, notice, advert, f
 style or comments are never content.
 
 Cases: a null or empty page, and a page without text, give an empty text; unclosed and
-misnested tags are closed by their parents; text outside any element is a path of its own.
+misnested tags are closed by their parents; text outside any element is a path of its own;
+a tag that never ends is text; elements more than DEPTH deep are siblings, as in browsers; a page's
+time grows with its length. Each row has its result, also of a null or repeated id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.llm.common import steps
+
 #: Elements of HTML by their part.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg noembed noframes xmp".split())
@@ -37,11 +41,47 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 SEMANTIC = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCT = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+STOP = re.compile("[\"'>]")
+DEPTH = 512
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 GLUE = re.compile(r"[\s\xa0]+")
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(begin, end, tag, attributes, closing) of each piece of markup in turn; comments and declarations have no tag.
+
+    send() moves on to a place of the page. Where a quoted attribute never ends, quotes no
+    longer count from there on: so no piece is read more than twice.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            tag, attrs, closing = "", "", False
+        elif at > last:
+            return
+        elif page.startswith(("<!", "<?"), at):
+            end, tag, attrs, closing = page.find(">", at) + 1, "", "", False
+        elif m := NAME.match(page, at):
+            end = m.end()
+            while quotes and (stop := STOP.search(page, end)):
+                end = stop.end()
+                if stop[0] == ">" or not (end := page.find(stop[0], end) + 1):
+                    break
+            else:
+                end = 0
+            if not end:
+                quotes, end = False, page.find(">", m.end()) + 1
+            tag, attrs, closing = m[2].lower(), page[m.end() : end - 1], bool(m[1])
+        else:
+            at += 1
+            continue
+        moved = yield at, end, tag, attrs, closing
+        at = end if moved is None else moved
+
+
 def boilerplate(tag: str, attrs: str) -> bool:
     if tag in SKIP:
         return True
@@ -73,19 +113,19 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             flush()
         del stack[k:]
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
+    pieces, at, moved = markup(page), 0, None
+    while True:
+        try:
+            begin, end, tag, attrs, closing = pieces.send(moved)
+        except StopIteration:
             text.append(page[at:])
             break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        if begin > at:
+            text.append(page[at:begin])
+        at, moved = end, None
         if not tag:
             continue
-        if m[1]:
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     close(k)
@@ -105,13 +145,15 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             if tag in ("br", "hr"):
                 text.append(" ") if tag == "br" else flush()
             continue
-        skip = boilerplate(tag, m[3])
+        skip = boilerplate(tag, attrs)
         if tag not in INLINE or skip:
             flush()
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            m = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = moved = m.end() if m else len(page)
             continue
+        if len(stack) >= DEPTH:
+            close(DEPTH - 1)
         stack.append((tag, skip))
     flush()
     return out
@@ -162,11 +204,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                text = [content(h) if h else "" for h in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for part, pages in steps(batches, "html"):
+            text = [content(h.decode("utf-8", "replace")) for h in pages]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     cols = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return cols.mapInArrow(run, "page_id long, url string, text string, n_chars long")

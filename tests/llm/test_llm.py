@@ -1,6 +1,7 @@
 """Every operator against brute force or a round trip, on small tables with nulls, empty and repeated rows."""
 
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -155,6 +156,20 @@ def test_html(page, text):
     assert html_extract.content(page) == text
 
 
+@pytest.mark.parametrize("piece", ['<a "', "<a '\"", '<a ">"', "<div><b></i>", "<script", "<!--", "<!", "</p><p", "<article><b><div></b></b>", "<p class='", "<textarea>", '<a "x>', "<ul><li>x", "&amp", "<"])
+def test_html_takes_time_by_length(piece):
+    began = time.time()
+    html_extract.content(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 12, piece
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", "<p>a</p>", "z"), (1, None, None, "z"), (None, "u", "", None), (2, "u", "<article><p>" + "word, " * 500_000 + "</article>", "z")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 0), (1, 1), (2, 6 * 500_000 - 1)]
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 LONG = "Long text, with commas, and more of it here, so that it weighs something."
 
 

@@ -4,16 +4,18 @@ Pieces of documents are packed partition by partition by best-fit decreasing. Du
 functions give a lower bound on each partition's bins; a partition that meets its bound is
 certified and keeps its packing but for its emptiest bin. Partitions with a gap keep their
 full bins and hand the documents of the others to a pool; the pool is dealt anew to fewer
-partitions and packed again, until it is one certified partition or ROUNDS are over.
+partitions and packed again, until it is one partition or a round retires less than a tenth of it.
 
 Cases: a null or empty text is the one end token; a document longer than the capacity is cut
 into full pieces and one last shorter piece; an empty table gives no rows; equal lengths are
-packed in any order. Columns other than the id and the text are ignored.
+packed in any order; rows of repeated or null ids are packed each, as pieces of their own.
+Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -29,7 +31,6 @@ from quillspark.llm.token_counts import SPACE, RankMerger
 
 #: Pieces that one packing task holds (about 40 bytes each).
 PIECES_PER_TASK = 200_000
-ROUNDS = 6
 
 
 #: Fixed value: the word-level pattern of the vocabulary file's pre-tokenizer.
@@ -151,7 +152,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(room, dtype=np.int64)
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, per_task: int = PIECES_PER_TASK, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, per_task: int = PIECES_PER_TASK) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length at least): gapless sequences of at most `capacity`.
 
     Each round moves only pieces still in the pool, and a task holds about `per_task` of them.
@@ -159,7 +160,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_task: int = PIECES_PER_TAS
     columns = pieces.columns
     schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "pooled": F.lit(True)}).schema
 
-    def packer(turn: int, tasks: int):
+    def packer(turn: int, last: bool):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
@@ -169,7 +170,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_task: int = PIECES_PER_TAS
             lengths = own["length"].to_numpy(np.int64)
             bins, offsets, room = best_fit_decreasing(lengths, capacity)
             loose = np.zeros(len(room), dtype=bool)
-            if turn + 1 < rounds and tasks > 1:
+            if not last:
                 loose = room > 0 if len(room) > lower_bound(lengths, capacity) else (room == room.max()) & (room > 0) & (np.cumsum(room == room.max()) == 1)
             own["sequence_id"] = np.int64(turn << 56) + (np.int64(TaskContext.get().partitionId()) << 32) + bins
             own["offset"], own["pooled"] = offsets, loose[bins]
@@ -177,15 +178,17 @@ def pack(pieces: DataFrame, capacity: int = 4096, per_task: int = PIECES_PER_TAS
 
         return run
 
-    pool, done, turn = pieces, None, 0
+    pool, done, turn, before = pieces, None, 0, math.inf
     n = pool.count()
     while n:
         tasks = -(-n // per_task)
-        packed = cut(pool.repartition(tasks, "doc_id", "piece").mapInPandas(packer(turn, tasks), schema))
+        last = tasks == 1 or n > 0.9 * before
+        # dealt by all of a piece's columns, so that the pieces of one id, null or repeated, don't meet in one task
+        packed = cut(pool.repartition(tasks, *columns).mapInPandas(packer(turn, last), schema))
         kept = packed.where("not pooled").drop("pooled")
         done = kept if done is None else done.unionByName(kept)
-        pool = packed.where("pooled").select(*columns)
-        n, turn = (pool.count() if tasks > 1 else 0), turn + 1
+        pool, before = packed.where("pooled").select(*columns), n
+        n, turn = (0 if last else pool.count()), turn + 1
     return done if done is not None else pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
 
 

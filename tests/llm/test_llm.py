@@ -2,6 +2,7 @@
 
 import re
 import time
+import zlib
 from collections import Counter
 
 import duckdb
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -69,9 +71,21 @@ def test_packing(docs, empty):
             assert o == at
             at += n
         assert at <= 64
+    ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(TEXTS)}
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted((i, k // 64, k, len(x[k : k + 64]), zlib.crc32(np.array(x[k : k + 64], "<u4").tobytes())) for i, x in ids.items() for k in range(0, len(x), 64))
     assert packing.pack_documents(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_tokens_of_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, BASE, 3), (1, BASE, 4), (1, "x", 5), (None, None, 6), (None, "y", None)], "doc_id long, text string, length long")
+    rows = packing.pack_documents(docs, P.path("word_bpe_49k.json"), capacity=64).collect()
+    assert len(rows) == 5 and sum(r.doc_id is None for r in rows) == 2 and len({(r.sequence_id, r.offset) for r in rows}) == 5
+    got = token_counts.token_counts(docs, P.path("byte_bpe_50k.json")).collect()
+    assert len(got) == 5 and sorted(r.n_tokens for r in got if r.doc_id is None) == [0, 1]
+    got = quality.quality(docs.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "measure": F.lit(1)})).collect()
+    assert len(got) == 5 and sum(r.doc_id is None for r in got) == 2
+
+
 def test_packing_rounds(spark):
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 60, 400)
@@ -423,6 +437,62 @@ def test_oracles(spark, name):
     assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
 
 
-def test_pipeline(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert len(corpus_pipeline.STAGES) == 5 and out.count() > 0
+def held_items(text, items):
+    """Whether some part of the text is within a fifth of an item's words, by word edit distance."""
+    w = [decontaminate.plain(x.encode()) for x in words(text)]
+    for item in items:
+        x = [decontaminate.plain(v.encode()) for v in words(item)]
+        names = {v: k for k, v in enumerate(dict.fromkeys(x + w))}
+        most = int(0.2 * len(x) + 1e-9)
+        if x and decontaminate.edit_distance(np.array([names[v] for v in x]), np.array([names[v] for v in w], dtype=np.int64), most)[0] <= most:
+            return True
+    return False
+
+
+def test_pipeline_stages(spark):
+    """Each stage's rows from its own input, by the checking SQL or brute force."""
+    sf = "/root/testdata/sf0.001"
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf}/documents.parquet")
+    apply = lambda name, d: spark.createDataFrame(stages[name](spark, d, sf).collect(), d.schema)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    kept = {r[0] for r in con.execute(f"select doc_id from ({oracles.ORACLES['op10_quality']}) where kept").fetchall()}
+    a = apply("quality_rules", docs)
+    assert {tuple(r) for r in a.collect()} == {tuple(r) for r in docs.collect() if r.doc_id in kept}
+    b = apply("line_dedup", a)
+    rows = sorted((r.doc_id, r.text) for r in a.collect())
+    want, got = brute_lines(rows), {r.doc_id: r.text for r in b.collect()}
+    count = lambda texts: sum((t or "").count("\n") + 1 for t in texts)
+    assert len(got) == len(rows) and sum(got[i] != x for (i, _), x in zip(rows, want)) <= 0.01 * len(rows) and abs(count(got.values()) - count(want)) <= 0.01 * count(want)
+    c = apply("simhash_near_dedup", b)
+    fps, forest = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(b).collect()}, common.Forest()
+    for i, x in fps.items():
+        for j, y in fps.items():
+            if i < j and (x ^ y).bit_count() <= 4:
+                forest.union(i, j)
+    assert {tuple(r) for r in c.collect()} == {tuple(r) for r in b.collect() if forest.find(r.doc_id) == r.doc_id}
+    d = apply("benchmark_decontamination", c)
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert {tuple(r) for r in d.collect()} == {tuple(r) for r in c.collect() if not held_items(r.text, items)}
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    e = stages["best_fit_packing"](spark, d, sf).collect()
+    sizes = Counter()
+    for r in e:
+        sizes[r.doc_id] += r.length
+    assert sizes == {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in d.collect()}
+    assert sorted(tuple(r)[:5] for r in corpus_pipeline.run(spark, sf).collect()) == sorted(tuple(r)[:5] for r in e)
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, repeated rows and ids, long texts, clashing names, and no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    long = "one two three four five six seven eight nine ten, and so on. " * 40_000
+    rows = [(k % 6, t, None if k % 3 else "en", None if k % 2 else "s", k, f"x{k}", k, None, k) for k, t in enumerate([*TEXTS, *TEXTS, long, BASE * 3])]
+    rows += [(None, t, None, None, None, None, None, None, None) for t in (None, "", BASE, BASE)]
+    odd = spark.createDataFrame(rows, SCHEMA + ", own string, gone int, left_out string, t_lang int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (odd, odd.limit(0)):
+            out = stage(spark, docs, sf)
+            assert out.columns == odd.columns and out.count() <= docs.count(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, sf).select("sequence_id", "offset").distinct().count() >= len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), sf).count() == 0

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm import decontaminate, line_dedup, packing, quality, simhash
-from quillspark.llm.common import read, shared_folder, without
+from quillspark.llm.common import cut, read, remove_folder, shared_folder, without
 from quillspark.llm.queries import tokenizer
 
 
@@ -43,15 +43,17 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: The stages hash, embed and merge in ways that SQL can't express; tests hold them against brute force.
+#: The stages hash, embed and merge in ways that SQL can't express; tests hold each against brute force on its own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder and read again. At the end these tables go."""
     docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     name, stage = STAGES[-1]
-    return stage(spark, docs, sf_dir)
+    out = cut(stage(spark, docs, sf_dir))
+    remove_folder(spark, folder)
+    return out

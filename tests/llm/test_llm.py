@@ -494,5 +494,10 @@ def test_stages_on_odd_tables(spark):
         for docs in (odd, odd.limit(0)):
             out = stage(spark, docs, sf)
             assert out.columns == odd.columns and out.count() <= docs.count(), name
+            if name == "simhash_near_dedup" and out.count():
+                texts = [r.text for r in out.collect()]
+                assert len(texts) == len(set(texts)) and BASE in texts
+            if name == "quality_rules" and out.count():
+                assert {r.n_chars for r in out.collect()} == {r.doc_id for r in quality.quality(odd.where("n_chars is not null").withColumn("doc_id", F.col("n_chars"))).where("kept").collect()}
     assert corpus_pipeline.STAGES[-1][1](spark, odd, sf).select("sequence_id", "offset").distinct().count() >= len(rows)
     assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), sf).count() == 0

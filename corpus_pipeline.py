@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm import decontaminate, line_dedup, packing, quality, simhash
-from quillspark.llm.common import cut, read, remove_folder, shared_folder, without
+from quillspark.llm.common import cut, free_name, numbered, read, remove_folder, shared_folder, without
 from quillspark.llm.queries import tokenizer
 
 
+def without_rows(docs: DataFrame, rejected: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that `rejected` names, given docs with a number of each row's own (the id, if ids are distinct) as doc_id."""
+    own = free_name(docs, "own")
+    rows = numbered(docs, own)
+    return without(rows, rejected(rows.withColumn("doc_id", F.col(own))), own).drop(own)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return without(docs, quality.quality(docs).where("not kept").select("doc_id"))
+    return without_rows(docs, lambda d: quality.quality(d).where("not kept").select("doc_id"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +30,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates."""
-    return without(docs, simhash.near_duplicates(docs).where("doc_id != component_id").select("doc_id"))
+    """One document, that of the least id, of each group of near-duplicates; of rows alike one stays."""
+    return without_rows(docs, lambda d: simhash.near_duplicates(d).where("doc_id != component_id").select("doc_id"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id"))
+    return without_rows(docs, lambda d: decontaminate.contaminated(d, read(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,86 +1,224 @@
-"""Rule annotator: a text as a token table, in SQL that both engines run.
+"""Rule annotator: texts as arrays of tokens.
 
-Columns: work, i (token number), idx (character offset), tok, lower, lemma, pos, tag, tense,
-verbform, dep and head_pos (null: no parser), is_space, is_punct, is_alpha, like_num, sent_id
-and the word predicates w1 to w4 with running word numbers. A table of the same columns from
-any other annotator can take its place.
+A batch of works is one run of arrays, a row per token: what depends on a token's letters
+alone (lower case, lemma, classes) is worked out once per distinct token and worker and
+gathered by number; what depends on neighbours (sentences, part of speech after a sentence's
+begin, verb forms, shallow dependencies) is array arithmetic over the run. Nothing is
+shuffled, and a work is never split.
 """
 
 from __future__ import annotations
 
-from quillspark.plans.dialect import TOKEN, Spark, sql_list
-
-#: Irregular forms by lemma.
-IRREGULAR = {
-    "be": "am are be been being is was were", "have": "had has have having", "do": "did do does doing done", "get": "get gets getting got gotten",
-    "say": "said say says", "know": "knew know known knows", "think": "think thinks thought", "tell": "tell tells told", "go": "go goes going gone went",
-    "see": "saw see seen sees", "take": "take taken takes took", "die": "die died dies dying", "slay": "slay slays slew", "understand": "understand understands understood",
-    "forget": "forget forgets forgot forgotten", "forbid": "forbade forbid forbidden forbids", "i": "i", "this": "this", "his": "his", "us": "us", "as": "as", "its": "its", "yes": "yes",
-}
-PRONOUNS = "i me my mine myself we us our ours ourselves you your yours yourself he him his himself she her hers herself it its itself they them their theirs themselves who whom whose what".split()
-DETERMINERS = "a an the this that these those each every some any no which".split()
-ADPOSITIONS = "about above across after against along among around at before behind below by down during for from in into near of off on onto over through toward towards under until up upon with within without".split()
-SUBORDINATORS = "although because if lest since than though unless whereas whether while when where how why".split()
-MODALS = "can could may might must ought shall should will would".split()
-ADVERBS = "again already also always away even ever far here however just more most never nevertheless now often once only perhaps quite rather seldom so soon still then there therefore thus today together tomorrow too very well yesterday almost indeed instead meanwhile moreover somewhat about".split()
-VERBS = "acknowledge add admit advise announce answer appear argue ask assassinate believe claim command confess declare demand doubt enjoin estimate execute expect explain fear forbid forget get go hope imagine insist kill know look maintain mention murder murmur note order permit proclaim promise propose recommend recount remark remember reply say see seem shout slay state suggest suppose take tell think understand urge warn whisper yell".split()
-PARTICIPLES = "been done gone seen taken known gotten forgotten forbidden said told thought understood slain written given made found".split()
-
-
-def lemma(d: Spark) -> str:
-    forms = " ".join(f"when lower in {sql_list(v.split())} then '{k}'" for k, v in IRREGULAR.items())
-    verbs = sql_list(VERBS)
-    ed, ing = d.sub("lower", "(?:ed|ing)$"), d.sub("lower", "ies$", "y")
-    return f"""case {forms}
-        when {d.like("lower", "^..+(?:ed|ing)$")} and {ed} in {verbs} then {ed}
-        when {d.like("lower", "^..+(?:ed|ing)$")} and {ed} || 'e' in {verbs} then {ed} || 'e'
-        when {d.like("lower", "^..+ied$")} and {d.sub("lower", "ied$", "y")} in {verbs} then {d.sub("lower", "ied$", "y")}
-        when {d.like("lower", "^..+ies$")} then {ing}
-        when {d.like("lower", "(?:ch|sh|ss|x)es$")} then {d.sub("lower", "es$")}
-        when {d.like("lower", "[^su]s$")} and not {d.like("lower", "(?:is|’s|'s)$")} and length(lower) > 3 then {d.sub("lower", "s$")}
-        else lower end"""
-
-
-def pos(d: Spark) -> str:
-    return f"""case when is_space then 'SPACE' when tok in ('$', '+', '<', '=', '>', '^', '`', '|', '~') then 'SYM' when is_punct then 'PUNCT' when like_num then 'NUM'
-        when lemma = 'be' or lower in {sql_list(MODALS)} or lemma in ('have', 'do') then 'AUX'
-        when lower in ('to', 'not') or {d.like("lower", "n['’]t$")} then 'PART'
-        when lower in ('and', 'or', 'but', 'nor') then 'CCONJ'
-        when lower in {sql_list(PRONOUNS)} then 'PRON' when lower in {sql_list(DETERMINERS)} then 'DET'
-        when lower in {sql_list(ADVERBS)} or {d.like("lower", "^..+ly$")} then 'ADV'
-        when lower in {sql_list(SUBORDINATORS)} then 'SCONJ' when lower in {sql_list(ADPOSITIONS)} then 'ADP'
-        when lemma in {sql_list(VERBS)} then 'VERB'
-        when {d.like("lower", "(?:tion|sion|ment|ness|ity|ship|hood|ance|ence)$")} then 'NOUN'
-        when {d.like("lower", "^...+ed$")} then 'VERB'
-        when {d.like("lower", "(?:ous|ful|ive|able|ible|ish|less)$")} then 'ADJ'
-        when {d.like("tok", "^[A-Z]")} and not starts then 'PROPN' else 'NOUN' end"""
-
-
-def annotate(d: Spark, works: str) -> list[tuple[str, str]]:
-    """Common table expressions from `works` (work, text) to `tokens`."""
-    w = "partition by work order by i"
-    before = f"({w} rows between unbounded preceding and 1 preceding)"
-    return [
-        ("tok0", d.exploded("work", d.matches("coalesce(text, '')", TOKEN), works)),
-        (
-            "tok1",
-            f"select work, i, tok, lower(tok) as lower, coalesce(sum(length(tok)) over {before}, 0) as idx, {d.like('tok', r'^\s')} as is_space, {d.like('tok', r'^\p{L}+$')} as is_alpha, "
-            f"{d.like('tok', r'^\p{N}+$')} or lower(tok) in ('zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'hundred', 'thousand', 'million') as like_num, "
-            f"{d.like('tok', r'^[^\s\p{L}\p{N}]$')} and tok not in ('$', '+', '<', '=', '>', '^', '`', '|', '~') as is_punct from tok0",
-        ),
-        ("tok2", f"select *, coalesce(not is_space and not is_punct and max(case when tok in ('.', '!', '?', '…') then i end) over {before} > coalesce(max(case when not is_space and not is_punct then i end) over {before}, -1), false) or (not is_space and not is_punct and max(case when not is_space and not is_punct then i end) over {before} is null) as starts from tok1"),
-        ("tok3", f"select *, greatest(sum(case when starts then 1 else 0 end) over ({w} rows between unbounded preceding and current row), 1) as sent_id, {lemma(d)} as lemma from tok2"),
-        ("tok4", f"select *, {pos(d)} as pos from tok3"),
-        (
-            "tok5",
-            f"select *, case when pos not in ('VERB', 'AUX') then '' when lower in {sql_list(PARTICIPLES)} or {d.like('lower', '^..+(?:ed|ing)$')} and lemma <> lower then 'Part' "
-            f"when lower = lemma and lag(lower) over (partition by work, sent_id order by i) is not null and coalesce(lag(case when is_space then null else lower end) over ({w}), lag(lower, 2) over ({w})) in {sql_list([*MODALS, 'to'])} then 'Inf' else 'Fin' end as verbform, "
-            f"case when pos not in ('VERB', 'AUX') then '' when {d.like('lower', 'ed$')} or lower in ('was', 'were', 'had', 'did', 'said', 'went', 'saw', 'knew', 'thought', 'told', 'took') then 'Past' when {d.like('lower', 'ing$')} then 'Pres' when lower in {sql_list(PARTICIPLES)} then 'Past' else 'Pres' end as tense, "
-            f"cast('' as varchar(20)) as dep, cast('' as varchar(20)) as head_pos from tok4",
-        ),
-        (
-            "tok6",
-            f"select *, case when verbform = 'Part' and tense = 'Past' then 'VBN' else '' end as tag, not is_space and not is_punct as w1, not is_space and not is_punct and not like_num and pos <> 'SYM' and {d.like('tok', r'\p{L}')} as w2, is_alpha as w3, is_alpha and not like_num as w4 from tok5",
-        ),
-        ("tokens", "select *, " + ", ".join(f"sum(case when w{k} then 1 else 0 end) over ({w} rows between unbounded preceding and current row) - 1 as ix{k}" for k in (1, 2, 3, 4)) + " from tok6"),
-    ]
+import numpy as np
+import regex
+
+from quillspark.functions import lexicons as L
+
+#: Covers every character of a text: words, digit runs, white space, single other characters.
+TOKEN = regex.compile(r"\p{L}+(?:['’]\p{L}+)*|\p{N}+|[\t-\r ]+|[^\t-\r \p{L}\p{N}]")
+POS = ["SPACE", "SYM", "PUNCT", "NUM", "AUX", "PART", "CCONJ", "PRON", "DET", "ADV", "SCONJ", "ADP", "VERB", "NOUN", "ADJ", "PROPN"]
+P = {name: k for k, name in enumerate(POS)}
+#: Verb forms and tenses as numbers; 0 is none.
+PART, INF, FIN = 1, 2, 3
+PAST, PRES = 1, 2
+DEPS = ["", "neg", "amod", "acomp", "prep", "advmod", "conj"]
+D = {name: k for k, name in enumerate(DEPS)}
+#: Distinct tokens that a worker remembers before it starts anew.
+MEMO_TOKENS = 500_000
+
+LETTERS, DIGITS = regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+")
+ANY_LETTER, NOT_LETTERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]")
+VOWELS, ENDS_NOT = regex.compile("[aeiouy]+"), regex.compile("n['’]t$")
+FORM_OF = {form: lemma for lemma, forms in L.IRREGULAR.items() for form in forms.split()}
+VERBS = frozenset(L.VERBS)
+NOUN_ENDS, ADJECTIVE_ENDS = tuple(L.NOUN_ENDS), tuple(L.ADJECTIVE_ENDS)
+WORD_CLASSES = {w: P[c] for c, words in reversed([("AUX", L.MODALS), ("PART", ["to", "not"]), ("CCONJ", L.COORDINATORS), ("PRON", L.PRONOUNS), ("DET", L.DETERMINERS), ("ADV", L.ADVERBS)]) for w in words}
+LATER_CLASSES = {w: P[c] for c, words in reversed([("SCONJ", L.SUBORDINATORS), ("ADP", L.ADPOSITIONS)]) for w in words}
+
+
+def lemma_of(w: str) -> str:
+    if w in FORM_OF:
+        return FORM_OF[w]
+    stem = w[:-2] if w.endswith("ed") and len(w) >= 4 else w[:-3] if w.endswith("ing") and len(w) >= 5 else None
+    if stem is not None and stem in VERBS:
+        return stem
+    if stem is not None and stem + "e" in VERBS:
+        return stem + "e"
+    if w.endswith("ied") and len(w) >= 5 and w[:-3] + "y" in VERBS:
+        return w[:-3] + "y"
+    if w.endswith("ies") and len(w) >= 5:
+        return w[:-3] + "y"
+    if w.endswith(("ches", "shes", "sses", "xes")):
+        return w[:-2]
+    if len(w) > 3 and w[-1] == "s" and w[-2] not in "su" and not w.endswith(("is", "’s", "'s")):
+        return w[:-1]
+    return w
+
+
+def pos_of(tok: str, lower: str, lemma: str) -> int:
+    """Part of speech of a word that begins no sentence."""
+    if lemma == "be" or lower in L.MODALS or lemma in ("have", "do"):
+        return P["AUX"]
+    if ENDS_NOT.search(lower) or lower in ("to", "not"):
+        return P["PART"]
+    if lower in WORD_CLASSES:
+        return WORD_CLASSES[lower]
+    if lower.endswith("ly") and len(lower) >= 4:
+        return P["ADV"]
+    if lower in LATER_CLASSES:
+        return LATER_CLASSES[lower]
+    if lemma in VERBS:
+        return P["VERB"]
+    if lower.endswith(NOUN_ENDS):
+        return P["NOUN"]
+    if lower.endswith("ed") and len(lower) >= 5:
+        return P["VERB"]
+    if lower.endswith(ADJECTIVE_ENDS):
+        return P["ADJ"]
+    return P["PROPN"] if "A" <= tok[0] <= "Z" else P["NOUN"]
+
+
+def syllables(w: str) -> int:
+    if not ANY_LETTER.search(w):
+        return 0
+    n = len(VOWELS.findall(w))
+    silent = n > 1 and w.endswith("e") and not (w.endswith("le") and w[-3:-2] in tuple("aeiouy"))
+    return max(1, n - silent)
+
+
+class Words:
+    """A worker's memo of distinct tokens: a column for each thing that their letters alone decide."""
+
+    COLUMNS = ("lower", "lemma", "pos", "length", "space", "punct", "alpha", "num", "lettered", "end", "comma", "part", "base", "tense", "letters", "syllables", "ing", "not_end")
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.strings: dict[str, int] = {}
+        self.of = dict.fromkeys(self.COLUMNS, np.zeros(0, dtype=np.int32))
+
+    def string(self, s: str) -> int:
+        return self.strings.setdefault(s, len(self.strings))
+
+    def learn(self, new: list[str]) -> None:
+        rows = [self.describe(t) for t in new]
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        for name, column in zip(self.COLUMNS, zip(*rows, strict=True), strict=True):
+            self.of[name] = np.concatenate([self.of[name], np.array(column, dtype=np.int32)])
+
+    def describe(self, tok: str) -> tuple:
+        lower = tok.lower()
+        space, letters = tok[0] in "\t\n\x0b\x0c\r ", ANY_LETTER.search(tok) is not None
+        symbol = tok in L.SYMBOLS
+        digits = DIGITS.fullmatch(tok) is not None
+        punct = not (space or letters or digits or symbol)
+        num = digits or lower in L.NUMBER_WORDS
+        lemma = lemma_of(lower)
+        pos = P["SPACE"] if space else P["SYM"] if symbol else P["PUNCT"] if punct else P["NUM"] if num else pos_of(tok, lower, lemma)
+        changed = lemma != lower and (lower.endswith("ed") and len(lower) >= 4 or lower.endswith("ing") and len(lower) >= 5)
+        tense = PAST if lower.endswith("ed") or lower in L.PAST_FORMS else PRES if lower.endswith("ing") else PAST if lower in L.PARTICIPLES else PRES
+        return (
+            self.string(lower), self.string(lemma), pos, len(tok), space, punct, LETTERS.fullmatch(tok) is not None, num, letters, tok in (".", "!", "?", "…"), tok == ",",
+            lower in L.PARTICIPLES or changed, lemma == lower, tense, len(NOT_LETTERS.sub("", lower)), syllables(lower), lower.endswith("ing"), ENDS_NOT.search(lower) is not None,
+        )
+
+    def member(self, words) -> np.ndarray:
+        """By string: whether it is one of the words."""
+        out = np.zeros(len(self.strings), dtype=bool)
+        out[[self.strings[w] for w in words if w in self.strings]] = True
+        return out
+
+    def matching(self, test) -> np.ndarray:
+        return np.fromiter(map(test, self.strings), dtype=bool, count=len(self.strings))
+
+
+def shifted(x: np.ndarray, k: int, group: np.ndarray, fill=0) -> np.ndarray:
+    """x of the row k later (or -k earlier) in the same group of neighbouring rows, else fill."""
+    out = np.full(len(x), fill, dtype=x.dtype)
+    if 0 < k < len(x):
+        out[:-k] = np.where(group[:-k] == group[k:], x[k:], fill)
+    elif k < 0 and -k < len(x):
+        out[-k:] = np.where(group[-k:] == group[:k], x[:k], fill)
+    return out
+
+
+def since(flag: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Place of the last flagged row before each row, or one before its work's first if there is none."""
+    last = np.maximum.accumulate(np.where(flag, np.arange(len(flag)), -1)) if len(flag) else np.zeros(0, dtype=np.int64)
+    return np.maximum(np.r_[-1, last[:-1]] if len(flag) else last, start - 1)
+
+
+class Tokens:
+    """Works as token arrays: doc, tok columns, sent (a number of each sentence over all works), word numbers ix1 to ix4.
+
+    w1 to w4 are the four word definitions: neither space nor mark; of those with a letter and
+    no number; letters only; letters only and no number word.
+    """
+
+    def __init__(self, texts: list[str], words: Words) -> None:
+        if len(words.number) > MEMO_TOKENS:
+            words.__init__()
+        self.texts, self.words = texts, words
+        found = [TOKEN.findall(t) for t in texts]
+        flat = [t for own in found for t in own]
+        if new := list(dict.fromkeys(t for t in flat if t not in words.number)):
+            words.learn(new)
+        sizes = np.array([len(own) for own in found], dtype=np.int64)
+        at = np.fromiter(map(words.number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self.flat, self.n = flat, len(flat)
+        self.doc = np.repeat(np.arange(len(texts)), sizes)
+        self.first = np.cumsum(sizes) - sizes
+        of = {name: column[at] for name, column in words.of.items()}
+        self.lower, self.lemma, self.length = of["lower"], of["lemma"], of["length"]
+        self.space, self.punct, self.num, self.ing, self.comma, self.not_end = (of[k].astype(bool) for k in ("space", "punct", "num", "ing", "comma", "not_end"))
+        self.letters, self.syllables = of["letters"], of["syllables"]
+        alpha, lettered = of["alpha"].astype(bool), of["lettered"].astype(bool)
+        start = self.first[self.doc]
+        ends = np.cumsum(self.length)
+        self.idx = ends - self.length - np.r_[0, ends][start]
+        word = ~self.space & ~self.punct
+        last_word = since(word, start)
+        starts = word & ((since(of["end"].astype(bool), start) > last_word) | (last_word < start))
+        number = np.cumsum(starts)
+        number = np.maximum(number - np.r_[0, number][start], 1)
+        self.sent = np.cumsum(np.r_[True, (number[1:] != number[:-1]) | (self.doc[1:] != self.doc[:-1])][: self.n]) - 1
+        self.pos = np.where(starts & (of["pos"] == P["PROPN"]), P["NOUN"], of["pos"])
+        self.verb = (self.pos == P["VERB"]) | (self.pos == P["AUX"])
+        # infinitives follow a modal or "to" within the sentence
+        led = words.member([*L.MODALS, "to"])[self.lower]
+        before, before2 = shifted(led & ~self.space, -1, self.doc, False), shifted(led, -2, self.doc, False)
+        led = np.where(shifted(self.space, -1, self.doc, True), before2, before) & shifted(np.ones(self.n, dtype=bool), -1, self.sent, False)
+        form = np.where(of["part"], PART, np.where(of["base"].astype(bool) & led, INF, FIN))
+        self.form, self.tense = np.where(self.verb, form, 0), np.where(self.verb, of["tense"], 0)
+        self.w = {1: word, 2: word & ~self.num & (self.pos != P["SYM"]) & lettered, 3: alpha, 4: alpha & ~self.num}
+        self.ix = {k: np.cumsum(w) - np.r_[0, np.cumsum(w)][start] - 1 for k, w in self.w.items()}
+        self.seen = np.flatnonzero(~self.space)
+        self.depend()
+
+    def has(self, words) -> np.ndarray:
+        """Whether the lemma is one of the words; has_lower: the lower-case form."""
+        return self.words.member(words)[self.lemma]
+
+    def has_lower(self, words) -> np.ndarray:
+        return self.words.member(words)[self.lower]
+
+    def nearby(self, x: np.ndarray, k: int, fill=0) -> np.ndarray:
+        """x of the token k later in the sentence, spaces left out; for tokens that aren't spaces."""
+        out = np.full(self.n, fill, dtype=x.dtype)
+        out[self.seen] = shifted(x[self.seen], k, self.sent[self.seen], fill)
+        return out
+
+    def depend(self) -> None:
+        """Shallow dependencies from neighbours: relation and the head's part of speech (-1: none)."""
+        after, before, before2 = self.nearby(self.pos, 1, -1), self.nearby(self.pos, -1, -1), self.nearby(self.pos, -2, -1)
+        be = self.nearby(self.has(["be"]), -1, False)
+        isin = lambda x, *names: np.isin(x, [P[n] for n in names])
+        tests = {
+            "neg": self.has_lower(["not"]) | self.not_end,
+            "amod": isin(self.pos, "ADJ") & isin(after, "NOUN", "PROPN"),
+            "acomp": isin(self.pos, "ADJ") & be,
+            "prep": isin(self.pos, "ADP") & isin(after, "DET", "ADJ", "NOUN", "PROPN", "PRON", "NUM"),
+            "advmod": isin(self.pos, "ADV") & isin(after, "ADJ", "ADV", "VERB"),
+            "conj": isin(self.pos, "ADJ", "ADV", "NOUN", "VERB") & isin(before, "CCONJ") & (before2 == self.pos),
+        }
+        self.dep = np.where(self.space, 0, np.select(list(tests.values()), [D[k] for k in tests], 0))
+        self.head_pos = np.select([(self.dep == D["amod"]) | (self.dep == D["advmod"]), self.dep == D["conj"], self.dep == D["acomp"], self.dep == D["prep"]], [after, before2, before, before], -1)

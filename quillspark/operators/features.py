@@ -1,198 +1,359 @@
-"""Stylometric features over the token table: rates per 100 words in 100-word chunks.
+"""Stylometric features of works: rates per 100 words in 100-word chunks.
 
 Token features are summed in the chunk of the token; sentence features are aggregated per
-sentence and counted in the chunk of the sentence's first word. Per work each feature gets
-mean, least, greatest and population deviation over its chunks (unweighted, last chunk kept).
+sentence and counted in the chunk of the sentence's first word; dialogue spans in the chunk of
+the first word at or after their begin. Per work each feature gets mean, least, greatest and
+population deviation over its chunks (unweighted, last chunk kept unless asked otherwise).
+
+One pass over the works gives any number of families: texts travel to workers in batches of
+bounded size, are annotated once and come back as (work, metric, value). Nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame, functions as F
 
 from quillspark.functions import lexicons as L
-from quillspark.operators.annotate import annotate
-from quillspark.plans.dialect import Spark, rounded, sql_list
+from quillspark.operators import spans
+from quillspark.operators.annotate import FIN, INF, PART, PAST, PRES, D, P, Tokens, Words
 
 CHUNK = 100
+#: Bytes of text annotated at a time; a longer work is a step of its own.
+STEP_BYTES = 2 << 20
+BOUND = r"[^\p{L}\p{N}_]"
+SPACES = "\t\n\x0b\x0c\r "
+
+
+class Phrases:
+    """A class of phrases, found in a text in any case between word bounds."""
+
+    def __init__(self, pattern: str) -> None:
+        inner = pattern.removeprefix(r"\b").removesuffix(r"\b")
+        self.hints = [regex.match("[a-z' ]+", x)[0] for x in inner.removeprefix("(?:").removesuffix(")").split("|")]
+        self.search = regex.compile(rf"(?:^|{BOUND}){inner}(?:$|{BOUND})", regex.I).search
+
+    def __call__(self, text: str, low: str) -> bool:
+        return any(h in low for h in self.hints) and self.search(text) is not None
+
 
+def opening(words: list[str]):
+    found = regex.compile(rf"^[{SPACES}]*(?:{'|'.join(words)})(?:$|{BOUND})", regex.I).search
+    return lambda text, low: found(text) is not None
 
-def flag(test: str) -> str:
-    return f"sum(case when {test} then 1 else 0 end)"
 
+def contains(hint: str, pattern: str):
+    found = regex.compile(pattern, regex.I).search
+    return lambda text, low: hint in low and found(text) is not None
 
-def any_of(test: str) -> str:
-    return f"max(case when {test} then 1 else 0 end)"
 
+#: Tests of a sentence's text, given as it is and in lower case.
+TEXT_TESTS = {
+    **{name: Phrases(pattern) for name, pattern in L.PHRASES.items()},
+    "question": lambda text, low: text.rstrip(SPACES).endswith("?"),
+    "question words": contains("", rf"(?:^|{BOUND})what kind of(?:$|{BOUND})|(?:^|{BOUND})how (?:many|much|long|often|far)(?:$|{BOUND})"),
+    "no one": lambda text, low: "no one" in low,
+    "which": contains("which", rf",[{SPACES}]*which(?:$|{BOUND})"),
+    "particle": opening(["well", "so", "anyway", "now"]),
+    "clause start": opening(L.CLAUSE_STARTS),
+    "going to": contains(" going to ", rf"(?:^|{BOUND})(?:am|is|are|was|were|be|been|being) going to \p{{L}}"),
+    "look like": contains(" like", rf"(?:^|{BOUND})look(?:s|ed|ing)? like(?:$|{BOUND})"),
+    "quoted": lambda text, low: not L.QUOTE_CHARS.isdisjoint(text),
+}
 
-def bounded(p: str) -> str:
-    """Word bounds by explicit classes: the engines disagree on what \\b means beside accented letters."""
-    p = re.sub(r"\\b(?=[a-z(])", r"(?:^|[^\\p{L}\\p{N}_])", p)
-    return p.replace(r"\b", r"(?:$|[^\p{L}\p{N}_])")
 
+class Sentences:
+    """Aggregates of tokens over sentences, and tests of the sentences' texts."""
 
-def windows(d: Spark) -> str:
-    """Columns that look ahead: within the chunk (perfect aspect) and within the sentence."""
-    s = "(partition by work, sent_id, is_space order by i)"
-    skip, part = f"(pos in {sql_list(L.PASSIVE_SKIP_POS)} or lemma in {sql_list(L.NEGATIONS)} or {d.like('lower', "n['’]t$")})", "(verbform = 'Part' or tag = 'VBN')"
-    c = f"(partition by work, w1, floor(ix1 / {CHUNK}) order by i)"
-    skip3, part3 = f"(pos in {sql_list(L.PERFECT_SKIP_POS)} or lemma in {sql_list(L.PERFECT_SKIP)} or {d.like('lower', "n['’]t$")})", "verbform = 'Part'"
+    def __init__(self, t: Tokens) -> None:
+        self.t = t
+        self.n = int(t.sent[-1]) + 1 if t.n else 0
+        self.first = np.flatnonzero(np.r_[True, t.sent[1:] != t.sent[:-1]][: t.n])
+        self.doc = t.doc[self.first]
+        last = np.r_[self.first[1:], t.n][: self.n] - 1
+        begins, ends = t.idx[self.first], t.idx[last] + t.length[last]
+        self.texts = [t.texts[d][a:b] for d, a, b in zip(self.doc.tolist(), begins.tolist(), ends.tolist(), strict=True)]
+        self.low = [x.lower() for x in self.texts]
 
-    def first(test: str, wanted: str, over: str, most: int) -> str:
-        return "coalesce(case " + " ".join(f"when lead(case when {test} then 0 else 1 end, {k}) over {over} = 1 then lead(case when {wanted} then 1 else 0 end, {k}) over {over}" for k in range(1, most + 1)) + " end, 0)"
+    def count(self, test: np.ndarray) -> np.ndarray:
+        return np.bincount(self.t.sent[test], minlength=self.n)
 
-    inf = "case when pos in ('VERB', 'AUX') and verbform = 'Inf' then 1 else 0 end"
-    return (
-        f"select *, {first(skip, part, s, 4)} as then_participle, {first(skip3, part3, c, 3)} as then_perfect, "
-        f"coalesce(max({inf}) over (partition by work, sent_id, is_space order by i rows between 1 following and 6 following), 0) as inf_right, "
-        f"coalesce(lead({inf}) over {s}, 0) as inf_next, coalesce(max(case when tok = ',' then 1 else 0 end) over (partition by work, sent_id, is_space order by i rows between 1 following and 5 following), 0) as comma_right, "
-        f"row_number() over {s} as nth, row_number() over (partition by work, sent_id, not is_space and not is_punct order by i) as nth_word from tokens"
-    )
+    def any(self, test: np.ndarray) -> np.ndarray:
+        return self.count(test) > 0
 
+    def says(self, name: str) -> np.ndarray:
+        return np.fromiter(map(TEXT_TESTS[name], self.texts, self.low), dtype=bool, count=self.n)
 
-def token_features(d: Spark) -> dict[str, dict[str, str]]:
-    """By word definition: feature to a test on a token; its number per 100 words of the chunk is the value."""
-    verb = "pos in ('VERB', 'AUX')"
-    key = f"(case when lemma in {sql_list(L.FIRST_PERSON + L.SECOND_PERSON + L.THIRD_PERSON + L.DEMONSTRATIVES + L.INDEFINITES)} then lemma else lower end)"
-    isin = lambda words, x="lemma": f"{x} in {sql_list(words)}"
+
+def then(t: Tokens, rows: np.ndarray, group: np.ndarray, skip: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
+    """Whether the first of the next `most` rows of a group that isn't skipped is wanted."""
+    out, open_ = np.zeros(t.n, dtype=bool), np.ones(len(rows), dtype=bool)
+    for k in range(1, min(most, len(rows) - 1) + 1):
+        here = np.flatnonzero(open_[:-k] & (group[:-k] == group[k:]) & ~skip[rows[k:]])
+        out[rows[here]] = wanted[rows[here + k]]
+        open_[here] = False
+    return out
+
+
+def token_tests(t: Tokens, which: str) -> dict[str, np.ndarray]:
+    """Feature to a test on a token; its number per 100 words of the chunk is the value."""
+    isin = lambda x, names: np.isin(x, [P[n] for n in names])
+    if which == "tokens2":
+        death, sex = t.has(L.DEATH), t.has(L.SEX)
+        return {
+            "words_different_from_lemma_per100": t.lemma != t.lower,
+            "verbs_per100": t.pos == P["VERB"],
+            "nouns_per100": t.pos == P["NOUN"],
+            "propn_per100": t.pos == P["PROPN"],
+            "death_words_per100": death,
+            "sex_words_per100": sex & ~death,
+            "total_flagged_words_per100": death | sex,
+        }
+    words = np.flatnonzero(t.w[1])
+    skip = isin(t.pos, L.PERFECT_SKIP_POS) | t.has(sql_form(L.PERFECT_SKIP)) | t.not_end
+    perfect = then(t, words, t.doc[words] << 32 | t.ix[1][words] // CHUNK, skip, t.form == PART, 3)
     groups = {"1p": L.FIRST_PERSON, "2p": L.SECOND_PERSON, "3p": L.THIRD_PERSON, "demonstrative": L.DEMONSTRATIVES, "indefinite": L.INDEFINITES}
+    every = [w for g in groups.values() for w in g]
+    key = np.where(t.has(every), t.lemma, t.lower)
+    ends = t.words.matching(lambda s: s.endswith(tuple(L.NOMINAL_SUFFIXES)))
+    ing = t.words.matching(lambda s: s.endswith("ing"))[t.lemma]
     return {
-        "1": {
-            "past_per100": f"{verb} and tense = 'Past'",
-            "present_per100": f"{verb} and tense = 'Pres'",
-            "perfect_per100": "pos = 'AUX' and lemma = 'have' and verbform = 'Fin' and then_perfect = 1",
-            "place_adverbials_per100": f"pos = 'ADV' and {isin(L.PLACE_ADVERBS)}",
-            "time_adverbials_per100": f"pos = 'ADV' and {isin(L.TIME_ADVERBS)}",
-            "pronouns_total_per100": isin([w for g in groups.values() for w in g], key),
-            **{f"pronouns_{k}_per100": isin(g, key) for k, g in groups.items()},
-            "nominal_suffix_per100": f"pos = 'NOUN' and {d.like('lemma', f'(?:{"|".join(L.NOMINAL_SUFFIXES)})$')}",
-            "gerund_nominals_ing_per100": f"pos = 'NOUN' and ({d.like('lower', 'ing$')} or {d.like('lemma', 'ing$')})",
-            "total_pps_per100": "pos = 'ADP' and dep = 'prep'",
-            "attributive_adjs_per100": "pos = 'ADJ' and dep = 'amod' and head_pos in ('NOUN', 'PROPN')",
-            "predicative_adjs_per100": "pos = 'ADJ' and dep = 'acomp'",
-            "total_adverbs_per100": "pos = 'ADV'",
-        },
-        "2": {
-            "words_different_from_lemma_per100": "lemma <> lower",
-            "verbs_per100": "pos = 'VERB'",
-            "nouns_per100": "pos = 'NOUN'",
-            "propn_per100": "pos = 'PROPN'",
-            "death_words_per100": isin(L.DEATH),
-            "sex_words_per100": isin(L.SEX),
-            "total_flagged_words_per100": isin(L.DEATH + L.SEX),
-        },
+        "past_per100": t.tense == PAST,
+        "present_per100": t.tense == PRES,
+        "perfect_per100": (t.pos == P["AUX"]) & t.has(["have"]) & (t.form == FIN) & perfect,
+        "place_adverbials_per100": (t.pos == P["ADV"]) & t.has(L.PLACE_ADVERBS),
+        "time_adverbials_per100": (t.pos == P["ADV"]) & t.has(L.TIME_ADVERBS),
+        "pronouns_total_per100": t.words.member(every)[key],
+        **{f"pronouns_{k}_per100": t.words.member(g)[key] for k, g in groups.items()},
+        "nominal_suffix_per100": (t.pos == P["NOUN"]) & ends[t.lemma],
+        "gerund_nominals_ing_per100": (t.pos == P["NOUN"]) & (t.ing | ing),
+        "total_pps_per100": (t.pos == P["ADP"]) & (t.dep == D["prep"]),
+        "attributive_adjs_per100": (t.pos == P["ADJ"]) & (t.dep == D["amod"]) & isin(t.head_pos, ["NOUN", "PROPN"]),
+        "predicative_adjs_per100": (t.pos == P["ADJ"]) & (t.dep == D["acomp"]),
+        "total_adverbs_per100": t.pos == P["ADV"],
     }
 
 
-def sentence_features(d: Spark) -> dict[str, dict[str, str]]:
-    """By word definition: feature to its aggregate over a sentence's tokens; `txt` is the sentence's text."""
-    isin = lambda words, x="lemma": f"{x} in {sql_list(words)}"
-    verb, fin = "pos in ('VERB', 'AUX')", "pos in ('VERB', 'AUX') and verbform = 'Fin'"
-    says = lambda p: f"case when {d.like('max(txt)', '(?i)' + bounded(p))} then 1 else 0 end"
-    passive = any_of("pos = 'AUX' and lemma in ('be', 'get') and then_participle = 1")
-    by = any_of("pos = 'ADP' and lemma = 'by'")
-    analytic = any_of(f"dep = 'neg' or {d.like('dep', ':neg$')} or lower in ('not', 'n’t') or {d.like('lower', "n['’]t$")}")
-    neither = f"{any_of("lower = 'neither'")} * {any_of("lower = 'nor'")}"
-    synthetic = f"greatest({any_of("lower in ('nobody', 'nothing', 'none', 'nowhere', 'neither', 'without')")}, {says('no one')}, {neither})"
-    part = lambda ing: any_of(f"verbform = 'Part' and {'' if ing else 'not '}{d.like('lower', 'ing$')} and (dep in ('advcl', 'acl') or nth <= 3 and comma_right = 1)")
-    classed = lambda words, name, more="pos = 'ADV'": f"{flag(f'{isin(words)} and ({more})')} + {says(L.PHRASES[name])}"
-    modal = lambda words: any_of(f"{verb} and {isin(words)} and inf_right = 1")
-    subord = {f"{k}_subord_per100": says(L.PHRASES[k]) for k in ("causal", "concessive", "conditional", "other")}
-    quoted = d.like("max(txt)", "[\\x22'“”‘’«»„‚‹›]")
+def sql_form(words: list[str]) -> list[str]:
+    """Lexicon words with the apostrophe that texts are compared with."""
+    return [w.replace("'", "’") for w in words]
+
+
+def sentence_counts(t: Tokens, which: str) -> dict[str, np.ndarray]:
+    """Feature to its number in each sentence."""
+    s = Sentences(t)
+    isin = lambda x, names: np.isin(x, [P[n] for n in names])
+    finite = t.form == FIN
+    if which == "sentences3":
+        alpha, quoted = s.any(t.w[3]), s.says("quoted")
+        return {
+            "no_verb_fragments_per100": alpha & ~s.any(t.verb),
+            "no_finite_fragments_per100": alpha & ~s.any(finite),
+            "indirect_speech_per100": ~quoted & s.any(t.verb & t.has(L.SPEECH_VERBS)),
+        }
+    if which == "narration":
+        inside = np.zeros(t.n, dtype=bool)
+        for d, text in enumerate(t.texts):
+            a, b = int(t.first[d]), int(t.first[d + 1]) if d + 1 < len(t.texts) else t.n
+            for begin, end in spans.merged(spans.quotes_in(text)):
+                inside[a + np.searchsorted(t.idx[a:b], begin) : a + np.searchsorted(t.idx[a:b], end)] = True
+        return {"first_person_narration_per100": s.count(isin(t.pos, ["PRON", "DET"]) & t.has(L.NARRATOR) & ~inside)}
+    seen, group = t.seen, t.sent[t.seen]
+    skip = isin(t.pos, L.PASSIVE_SKIP_POS) | t.has(sql_form(L.NEGATIONS)) | t.not_end
+    participle = then(t, seen, group, skip, t.form == PART, 4)
+    near = lambda x, ks: np.logical_or.reduce([t.nearby(x, k, False) for k in ks])
+    infinitive = t.verb & (t.form == INF)
+    inf_right, comma_right = near(infinitive, range(1, 7)), near(t.comma, range(1, 6))
+    nth = np.zeros(t.n, dtype=np.int64)
+    nth[seen] = np.arange(len(seen)) - np.searchsorted(group, group) + 1 if len(seen) else 0
+    words = np.flatnonzero(t.w[1])
+    leads = np.zeros(t.n, dtype=bool)
+    leads[words[np.r_[True, t.sent[words][1:] != t.sent[words][:-1]][: len(words)]]] = True
+    passive = s.any((t.pos == P["AUX"]) & t.has(["be", "get"]) & participle)
+    by = s.any((t.pos == P["ADP"]) & t.has(["by"]))
+    be, there = s.any(t.has(["be"])), s.any(t.has(["there"]))
+    analytic = s.any((t.dep == D["neg"]) | t.has_lower(["not", "n’t"]) | t.not_end)
+    synthetic = s.any(t.has_lower(["nobody", "nothing", "none", "nowhere", "neither", "without"])) | s.says("no one")
+    part = lambda ing: s.any((t.form == PART) & (t.ing == ing) & (nth <= 3) & comma_right & ~t.space)
+    adverb = t.pos == P["ADV"]
+    classed = lambda lemmas, name, more: s.count(t.has(lemmas) & more) + s.says(name)
+    modal = lambda lemmas: s.any(t.verb & t.has(lemmas) & inf_right)
+    amplifies = adverb & ~(t.has(["so"]) & leads) & ((t.dep == D["advmod"]) | isin(t.head_pos, ["ADJ", "ADV", "VERB"]))
     return {
-        "1": {
-            "direct_wh_questions_per100": f"case when {d.like('max(txt)', r'\?\s*$')} then greatest({any_of(isin(L.WH_WORDS, 'lower'))}, {says(r'\bwhat kind of\b|\bhow (?:many|much|long|often|far)\b')}) else 0 end",
-            "by_passives_per100": f"{passive} * {by}",
-            "agentless_passives_per100": f"{passive} * (1 - {by})",
-            "copular_per100": f"greatest({any_of("lemma = 'be' and dep = 'cop'")}, {any_of("lemma = 'be'")} * (1 - {any_of("lemma = 'there'")}))",
-            "existential_per100": f"{any_of("lemma = 'there'")} * {any_of("lemma = 'be'")}",
-            "infinitive_per100": any_of("verbform = 'Inf'"),
-            "present_participial_per100": part(True),
-            "past_participial_per100": part(False),
-            "rel_sentence_per100": says(r",\s*which\b"),
-            **subord,
-            "conjuncts_per100": classed(L.CONJUNCTS, "conjuncts", "pos in ('ADV', 'SCONJ', 'CCONJ')"),
-            "downtoners_per100": classed(L.DOWNTONERS, "downtoners", "pos = 'ADV' or lemma = 'rather' and dep in ('advmod', 'mod')"),
-            "hedges_per100": classed(L.HEDGES, "hedges", "pos = 'ADV' or lemma in ('about', 'around') and pos = 'ADP'"),
-            "amplifiers_per100": classed(L.AMPLIFIERS, "amplifiers", "pos = 'ADV' and not (lemma = 'so' and nth_word = 1 and w1) and (dep = 'advmod' or head_pos in ('ADJ', 'ADV', 'VERB'))"),
-            "emphatics_per100": classed(L.EMPHATICS, "emphatics"),
-            "discourse_particles_per100": f"greatest({says(r'^\s*(?:well|so|anyway|now)\b')}, {any_of(f'w1 and nth_word = 1 and {isin(L.DISCOURSE)}')})",
-            "demonstrative_dets_per100": flag(f"pos = 'DET' and {isin(L.DEMONSTRATIVES)}"),
-            "demonstrative_prons_per100": flag(f"pos = 'PRON' and {isin(L.DEMONSTRATIVES)}"),
-            "possibility_per100": modal(L.POSSIBILITY),
-            "necessity_per100": f"greatest({modal(L.NECESSITY)}, {modal(L.NECESSITY_MORE)} * {any_of("lower = 'to' and inf_next = 1")})",
-            "predictive_per100": f"greatest({modal(L.PREDICTION)}, {says(r'\b(?:am|is|are|was|were|be|been|being) going to \p{L}')})",
-            "public_reporting_per100": flag(f"{verb} and {isin(L.PUBLIC_VERBS)}"),
-            "private_cognition_per100": flag(f"{verb} and {isin(L.PRIVATE_VERBS)}"),
-            "suasive_directive_per100": flag(f"{verb} and {isin(L.SUASIVE_VERBS)}"),
-            "seem_appear_per100": f"{flag(f'{verb} and {isin(L.SEEM_VERBS)}')} + {says(r'\blook(?:s|ed|ing)? like\b')}",
-            "phrasal_coord_per100": flag("dep = 'conj' and pos = head_pos and pos in ('ADJ', 'ADV', 'NOUN', 'VERB')"),
-            "clause_coord_per100": f"greatest({says(rf'^\s*(?:{"|".join(L.CLAUSE_STARTS)})\b')}, {any_of(f'w1 and nth_word = 1 and {isin(L.CLAUSE_STARTS, "lower")}')}) * {any_of(f'not is_space and nth <= 7 and {fin}')}",
-            "analytic_negation_per100": analytic,
-            "synthetic_negation_per100": f"(1 - {analytic}) * {synthetic}",
-        },
-        "3": {
-            "no_verb_fragments_per100": f"{any_of('is_alpha')} * (1 - {any_of(verb)})",
-            "no_finite_fragments_per100": f"{any_of('is_alpha')} * (1 - {any_of(fin)})",
-            "indirect_speech_per100": f"case when {quoted} then 0 else {any_of(f'{verb} and {isin(L.SPEECH_VERBS)}')} end",
-        },
+        "direct_wh_questions_per100": s.says("question") & (s.any(t.has_lower(L.WH_WORDS)) | s.says("question words")),
+        "by_passives_per100": passive & by,
+        "agentless_passives_per100": passive & ~by,
+        "copular_per100": be & ~there,
+        "existential_per100": there & be,
+        "infinitive_per100": s.any(t.form == INF),
+        "present_participial_per100": part(True),
+        "past_participial_per100": part(False),
+        "rel_sentence_per100": s.says("which"),
+        **{f"{k}_subord_per100": s.says(k) for k in ("causal", "concessive", "conditional", "other")},
+        "conjuncts_per100": classed(L.CONJUNCTS, "conjuncts", isin(t.pos, ["ADV", "SCONJ", "CCONJ"])),
+        "downtoners_per100": classed(L.DOWNTONERS, "downtoners", adverb | t.has(["rather"]) & (t.dep == D["advmod"])),
+        "hedges_per100": classed(L.HEDGES, "hedges", adverb | t.has(["about", "around"]) & (t.pos == P["ADP"])),
+        "amplifiers_per100": classed(L.AMPLIFIERS, "amplifiers", amplifies),
+        "emphatics_per100": classed(L.EMPHATICS, "emphatics", adverb),
+        "discourse_particles_per100": s.says("particle") | s.any(leads & t.has(L.DISCOURSE)),
+        "demonstrative_dets_per100": s.count((t.pos == P["DET"]) & t.has(L.DEMONSTRATIVES)),
+        "demonstrative_prons_per100": s.count((t.pos == P["PRON"]) & t.has(L.DEMONSTRATIVES)),
+        "possibility_per100": modal(L.POSSIBILITY),
+        "necessity_per100": modal(L.NECESSITY) | modal(L.NECESSITY_MORE) & s.any(t.has_lower(["to"]) & t.nearby(infinitive, 1, False)),
+        "predictive_per100": modal(L.PREDICTION) | s.says("going to"),
+        "public_reporting_per100": s.count(t.verb & t.has(L.PUBLIC_VERBS)),
+        "private_cognition_per100": s.count(t.verb & t.has(L.PRIVATE_VERBS)),
+        "suasive_directive_per100": s.count(t.verb & t.has(L.SUASIVE_VERBS)),
+        "seem_appear_per100": s.count(t.verb & t.has(L.SEEM_VERBS)) + s.says("look like"),
+        "phrasal_coord_per100": s.count((t.dep == D["conj"]) & (t.pos == t.head_pos) & isin(t.pos, ["ADJ", "ADV", "NOUN", "VERB"])),
+        "clause_coord_per100": (s.says("clause start") | s.any(leads & t.has_lower(L.CLAUSE_STARTS))) & s.any(~t.space & (nth <= 7) & finite),
+        "analytic_negation_per100": analytic,
+        "synthetic_negation_per100": ~analytic & synthetic,
     }
 
 
-def rate(x: str) -> str:
-    return f"coalesce({x}, 0) * 100.0e0 / n_words"
+class Chunks:
+    """The chunks of a word definition: words of each, and where they belong."""
+
+    def __init__(self, t: Tokens, word: int, keep_tail: bool) -> None:
+        self.t, self.word, w = t, t.w[word], t.ix[word]
+        docs = len(t.texts)
+        n = np.bincount(t.doc[self.word], minlength=docs)
+        self.of_doc = n // CHUNK if not keep_tail else -(-n // CHUNK)
+        self.base = np.cumsum(self.of_doc) - self.of_doc
+        self.n = int(self.of_doc.sum())
+        self.doc = np.repeat(np.arange(docs), self.of_doc)
+        self.words_of_doc, self.index = n, w
+        self.at = self.place(t.doc, w)
+        self.n_words = self.count(np.ones(t.n, dtype=bool))
+
+    def place(self, doc: np.ndarray, ix: np.ndarray) -> np.ndarray:
+        """Chunk of the word number of a work, -1 if it has none."""
+        own = ix // CHUNK
+        return np.where((ix >= 0) & (own < self.of_doc[doc]), self.base[doc] + own, -1)
 
+    def count(self, test: np.ndarray) -> np.ndarray:
+        at = self.at[self.word & test]
+        return np.bincount(at[at >= 0], minlength=self.n)
 
-def stats(d: Spark, features: dict[str, str], chunks: str, totals: bool = True) -> list[tuple[str, str]]:
-    """From a chunk table to (work, metric, value); works without words have zeros."""
-    names = list(features)
-    inner = f"select work, chunk_id, n_words, {', '.join(f'{e} as f{k}, coalesce(h{k}, 0) as t{k}' if e == rate(f'h{k}') else f'{e} as f{k}, 0 as t{k}' for k, e in enumerate(features.values()))} from {chunks}"
-    parts = [f"avg(f{k}) as a{k}, min(f{k}) as b{k}, max(f{k}) as c{k}, stddev_pop(f{k}) as d{k}, sum(t{k}) as s{k}" for k in range(len(names))]
-    pairs = [(f"{n}_{s}", f"coalesce({rounded(f'{x}{k}')}, 0)") for k, n in enumerate(names) for x, s in zip("abcd", ("avg", "min", "max", "sd"), strict=True)]
-    pairs += [(f"{n.removesuffix('_per100')}_total", f"coalesce(s{k}, 0)") for k, (n, e) in enumerate(features.items()) if totals and e == rate(f"h{k}")]
-    pairs += [("token_total", "coalesce(tokens, 0)"), ("chunk_count_used", "coalesce(chunks, 0)"), ("chunk_size_words", str(CHUNK))]
-    return [
-        ("rated", inner),
-        ("summed", f"select work, count(*) as chunks, sum(n_words) as tokens, {', '.join(parts)} from rated group by work"),
-        ("every", "select w.work as w_, s.* from (select distinct work from works) w left join summed s on w.work = s.work"),
-        ("result", d.long("w_ as work", pairs, "every")),
-    ]
+    def total(self, x: np.ndarray) -> np.ndarray:
+        ok = self.word & (self.at >= 0)
+        return np.bincount(self.at[ok], weights=x[ok], minlength=self.n)
 
+    def distinct(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct values in each chunk, and those that occur once."""
+        ok = self.word & (self.at >= 0)
+        keys, n = np.unique(self.at[ok].astype(np.int64) << 32 | x[ok], return_counts=True)
+        return np.bincount(keys >> 32, minlength=self.n), np.bincount((keys >> 32)[n == 1], minlength=self.n)
 
-def family(d: Spark, which: str) -> str:
-    """SQL of one feature family over a table `works` (work, text)."""
-    word = {"tokens1": "1", "tokens2": "2", "sentences1": "1", "sentences3": "3", "readability": "2", "richness": "2"}[which]
-    w, ix, chunk = f"w{word}", f"ix{word}", f"floor(ix{word} / {CHUNK})"
-    ctes = annotate(d, "works")
+    def per100(self, x: np.ndarray) -> np.ndarray:
+        return x * 100.0 / np.maximum(self.n_words, 1)
+
+
+WORD = {"tokens1": 1, "sentences1": 1, "tokens2": 2, "narration": 2, "readability": 2, "richness": 2, "sentences3": 3, "dialogue": 3}
+FAMILIES = tuple(WORD)
+
+
+def measured(t: Tokens, which: str, keep_tail: bool) -> tuple[Chunks, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Chunks of a family, the value of each feature by chunk, and totals by work."""
+    c = Chunks(t, WORD[which], keep_tail)
+    by_doc = lambda x: np.bincount(c.doc, weights=x, minlength=len(t.texts))
+    if which == "richness":
+        return c, {f"ttr_{k}": c.per100(c.distinct(x)[0]) for k, x in (("word", t.lower), ("lemma", t.lemma))}, {}
+    if which == "readability":
+        sent = np.unique(c.at[c.word & (c.at >= 0)].astype(np.int64) << 32 | t.sent[c.word & (c.at >= 0)])
+        sentences, n = np.bincount(sent >> 32, minlength=c.n), np.maximum(c.n_words, 1)
+        letters, syllables = c.total(t.letters), c.total(t.syllables)
+        # marks lie between a word and the next of the same chunk
+        last = c.index
+        inner = t.punct & (last >= 0) & (last < c.words_of_doc[t.doc] - 1) & ((last + 1) // CHUNK == last // CHUNK)
+        at = c.place(t.doc, last)[inner]
+        marks, once = np.bincount(at[at >= 0], minlength=c.n), c.distinct(t.lemma)[1]
+        content = c.count(np.isin(t.pos, [P[n] for n in L.CONTENT_POS]))
+        rest = c.n_words - content
+        values = {
+            "words_per_sentence": c.n_words / np.maximum(sentences, 1),
+            "syllables_per_sentence": syllables / np.maximum(sentences, 1),
+            "letters_per_word": letters / n,
+            "syllables_per_word": syllables / n,
+            "punctuation_per100": c.per100(marks),
+            "hapax_lemma_per100": c.per100(once),
+            "content_to_function_ratio": np.where(rest > 0, content / np.maximum(rest, 1), np.where(content > 0, 9999.0, 0.0)),
+        }
+        totals = {"punctuation_total": marks, "hapax_lemma_total": once, "content_total": content, "function_total": rest, "sentence_total_used": sentences}
+        return c, values, {k: by_doc(x) for k, x in totals.items()}
+    if which == "dialogue":
+        hits, every = np.zeros(c.n, dtype=np.int64), np.zeros(len(t.texts))
+        for d, text in enumerate(t.texts):
+            found = spans.dialogue_in(text)
+            a, b = int(t.first[d]), int(t.first[d + 1]) if d + 1 < len(t.texts) else t.n
+            own = a + np.flatnonzero(c.word[a:b])
+            k = np.searchsorted(t.idx[own], [begin for begin, _ in found])
+            at = c.at[own[k[k < len(own)]]]
+            np.add.at(hits, at[at >= 0], 1)
+            every[d] = len(found)
+        return c, {"dialogue_per100": c.per100(hits)}, {"dialogue_total": every}
     if which.startswith("tokens"):
-        tests = token_features(d)[word]
-        ctes += [("ahead", windows(d)), ("chunked", f"select work, {chunk} as chunk_id, count(*) as n_words, {', '.join(f'{flag(t)} as h{k}' for k, t in enumerate(tests.values()))} from ahead where {w} group by work, {chunk}")]
-        features = {n: rate(f"h{k}") for k, n in enumerate(tests)}
-    elif which.startswith("sentences"):
-        tests = sentence_features(d)[word]
-        ctes += [
-            ("ahead", windows(d)),
-            ("texts", f"select work as tw, sent_id as ts, {d.joined('tok', 'i')} as txt from tokens group by work, sent_id"),
-            ("sents", f"select work, sent_id, min(case when {w} then {ix} end) as first_word, {', '.join(f'{t} as h{k}' for k, t in enumerate(tests.values()))} from ahead join texts on work = tw and sent_id = ts group by work, sent_id"),
-            ("hits", f"select work as hw, floor(first_word / {CHUNK}) as hc, {', '.join(f'sum(h{k}) as h{k}' for k in range(len(tests)))} from sents where first_word is not null group by work, floor(first_word / {CHUNK})"),
-            ("sizes", f"select work, {chunk} as chunk_id, count(*) as n_words from tokens where {w} group by work, {chunk}"),
-            ("chunked", "select * from sizes left join hits on work = hw and chunk_id = hc"),
-        ]
-        features = {n: rate(f"h{k}") for k, n in enumerate(tests)}
-    elif which == "readability":
-        letters, groups = d.sub("lower", r"[^\p{L}]"), d.count("lower", "[aeiouy]+")
-        syllables = f"case when {letters} = '' then 0 else greatest(1, {groups} - case when {groups} > 1 and {d.like('lower', 'e$')} and not {d.like('lower', '[aeiouy]le$')} then 1 else 0 end) end"
-        ctes += [
-            ("words", f"select work, {chunk} as chunk_id, sent_id, lemma, pos, length({letters}) as letters, {syllables} as syllables from tokens where {w}"),
-            ("per_sent", "select work, chunk_id, sent_id, count(*) as n, sum(syllables) as syl, sum(letters) as let from words group by work, chunk_id, sent_id"),
-            ("per_chunk", "select work, chunk_id, sum(n) as n_words, avg(n) as wps, avg(syl) as sps, sum(let) as let, sum(syl) as syl from per_sent group by work, chunk_id"),
-            ("hapax", "select work as xw, chunk_id as xc, sum(case when n = 1 then 1 else 0 end) as once from (select work, chunk_id, lemma, count(*) as n from words group by work, chunk_id, lemma) g group by work, chunk_id"),
-            ("marks", f"select work as mw, chunk_id as mc, count(*) as puncts from (select work, is_punct, {ix} as last_ix, floor({ix} / {CHUNK}) as chunk_id, max({ix}) over (partition by work) as end_ix from tokens) g where is_punct and last_ix >= 0 and last_ix < end_ix and floor((last_ix + 1) / {CHUNK}) = chunk_id group by work, chunk_id"),
-            ("kinds", f"select work as kw, chunk_id as kc, {flag(f'pos in {sql_list(L.CONTENT_POS)}')} as content, {flag(f'pos not in {sql_list(L.CONTENT_POS)}')} as functional from words group by work, chunk_id"),
-            ("chunked", "select *, puncts as h4, once as h5 from per_chunk left join hapax on work = xw and chunk_id = xc left join marks on work = mw and chunk_id = mc left join kinds on work = kw and chunk_id = kc"),
-        ]
-        features = {"words_per_sentence": "wps", "syllables_per_sentence": "sps", "letters_per_word": "let * 1.0e0 / n_words", "syllables_per_word": "syl * 1.0e0 / n_words", "punctuation_per100": rate("h4"), "hapax_lemma_per100": rate("h5"), "content_to_function_ratio": "case when functional = 0 then case when content > 0 then 9999.0e0 else 0 end else content * 1.0e0 / functional end"}
+        counts = {name: c.count(test) for name, test in token_tests(t, which).items()}
     else:
-        ctes += [("chunked", f"select work, {chunk} as chunk_id, count(*) as n_words, count(distinct lower) as lows, count(distinct lemma) as lemmas from tokens where {w} group by work, {chunk}")]
-        features = {"ttr_word": "lows * 100.0e0 / n_words", "ttr_lemma": "lemmas * 100.0e0 / n_words"}
-    ctes += stats(d, features, "chunked")
-    return ",\n".join(f"{n} as ({q})" for n, q in ctes) + "\nselect work, metric, value from result"
+        s = sentence_counts(t, which)
+        place = np.full(int(t.sent[-1]) + 1 if t.n else 0, -1)
+        words = np.flatnonzero(c.word)[::-1]
+        place[t.sent[words]] = c.at[words]  # the first word of a sentence is written last
+        counts = {name: np.bincount(place[place >= 0], weights=x[place >= 0], minlength=c.n) for name, x in s.items()}
+    return c, {name: c.per100(x) for name, x in counts.items()}, {name.removesuffix("_per100") + "_total": by_doc(x) for name, x in counts.items()}
+
+
+def summary(t: Tokens, which: str, keep_tail: bool = True) -> tuple[list[str], np.ndarray]:
+    """Metrics of a family and their values, a row per work; works without words have zeros."""
+    c, values, totals = measured(t, which, keep_tail)
+    docs = len(t.texts)
+    has = np.flatnonzero(c.of_doc)
+    x = np.stack(list(values.values()))
+    out = np.zeros((4, len(values), docs))
+    if len(has):
+        n, starts = c.of_doc[has], c.base[has]
+        mean = np.add.reduceat(x, starts, axis=1) / n
+        spread = np.sqrt(np.add.reduceat((x - np.repeat(mean, n, axis=1)) ** 2, starts, axis=1) / n)
+        out[:, :, has] = [mean, np.minimum.reduceat(x, starts, axis=1), np.maximum.reduceat(x, starts, axis=1), spread]
+    out = np.floor(out * 10000 + 0.5 + 1e-9) / 10000
+    names = [f"{name}_{s}" for s in ("avg", "min", "max", "sd") for name in values]
+    used = np.bincount(c.doc, weights=c.n_words, minlength=docs)
+    rest = {**totals, "token_total": used, "chunk_count_used": c.of_doc, "chunk_size_words": np.full(docs, CHUNK)}
+    return [*names, *rest], np.concatenate([out.reshape(-1, docs), np.stack(list(rest.values()))]).T
+
+
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = np.array([len(x) if x is not None else 0 for x in batch.column("text").cast(pa.binary()).to_pylist()], dtype=np.int64)
+        turn = np.cumsum(sizes) // STEP_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+
+def stats(works: DataFrame, families: tuple[str, ...] | list[str] = FAMILIES, keep_tail: bool = True) -> DataFrame:
+    """family, work, metric, value of works (work, text). A null text has no words; each row is a work of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for part in steps(batches):
+            t = Tokens([x or "" for x in part.column("text").to_pylist()], words)
+            for which in families:
+                names, table = summary(t, which, keep_tail)
+                n = len(names)
+                work = part.column("work").take(pa.array(np.repeat(np.arange(part.num_rows), n)))
+                metric = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(n, dtype=np.int32), part.num_rows)), pa.array(names)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([which], pa.string()).take(pa.array(np.zeros(len(work), dtype=np.int32))), work, metric, pa.array(table.reshape(-1))], ["family", "work", "metric", "value"])
+
+    cols = works.select("work", F.col("text").cast("string").alias("text"))
+    schema = cols.select(F.lit("").alias("family"), "work", F.lit("").alias("metric"), F.lit(0.0).alias("value")).schema
+    return cols.mapInArrow(run, schema)
+
+
+def family(works: DataFrame, which: str, keep_tail: bool = True) -> DataFrame:
+    """work, metric, value of one family."""
+    return stats(works, [which], keep_tail).drop("family")

@@ -5,37 +5,78 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: Opening and closing marks, and dash-led lines.
+#: Opening and closing marks, marks that end speech, and dash-led lines.
 QUOTES = ['""', "''", "«»", "“”", "‘’"]
 DIALOGUE = ["«»", "“”", "„”", "‘’", "‚’", "‹›", '""']
-DASH_LINE = r"(?m)^[ \t]*[—–-][ \t].*$"
-DASH_SPEECH = r"(?m)^[ \t]*[—–-][ \t]*[A-Z].*$"
-
-
-def _find(works: DataFrame, patterns: list[str]) -> DataFrame:
-    """(work, begin, end) of all matches: engines have no all-positions function, so batches of texts go through one."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = [re.compile(p) for p in patterns]
-        for f in frames:
-            rows = [(w, m.start(), m.end()) for w, t in zip(f["work"], f["text"], strict=True) for p in found for m in p.finditer(t or "")]
-            yield pd.DataFrame(rows, columns=["work", "begin", "end"])
+SPEECH_ENDS = ".?!…,"
+DASH_LINE = re.compile(r"^[ \t]*[—–-][ \t].*$", re.M)
+DASH_SPEECH = re.compile(r"^[ \t]*[—–-][ \t]*[A-Z].*$", re.M)
+
+
+def quotes_in(text: str) -> list[tuple[int, int]]:
+    """Spans from an opening mark to the next closing one, of each pair in turn, then dash-led lines; time grows with the length."""
+    out = []
+    for a, b in QUOTES:
+        at = text.find(a)
+        while at >= 0 and (end := text.find(b, at + 1)) >= 0:
+            out.append((at, end + 1))
+            at = text.find(a, end + 1)
+    return out + [m.span() for m in DASH_LINE.finditer(text)]
+
+
+def dialogue_in(text: str) -> list[tuple[int, int]]:
+    """Quoted segments that begin with a capital and end with a mark, and dash-led lines with a capital; they may overlap."""
+    out = []
+    for a, b in DIALOGUE:
+        at, end = text.find(a), -1
+        while at >= 0:
+            if end <= at:  # one closing mark serves all openings before it
+                end = text.find(b, at + 1)
+            if end < 0:
+                break
+            if end > at + 2 and "A" <= text[at + 1] <= "Z" and text[end - 1] in SPEECH_ENDS:
+                out.append((at, end + 1))
+                at = text.find(a, end + 1)
+            else:
+                at = text.find(a, at + 1)
+    return out + [m.span() for m in DASH_SPEECH.finditer(text)]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Touching and overlapping spans as one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
+
+
+def _find(works: DataFrame, find) -> DataFrame:
+    """(work, begin, end) of what `find` gives for each text: engines have no all-positions function, so batches of texts go through one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, *span) for k, t in enumerate(batch.column("text").to_pylist()) if t for span in find(t)]
+            row, begin, end = (pa.array([f[j] for f in found], pa.int32()) for j in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("work").take(row), begin, end], ["work", "begin", "end"])
 
     schema = works.select("work", F.lit(0).alias("begin"), F.lit(0).alias("end")).schema
-    return works.select("work", "text").mapInPandas(run, schema)
+    return works.select("work", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def quote_spans(works: DataFrame) -> DataFrame:
     """Speech of either kind, touching spans merged."""
-    return merge_spans(_find(works, [f"(?s){re.escape(a)}.*?{re.escape(b)}" for a, b in QUOTES] + [DASH_LINE]))
+    return _find(works, lambda t: merged(quotes_in(t)))
 
 
 def dialogue_spans(works: DataFrame) -> DataFrame:
     """Quoted segments that begin with a capital and end with a mark, and dash-led lines; not merged."""
-    return _find(works, [f"(?s){re.escape(a)}[A-Z][^{re.escape(b)}]*?[.?!…,]{re.escape(b)}" for a, b in DIALOGUE] + [DASH_SPEECH])
+    return _find(works, dialogue_in)
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:

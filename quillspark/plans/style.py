@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.operators import cleaner, features, lexical, overuse, spans
+from quillspark.plans import features_sql
 from quillspark.plans.dialect import Duck, Spark
 from quillspark.plans.registry import ORACLES, QUERIES
 from quillspark.sources import sinks
+from quillspark.sources.tables import read_table, spread
 
 
 def works(table: str) -> str:
@@ -28,8 +30,15 @@ def add(name: str, sql) -> None:
     QUERIES[name], ORACLES[name] = run, sql(Duck(), lambda t: t)
 
 
-for which in ("tokens1", "tokens2", "sentences1", "sentences3", "readability", "richness"):
-    add(f"features_{which}", lambda d, t, which=which: works(t("documents")) + features.family(d, which))
+def add_family(which: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return features.family(docs_as_works(spark, sf_dir), which)
+
+    QUERIES[f"features_{which}"], ORACLES[f"features_{which}"] = run, works("documents") + features_sql.family(Duck(), which)
+
+
+for which in features.FAMILIES:
+    add_family(which)
 add("overuse_by_source", lambda d, t: overuse.by_source(d, t("documents")))
 add("clean_line_rules", lambda d, t: cleaner.line_rules_query(d, t("documents")))
 add("clean_text_rules", lambda d, t: cleaner.text_rules_query(d, t("documents")))
@@ -46,7 +55,7 @@ def register(name: str, sql: str | None = None):
 
 
 def docs_as_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("work"), "text")
+    return spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("work"), "text"))
 
 
 @register("clean_full")

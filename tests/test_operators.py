@@ -28,11 +28,32 @@ def test_cleaner(spark, text, out):
 
 
 def long(spark, which, *works):
-    spark.createDataFrame(list(works), "work string, text string").createOrReplaceTempView("w_")
-    rows = spark.sql("with works as (select * from w_),\n" + features.family(Spark(), which)).collect()
+    rows = features.family(spark.createDataFrame(list(works), "work string, text string"), which).collect()
     return {(r.work, r.metric): r.value for r in rows}
 
 
+def test_families_in_one_pass(spark):
+    works = spark.createDataFrame([("a", "He said “Go on.” I did not go, and I never told her so. " * 12), ("b", None), ("b", "one")], "work string, text string")
+    every = sorted(tuple(r) for r in features.stats(works).collect())
+    assert every == sorted((f, *r) for f in features.FAMILIES for r in features.family(works, f).collect())
+
+
+def test_narration_and_dialogue(spark):
+    text = "I saw it. “I will go now,” he said. My friend left.\n- I know that\nWe stayed. «Come in.» “no capital.” Then us. " + "word " * 90 + "“Late!”"
+    got = long(spark, "narration", ("a", text))
+    assert got["a", "first_person_narration_total"] == 4  # I, My, We, us: not those in quotes or the dash-led line
+    got = long(spark, "dialogue", ("a", text))
+    assert got["a", "dialogue_total"] == 4 and got["a", "chunk_count_used"] == 2
+    n = got["a", "token_total"] - 100
+    assert got["a", "dialogue_per100_max"] == max(3, round(100 / n, 4)) and long(spark, "dialogue", ("a", "He left. “Go!"))["a", "dialogue_total"] == 0
+
+
+def test_tail_may_be_left_out(spark):
+    works = spark.createDataFrame([("a", "table " * 150), ("b", "short")], "work string, text string")
+    got = {(r.work, r.metric): r.value for r in features.family(works, "tokens2", keep_tail=False).collect()}
+    assert got["a", "chunk_count_used"] == 1 and got["a", "token_total"] == 100 and got["b", "token_total"] == 0
+
+
 def test_tail_chunk_and_empty_work(spark):
     got = long(spark, "tokens2", ("a", "table " * 120 + "die " + "table " * 29), ("e", ""))
     assert [got["a", f"death_words_per100_{s}"] for s in ("avg", "min", "max", "sd")] == [1.0, 0.0, 2.0, 1.0]

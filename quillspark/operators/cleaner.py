@@ -6,17 +6,24 @@ neighbour (C), the head of the document (H) or the merged line so far (F).
 
 from __future__ import annotations
 
+import re
+import statistics
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.plans.dialect import Spark
 
 WORDS = r"[A-Za-z0-9'’-]+"
-TERMINAL = r"[.!?][\x22”’'\)\]]*$"
-NONFINAL = r"(?:,|;|:|—|–|-|…|\.\.\.)[\x22”’'\)\]]*$"
-#: Words that head a label line, and chapter words.
-LABELS = "acknowledgements appendix bibliography contents dedication foreword glossary index notes".split()
-CHAPTER_WORDS = "BOOK CHAP CHAPTER EPILOGUE PART PREFACE PROLOGUE VOLUME".split()
-CHAPTER = r"^chapter\s+(?:[0-9]+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten)\b(?:\s+\S+){0,10}$"
+TERMINAL = r"""[.!?]["”’'\)\]]*$"""
+NONFINAL = r"""(?:,|;|:|—|–|-|…|\.\.\.)["”’'\)\]]*$"""
+#: Words that head a label line, chapter words, and scanner lines.
+LABELS = "chapter book volume part letter prologue epilogue preface stave".split()
+CHAPTER_WORDS = "CHAPTER CHAP BOOK PART VOLUME PROLOGUE EPILOGUE PREFACE".split()
+SCANNER_LINES = ["Scanned with CS CamScanner", "CS CamScanner Scanned with", "CS", "Scanned with CamScanner", "Scanned with", "CS CamScanner"]
+#: Tokens of web addresses, dropped in this order; bounds and white space are Unicode's.
+ADDRESSES = [r"(?iU)\b\S+\.(?:com|org|net)\b", r"(?iU)\bhttps?://\S+\b", r"(?iU)\b\S*\.edu\S*\b"]
 
 
 def trim(d: Spark, l: str) -> str:
@@ -35,6 +42,13 @@ def all_caps(d: Spark, l: str) -> str:
     return f"({d.like(l, '[A-Z]')} and not {d.like(l, '[a-z]')})"
 
 
+def few_words_after_keyword(d: Spark, l: str) -> str:
+    """Rule 15: at most three words come after the first occurrence of a chapter word."""
+    words = d.matches(f"upper({l})", WORDS)
+    some = " or ".join(f"({d.position(words, k)} > 0 and {d.size(words)} - {d.position(words, k)} <= 3)" for k in CHAPTER_WORDS)
+    return f"({d.like(l, f'(?i){"|".join(CHAPTER_WORDS)}')} and ({some}))"
+
+
 def dropped_first(d: Spark, l: str) -> str:
     """Rules 11 to 26: a line that any of them drops. (13's other half maps.)"""
     s = trim(d, l)
@@ -42,11 +56,11 @@ def dropped_first(d: Spark, l: str) -> str:
         d.like(l, r"^\s*\d+\s*$"),
         d.like(l, r"^\s*[-–—]+\s*$"),
         f"({d.like(s, r'^\d+\.?(?:\s+\S+){1,3}$')} and not {terminal(d, l)})",
-        d.like(s, "(?i)" + CHAPTER),
-        f"({d.like(l, rf'(?i)\b(?:{"|".join(CHAPTER_WORDS)})\b(?:[^A-Za-z0-9]+{WORDS}){{0,3}}[^A-Za-z0-9]*$')})",
-        f"({d.like(s, rf'(?i)^(?:{"|".join(LABELS)})\b')} and (not {terminal(d, l)} or {n_words(d, l)} <= 4))",
+        d.like(s, r"(?i)^chapter\s+\d+(?:\s*[.:])?(?:\s+\S+){0,10}$"),
+        few_words_after_keyword(d, l),
+        f"({d.first(l, WORDS)} <> '' and lower({d.first(l, WORDS)}) in ({', '.join(f"'{w}'" for w in LABELS)}) and (not {terminal(d, l)} or {n_words(d, l)} <= 4))",
         d.like(l, r"^\s*-\d{1,6}-\s*$"),
-        d.like(l, r"(?i)^\s*(?:scanned (?:by|with) camscanner|camscanner)"),
+        d.like(l, rf"(?i)^\s*(?:{'|'.join(SCANNER_LINES)})\s*$"),
         d.like(l, r"^\s*\(\d+\)\s+.+[^.!?…]$"),
         d.like(l, r"^\s*\d+\.\s+.+[^.!?…]$"),
         d.like(l, r"^\s*\d+\.\s+[^:]{0,40}:"),
@@ -77,25 +91,41 @@ def dropped_second(d: Spark, l: str) -> str:
 def text_rules(d: Spark, x: str) -> str:
     """Rules 0 to 4: newlines, addresses, underscores, counters and notes in brackets."""
     x = d.sub(x, r"\r\n?", "\n")
-    for p in (r"(?i)\S+\.(?:com|org|net)", r"(?i)https?://\S+", r"(?i)\S*\.edu\S*", "_", r"(?i)\(\s*\d+\s+of\s+\d+\s*\)", r"(?is)\(\s*note:.*?\)"):
+    for p in (*ADDRESSES, "_", r"(?i)\(\s*\d+\s+of\s+\d+\s*\)", r"(?is)\(\s*note:.*?\)"):
         x = d.sub(x, p)
     return x
 
 
 def late_text_rules(d: Spark, x: str) -> str:
-    """Rules 37 and 40 to 43 that need no look-around."""
-    for p, r in ((r"([A-Za-z])-\n\s*([A-Za-z])", "$1$2"), (r"\(\d+\)", ""), (r"\[[^\]\n]*\]", ""), (r"\[[^\]]*\n[^\]]*\]", ""), (r"([.!?…])\s*\b\d{1,2}\b[ \t]*(\n|$)", "$1$2"), (r"[·▪※♦•*/]", ""), (r"[–—]{2,}", "—"), (r"\s+\.", "."), (r" {2,}", " ")):
-        x = d.sub(x, p, r)
-    return x
+    """Rules 37 to 43: hyphens at line ends, digits beside letters, brackets, small numbers at line ends, symbols."""
+    x = d.sub(x, r"([A-Za-z])-\n\s*([A-Za-z])", "$1$2")
+    for p in (r"(?<=[A-Za-z])\d+\b", r"(?<=[A-Za-z])\d+(?!\b)", r"\d+(?=(?!th\b|st\b|nd\b)[A-Za-z])", r"\(\d+\)", r"\[[^\]\n]*\]", r"\[[^\]]*\n[^\]]*\]", r"(?m)(?<=[.!?…])\s*\b\d{1,2}\b\s*$", r"[·▪※♦•*/]"):
+        x = d.sub(x, p)
+    return d.sub(x, "[–—]{2,}", "—")
+
+
+def final_text_rules(d: Spark, x: str) -> str:
+    """Rule 48: spacing, and no blank lines."""
+    x = d.sub(d.sub(x, r"\s+\.", "."), " {2,}", " ")
+    return f"array_join(filter(transform({d.lines(x)}, l -> {d.sub('l', r'[ \t]+$')}), l -> {trim(d, 'l')} <> ''), '\\n')"
 
 
-def line_rules_query(d: Spark, documents: str) -> str:
+def line_rules(works: DataFrame) -> DataFrame:
+    """work and cleaned: rules 11 to 26, then 28, 29 and 31, on the lines of a text."""
+    d = Spark()
     first = d.keep(d.lines("coalesce(text, '')"), lambda l: f"not {dropped_first(d, l)}")
-    return f"select doc_id, {d.glue(d.keep(first, lambda l: f'not {dropped_second(d, l)}'))} as cleaned from {documents}"
+    return works.select("work", F.expr(d.glue(d.keep(first, lambda l: f"not {dropped_second(d, l)}"))).alias("cleaned"))
+
+
+def whole_text_rules(works: DataFrame) -> DataFrame:
+    """work and cleaned: rules 0 to 4, 37 to 43 and 48 on a whole text."""
+    d = Spark()
+    return works.select("work", F.expr(trim(d, final_text_rules(d, late_text_rules(d, text_rules(d, "coalesce(text, '')"))))).alias("cleaned"))
 
 
-def text_rules_query(d: Spark, documents: str) -> str:
-    return f"select doc_id, {late_text_rules(d, text_rules(d, "coalesce(text, '')"))} as cleaned from {documents}"
+def let(name: str, value: str, body: str) -> str:
+    """body with a name for a value that is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def clean(raw: DataFrame, long_numbers_off: Column | None = None) -> DataFrame:
@@ -114,7 +144,7 @@ def clean(raw: DataFrame, long_numbers_off: Column | None = None) -> DataFrame:
     def head() -> str:
         """Each line with its number and, for those that can be among the first ten, how many lines up to it aren't blank."""
         tenth = f"coalesce(get(transform(filter(transform(_l, (l, k) -> struct(l as l, k as k)), y -> not {blank('y.l')}), y -> y.k), 10), size(_l))"
-        return f"transform(_l, (l, k) -> struct(l as l, k as k, if(k >= {tenth}, 99, size(filter(slice(_l, 1, k + 1), m -> not {blank('m')}))) as nb))"
+        return let("tenth", tenth, f"transform(_l, (l, k) -> struct(l as l, k as k, if(k >= tenth, 99, size(filter(slice(_l, 1, k + 1), m -> not {blank('m')}))) as nb))")
 
     # 6: leading short lines
     short = f"({trim(d, 'x.l')} <> '' and not {terminal(d, 'x.l')} and {n_words(d, 'x.l')} <= 3)"
@@ -146,11 +176,7 @@ def clean(raw: DataFrame, long_numbers_off: Column | None = None) -> DataFrame:
     first = f"case when {caps5('l')} then {lowered('l')} when {run} <> '' then concat(upper(left(lower({run}), 1)), substr(lower({run}), 2), {d.sub(trim(d, 'l'), prefix)}) else l end"
     df = df.withColumn("_at", e(at)).withColumn("_l", e(f"transform(_l, (l, k) -> if(k = _at, {d.sub(f'({first})', r'^\s*\d+(?:[-—–]|\s+)(?=[A-Z])')}, l))"))
     # 36 to 45: whole text again
-    text = d.sub("array_join(_l, '\\n')", r"([A-Za-z])-\n\s*([A-Za-z])", "$1$2")
-    for p in (r"(?<=[A-Za-z])\d+\b", r"(?<=[A-Za-z])\d+(?!\b)", r"\d+(?=(?!th\b|st\b|nd\b)[A-Za-z])", r"\(\d+\)", r"\[[^\]\n]*\]", r"\[[^\]]*\n[^\]]*\]", r"(?m)(?<=[.!?…])\s*\b\d{1,2}\b\s*$", r"[·▪※♦•*/]"):
-        text = d.sub(text, p)
-    text = d.sub(text, "[–—]{2,}", "—")
-    df = df.withColumn("_t", e(text))
+    df = df.withColumn("_t", e(late_text_rules(d, "array_join(_l, '\\n')")))
     if long_numbers_off is not None:
         df = df.withColumn("_t", F.when(long_numbers_off, F.regexp_replace("_t", r"\b\d{3,}\b", "")).otherwise(F.col("_t")))
     text = "_t"
@@ -163,22 +189,56 @@ def clean(raw: DataFrame, long_numbers_off: Column | None = None) -> DataFrame:
     return reflow(df).select("work", "text", "cleaned")
 
 
-def merges(c: str, n: str, med: str) -> str:
-    """Whether line n continues c."""
-    d = Spark()
-    return f"""case when {c} = '' or {n} = '' then false when {d.like(c, '["”]\\s*$'.replace('"', r'\x22'))} and {d.like(n, '^[a-z]')} then true
-        when {d.like(n, '^--?[a-z]')} and not {d.like(c, TERMINAL)} then true
-        when {d.like(n, r"^(?:[\x22“”'‘’]|--|—|–|-)")} then false when not {d.like(c, TERMINAL)} then true when {d.like(c, NONFINAL)} then true
-        when {med} >= 35 and length({c}) >= greatest(35, 0.72 * {med}) then true else false end"""
+#: What TERMINAL and NONFINAL look for before closing marks, for ends of lines that grow.
+CLOSING, FINAL, OPEN = "\"”’')]", (".", "!", "?"), (",", ";", ":", "—", "–", "-", "…", "...")
+LOWER_START, DASHED_START, DIALOGUE_START = re.compile("[a-z]"), re.compile("--?[a-z]"), re.compile("[\"“”'‘’–—-]")
+BLANK_LINES = re.compile(r"\n(?:[ \t]*\n)+")
+
+
+def continues(line: str, after: str, median: float) -> bool:
+    """Rule 47: whether the line after goes on with the merged line so far; only that line's end and length are looked at."""
+    k = len(line)
+    while k and line[k - 1] in CLOSING:
+        k -= 1
+    end = line[max(0, k - 3) : k]
+    ended = end.endswith(FINAL)
+    if line[-1] in "\"”" and LOWER_START.match(after) or DASHED_START.match(after) and not ended:
+        return True
+    if DIALOGUE_START.match(after):
+        return False
+    return not ended or end.endswith(OPEN) or median >= 35 and len(line) >= max(35, 0.72 * median)
+
+
+def reflowed(text: str) -> str:
+    """Rule 47: within each block of lines, lines that continue one another are one; a fold, as the merged line's length decides."""
+    out: list[str] = []
+    for block in BLANK_LINES.split(text):
+        lines = [x for x in (line.strip() for line in block.split("\n")) if x]
+        if not lines:
+            continue
+        median, current = statistics.median(map(len, lines)), lines[0]
+        for line in lines[1:]:
+            if not continues(current, line, median):
+                out.append(current)
+                current = line
+            elif current.endswith("-"):
+                current = current[:-1]
+                current += line
+            else:
+                current += " "
+                current += line
+        out.append(current)
+    return "\n".join(out)
 
 
 def reflow(df: DataFrame) -> DataFrame:
-    """Rules 47 and 48 over lines in _l: within each block a left fold, as the merged line's length decides."""
+    """Rules 47 and 48 over lines in _l. The fold is the one step that array expressions can't do in linear time, so batches of texts go through Python."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([reflowed(x or "") for x in batch.column("_o").to_pylist()], pa.string())], batch.schema.names)
+
     d = Spark()
-    blocks = f"filter(transform(split(array_join(transform(_l, l -> {trim(d, 'l')}), '\\n'), r'\\n(?:\\n)+'), b -> filter(split(b, r'\\n', -1), l -> l <> '')), b -> size(b) > 0)"
-    median = "aggregate(slice(array_sort(transform(b, l -> length(l))), cast(floor((size(b) - 1) / 2) as int) + 1, if(size(b) % 2 = 0, 2, 1)), cast(0 as double), (a, x) -> a + x) / if(size(b) % 2 = 0, 2, 1)"
-    joined = "if(s.cur like '%-', concat(left(s.cur, length(s.cur) - 1), n), concat(s.cur, ' ', n))"
-    fold = f"aggregate(slice(b.b, 2, size(b.b)), struct(cast(array() as array<string>) as out, b.b[0] as cur), (s, n) -> if({merges('s.cur', 'n', 'b.m')}, struct(s.out as out, {joined} as cur), struct(array_append(s.out, s.cur) as out, n as cur)), s -> array_append(s.out, s.cur))"
-    df = df.withColumn("_b", F.expr(f"transform({blocks}, b -> struct(b as b, {median} as m))")).withColumn("_o", F.expr(f"array_join(flatten(transform(_b, b -> {fold})), '\\n')"))
-    last = d.sub(d.sub("_o", r"\s+\.", "."), " {2,}", " ")
-    return df.withColumn("cleaned", F.expr(trim(d, f"array_join(filter(transform(split({last}, r'\\n', -1), l -> {d.sub('l', '[ \\t]+$')}), l -> {trim(d, 'l')} <> ''), '\\n')")))
+    rows = df.select("work", "text", F.expr("array_join(_l, '\\n')").alias("_o"))
+    rows = rows.mapInArrow(run, rows.schema)
+    return rows.withColumn("cleaned", F.expr(trim(d, final_text_rules(d, "_o"))))

@@ -24,6 +24,15 @@ class Spark:
     def matches(self, x: str, p: str) -> str:
         return f"regexp_extract_all({x}, {self.lit(p)}, 0)"
 
+    def first(self, x: str, p: str) -> str:
+        return f"regexp_extract({x}, {self.lit(p)}, 0)"
+
+    def position(self, array: str, x: str) -> str:
+        return f"array_position({array}, '{x}')"
+
+    def size(self, array: str) -> str:
+        return f"size({array})"
+
     def group1(self, x: str, p: str) -> str:
         return f"regexp_extract({x}, {self.lit(p)}, 1)"
 

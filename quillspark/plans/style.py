@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.operators import cleaner, features, lexical, overuse, spans
-from quillspark.plans import features_sql
+from quillspark.plans import cleaner_sql, features_sql
 from quillspark.plans.dialect import Duck, Spark
 from quillspark.plans.registry import ORACLES, QUERIES
 from quillspark.sources import sinks
@@ -40,10 +40,6 @@ def add_family(which: str) -> None:
 for which in features.FAMILIES:
     add_family(which)
 add("overuse_by_source", lambda d, t: overuse.by_source(d, t("documents")))
-add("clean_line_rules", lambda d, t: cleaner.line_rules_query(d, t("documents")))
-add("clean_text_rules", lambda d, t: cleaner.text_rules_query(d, t("documents")))
-
-
 def register(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = f
@@ -58,6 +54,16 @@ def docs_as_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("work"), "text"))
 
 
+@register("clean_line_rules", cleaner_sql.LINE_RULES)
+def clean_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaner.line_rules(docs_as_works(spark, sf_dir)).withColumnRenamed("work", "doc_id")
+
+
+@register("clean_text_rules", cleaner_sql.TEXT_RULES)
+def clean_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaner.whole_text_rules(docs_as_works(spark, sf_dir)).withColumnRenamed("work", "doc_id")
+
+
 @register("clean_full")
 def clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaner.clean(docs_as_works(spark, sf_dir)).select(F.col("work").alias("doc_id"), "cleaned")

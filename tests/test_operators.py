@@ -21,6 +21,29 @@ def clean(spark, text, **more):
         ("He met her there.\n12\n---\nThey left at once.", "He met her there.\nThey left at once."),
         ("", ""),
         (None, ""),
+        ("All of this came from example.community halls, and see also.", "All of this came from example.community halls, and see also."),
+        ("They wrote to us at name@place.edu. Then all went home.", "They wrote to us at. Then all went home."),
+        ("See more of it at http://x.y/z. Then leave for home.", "See more of it at. Then leave for home."),
+        ("one_two was here ( 3 of 12 ) and went (Note: not\nthis) away.", "onetwo was here and went away."),
+        ("The day was fine.\nChapter 12. The Voyage Out\nThe night was not.", "The day was fine.\nThe night was not."),
+        ("The day was fine.\nchapter 1: a start\nThe night was not.", "The day was fine.\nThe night was not."),
+        ("The day was fine.\nAnd this is the last book of them.\nThe night was not.", "The day was fine.\nThe night was not."),
+        ("The day was fine.\nThe book that he had lost was there on the table.", "The day was fine.\nThe book that he had lost was there on the table."),
+        ("The day was fine.\nStave of the first\nThe night was not.", "The day was fine.\nThe night was not."),
+        ("The day was fine.\nNotes were taken by all who came.", "The day was fine.\nNotes were taken by all who came."),
+        ("The day was fine.\ncs\nScanned with\nThe night was not.", "The day was fine.\nThe night was not."),
+        ("The day was fine.\nCamscanner was the name of it.", "The day was fine.\nCamscanner was the name of it."),
+        ("The day was fine.\n-12-\n. . .\n* term: of it\n(1) an item\n3. also one\niv. and this\na:\nThe night was not.", "The day was fine.\nThe night was not."),
+        ("The day was fine.\nx: y: z\n12; and so on\nindex.html\nfoo |\nof May, 12.\nPrelude.\nintroduction\nThe night was not.", "The day was fine.\nThe night was not."),
+        ("The day was fine.\n12 rooms were there, and all of them were empty.", "The day was fine.\nrooms were there, and all of them were empty."),
+        ("©  2001 by him.\nThe day was fine.", "The day was fine."),
+        ("THE START NOW.\nThe day was fine.", "The start now.\nThe day was fine."),
+        ("Some words\nWilliam Blake\nThe day was fine, as all said.", "The day was fine, as all said."),
+        ("(all of this goes)\nThe day was fine.", "The day was fine."),
+        ("IT WAS the best of times, said he.", "It was the best of times, said he."),
+        ("12—The day was fine, as all said.", "The day was fine, as all said."),
+        ("The day [see it] was fine • again.3\nAll of it went well.", "The day was fine again.\nAll of it went well."),
+        ("He went to the far side of “there,”\nand then he came\n“Back again.”", "He went to the far side of “there,” and then he came\n“Back again.”"),
     ],
 )
 def test_cleaner(spark, text, out):

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspark.sources.tables import read_table, spread
+
 #: Bytes of text that one vectorised step holds at a time; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
 #: Entries that a worker's memo of words may hold before it starts anew.
@@ -33,7 +35,9 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the folder; texts and pages over all cores, also where the file is one split."""
+    df = read_table(spark, sf_dir, table)
+    return spread(df) if table in ("documents", "pages") else df
 
 
 def shared_folder(spark: SparkSession) -> str:

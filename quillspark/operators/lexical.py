@@ -8,22 +8,52 @@ from pyspark.sql import DataFrame, functions as F
 def coverage(words: DataFrame, vocabulary: DataFrame, ratings: DataFrame) -> DataFrame:
     """Per chunk: out-of-list and in-list rates, and concreteness of words found by surface or else by lemma.
 
-    words: work, chunk_id, lower, lemma. The lists are joined by key; the planner broadcasts them below the session's limit.
+    words: work, chunk_id, lower, lemma. Words are counted by chunk before they are looked up, and
+    the lists are joined by key: the planner broadcasts them below the session's limit, and
+    beyond it adaptive execution splits what a frequent word makes heavy.
     """
     v = vocabulary.select(F.col("word").alias("lower"), F.lit(1).alias("known"))
     by = lambda key, name: ratings.select(F.col("word").alias(key), F.col("score").alias(name))
-    j = words.join(v, "lower", "left").join(by("lower", "s1"), "lower", "left").join(by("lemma", "s2"), "lemma", "left").withColumn("score", F.coalesce("s1", "s2"))
-    n = F.count("*")
+    counted = words.groupBy("work", "chunk_id", "lower", "lemma").agg(F.count("*").alias("k"))
+    j = counted.join(v, "lower", "left").join(by("lower", "s1"), "lower", "left").join(by("lemma", "s2"), "lemma", "left").withColumn("score", F.coalesce("s1", "s2"))
+    n, of = F.sum("k"), lambda test: F.sum(F.when(test, F.col("k")).otherwise(0))
     return j.groupBy("work", "chunk_id").agg(
         n.alias("n_words"),
-        (F.sum(F.col("known").isNull().cast("int")) * 100.0 / n).alias("oov_per100"),
-        (F.sum(F.col("known").isNotNull().cast("int")) * 100.0 / n).alias("in_list_per100"),
-        (F.count("score") * 100.0 / n).alias("concreteness_coverage_percent"),
-        F.coalesce(F.avg("score"), F.lit(0.0)).alias("concreteness_mean_matched"),
-        (F.coalesce(F.sum("score"), F.lit(0.0)) * 100.0 / n).alias("concreteness_sum_per100"),
+        (of(F.col("known").isNull()) * 100.0 / n).alias("oov_per100"),
+        (of(F.col("known").isNotNull()) * 100.0 / n).alias("in_list_per100"),
+        (of(F.col("score").isNotNull()) * 100.0 / n).alias("concreteness_coverage_percent"),
+        F.coalesce(F.sum(F.col("score") * F.col("k")) / F.nullif(of(F.col("score").isNotNull()), F.lit(0)), F.lit(0.0)).alias("concreteness_mean_matched"),
+        (F.coalesce(F.sum(F.col("score") * F.col("k")), F.lit(0.0)) * 100.0 / n).alias("concreteness_sum_per100"),
     )
 
 
+def chunk_stats(chunks: DataFrame, features: list[str], totals: dict[str, str]) -> DataFrame:
+    """work, metric, value: mean, least, greatest and population deviation of each feature over a work's chunks, then the totals.
+
+    chunks: work, chunk_id, n_words and the features; totals: name to an aggregate over the chunks.
+    """
+    four = lambda x: F.floor(x * 10000 + 0.5 + 1e-9) / 10000
+    parts = {f"{f}_{name}": four(how(f)) for f in features for name, how in (("avg", F.avg), ("min", F.min), ("max", F.max), ("sd", F.stddev_pop))}
+    parts |= {name: F.expr(e) for name, e in {**totals, "token_total": "sum(n_words)", "chunk_count_used": "count(*)"}.items()}
+    wide = chunks.groupBy("work").agg(*[x.cast("double").alias(name) for name, x in parts.items()])
+    return wide.unpivot("work", list(parts), "metric", "value")
+
+
+COVERAGE_FEATURES = ["oov_per100", "in_list_per100", "concreteness_coverage_percent", "concreteness_mean_matched", "concreteness_sum_per100"]
+
+
+def coverage_stats(chunks: DataFrame) -> DataFrame:
+    """Statistics of coverage() by work, with the numbers of words out of the list, in it, and rated."""
+    count = lambda c: f"sum(cast(round({c} * n_words / 100) as bigint))"
+    return chunk_stats(chunks, COVERAGE_FEATURES, {"oov_total": count("oov_per100"), "in_list_total": count("in_list_per100"), "concreteness_matched_total": count("concreteness_coverage_percent")})
+
+
+def model_stats(chunks: DataFrame) -> DataFrame:
+    """Statistics of humor() and metaphor() by work, with the numbers of chunks and words found positive."""
+    features = ["humor_prob", "nonhumor_prob", "humor_label", "metaphor_word_percent", "metaphor_prob_mean", "metaphor_words_total"]
+    return chunk_stats(chunks, features, {"humor_chunks_positive_total": "sum(humor_label)", "metaphor_words_positive_total": "sum(metaphor_words_total)"})
+
+
 def humor(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """From predictions (array of label and score) to probability, complement and label; a missing label is 1 less the other."""
     pick = lambda names: F.expr(f"get(filter(predictions, p -> upper(p.label) in {names}).score, 0)")

@@ -2,28 +2,49 @@
 
 from __future__ import annotations
 
-from quillspark.plans.dialect import Spark
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 WORD = "[A-Za-z']+"
 
 
-def ranked(d: Spark, top_n: int = 10, min_count: int = 5, cap_threshold: float = 0.90) -> str:
-    """CTE tail over `toks` (work, pos, tok) and `ref` (word, ref_pct): the ranked report.
+def word_counts(texts: DataFrame) -> DataFrame:
+    """work, word, n, caps (with a capital first) and at (place of the first one) of texts (work, text, part).
 
-    Ties keep the order of first occurrence; proportions use all words of the text.
+    A work may have several parts, ordered by number; words are counted within each part's
+    rows first, so one frequent word or one large work is no hot spot.
     """
-    cap = d.like("tok", "^[A-Z]")
-    return f"""counted as (select work, lower(tok) as word, count(*) as n, sum(case when {cap} then 1 else 0 end) as caps, min(pos) as first_pos from toks group by work, lower(tok)),
-    sized as (select *, sum(n) over (partition by work) as total from counted),
-    compared as (select work, word, n, caps * 1.0e0 / n as cap_ratio, n * 1.0e0 / total as book_pct, ref_pct, n * 1.0e0 / total / ref_pct as ratio, first_pos from sized join ref using (word) where ref_pct > 0 and n >= {min_count} and caps * 1.0e0 / n < {cap_threshold}e0),
-    ranks as (select *, row_number() over (partition by work order by ratio desc, first_pos) as rank from compared where ratio > 1)
-    select work, cast(rank as bigint) as rank, word, cast(n as bigint) as n, cap_ratio, book_pct * 100 as book_pct, ref_pct * 100 as ref_pct, (ratio - 1) * 100 as deviation_pct from ranks where rank <= {top_n}"""
+    words = texts.select("work", F.col("part").cast("long").alias("part"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("i", "tok"))
+    # a number that orders as (part, i) does, wide enough for any part
+    at = F.col("part").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("i")
+    return words.groupBy("work", F.lower("tok").alias("word")).agg(F.count("*").alias("n"), F.sum(F.expr("int(tok rlike '^[A-Z]')")).alias("caps"), F.min(at).alias("at"))
 
 
-def by_source(d: Spark, documents: str) -> str:
+def frequencies(counts: DataFrame) -> DataFrame:
+    """word, ref_pct over all works of word_counts()."""
+    freq = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return freq.join(F.broadcast(total)).select("word", (F.col("n") / F.col("total")).alias("ref_pct"))  # one row
+
+
+def ranked(counts: DataFrame, ref: DataFrame, top_n: int = 10, min_count: int = 5, cap_threshold: float = 0.90) -> DataFrame:
+    """The ranked report of word_counts() against a list (word, ref_pct).
+
+    Ties keep the order of first occurrence; proportions use all words of the work. A work
+    without words over the limits has no rows.
+    """
+    sizes = counts.groupBy(F.col("work").alias("w")).agg(F.sum("n").alias("total"))
+    known = counts.where((F.col("n") >= min_count) & (F.col("caps") / F.col("n") < cap_threshold)).join(ref.where("ref_pct > 0"), "word")
+    found = known.join(sizes, F.col("work").eqNullSafe(F.col("w"))).withColumn("book", F.col("n") / F.col("total")).withColumn("ratio", F.col("book") / F.col("ref_pct")).where("ratio > 1")
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("work").orderBy(F.desc("ratio"), "at"))).where(F.col("rank") <= top_n)
+    return best.select("work", F.col("rank").cast("long").alias("rank"), "word", "n", (F.col("caps") / F.col("n")).alias("cap_ratio"), (F.col("book") * 100).alias("book_pct"), (F.col("ref_pct") * 100).alias("ref_pct"), ((F.col("ratio") - 1) * 100).alias("deviation_pct"))
+
+
+def report(texts: DataFrame, ref: DataFrame, **limits) -> DataFrame:
+    """Each text (work, text) on its own against a loaded list; a text that is null or has no words has no rows and stops no other."""
+    return ranked(word_counts(texts.select("work", "text", F.lit(0).alias("part"))), ref, **limits)
+
+
+def by_source(documents: DataFrame) -> DataFrame:
     """Each source's English documents against the word frequencies of all English documents."""
-    toks = d.exploded("source as work, doc_id", d.matches("coalesce(text, '')", WORD), f"(select * from {documents} where lang = 'en') x")
-    return f"""with t0 as ({toks}), toks as (select work, doc_id * 1000000 + i as pos, tok from t0),
-    freq as (select lower(tok) as word, count(*) as n from toks group by lower(tok)),
-    ref as (select word, n * 1.0e0 / sum(n) over () as ref_pct from freq),
-    {ranked(d)}"""
+    counts = word_counts(documents.where("lang = 'en'").select(F.col("source").alias("work"), "text", F.col("doc_id").alias("part")))
+    return ranked(counts, frequencies(counts))

@@ -12,34 +12,47 @@ from quillspark.sources import sinks
 from quillspark.sources.tables import read_table, spread
 
 
-def works(table: str) -> str:
-    return f"with works as (select doc_id as work, text from {table}),\n"
+#: SQL of `works` for the checking engine: documents, and conversations written out as speech.
+WORKS = {
+    "documents": "with works as (select doc_id as work, text from documents),\n",
+    "conversations": """with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as t from conversations),
+works as (select conv_id as work, string_agg('“' || upper(substr(t, 1, 1)) || substr(t, 2) || '.” ' || role || ' said. I heard it.', chr(10) order by turn, role, t) as text from turns group by conv_id),\n""",
+}
 
 
 def table(sf_dir: str, name: str) -> str:
     return f"parquet.`{sf_dir}/{name}.parquet`"
 
 
-def add(name: str, sql) -> None:
-    """sql: from a dialect and a function of table names to the query."""
+def docs_as_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("work"), "text"))
+
+
+def speech_as_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as works in which every turn is quoted speech, its speaker and a narrator."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("t"))
+    line = lambda x: F.concat(F.lit("“"), F.upper(F.substring(x["t"], 1, 1)), F.substring(x["t"], F.lit(2), F.length(x["t"])), F.lit(".” "), x["role"], F.lit(" said. I heard it."))
+    rows = turns.groupBy(F.col("conv_id").alias("work")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "t"))).alias("x"))
+    return rows.select("work", F.array_join(F.transform("x", line), "\n").alias("text"))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql(Spark(), lambda t: table(sf_dir, t)))
 
-    run.__name__ = name
-    QUERIES[name], ORACLES[name] = run, sql(Duck(), lambda t: t)
+READERS = {"documents": docs_as_works, "conversations": speech_as_works}
 
 
-def add_family(which: str) -> None:
+def add_family(which: str, table: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return features.family(docs_as_works(spark, sf_dir), which)
+        return features.family(READERS[table](spark, sf_dir), which)
 
-    QUERIES[f"features_{which}"], ORACLES[f"features_{which}"] = run, works("documents") + features_sql.family(Duck(), which)
+    name = f"features_{which}" if table == "documents" else f"features_{which}_{table}"
+    QUERIES[name], ORACLES[name] = run, WORKS[table] + features_sql.family(Duck(), which)
 
 
 for which in features.FAMILIES:
-    add_family(which)
-add("overuse_by_source", lambda d, t: overuse.by_source(d, t("documents")))
+    add_family(which, "documents")
+for which in ("dialogue", "narration", "sentences1", "tokens1"):
+    add_family(which, "conversations")
+
+
 def register(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = f
@@ -50,10 +63,6 @@ def register(name: str, sql: str | None = None):
     return put
 
 
-def docs_as_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("work"), "text"))
-
-
 @register("clean_line_rules", cleaner_sql.LINE_RULES)
 def clean_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaner.line_rules(docs_as_works(spark, sf_dir)).withColumnRenamed("work", "doc_id")
@@ -74,14 +83,53 @@ def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.report(cleaner.clean(docs_as_works(spark, sf_dir)))
 
 
-@register("quote_spans")
+def spans_sql(table: str, ctes: list[tuple[str, str]], last: str) -> str:
+    return WORKS[table] + ",\n".join(f"{n} as ({q})" for n, q in ctes) + f"\nselect work, cast(b as integer) as begin, cast(e as integer) as \"end\" from {last}"
+
+
+@register("quote_spans", spans_sql("documents", features_sql.quote_ctes(features_sql.QUOTE_PATTERNS) + features_sql.merged_ctes(), "merged"))
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.quote_spans(docs_as_works(spark, sf_dir))
 
 
-@register("dialogue_spans")
+@register("quote_spans_conversations", spans_sql("conversations", features_sql.quote_ctes(features_sql.QUOTE_PATTERNS) + features_sql.merged_ctes(), "merged"))
+def speech_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.quote_spans(speech_as_works(spark, sf_dir))
+
+
+@register("dialogue_spans", spans_sql("conversations", features_sql.quote_ctes(features_sql.DIALOGUE_PATTERNS), "found"))
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dialogue_spans(docs_as_works(spark, sf_dir))
+    return spans.dialogue_spans(speech_as_works(spark, sf_dir))
+
+
+OVERUSE = r"""counted as (select work, lower(tok) as word, count(*) as n, count(*) filter (regexp_matches(tok, '^[A-Z]')) as caps, min((part, i)) as first_at from toks group by work, lower(tok)),
+shares as (select *, n * 1.0e0 / sum(n) over (partition by work) as book from counted),
+ratios as (select work, word, n, caps * 1.0e0 / n as cap_ratio, book, r.ref_pct, book / r.ref_pct as ratio, first_at from shares join ref r using (word) where n >= 5 and caps * 1.0e0 / n < 0.9e0 and r.ref_pct > 0),
+ranks as (select *, row_number() over (partition by work order by ratio desc, first_at) as rank from ratios where ratio > 1)
+select work, cast(rank as bigint) as rank, word, cast(n as bigint) as n, cap_ratio, book * 100 as book_pct, ref_pct * 100 as ref_pct, (ratio - 1) * 100 as deviation_pct from ranks where rank <= 10"""
+OVERUSE_WORDS = "regexp_extract_all(coalesce(text, ''), '[A-Za-z'']+')"
+
+
+@register(
+    "overuse_by_source",
+    f"""with toks as (select source as work, doc_id as part, unnest(range(len(w))) as i, unnest(w) as tok from (select source, doc_id, {OVERUSE_WORDS} as w from documents where lang = 'en')),
+freq as (select lower(tok) as word, count(*) as n from toks group by lower(tok)), ref as (select word, n * 1.0e0 / (select count(*) from toks) as ref_pct from freq),
+{OVERUSE}""",
+)
+def overuse_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overuse.by_source(spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")))
+
+
+@register(
+    "overuse_against_list",
+    f"""with toks as (select doc_id as work, 0 as part, unnest(range(len(w))) as i, unnest(w) as tok from (select doc_id, {OVERUSE_WORDS} as w from documents)),
+listed as (select lower(unnest({OVERUSE_WORDS})) as word from benchmark), ref as (select word, count(*) * 1.0e0 / (select count(*) from listed) as ref_pct from listed group by word),
+{OVERUSE}""",
+)
+def overuse_against_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document on its own against a loaded list: here the words of the benchmark."""
+    listed = overuse.word_counts(read_table(spark, sf_dir, "benchmark").select(F.lit(0).alias("work"), "text", F.lit(0).alias("part")))
+    return overuse.report(docs_as_works(spark, sf_dir), overuse.frequencies(listed))
 
 
 @register("first_sentence", r"""with t as (select doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as x from documents),
@@ -101,13 +149,53 @@ count(score) * 100.0e0 / count(*) as concreteness_coverage_percent, coalesce(avg
 from c left join v on c.lower = v.word left join r on c.lower = r.word group by work, chunk_id"""
 
 
+def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """work, chunk_id, i, lower and lemma of the words of documents."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0))
+    return docs_as_works(spark, sf_dir).select("work", F.posexplode(found).alias("i", "tok")).select("work", F.floor(F.col("i") / 100).alias("chunk_id"), "i", F.lower("tok").alias("lower"), F.lower("tok").alias("lemma"))
+
+
 def tokens(d, name: str, key: str, table: str) -> str:
     return d.exploded(key, d.matches("coalesce(text, '')", r"\p{L}+"), table)
 
 
 @register("lexical_coverage", COVERAGE.replace("{tokens}", tokens(Duck(), "", "doc_id", "documents")).replace("{vocabulary}", tokens(Duck(), "", "item_id", "benchmark")))
 def lexical_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.sql(tokens(Spark(), "", "doc_id", table(sf_dir, "documents"))).select(F.col("doc_id").alias("work"), F.floor(F.col("i") / 100).alias("chunk_id"), F.lower("tok").alias("lower"), F.lower("tok").alias("lemma"))
+    words = chunk_words(spark, sf_dir)
     vocabulary = spark.sql(tokens(Spark(), "", "item_id", table(sf_dir, "benchmark"))).select(F.lower("tok").alias("word")).distinct()
     ratings = vocabulary.where("length(word) > 4").select("word", F.expr("length(word) * 0.25d").alias("score"))
     return lexical.coverage(words, vocabulary, ratings)
+
+
+def long_sql(features: list[str], totals: dict[str, str], chunks: str) -> str:
+    """The checking engine's statistics by work: a row per metric."""
+    parts = [(f"{f}_{name}", f"floor({how}({f}) * 10000 + 0.5e0 + 1e-9) / 10000") for f in features for name, how in (("avg", "avg"), ("min", "min"), ("max", "max"), ("sd", "stddev_pop"))]
+    parts += [*totals.items(), ("token_total", "sum(n_words)"), ("chunk_count_used", "count(*)")]
+    return " union all ".join(f"select work, '{name}' as metric, cast({e} as double) as value from {chunks} group by work" for name, e in parts)
+
+
+COVERAGE_SQL = ORACLES["lexical_coverage"]
+COVERAGE_TOTALS = {"oov_total": "sum(n_words - n_in)", "in_list_total": "sum(n_in)", "concreteness_matched_total": "sum(n_rated)"}
+
+
+@register("lexical_stats", f"with k as ({COVERAGE_SQL}), chunks as (select *, round(in_list_per100 * n_words / 100) as n_in, round(concreteness_coverage_percent * n_words / 100) as n_rated from k) " + long_sql(lexical.COVERAGE_FEATURES, COVERAGE_TOTALS, "chunks"))
+def lexical_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.coverage_stats(lexical_coverage(spark, sf_dir))
+
+
+#: Scores of a stand-in for the models: by the letters of a chunk, and by the length of each word.
+MODEL_SQL = r"""with w as (select doc_id as work, unnest(range(len(t))) as i, unnest(t) as tok from (select doc_id, regexp_extract_all(coalesce(text, ''), '\p{L}+') as t from documents)),
+c as (select work, cast(floor(i / 100) as bigint) as chunk_id, count(*) as n_words, sum(length(tok)) % 101 / 100.0e0 as p, sum(case when length(tok) % 10 >= 5 then 1 else 0 end) as positive, sum(length(tok) % 10) / 10.0e0 as mass from w group by work, cast(floor(i / 100) as bigint)),
+chunks as (select work, chunk_id, n_words, p as humor_prob, 1 - p as nonhumor_prob, case when p >= 0.5 then 1 else 0 end as humor_label, 100.0e0 * positive / n_words as metaphor_word_percent, mass / n_words as metaphor_prob_mean, positive as metaphor_words_total from c)
+"""
+MODEL_FEATURES = ["humor_prob", "nonhumor_prob", "humor_label", "metaphor_word_percent", "metaphor_prob_mean", "metaphor_words_total"]
+
+
+@register("model_scores", MODEL_SQL + long_sql(MODEL_FEATURES, {"humor_chunks_positive_total": "sum(humor_label)", "metaphor_words_positive_total": "sum(metaphor_words_total)"}, "chunks"))
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The post-processing of model outputs over stand-in outputs: a label score per chunk, two pieces per word."""
+    chunks = chunk_words(spark, sf_dir).groupBy("work", "chunk_id").agg(F.sum(F.length("lower")).alias("letters"), F.array_sort(F.collect_list(F.struct("i", "lower"))).alias("x"))
+    prob = "(length(y.lower) % 10) / 10.0d"
+    pieces = F.expr(f"flatten(transform(x, (y, k) -> array(struct(k as word_ix, {prob} as prob), struct(k as word_ix, {prob} as prob))))")
+    scored = chunks.select("work", "chunk_id", F.size("x").alias("n_words"), F.expr("array(struct('LABEL_1' as label, letters % 101 / 100.0d as score))").alias("predictions"), pieces.alias("pieces"))
+    return lexical.model_stats(lexical.metaphor(lexical.humor(scored)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,13 +17,49 @@ def wide(stats: DataFrame, works: list[str], order: list[str] | None = None) ->
     return out.orderBy("metric")
 
 
+def one_file(df: DataFrame, path: str, fmt: str, **options) -> None:
+    """df, in its order, as one file of exactly that name; folders above it are made."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, folder = hadoop.Path(path), hadoop.Path(path + ".parts")
+    df.coalesce(1).write.format(fmt).options(**options).mode("overwrite").save(folder.toString())
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    fs.delete(target, False)
+    fs.rename(part, target)
+    fs.delete(folder, True)
+
+
 def write_feature_csv(stats: DataFrame, works: list[str], path: str, order: list[str] | None = None) -> None:
-    wide(stats, works, order).coalesce(1).write.csv(path, header=True, mode="overwrite")
+    """A row per metric in the given order, a column per work."""
+    one_file(wide(stats, works, order), path, "csv", header=True, encoding="UTF-8")
+
+
+def write_first_sentences(sentences: DataFrame, works: list[str], numbers: str, texts: str | None = None) -> None:
+    """The two lengths of each work's first sentence as a feature table, and, where asked for, its text, a row per work by name."""
+    lengths = ["n_words_first_sentence", "n_chars_first_sentence"]
+    long = sentences.withColumnRenamed("text_name", "work").unpivot("work", [F.col(c).cast("double").alias(c) for c in lengths], "metric", "value")
+    write_feature_csv(long, works, numbers, lengths)
+    if texts:
+        one_file(sentences.select("text_name", "first_sentence", *lengths).orderBy("text_name"), texts, "csv", header=True, encoding="UTF-8", quoteAll=True)
 
 
 def write_texts(cleaned: DataFrame, path: str) -> None:
-    """One folder per work; a work's text is one file of that folder."""
-    cleaned.select("work", F.col("cleaned").alias("value")).write.partitionBy("work").option("lineSep", "\n").mode("overwrite").text(path)
+    """A file {work}_cleaned.txt for each work, written in parallel; then only names are moved on the driver."""
+    spark, staged = cleaned.sparkSession, path.rstrip("/") + "/.works"
+    rows = cleaned.select("work", F.col("cleaned").alias("value")).repartition("work")
+    rows.write.partitionBy("work").option("lineSep", "\n").mode("overwrite").text(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(staged)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for own in fs.listStatus(folder):
+        name = own.getPath().getName()
+        if own.isDirectory() and name.startswith("work="):
+            part = next(x.getPath() for x in fs.listStatus(own.getPath()) if x.getPath().getName().startswith("part-"))
+            target = hadoop.Path(path, f"{unquote(name.removeprefix('work='))}_cleaned.txt")
+            fs.delete(target, False)
+            fs.rename(part, target)
+    fs.delete(folder, True)
 
 
 def zip_texts(cleaned: DataFrame, path: str) -> None:

@@ -10,16 +10,33 @@ MISSING = ("", "#n/a", "n/a", "na", "nan", "none", "null")
 
 
 def _texts(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    # undecodable bytes become U+FFFD, which goes
-    return reader.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("text"))
+    return reader.text(path, wholetext=True).select(file_name().alias("file_name"), decoded("value").alias("text"))
+
+
+def file_name() -> Column:
+    """The name of a row's file as it is, not as a URI has it."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def decoded(column: str) -> Column:
+    """Undecodable bytes become U+FFFD, which goes."""
+    return F.replace(F.make_valid_utf8(column), F.lit("�"), F.lit(""))
+
+
+def some(files: DataFrame, what: str) -> DataFrame:
+    """files, or an error where there are none."""
+    if files.isEmpty():
+        raise FileNotFoundError(f"no {what}")
+    return files
 
 
 def read_raw(spark: SparkSession, folder: str, start: int = 1, end: int = 2**31 - 1) -> DataFrame:
-    """book_no, file_name, text of the numbered .txt files directly in a folder, within [start, end]."""
-    return numbered(_texts(spark, folder, "*.[tT][xX][tT]")).where(F.col("book_no").between(start, end))
+    """book_no, file_name, text of the numbered .txt files directly in a folder, within [start, end]; none is an error."""
+    files = numbered(_texts(spark, folder, "*.[tT][xX][tT]")).where(F.col("book_no").between(start, end))
+    return some(files, f"numbered text from {start} to {end} in {folder}")
 
 
 def skipped(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,9 +49,9 @@ def numbered(files: DataFrame) -> DataFrame:
 
 
 def read_works(spark: SparkSession, paths, pattern: str = "*_cleaned.txt") -> DataFrame:
-    """work, text of cleaned files in a folder or of an explicit list of paths; a path that isn't there is an error of the reader."""
-    files = _texts(spark, paths, None if isinstance(paths, list) else pattern)
-    return files.select(F.regexp_replace("file_name", r"_cleaned\.txt", "").alias("work"), "text")
+    """work, text of cleaned files in a folder or of an explicit list of paths; a path that isn't there is an error of the reader, and so is a folder without any."""
+    files = some(_texts(spark, paths, None if isinstance(paths, list) else pattern), f"file {pattern} in {paths}")
+    return files.select(F.regexp_replace("file_name", r"_cleaned\.txt$|\.txt$", "").alias("work"), "text")
 
 
 def number(c: Column) -> Column:

@@ -1,10 +1,11 @@
 import duckdb
 import pytest
 
-from quillspark.operators import cleaner, features, lexical, spans, trees
+from quillspark.operators import cleaner, features, lexical, overuse, spans, trees
 from quillspark.plans import catalog
 from quillspark.plans.dialect import Spark
 from quillspark.sources import sinks, texts
+from quillspark.streaming import works
 
 
 def clean(spark, text, **more):
@@ -131,9 +132,9 @@ def test_lexical(spark):
 
 
 def test_sources_and_sinks(spark, tmp_path):
-    (tmp_path / "12_title_here.txt").write_bytes(b"a\xff b")
+    (tmp_path / "12_title_here.txt").write_bytes(b"a\xff b\nc")
     (tmp_path / "notes.TXT").write_text("x")
-    assert [(r.book_no, r.text) for r in texts.read_raw(spark, str(tmp_path)).collect()] == [(12, "a b")]
+    assert [(r.book_no, r.text) for r in texts.read_raw(spark, str(tmp_path)).collect()] == [(12, "a b\nc")]
     assert [r.file_name for r in texts.skipped(spark, str(tmp_path)).collect()] == ["notes.TXT"]
     f = tmp_path / "freq.tsv"
     f.write_text("Rank\t Word\tCount (per billion)\n1\ta\t10\n2\tA\t30\n3\tb\t60\n4\tnull\t5\n5\tc\tx\n")
@@ -148,11 +149,49 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.totals(out).first().files == 1 and (tmp_path / "z.zip").exists()
 
 
-@pytest.mark.parametrize("name", ["overuse_by_source", "features_richness", "clean_line_rules", "first_sentence", "lexical_coverage"])
+def test_written_works_are_read_again(spark, tmp_path):
+    works = spark.createDataFrame([("1_a b=c", "The cat sat on the mat.\nIt slept."), ("2_b", "")], "work string, text string")
+    sinks.write_texts(cleaner.clean(works), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["1_a b=c_cleaned.txt", "2_b_cleaned.txt"]
+    assert {(r.work, r.text.strip()) for r in texts.read_works(spark, str(tmp_path / "out")).collect()} == {("1_a b=c", "The cat sat on the mat.\nIt slept."), ("2_b", "")}
+    assert texts.read_works(spark, [str(tmp_path / "out" / "2_b_cleaned.txt")]).count() == 1
+    for read in (lambda: texts.read_works(spark, str(tmp_path), "*.none"), lambda: texts.read_raw(spark, str(tmp_path / "out"), 5, 9)):
+        with pytest.raises(FileNotFoundError):
+            read()
+
+
+def test_feature_tables(spark, tmp_path):
+    works = spark.createDataFrame([("b", "Stop! he said."), ("a", "“Why, then?” Because.")], "work string, text string")
+    stats = features.family(works, "richness")
+    sinks.write_feature_csv(stats, ["a", "b"], str(tmp_path / "x" / "f.csv"), ["ttr_word_avg", "token_total"])
+    assert (tmp_path / "x" / "f.csv").read_text() == "metric,a,b\nttr_word_avg,100.0,100.0\ntoken_total,3.0,3.0\n"
+    sinks.write_first_sentences(spans.first_sentence(works), ["a", "b"], str(tmp_path / "n.csv"), str(tmp_path / "t.csv"))
+    assert (tmp_path / "n.csv").read_text() == "metric,a,b\nn_words_first_sentence,2.0,1.0\nn_chars_first_sentence,12.0,5.0\n"
+    assert [line.split(",")[0] for line in (tmp_path / "t.csv").read_text().splitlines()] == ['"text_name"', '"a"', '"b"']
+
+
+def test_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1_x.txt").write_bytes(b"The cat\xff sat on the mat.\nAll day it sat.")
+    works.clean_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    (tmp_path / "in" / "2_y.txt").write_text("It slept all day.")
+    works.clean_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert {(r.work, r.cleaned) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("1_x", "The cat sat on the mat.\nAll day it sat."), ("2_y", "It slept all day.")}
+
+
+def test_overuse(spark):
+    docs = spark.createDataFrame([("a", "the cat the cat the cat the cat the cat dog dog dog dog dog Bob Bob Bob Bob Bob"), ("b", None), ("c", "the")], "work string, text string")
+    ref = spark.createDataFrame([("the", 0.5), ("cat", 0.1), ("dog", 0.1), ("bob", 0.1), ("zero", 0.0)], "word string, ref_pct double")
+    out = overuse.report(docs, ref)
+    assert [(r.work, r.rank, r.word, r.n, round(r.deviation_pct, 6)) for r in out.orderBy("rank").collect()] == [("a", 1, "cat", 5, 150.0), ("a", 2, "dog", 5, 150.0)]
+    assert [r.line for r in sinks.overuse_lines(out).collect()][0] == "1. cat 150.0% (text 25.0000% vs ref 10.0000%, count 5, cap_ratio 0.00)"
+
+
+@pytest.mark.parametrize("name", ["overuse_by_source", "overuse_against_list", "features_richness", "features_tokens1", "features_sentences1_conversations", "features_narration_conversations", "features_dialogue_conversations", "quote_spans_conversations", "dialogue_spans", "clean_line_rules", "clean_text_rules", "first_sentence", "lexical_coverage", "lexical_stats", "model_scores"])
 def test_oracles(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = catalog.QUERIES[name](spark, sf).toPandas()
     want = con.execute(catalog.ORACLES[name]).df()[list(got.columns)]

@@ -63,8 +63,18 @@ def humor(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def metaphor(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """From sub-word probabilities (pieces: array of word_ix and prob; n_words) to word shares; words cut off count as 0."""
-    probs = "transform(sequence(0, n_words - 1), k -> coalesce(aggregate(filter(pieces, p -> p.word_ix = k), cast(0 as double), (a, p) -> a + p.prob) / nullif(size(filter(pieces, p -> p.word_ix = k)), 0), 0))"
-    out = scored.withColumn("_p", F.expr(f"if(n_words > 0, {probs}, cast(array() as array<double>))"))
-    hits = F.expr(f"size(filter(_p, x -> x >= {threshold}))")
-    return out.select("*", hits.alias("metaphor_words_total"), F.expr(f"if(n_words > 0, 100 * size(filter(_p, x -> x >= {threshold})) / n_words, 0)").alias("metaphor_word_percent"), F.expr("if(n_words > 0, aggregate(_p, cast(0 as double), (a, x) -> a + x) / n_words, 0)").alias("metaphor_prob_mean")).drop("_p")
+    """From sub-word probabilities (pieces: array of word_ix and prob; n_words) to word shares; words cut off count as 0.
+
+    Pieces are folded once in the order of their words, a word's probability being the mean of its pieces.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0, the probability of words cut off")
+    mean = "if(a.n > 0, a.s / a.n, cast(0 as double))"
+    closed = f"a.hits + if({mean} >= {threshold}, 1, 0) as hits, a.mass + {mean} as mass"
+    state = "struct(-1 as ix, cast(0 as double) as s, 0 as n, 0 as hits, cast(0 as double) as mass)"
+    step = f"(a, p) -> if(p.ix = a.ix, struct(a.ix as ix, a.s + p.prob as s, a.n + 1 as n, a.hits as hits, a.mass as mass), struct(p.ix as ix, p.prob as s, 1 as n, {closed}))"
+    known = "array_sort(transform(filter(pieces, p -> p.word_ix >= 0 and p.word_ix < n_words), p -> struct(cast(p.word_ix as int) as ix, cast(p.prob as double) as prob)))"
+    name = next(x for x in ("_p", "__p", "___p") if x not in scored.columns)
+    out = scored.withColumn(name, F.expr(f"aggregate({known}, {state}, {step}, a -> struct({closed}))"))
+    share = lambda x: F.expr(f"if(n_words > 0, {x} / n_words, cast(0 as double))")
+    return out.select("*", F.expr(f"coalesce({name}.hits, 0)").alias("metaphor_words_total"), share(f"100 * coalesce({name}.hits, 0)").alias("metaphor_word_percent"), share(f"coalesce({name}.mass, 0)").alias("metaphor_prob_mean")).drop(name)

@@ -1,3 +1,5 @@
+import zipfile
+
 import duckdb
 import pytest
 
@@ -179,6 +181,16 @@ def test_stream(spark, tmp_path):
     assert {(r.work, r.cleaned) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("1_x", "The cat sat on the mat.\nAll day it sat."), ("2_y", "It slept all day.")}
 
 
+def test_spreadsheet(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "r.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Word</t></si><si><t>Conc.M</t></si><si><r><t>do</t></r><r><t>g</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2" t="s"><v>2</v></c><c r="B2"><v>9</v></c><c r="C2"><v>4.5</v></c></row><row><c r="A3" t="inlineStr"><is><t>Cat</t></is></c></row></sheetData></worksheet>')
+    table = texts.read_spreadsheet(spark, str(tmp_path / "r.xlsx"))
+    assert table.columns == ["Word", "Conc.M"] and [tuple(r) for r in table.collect()] == [("dog", "4.5"), ("Cat", None)]
+    assert [tuple(r) for r in texts.concreteness(table).collect()] == [("dog", 4.5)]
+
+
 def test_overuse(spark):
     docs = spark.createDataFrame([("a", "the cat the cat the cat the cat the cat dog dog dog dog dog Bob Bob Bob Bob Bob"), ("b", None), ("c", "the")], "work string, text string")
     ref = spark.createDataFrame([("the", 0.5), ("cat", 0.1), ("dog", 0.1), ("bob", 0.1), ("zero", 0.0)], "word string, ref_pct double")

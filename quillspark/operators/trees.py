@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from quillspark.operators.lexical import chunk_stats
 
 #: Clause relations, and words that head a free relative.
 CLAUSES = ("ccomp", "xcomp", "advcl", "acl", "relcl")
@@ -32,3 +34,19 @@ def clause_features(tokens: DataFrame) -> DataFrame:
         F.expr(f"exists(t, x -> x.pos = 'ADJ' and exists(t, y -> {that} and {within('x.tok_i')}) and exists(t, y -> {finite} and {within('x.tok_i')}))").alias("that_adj_ccomp"),
         F.expr(f"exists(t, x -> x.lemma in {FREE} and exists(t, y -> {finite} and {within(top)}))").alias("wh_free_rel"),
     )
+
+
+CLAUSE_FLAGS = ["that_verb_ccomp", "that_adj_ccomp", "wh_free_rel"]
+
+
+def clause_stats(tokens: DataFrame, chunk: int = 100) -> DataFrame:
+    """work, metric, value of the three features per 100 words: a sentence counts in the chunk of its first word."""
+    flags = clause_features(tokens)
+    order = W.partitionBy("work").orderBy("sent_id", "tok_i")
+    words = tokens.where("pos not in ('SPACE', 'PUNCT')").select("work", "sent_id", (F.row_number().over(order) - 1).alias("ix"))
+    sizes = words.groupBy("work", F.floor(F.col("ix") / chunk).alias("chunk_id")).agg(F.count("*").alias("n_words"))
+    first = words.groupBy("work", "sent_id").agg(F.floor(F.min("ix") / chunk).alias("chunk_id"))
+    hits = flags.join(first, ["work", "sent_id"]).groupBy("work", "chunk_id").agg(*[F.sum(F.col(f).cast("int")).alias(f) for f in CLAUSE_FLAGS])
+    rated = sizes.join(hits, ["work", "chunk_id"], "left").select("work", "chunk_id", "n_words", *[F.coalesce(f, F.lit(0)).alias(f"{f}_total") for f in CLAUSE_FLAGS])
+    rated = rated.select("*", *[(F.col(f"{f}_total") * 100 / F.col("n_words")).alias(f"{f}_per100") for f in CLAUSE_FLAGS])
+    return chunk_stats(rated, [f"{f}_per100" for f in CLAUSE_FLAGS], {f"{f}_total": f"sum({f}_total)" for f in CLAUSE_FLAGS})

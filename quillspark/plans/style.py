@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.operators import cleaner, features, lexical, overuse, spans
+from quillspark.operators import cleaner, features, lexical, overuse, spans, trees
 from quillspark.plans import cleaner_sql, features_sql
 from quillspark.plans.dialect import Duck, Spark
 from quillspark.plans.registry import ORACLES, QUERIES
@@ -199,3 +199,37 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.expr(f"flatten(transform(x, (y, k) -> array(struct(k as word_ix, {prob} as prob), struct(k as word_ix, {prob} as prob))))")
     scored = chunks.select("work", "chunk_id", F.size("x").alias("n_words"), F.expr("array(struct('LABEL_1' as label, letters % 101 / 100.0d as score))").alias("predictions"), pieces.alias("pieces"))
     return lexical.model_stats(lexical.metaphor(lexical.humor(scored)))
+
+
+#: A stand-in for a parser over the documents' words: sentences of 12 words, each word under the one at half its place.
+PARSED = {
+    "sent_id": "cast(i {div} 12 as int)",
+    "tok_i": "cast(i as int)",
+    "lemma": "case when i % 12 in (2, 9) then 'that' when i % 12 = 7 and length(tok) % 2 = 0 then 'what' else tok end",
+    "pos": "case when length(tok) % 4 = 0 then 'VERB' when length(tok) % 4 = 1 then 'ADJ' when length(tok) % 4 = 2 then 'NOUN' else 'AUX' end",
+    "dep": "case when i % 12 = 0 then 'ROOT' when i % 12 in (2, 9) and length(tok) % 3 > 0 then 'mark' when length(tok) % 3 = 0 then 'ccomp' when length(tok) % 5 = 0 then 'advcl' else 'nsubj' end",
+    "head_i": "cast((i {div} 12) * 12 + (i % 12) {div} 2 as int)",
+    "verbform": "case when length(tok) % 6 = 0 then 'Fin' else '' end",
+}
+PARSED_SQL = r"""with recursive w as (select doc_id as work, unnest(range(len(t))) as i, unnest(t) as tok from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '\p{L}+') as t from documents)),
+""" + f"t as (select work, {', '.join(f'{e.format(div="//")} as {n}' for n, e in PARSED.items())} from w),\n" + """up as (select work, sent_id, tok_i, tok_i as a, 0 as steps from t
+  union all select up.work, up.sent_id, up.tok_i, t.head_i, steps + 1 from up join t on t.work = up.work and t.tok_i = up.a where t.head_i <> t.tok_i),
+under as (select up.work, up.sent_id, up.a, max(case when t.dep = 'mark' and t.lemma = 'that' then 1 else 0 end) as holds_that, max(case when t.pos in ('AUX', 'VERB') and t.verbform = 'Fin' then 1 else 0 end) as holds_finite from up join t on t.work = up.work and t.tok_i = up.tok_i group by up.work, up.sent_id, up.a),
+clause as (select up.work, up.tok_i, min(steps) as steps from up join t on t.work = up.work and t.tok_i = up.a where t.dep in ('acl', 'advcl', 'ccomp', 'relcl', 'xcomp') and t.head_i <> t.tok_i group by up.work, up.tok_i),
+tops as (select x.work, x.sent_id, coalesce(up.a, x.tok_i) as a from t x left join clause c on c.work = x.work and c.tok_i = x.tok_i left join up on up.work = x.work and up.tok_i = x.tok_i and up.steps = c.steps where x.lemma in ('how', 'what', 'whatever', 'when', 'where', 'which', 'who', 'whoever', 'whom', 'why')),
+free as (select tops.work, tops.sent_id, max(holds_finite) as hit from tops join under u on u.work = tops.work and u.a = tops.a group by tops.work, tops.sent_id),
+verb as (select x.work, x.sent_id, max(holds_that) as hit from t x join t h on h.work = x.work and h.tok_i = x.head_i join under u on u.work = x.work and u.a = x.tok_i where x.dep = 'ccomp' and h.pos = 'VERB' group by x.work, x.sent_id),
+adj as (select x.work, x.sent_id, max(holds_that * holds_finite) as hit from t x join under u on u.work = x.work and u.a = x.tok_i where x.pos = 'ADJ' group by x.work, x.sent_id),
+sents as (select work, sent_id, cast(floor(min(tok_i) / 100) as bigint) as chunk_id from t group by work, sent_id),
+flagged as (select s.work, s.chunk_id, sum(coalesce(v.hit, 0)) as h0, sum(coalesce(a.hit, 0)) as h1, sum(coalesce(f.hit, 0)) as h2 from sents s left join verb v on v.work = s.work and v.sent_id = s.sent_id left join adj a on a.work = s.work and a.sent_id = s.sent_id left join free f on f.work = s.work and f.sent_id = s.sent_id group by s.work, s.chunk_id),
+sizes as (select work, cast(floor(tok_i / 100) as bigint) as chunk_id, count(*) as n_words from t group by work, cast(floor(tok_i / 100) as bigint)),
+chunks as (select sizes.work, n_words, coalesce(h0, 0) as t0, coalesce(h1, 0) as t1, coalesce(h2, 0) as t2, coalesce(h0, 0) * 100.0e0 / n_words as that_verb_ccomp_per100, coalesce(h1, 0) * 100.0e0 / n_words as that_adj_ccomp_per100, coalesce(h2, 0) * 100.0e0 / n_words as wh_free_rel_per100 from sizes left join flagged using (work, chunk_id))
+"""
+
+
+@register("clause_features", PARSED_SQL + long_sql([f"{f}_per100" for f in trees.CLAUSE_FLAGS], {f"{f}_total": f"sum(t{k})" for k, f in enumerate(trees.CLAUSE_FLAGS)}, "chunks"))
+def clause_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a parsed token table, over a stand-in parse of the documents."""
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    words = docs_as_works(spark, sf_dir).select("work", F.posexplode(found).alias("i", "tok"))
+    return trees.clause_stats(words.select("work", *[F.expr(e.format(div="div")).alias(n) for n, e in PARSED.items()]))

@@ -37,6 +37,19 @@ PIECES_PER_TASK = 200_000
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
 
 
+class Numbers(dict):
+    """Numbers words as they are first looked up, and lists those that are new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids of whole texts as the tokenizer gives them.
 
@@ -60,7 +73,7 @@ class WordEncoder:
         return Tokenizer.from_file(self.vocabulary)
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbers()
         self.ids, self.starts = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def normal(self, word: bytes) -> list[str]:
@@ -71,11 +84,11 @@ class WordEncoder:
         return [text] if text.isalpha() else self.find(text)
 
     def learn(self, new: list[bytes]) -> None:
-        parts = list(map(self.normal, new))
-        flat = [p.encode() for own in parts for p in own]
+        # bytes.isalpha() is true of A-Z and a-z only
+        parts = [[w.lower()] if w.isalpha() else [p.encode() for p in self.normal(w)] for w in new]
+        flat = [p for own in parts for p in own]
         ids, sizes = self.merger.merge(flat) if flat else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         bounds = np.r_[0, np.cumsum([len(own) for own in parts])]
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
         self.starts = np.r_[self.starts, self.starts[-1] + np.r_[0, np.cumsum(sizes)][bounds[1:]]]
 
@@ -85,9 +98,10 @@ class WordEncoder:
             self.clear()
         whole = {i: self.tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for i, t in enumerate(texts) if b"<|" in t and any(x in t for x in self.special)}
         words, bounds = split_words([b"" if i in whole else t for i, t in enumerate(texts)])
-        if new := list(set(words) - self.index.keys()):
-            self.learn(new)
         at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        if new := self.index.fresh:
+            self.learn(new)
+            new.clear()
         sizes = self.starts[at + 1] - self.starts[at]
         ends = np.r_[0, np.cumsum(sizes)]
         ids, cuts = self.ids[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])], ends[bounds]

@@ -206,7 +206,10 @@ class Symbols(dict):
     def __missing__(self, raw: bytes) -> int:
         if len(self) > MEMO_RAW:
             self.clear()
-        v = self.raw.get(raw.strip(EDGE_ASCII) or raw) if raw.isascii() else self.vocabulary.get(plain(raw))
+        if raw.isalpha():  # A-Z and a-z only
+            v = self.raw.get(raw)
+        else:
+            v = self.raw.get(raw.strip(EDGE_ASCII) or raw) if raw.isascii() else self.vocabulary.get(plain(raw))
         self[raw] = v = len(self.vocabulary) + zlib.crc32(raw) % OTHERS if v is None else v
         return v
 
@@ -232,7 +235,7 @@ def matches(texts: list[bytes], items: Items, symbols: Symbols) -> list[tuple[in
             if hi - lo < len(item) - most:
                 continue
             window = ids[lo:hi]
-            if items.share(i, window) * 2 < len(items.distinct[i]) - 2 * most:
+            if items.share(i, window) < len(items.distinct[i]) - most:  # each edit takes one of its words away at most
                 continue
             dist, b, e = edit_distance(item, window, most)
             if dist <= most and (dist, lo + b) < best.get((d, i), (most + 1, 0))[:2]:

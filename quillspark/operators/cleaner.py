@@ -79,13 +79,18 @@ def dropped_first(d: Spark, l: str) -> str:
     return "(" + " or ".join(tests) + ")"
 
 
+def crumb(d: Spark, l: str) -> str:
+    """Rule 31."""
+    s = trim(d, l)
+    return f"({s} <> '' and length({s}) <= 2 and not {d.like(s, '[A-Za-z0-9]')})"
+
+
 def dropped_second(d: Spark, l: str) -> str:
-    """Rules 28, 29 and 31."""
+    """Rules 28 and 29."""
     s = trim(d, l)
     heavy = f"({s} <> '' and not {d.like(l, r'^\s*[A-Z]')} and not {terminal(d, l)} and 1 - {d.count(s, '[A-Za-z]')} * 1.0e0 / greatest(length({s}), 1) > 0.5e0)"
     caps = f"({n_words(d, l)} between 1 and 12 and {all_caps(d, l)} and not {terminal(d, l)})"
-    crumb = f"({s} <> '' and length({s}) <= 2 and not {d.like(s, '[A-Za-z0-9]')})"
-    return f"({heavy} or {caps} or {crumb})"
+    return f"({heavy} or {caps})"
 
 
 def text_rules(d: Spark, x: str) -> str:
@@ -114,7 +119,7 @@ def line_rules(works: DataFrame) -> DataFrame:
     """work and cleaned: rules 11 to 26, then 28, 29 and 31, on the lines of a text."""
     d = Spark()
     first = d.keep(d.lines("coalesce(text, '')"), lambda l: f"not {dropped_first(d, l)}")
-    return works.select("work", F.expr(d.glue(d.keep(first, lambda l: f"not {dropped_second(d, l)}"))).alias("cleaned"))
+    return works.select("work", F.expr(d.glue(d.keep(first, lambda l: f"not ({dropped_second(d, l)} or {crumb(d, l)})"))).alias("cleaned"))
 
 
 def whole_text_rules(works: DataFrame) -> DataFrame:
@@ -163,11 +168,11 @@ def clean(raw: DataFrame, long_numbers_off: Column | None = None) -> DataFrame:
     around = "transform(_l, (l, k) -> struct(l as l, coalesce(get(_l, k - 1), '') as p, coalesce(get(_l, k + 1), '') as n))"
     # 27
     df = df.withColumn("_l", e(f"transform(filter({around}, x -> not ({d.like(trim(d, 'x.l'), r'^\d+\s+\S+')} and not {blank('x.p')} and not {blank('x.n')} and not {terminal(d, 'x.p')} and not {d.like('x.n', r'^\s*[A-Z]')})), x -> x.l)"))
-    # 28 and 29, 30, 31
+    # 28 and 29; 30 and 31
     df = df.withColumn("_l", e(f"filter(_l, l -> not {dropped_second(d, line)})"))
     title = f"({n_words(d, 'x.l')} between 1 and 6 and ({d.like('x.l', r'^\s*[A-Z]')} or {all_caps(d, 'x.l')}) and not {d.like('x.l', TERMINAL)})"
     alone = f"({blank('x.p')} and {blank('x.n')} and {n_words(d, 'x.l')} between 1 and 6 and {all_caps(d, 'x.l')})"
-    df = df.withColumn("_l", e(f"transform(filter({around}, x -> not ({title} or {alone})), x -> x.l)"))
+    df = df.withColumn("_l", e(f"filter(transform(filter({around}, x -> not ({title} or {alone})), x -> x.l), l -> not {crumb(d, line)})"))
     # 32 to 35: the first line that isn't blank
     at = f"(array_min(transform(filter(transform(_l, (l, k) -> struct(l as l, k as k)), x -> not {blank('x.l')}), x -> x.k)))"
     df = df.withColumn("_at", e(at)).withColumn("_l", e(f"case when {d.like(trim(d, 'get(_l, _at)'), r'^\([^()]*\)$')} then transform(filter(transform(_l, (l, k) -> struct(l as l, k as k)), x -> x.k != _at), x -> x.l) else _l end"))

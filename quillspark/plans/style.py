@@ -73,12 +73,12 @@ def clean_text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaner.whole_text_rules(docs_as_works(spark, sf_dir)).withColumnRenamed("work", "doc_id")
 
 
-@register("clean_full")
+@register("clean_full", cleaner_sql.CLEAN_FULL)
 def clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaner.clean(docs_as_works(spark, sf_dir)).select(F.col("work").alias("doc_id"), "cleaned")
 
 
-@register("clean_report")
+@register("clean_report", cleaner_sql.CLEAN_REPORT)
 def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.report(cleaner.clean(docs_as_works(spark, sf_dir)))
 

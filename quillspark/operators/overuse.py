@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from quillspark.sources.shared import cut
+
 WORD = "[A-Za-z']+"
 
 
@@ -27,7 +29,7 @@ def frequencies(counts: DataFrame) -> DataFrame:
 
 
 def ranked(counts: DataFrame, ref: DataFrame, top_n: int = 10, min_count: int = 5, cap_threshold: float = 0.90) -> DataFrame:
-    """The ranked report of word_counts() against a list (word, ref_pct).
+    """The ranked report of word_counts(), best cut off as it is read twice, against a list (word, ref_pct).
 
     Ties keep the order of first occurrence; proportions use all words of the work. A work
     without words over the limits has no rows.
@@ -41,10 +43,10 @@ def ranked(counts: DataFrame, ref: DataFrame, top_n: int = 10, min_count: int =
 
 def report(texts: DataFrame, ref: DataFrame, **limits) -> DataFrame:
     """Each text (work, text) on its own against a loaded list; a text that is null or has no words has no rows and stops no other."""
-    return ranked(word_counts(texts.select("work", "text", F.lit(0).alias("part"))), ref, **limits)
+    return ranked(cut(word_counts(texts.select("work", "text", F.lit(0).alias("part")))), ref, **limits)
 
 
 def by_source(documents: DataFrame) -> DataFrame:
     """Each source's English documents against the word frequencies of all English documents."""
-    counts = word_counts(documents.where("lang = 'en'").select(F.col("source").alias("work"), "text", F.col("doc_id").alias("part")))
+    counts = cut(word_counts(documents.where("lang = 'en'").select(F.col("source").alias("work"), "text", F.col("doc_id").alias("part"))))
     return ranked(counts, frequencies(counts))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -13,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspark.sources.shared import cut, shared_folder  # noqa: F401 (the pipeline takes both from here)
 from quillspark.sources.tables import read_table, spread
 
 #: Bytes of text that one vectorised step holds at a time; a longer text is a step of its own.
@@ -40,27 +39,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(df) if table in ("documents", "pages") else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none, a temporary one on a local master, an error on a cluster."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "quillspark-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder.
-
-    Its files go once nothing on the driver refers to the returned table any more.
-    """
-    shared_folder(df.sparkSession)
-    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    return df.checkpoint(eager=True)
-
-
 def remove_folder(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -51,4 +51,27 @@ g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
 select conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(chars as bigint) as formatted_chars from g"""
 
 
-ORACLES: dict[str, str] = {"op6_chat": _chat(), "op9_substring_dedup": SUBSTRINGS, "op10_quality": _quality()}
+def _manifest() -> str:
+    enc = lambda x: f"coalesce(strlen(cast({x} as varchar)) || ':' || cast({x} as varchar), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(enc, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    bits = "list_reduce(list_prepend(xor(c, x), range(8)), lambda v, k: if(v & 1 = 1, xor(v >> 1, 3988292384::bigint), v >> 1))"
+    crc = f"list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda c, x: {bits})"  # its last step, a complement, flips the parity
+    tree = lambda name, leaves: f"""{name} as (select tree, 0 as level, i, n, h from {leaves}
+union all select tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from {name} where n > 1 group by tree, level, i // 3, n)"""
+    sides = lambda name: f"""select a.tree, a.level, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as lo, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as hi
+from {name} a left join {name} b on b.tree = a.tree and b.level = a.level and b.i // 3 = a.i // 3 and b.i <> a.i where a.n > 1 group by all"""
+    return f"""with recursive d as (select *, {leaf('text')} as h, {leaf('found')} as at_hand from (select *, if({crc} % 2 = 1, replace(text, chr(10), ''), text) as found from documents)),
+l as (select doc_id, h, at_hand, dense_rank() over (order by source nulls first) - 1 as tree, row_number() over (partition by source order by doc_id nulls first, h) - 1 as i, count(*) over (partition by source) as n from d),
+{tree('up', 'l')},
+sub as (select -1 as tree, tree as i, (select count(distinct tree) from l) as n, h from up where n = 1),
+{tree('top', 'sub')},
+s as ({sides('up')} union all {sides('top')}),
+w as (select tree, doc_id, 0 as level, i, i as place, n, at_hand as fold, '' as proof, tree as src from l
+union all (select w.tree, doc_id, w.level + 1, w.i // 3, place, (n + 2) // 3, sha256(lo || fold || hi), proof || lo || hi, src from w join s on s.tree = w.tree and s.level = w.level and s.i = w.i
+union all select -1, doc_id, 0, src, place, (select count(*) from sub), fold, proof, src from w where n = 1 and tree >= 0)),
+f as (select * from w where tree = -1 and n = 1)
+select l.doc_id, l.h as leaf, sub.h as subroot, top.h as root, sha256(proof) as proof_sha256, fold as folded_root, fold = top.h as verified
+from f join l on l.tree = f.src and l.i = f.place join sub on sub.i = f.src join top on top.n = 1"""
+
+
+ORACLES: dict[str, str] = {"op13_manifest": _manifest(), "op6_chat": _chat(), "op9_substring_dedup": SUBSTRINGS, "op10_quality": _quality()}

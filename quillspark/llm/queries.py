@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import chat, decontaminate, html_extract, line_dedup, packing, quality, simhash, substring_dedup, token_counts, toxicity
+from quillspark.llm import chat, decontaminate, html_extract, line_dedup, manifest, packing, quality, simhash, substring_dedup, token_counts, toxicity
 from quillspark.llm.common import read
 
 
@@ -83,5 +83,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents")).select(*cols)
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaf, roots and proof of every document, and whether its text, line feeds of some being lost, verifies."""
+    found = manifest.without_line_feeds(F.col("doc_id"), F.col("text"))
+    return manifest.manifest(read(spark, sf_dir, "documents"), found=found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

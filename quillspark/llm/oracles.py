@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.llm.chat import CONTROL, END, TURN
+from quillspark.llm.collocations import LEAST, LONGEST, PERCENT, TOP
 from quillspark.llm.quality import FENCE, LEAST_DOCS, MEASURES
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -51,6 +52,22 @@ g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
 select conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(chars as bigint) as formatted_chars from g"""
 
 
+def _collocations() -> str:
+    grams = " union all ".join(f"select lang, {k} as k, array_to_string(ws[i : i + {k - 1}], ' ') as phrase, count(*) as a from (select lang, ws, unnest(range(1, len(ws) - {k - 2})) as i from p) group by all having count(*) >= {LEAST}" for k in range(1, LONGEST + 1))
+    return rf"""with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') as ws from (select lang, unnest(regexp_split_to_array(text, '[.,;:!?
+-]')) as piece from t)),
+n as (select lang, cast(sum(len(ws)) as bigint) as n from p group by lang),
+f as ({grams}),
+c as (select lang, phrase, k, a, unnest(range(1, k)) as cut, string_split(phrase, ' ') as ws from f where k > 1),
+s as (select c.lang, c.phrase, c.a, cut, h.a as l, t.a as r, n, cast(1000 * cast(c.a as hugeint) * n // (cast(h.a as hugeint) * t.a) as bigint) as score from c join n on n.lang = c.lang
+join f h on h.lang = c.lang and h.phrase = array_to_string(ws[:cut], ' ') join f t on t.lang = c.lang and t.phrase = array_to_string(ws[cut + 1 :], ' ')),
+best as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_ as (select lang, array_to_string(ws[b : b + size - 1], ' ') as phrase, max(a) as a from (select *, unnest(range(1, k - size + 2)) as b from (select lang, ws, k, a, unnest(range(2, k)) as size from c where cut = 1)) group by all),
+stay as (select best.* from best left join inner_ using (lang, phrase) where inner_.a is null or 100 * inner_.a < {PERCENT} * best.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n, score from stay qualify rank <= {TOP}"""
+
+
 def _manifest() -> str:
     enc = lambda x: f"coalesce(strlen(cast({x} as varchar)) || ':' || cast({x} as varchar), '-')"
     leaf = lambda text: "sha256(" + " || ".join(map(enc, ("doc_id", "source", "lang", "n_chars", text))) + ")"
@@ -74,4 +91,4 @@ select l.doc_id, l.h as leaf, sub.h as subroot, top.h as root, sha256(proof) as
 from f join l on l.tree = f.src and l.i = f.place join sub on sub.i = f.src join top on top.n = 1"""
 
 
-ORACLES: dict[str, str] = {"op13_manifest": _manifest(), "op6_chat": _chat(), "op9_substring_dedup": SUBSTRINGS, "op10_quality": _quality()}
+ORACLES: dict[str, str] = {"op11_collocations": _collocations(), "op13_manifest": _manifest(), "op6_chat": _chat(), "op9_substring_dedup": SUBSTRINGS, "op10_quality": _quality()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import chat, decontaminate, html_extract, line_dedup, manifest, packing, quality, simhash, substring_dedup, token_counts, toxicity
+from quillspark.llm import chat, collocations, decontaminate, html_extract, line_dedup, manifest, packing, quality, simhash, substring_dedup, token_counts, toxicity
 from quillspark.llm.common import read
 
 
@@ -83,6 +83,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents")).select(*cols)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of two to five words that score highest in each language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle leaf, roots and proof of every document, and whether its text, line feeds of some being lost, verifies."""
     found = manifest.without_line_feeds(F.col("doc_id"), F.col("text"))

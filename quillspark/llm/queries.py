@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm import chat, collocations, decontaminate, html_extract, line_dedup, manifest, packing, quality, simhash, substring_dedup, token_counts, toxicity
+from quillspark.llm import chat, classifier, collocations, decontaminate, html_extract, line_dedup, manifest, packing, quality, simhash, substring_dedup, token_counts, toxicity
 from quillspark.llm.common import read
 
 
@@ -88,6 +88,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from the labels that aren't held out."""
+    return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), label="quality", threshold=0.3)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle leaf, roots and proof of every document, and whether its text, line feeds of some being lost, verifies."""
     found = manifest.without_line_feeds(F.col("doc_id"), F.col("text"))

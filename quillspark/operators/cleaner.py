@@ -147,9 +147,9 @@ def clean(raw: DataFrame, long_numbers_off: Column | None = None) -> DataFrame:
     lowered = lambda x: f"concat(upper(left(lower({trim(d, x)}), 1)), substr(lower({trim(d, x)}), 2))"
 
     def head() -> str:
-        """Each line with its number and, for those that can be among the first ten, how many lines up to it aren't blank."""
-        tenth = f"coalesce(get(transform(filter(transform(_l, (l, k) -> struct(l as l, k as k)), y -> not {blank('y.l')}), y -> y.k), 10), size(_l))"
-        return let("tenth", tenth, f"transform(_l, (l, k) -> struct(l as l, k as k, if(k >= tenth, 99, size(filter(slice(_l, 1, k + 1), m -> not {blank('m')}))) as nb))")
+        """Each line with its number and, for those up to the tenth that isn't blank, how many lines up to it aren't (for others 99)."""
+        places = f"slice(filter(transform(_l, (l, k) -> if({blank('l')}, null, k)), k -> k is not null), 1, 10)"
+        return let("places", places, "transform(_l, (l, k) -> struct(l as l, k as k, if(k > coalesce(get(places, 9), size(_l)), 99, size(filter(places, p -> p <= k))) as nb))")
 
     # 6: leading short lines
     short = f"({trim(d, 'x.l')} <> '' and not {terminal(d, 'x.l')} and {n_words(d, 'x.l')} <= 3)"
@@ -170,7 +170,7 @@ def clean(raw: DataFrame, long_numbers_off: Column | None = None) -> DataFrame:
     df = df.withColumn("_l", e(f"transform(filter({around}, x -> not ({d.like(trim(d, 'x.l'), r'^\d+\s+\S+')} and not {blank('x.p')} and not {blank('x.n')} and not {terminal(d, 'x.p')} and not {d.like('x.n', r'^\s*[A-Z]')})), x -> x.l)"))
     # 28 and 29; 30 and 31
     df = df.withColumn("_l", e(f"filter(_l, l -> not {dropped_second(d, line)})"))
-    title = f"({n_words(d, 'x.l')} between 1 and 6 and ({d.like('x.l', r'^\s*[A-Z]')} or {all_caps(d, 'x.l')}) and not {d.like('x.l', TERMINAL)})"
+    title = f"({n_words(d, 'x.l')} between 1 and 6 and ({d.like('x.l', r'^\s*[A-Z]')} or {all_caps(d, 'x.l')}) and not {terminal(d, 'x.l')})"
     alone = f"({blank('x.p')} and {blank('x.n')} and {n_words(d, 'x.l')} between 1 and 6 and {all_caps(d, 'x.l')})"
     df = df.withColumn("_l", e(f"filter(transform(filter({around}, x -> not ({title} or {alone})), x -> x.l), l -> not {crumb(d, line)})"))
     # 32 to 35: the first line that isn't blank
@@ -179,7 +179,8 @@ def clean(raw: DataFrame, long_numbers_off: Column | None = None) -> DataFrame:
     prefix = r"^\s*((?:[^A-Za-z\s]*[A-Z](?:[^a-z\s])*(?:\s+|$)){1,5})"
     run = d.group1("l", prefix)
     first = f"case when {caps5('l')} then {lowered('l')} when {run} <> '' then concat(upper(left(lower({run}), 1)), substr(lower({run}), 2), {d.sub(trim(d, 'l'), prefix)}) else l end"
-    df = df.withColumn("_at", e(at)).withColumn("_l", e(f"transform(_l, (l, k) -> if(k = _at, {d.sub(f'({first})', r'^\s*\d+(?:[-—–]|\s+)(?=[A-Z])')}, l))"))
+    whole = let("l", "get(_l, _at)", d.sub(f"({first})", r"^\s*\d+(?:[-—–]|\s+)(?=[A-Z])"))
+    df = df.withColumn("_at", e(at)).withColumn("_l", e(f"if(_at is null, _l, concat(slice(_l, 1, _at), array({whole}), slice(_l, _at + 2, size(_l))))"))
     # 36 to 45: whole text again
     df = df.withColumn("_t", e(late_text_rules(d, "array_join(_l, '\\n')")))
     if long_numbers_off is not None:

@@ -1,20 +1,28 @@
-"""Lookups of words in loaded lists: out-of-vocabulary rate, concreteness, and model-scored chunks."""
+"""Lookups of words in loaded lists: out-of-vocabulary rate and concreteness; statistics of chunks by work."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 
+#: Words of the lists that may be broadcast to the texts' words (about 60 bytes each).
+BROADCAST_WORDS = 500_000
+
+
 def coverage(words: DataFrame, vocabulary: DataFrame, ratings: DataFrame) -> DataFrame:
     """Per chunk: out-of-list and in-list rates, and concreteness of words found by surface or else by lemma.
 
-    words: work, chunk_id, lower, lemma. Words are counted by chunk before they are looked up, and
-    the lists are joined by key: the planner broadcasts them below the session's limit, and
-    beyond it adaptive execution splits what a frequent word makes heavy.
+    words: work, chunk_id, lower, lemma. Lists of a counted size go to the words, which then are
+    added up by chunk where they are; longer lists are joined to words counted by chunk first, and adaptive execution
+    splits what a frequent word makes heavy.
     """
-    v = vocabulary.select(F.col("word").alias("lower"), F.lit(1).alias("known"))
-    by = lambda key, name: ratings.select(F.col("word").alias(key), F.col("score").alias(name))
-    counted = words.groupBy("work", "chunk_id", "lower", "lemma").agg(F.count("*").alias("k"))
+    vocabulary, ratings = vocabulary.select("word").distinct(), ratings.select("word", "score")
+    if vocabulary.count() + ratings.count() <= BROADCAST_WORDS:
+        small, counted = F.broadcast, words.select("work", "chunk_id", "lower", "lemma", F.lit(1).alias("k"))
+    else:
+        small, counted = (lambda df: df), words.groupBy("work", "chunk_id", "lower", "lemma").agg(F.count("*").alias("k"))
+    v = small(vocabulary.select(F.col("word").alias("lower"), F.lit(1).alias("known")))
+    by = lambda key, name: small(ratings.select(F.col("word").alias(key), F.col("score").alias(name)))
     j = counted.join(v, "lower", "left").join(by("lower", "s1"), "lower", "left").join(by("lemma", "s2"), "lemma", "left").withColumn("score", F.coalesce("s1", "s2"))
     n, of = F.sum("k"), lambda test: F.sum(F.when(test, F.col("k")).otherwise(0))
     return j.groupBy("work", "chunk_id").agg(
@@ -49,32 +57,6 @@ def coverage_stats(chunks: DataFrame) -> DataFrame:
 
 
 def model_stats(chunks: DataFrame) -> DataFrame:
-    """Statistics of humor() and metaphor() by work, with the numbers of chunks and words found positive."""
+    """Statistics of scoring.humor() and scoring.metaphor() by work, with the numbers of chunks and words found positive."""
     features = ["humor_prob", "nonhumor_prob", "humor_label", "metaphor_word_percent", "metaphor_prob_mean", "metaphor_words_total"]
     return chunk_stats(chunks, features, {"humor_chunks_positive_total": "sum(humor_label)", "metaphor_words_positive_total": "sum(metaphor_words_total)"})
-
-
-def humor(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """From predictions (array of label and score) to probability, complement and label; a missing label is 1 less the other."""
-    pick = lambda names: F.expr(f"get(filter(predictions, p -> upper(p.label) in {names}).score, 0)")
-    yes, no = pick("('HUMOR', 'LABEL_1')"), pick("('NO_HUMOR', 'LABEL_0')")
-    out = scored.withColumns({"humor_prob": F.coalesce(yes, 1 - no, F.lit(0.0)), "nonhumor_prob": F.coalesce(no, 1 - yes, F.lit(0.0))})
-    return out.withColumn("humor_label", (F.col("humor_prob") >= threshold).cast("int"))
-
-
-def metaphor(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """From sub-word probabilities (pieces: array of word_ix and prob; n_words) to word shares; words cut off count as 0.
-
-    Pieces are folded once in the order of their words, a word's probability being the mean of its pieces.
-    """
-    if threshold <= 0:
-        raise ValueError("the threshold must be above 0, the probability of words cut off")
-    mean = "if(a.n > 0, a.s / a.n, cast(0 as double))"
-    closed = f"a.hits + if({mean} >= {threshold}, 1, 0) as hits, a.mass + {mean} as mass"
-    state = "struct(-1 as ix, cast(0 as double) as s, 0 as n, 0 as hits, cast(0 as double) as mass)"
-    step = f"(a, p) -> if(p.ix = a.ix, struct(a.ix as ix, a.s + p.prob as s, a.n + 1 as n, a.hits as hits, a.mass as mass), struct(p.ix as ix, p.prob as s, 1 as n, {closed}))"
-    known = "array_sort(transform(filter(pieces, p -> p.word_ix >= 0 and p.word_ix < n_words), p -> struct(cast(p.word_ix as int) as ix, cast(p.prob as double) as prob)))"
-    name = next(x for x in ("_p", "__p", "___p") if x not in scored.columns)
-    out = scored.withColumn(name, F.expr(f"aggregate({known}, {state}, {step}, a -> struct({closed}))"))
-    share = lambda x: F.expr(f"if(n_words > 0, {x} / n_words, cast(0 as double))")
-    return out.select("*", F.expr(f"coalesce({name}.hits, 0)").alias("metaphor_words_total"), share(f"100 * coalesce({name}.hits, 0)").alias("metaphor_word_percent"), share(f"coalesce({name}.mass, 0)").alias("metaphor_prob_mean")).drop(name)

@@ -13,7 +13,9 @@ QUOTES = ['""', "''", "«»", "“”", "‘’"]
 DIALOGUE = ["«»", "“”", "„”", "‘’", "‚’", "‹›", '""']
 SPEECH_ENDS = ".?!…,"
 DASH_LINE = re.compile(r"^[ \t]*[—–-][ \t].*$", re.M)
-DASH_SPEECH = re.compile(r"^[ \t]*[—–-][ \t]*[A-Z].*$", re.M)
+DASH_SPEECH = re.compile(r"^[ \t]*[-—]{1,2}\s+[A-Z].*$", re.M)
+#: For each pair: an opening mark before a capital, and an end of speech before a closing mark.
+SPEECH = [(re.compile(rf"{a}\s*(?=[A-Z])"), re.compile(rf"[{SPEECH_ENDS}]\s*{b}")) for a, b in DIALOGUE]
 
 
 def quotes_in(text: str) -> list[tuple[int, int]]:
@@ -28,20 +30,20 @@ def quotes_in(text: str) -> list[tuple[int, int]]:
 
 
 def dialogue_in(text: str) -> list[tuple[int, int]]:
-    """Quoted segments that begin with a capital and end with a mark, and dash-led lines with a capital; they may overlap."""
+    """Quoted segments from an opening mark and a capital to the next end of speech before a closing mark, and dash-led lines; they may overlap.
+
+    White space may stand inside both marks. The next end of a pair serves all openings before it, so time grows with the length.
+    """
     out = []
-    for a, b in DIALOGUE:
-        at, end = text.find(a), -1
-        while at >= 0:
-            if end <= at:  # one closing mark serves all openings before it
-                end = text.find(b, at + 1)
-            if end < 0:
-                break
-            if end > at + 2 and "A" <= text[at + 1] <= "Z" and text[end - 1] in SPEECH_ENDS:
-                out.append((at, end + 1))
-                at = text.find(a, end + 1)
-            else:
-                at = text.find(a, at + 1)
+    for opens, ends in SPEECH:
+        end, at = None, opens.search(text)
+        while at:
+            if end is None or end.start() <= at.end():  # a capital lies between
+                end = ends.search(text, at.end() + 1)
+                if end is None:
+                    break
+            out.append((at.start(), end.end()))
+            at = opens.search(text, end.end())
     return out + [m.span() for m in DASH_SPEECH.finditer(text)]
 
 
@@ -108,10 +110,21 @@ def dialogue_counts(works: DataFrame, words: DataFrame, chunk: int = 100) -> Dat
     return next_word(dialogue_spans(works), words).groupBy("work", F.floor(F.col("word_ix") / chunk).alias("chunk_id")).agg(F.count("*").alias("n"))
 
 
+#: Characters of a work in which the first sentence is looked for.
+SCANNED = 50_000
+
+
 def first_sentence(works: DataFrame) -> DataFrame:
-    """text_name, first_sentence and its words and characters."""
+    """text_name, first_sentence and its words and characters.
+
+    The candidate reaches to the first end mark before white space (else to the end of the line). It is cut where an
+    end mark is followed by a letter, and the first part with a letter is the sentence; without one it is empty.
+    """
     trimmed = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
-    scan = F.regexp_extract(F.substring(trimmed, 1, 50_000), r"(?s)^(.*?[.!?…][\x22»”)\]'›]*)(\s|$)", 1)
-    line = F.regexp_extract(trimmed, r"^([^\n]*)", 1)
-    s = F.when(scan != "", scan).otherwise(line)
-    return works.select(F.col("work").alias("text_name"), s.alias("first_sentence"), F.regexp_count(s, F.lit(r"\p{L}+(?:['’]\p{L}+)*")).alias("n_words_first_sentence"), F.length(s).alias("n_chars_first_sentence"))
+    scanned = F.substring(trimmed, 1, SCANNED)
+    scan = F.regexp_extract(scanned, r"(?s)^(.*?[.!?…][\x22»”)\]'›]*)(\s|$)", 1)
+    candidate = F.when(scan != "", scan).otherwise(F.regexp_extract(scanned, r"^([^\n]*)", 1))
+    parts = F.regexp_extract_all(candidate, F.lit(r"(?s).+?(?:[.!?…][^\p{L}\p{N}]*(?=\p{L})|\z)"), F.lit(0))
+    rows = works.select(F.col("work").alias("text_name"), F.coalesce(F.get(F.filter(parts, lambda x: F.regexp_like(x, F.lit(r"\p{L}"))), F.lit(0)), F.lit("")).alias("x"))
+    rows = rows.select("text_name", F.regexp_replace("x", r"^\s+|\s+$", "").alias("first_sentence"))
+    return rows.select("*", F.regexp_count("first_sentence", F.lit(r"\p{L}+(?:['’]\p{L}+)*")).alias("n_words_first_sentence"), F.length("first_sentence").alias("n_chars_first_sentence"))

@@ -162,7 +162,9 @@ def stats(d: Spark, features: dict[str, str], chunks: str, sums: dict[str, str]
 
 #: Patterns of quoted spans and of dialogue, one for each pair of marks and one for dash-led lines.
 QUOTE_PATTERNS = [f"(?s){a}.*?{b}" for a, b in ('""', "''", "«»", "“”", "‘’")] + [r"(?m)^[ \t]*[—–-][ \t][^\n]*$"]
-DIALOGUE_PATTERNS = [f"{a}[A-Z][^{b}]*?[.?!…,]{b}" for a, b in ("«»", "“”", "„”", "‘’", "‚’", "‹›", '""')] + [r"(?m)^[ \t]*[—–-][ \t]*[A-Z][^\n]*$"]
+#: White space as the texts' readers know it; the engine's own class is of fewer characters.
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+DIALOGUE_PATTERNS = [f"(?s){a}{WHITE}*[A-Z].*?[.?!…,]{WHITE}*{b}" for a, b in ("«»", "“”", "„”", "‘’", "‚’", "‹›", '""')] + [rf"(?m)^[ \t]*[-—]{{1,2}}{WHITE}+[A-Z][^\n]*$"]
 
 
 def quote_ctes(patterns: list[str]) -> list[tuple[str, str]]:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.operators import cleaner, features, lexical, overuse, spans, trees
+from quillspark.operators import cleaner, features, lexical, overuse, scoring, spans, trees
 from quillspark.plans import cleaner_sql, features_sql
 from quillspark.plans.dialect import Duck, Spark
-from quillspark.plans.registry import ORACLES, QUERIES
+from quillspark.plans.registry import ORACLES, QUERIES, register
 from quillspark.sources import sinks
 from quillspark.sources.tables import read_table, spread
 
@@ -53,16 +53,6 @@ for which in ("dialogue", "narration", "sentences1", "tokens1"):
     add_family(which, "conversations")
 
 
-def register(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
 @register("clean_line_rules", cleaner_sql.LINE_RULES)
 def clean_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaner.line_rules(docs_as_works(spark, sf_dir)).withColumnRenamed("work", "doc_id")
@@ -133,26 +123,31 @@ def overuse_against_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("first_sentence", r"""with t as (select doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as x from documents),
-s as (select doc_id, case when regexp_extract(substr(x, 1, 50000), '(?s)^(.*?[.!?…][\x22»”)\]''›]*)(\s|$)', 1) <> '' then regexp_extract(substr(x, 1, 50000), '(?s)^(.*?[.!?…][\x22»”)\]''›]*)(\s|$)', 1) else regexp_extract(x, '^([^\n]*)', 1) end as f from t)
-select doc_id as text_name, f as first_sentence, cast(len(regexp_extract_all(f, '\p{L}+(?:[''’]\p{L}+)*')) as integer) as n_words_first_sentence, cast(length(f) as integer) as n_chars_first_sentence from s""")
+s as (select doc_id, regexp_extract(substr(x, 1, 50000), '(?s)^(.*?[.!?…][\x22»”)\]''›]*)(\s|$)', 1) as scan, regexp_extract(substr(x, 1, 50000), '^([^\n]*)', 1) as line from t),
+p as (select doc_id, list_filter(string_split(regexp_replace(case when scan <> '' then scan else line end, '([.!?…][^\p{L}\p{N}]*)(\p{L})', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda c: regexp_matches(c, '\p{L}')) as parts from s),
+f as (select doc_id, regexp_replace(coalesce(parts[1], ''), '^\s+|\s+$', '', 'g') as f from p)
+select doc_id as text_name, f as first_sentence, cast(len(regexp_extract_all(f, '\p{L}+(?:[''’]\p{L}+)*')) as integer) as n_words_first_sentence, cast(length(f) as integer) as n_chars_first_sentence from f""")
 def first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.first_sentence(docs_as_works(spark, sf_dir))
 
 
-#: Lists of the coverage query: the words of the benchmark as vocabulary, and a rule-made rating by word length.
+#: The coverage query's lemma: the word without an inflection's ending.
+ENDING = "(?:ing|ed|es|en|er|s|e)$"
+#: Lists of the coverage query: the words of the benchmark as vocabulary, and a rule-made rating by word length; a word without a rating has its lemma's.
 COVERAGE = r"""with w as (select doc_id as work, lower(tok) as lower, i from ({tokens})),
-c as (select work, cast(floor(i / 100) as bigint) as chunk_id, lower from w),
+c as (select work, cast(floor(i / 100) as bigint) as chunk_id, lower, regexp_replace(lower, '{ending}', '') as lemma from w),
 v as (select distinct lower(tok) as word from ({vocabulary})),
-r as (select word, length(word) * 0.25e0 as score from v where length(word) > 4)
-select work, chunk_id, count(*) as n_words, sum(case when v.word is null then 1 else 0 end) * 100.0e0 / count(*) as oov_per100, sum(case when v.word is not null then 1 else 0 end) * 100.0e0 / count(*) as in_list_per100,
+r as (select word, length(word) * 0.25e0 as score from v where length(word) > 4 or length(word) = 3),
+j as (select work, chunk_id, v.word as known, coalesce(r.score, m.score) as score from c left join v on c.lower = v.word left join r on c.lower = r.word left join r m on c.lemma = m.word)
+select work, chunk_id, count(*) as n_words, sum(case when known is null then 1 else 0 end) * 100.0e0 / count(*) as oov_per100, sum(case when known is not null then 1 else 0 end) * 100.0e0 / count(*) as in_list_per100,
 count(score) * 100.0e0 / count(*) as concreteness_coverage_percent, coalesce(avg(score), 0e0) as concreteness_mean_matched, coalesce(sum(score), 0e0) * 100.0e0 / count(*) as concreteness_sum_per100
-from c left join v on c.lower = v.word left join r on c.lower = r.word group by work, chunk_id"""
+from j group by work, chunk_id""".replace("{ending}", ENDING)
 
 
-def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """work, chunk_id, i, lower and lemma of the words of documents."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0))
-    return docs_as_works(spark, sf_dir).select("work", F.posexplode(found).alias("i", "tok")).select("work", F.floor(F.col("i") / 100).alias("chunk_id"), "i", F.lower("tok").alias("lower"), F.lower("tok").alias("lemma"))
+def list_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """work, chunk_id, lower and lemma of the words of documents."""
+    words = scoring.chunk_words(docs_as_works(spark, sf_dir)).select("work", "chunk_id", F.explode("words").alias("tok"))
+    return words.select("work", "chunk_id", F.lower("tok").alias("lower"), F.regexp_replace(F.lower("tok"), ENDING, "").alias("lemma"))
 
 
 def tokens(d, name: str, key: str, table: str) -> str:
@@ -161,9 +156,9 @@ def tokens(d, name: str, key: str, table: str) -> str:
 
 @register("lexical_coverage", COVERAGE.replace("{tokens}", tokens(Duck(), "", "doc_id", "documents")).replace("{vocabulary}", tokens(Duck(), "", "item_id", "benchmark")))
 def lexical_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = chunk_words(spark, sf_dir)
+    words = list_words(spark, sf_dir)
     vocabulary = spark.sql(tokens(Spark(), "", "item_id", table(sf_dir, "benchmark"))).select(F.lower("tok").alias("word")).distinct()
-    ratings = vocabulary.where("length(word) > 4").select("word", F.expr("length(word) * 0.25d").alias("score"))
+    ratings = vocabulary.where("length(word) > 4 or length(word) = 3").select("word", F.expr("length(word) * 0.25d").alias("score"))
     return lexical.coverage(words, vocabulary, ratings)
 
 
@@ -183,22 +178,33 @@ def lexical_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.coverage_stats(lexical_coverage(spark, sf_dir))
 
 
-#: Scores of a stand-in for the models: by the letters of a chunk, and by the length of each word.
+class Letters:
+    """A deterministic scorer: labels by the letters of a text, pieces of four letters by their places, nothing after the 80th word."""
+
+    def labels(self, texts):
+        sums = [sum(map(len, t.split(" "))) for t in texts]
+        return [[("NO_HUMOR", n % 101 / 100.0)] if n % 2 else [(" label_1", 0.9), ("Label_1 ", n % 101 / 100.0)] for n in sums]
+
+    def pieces(self, words):
+        return [[(None, 1.0), *((k, (len(w) + j) % 8 / 8.0) for k, w in enumerate(own[:80]) for j in range(-(-len(w) // 4)))] for own in words]
+
+
+#: What that scorer and the folding of its output come to.
 MODEL_SQL = r"""with w as (select doc_id as work, unnest(range(len(t))) as i, unnest(t) as tok from (select doc_id, regexp_extract_all(coalesce(text, ''), '\p{L}+') as t from documents)),
-c as (select work, cast(floor(i / 100) as bigint) as chunk_id, count(*) as n_words, sum(length(tok)) % 101 / 100.0e0 as p, sum(case when length(tok) % 10 >= 5 then 1 else 0 end) as positive, sum(length(tok) % 10) / 10.0e0 as mass from w group by work, cast(floor(i / 100) as bigint)),
-chunks as (select work, chunk_id, n_words, p as humor_prob, 1 - p as nonhumor_prob, case when p >= 0.5 then 1 else 0 end as humor_label, 100.0e0 * positive / n_words as metaphor_word_percent, mass / n_words as metaphor_prob_mean, positive as metaphor_words_total from c)
+p as (select work, i, tok, case when i % 100 < 80 then list_avg(list_transform(range((length(tok) + 3) // 4), lambda j: ((length(tok) + j) % 8) / 8.0e0)) else 0e0 end as prob from w),
+c as (select work, cast(floor(i / 100) as bigint) as chunk_id, count(*) as n_words, sum(length(tok)) as letters, sum(case when prob >= 0.5e0 then 1 else 0 end) as positive, sum(prob order by i) as mass from p group by work, cast(floor(i / 100) as bigint)),
+s as (select *, letters % 101 / 100.0e0 as x, letters % 2 = 0 as even from c),
+h as (select *, case when even then x when x > 0 then 1 - x else 0 end as humor_prob, case when not even then x when x > 0 then 1 - x else 0 end as nonhumor_prob from s),
+chunks as (select work, chunk_id, n_words, humor_prob, nonhumor_prob, case when humor_prob >= 0.5 then 1 else 0 end as humor_label, 100.0e0 * positive / n_words as metaphor_word_percent, mass / n_words as metaphor_prob_mean, positive as metaphor_words_total from h)
 """
 MODEL_FEATURES = ["humor_prob", "nonhumor_prob", "humor_label", "metaphor_word_percent", "metaphor_prob_mean", "metaphor_words_total"]
 
 
 @register("model_scores", MODEL_SQL + long_sql(MODEL_FEATURES, {"humor_chunks_positive_total": "sum(humor_label)", "metaphor_words_positive_total": "sum(metaphor_words_total)"}, "chunks"))
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The post-processing of model outputs over stand-in outputs: a label score per chunk, two pieces per word."""
-    chunks = chunk_words(spark, sf_dir).groupBy("work", "chunk_id").agg(F.sum(F.length("lower")).alias("letters"), F.array_sort(F.collect_list(F.struct("i", "lower"))).alias("x"))
-    prob = "(length(y.lower) % 10) / 10.0d"
-    pieces = F.expr(f"flatten(transform(x, (y, k) -> array(struct(k as word_ix, {prob} as prob), struct(k as word_ix, {prob} as prob))))")
-    scored = chunks.select("work", "chunk_id", F.size("x").alias("n_words"), F.expr("array(struct('LABEL_1' as label, letters % 101 / 100.0d as score))").alias("predictions"), pieces.alias("pieces"))
-    return lexical.model_stats(lexical.metaphor(lexical.humor(scored)))
+    """Statistics of a scorer's output over the chunks of documents; any scorer fits, here one that needs no model file."""
+    scored = scoring.score(scoring.chunk_words(docs_as_works(spark, sf_dir)), "letters", Letters)
+    return lexical.model_stats(scoring.metaphor(scoring.humor(scored)))
 
 
 #: A stand-in for a parser over the documents' words: sentences of 12 words, each word under the one at half its place.

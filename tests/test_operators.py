@@ -1,11 +1,13 @@
 import random
+import re
+import time
 import zipfile
 
 import duckdb
 import pandas as pd
 import pytest
 
-from quillspark.operators import cleaner, features, lexical, overuse, spans, trees
+from quillspark.operators import cleaner, features, lexical, overuse, scoring, spans, trees
 from quillspark.plans import catalog, cleaner_sql
 from quillspark.plans.dialect import Spark
 from quillspark.sources import sinks, texts
@@ -46,6 +48,9 @@ CLEANED = [
     ("IT WAS the best of times, said he.", "It was the best of times, said he."),
     ("12—The day was fine, as all said.", "The day was fine, as all said."),
     ("The day [see it] was fine • again.3\nAll of it went well.", "The day was fine again.\nAll of it went well."),
+    ("He left. \nThe day was fine.", "He left.\nThe day was fine."),
+    ("He left.\t \nThe day was fine.", "He left.\nThe day was fine."),
+    ("He said “Go now.” \t\nThe day was fine.", "He said “Go now.”\nThe day was fine."),
     ("He went to the far side of “there,”\nand then he came\n“Back again.”", "He went to the far side of “there,” and then he came\n“Back again.”"),
 ]
 
@@ -57,7 +62,7 @@ def test_cleaner(spark, text, out):
 
 def test_cleaner_against_sql(spark):
     rng = random.Random(5)
-    pieces = [line for text, _ in CLEANED for line in (text or "").split("\n")] + ["", "", "  ", "and so it went on", "The end came soon, as it must—", "He said “no.”", "in all", "A B stood there.", "JOHN", "JOHN SMITH WAS HERE.", "word9 and 9word", "(12) see [1] there.", "They left… 12"]
+    pieces = [line for text, _ in CLEANED for line in (text or "").split("\n")] + ["", "", "  ", "and so it went on", "The end came soon, as it must—", "He said “no.”", "in all", "A B stood there.", "JOHN", "JOHN SMITH WAS HERE.", "word9 and 9word", "(12) see [1] there.", "They left… 12", "He left. ", "They Came\t", "He said “Go now.”\t ", "Go on! \t", "A TITLE  ", "We all stayed.\r"]
     rows = [(k, t) for k, (t, _) in enumerate(CLEANED)]
     rows += [(len(rows) + k, "\n".join(rng.choices(pieces, k=rng.randint(1, 40)))) for k in range(400)]
     con = duckdb.connect()
@@ -90,6 +95,44 @@ def test_narration_and_dialogue(spark):
     assert got["a", "dialogue_per100_max"] == max(3, round(100 / n, 4)) and long(spark, "dialogue", ("a", "He left. “Go!"))["a", "dialogue_total"] == 0
 
 
+DIALOGUE = [
+    ("“ Hello there. ”", [(0, 16)]),
+    ("“Hello,\n”", [(0, 9)]),
+    ("“Hello” he said. “No, sir.”", [(0, 27)]),
+    ("-- Hello there", [(0, 14)]),
+    ("—Hello there", []),
+    ("– Hello there", []),
+    ("— Hello\n there", [(0, 7)]),
+    ("--\n\n  Hello there.\nMore", [(0, 18)]),
+    ("“no.” «Yes» “Well.” „Oh, so …”", [(12, 19), (20, 30)]),
+    ("\"I.\" \"We.\"", [(0, 4), (5, 10)]),
+    ("“A.” “.”", [(0, 4)]),
+    ("‘One.’ and ‚Two!’", [(0, 6), (11, 17)]),
+]
+
+
+@pytest.mark.parametrize("text, out", DIALOGUE)
+def test_dialogue_spans(spark, text, out):
+    found = spans.dialogue_spans(spark.createDataFrame([("a", text)], "work string, text string")).collect()
+    plain = [m.span() for a, b in spans.DIALOGUE for m in re.finditer(rf"(?s){a}\s*([A-Z].*?[\.?!…,])\s*{b}", text)] + [m.span() for m in re.finditer(r"(?m)^[ \t]*[-—]{1,2}\s+[A-Z].*$", text)]
+    assert sorted((r.begin, r.end) for r in found) == sorted(plain)
+    if out:
+        assert sorted(plain) == sorted(out)
+
+
+def test_dialogue_spans_in_linear_time(spark):
+    for text in ("“Hello there " * 200_000, "“" * 500_000, "“A. " * 200_000, "“ \n" * 300_000 + "A"):
+        began = time.time()
+        spans.dialogue_in(text)
+        assert time.time() - began < 5
+
+
+def test_head_rules_in_linear_time(spark):
+    began = time.time()
+    assert clean(spark, "\n" * 8000 + "The day was fine, as all said.") == "The day was fine, as all said."
+    assert time.time() - began < 10
+
+
 def test_tail_may_be_left_out(spark):
     works = spark.createDataFrame([("a", "table " * 150), ("b", "short")], "work string, text string")
     got = {(r.work, r.metric): r.value for r in features.family(works, "tokens2", keep_tail=False).collect()}
@@ -127,7 +170,7 @@ def test_spans(spark):
     assert spans.quote_spans(w).count() == 1 and spans.dialogue_spans(w).count() == 1
 
 
-@pytest.mark.parametrize("text, out", [("What?! No", "What?!"), ('"Stop!" he said. Then.', '"Stop!"'), ("3.5 apples fell. X", "3.5 apples fell."), ("no end\nx", "no end")])
+@pytest.mark.parametrize("text, out", [("What?! No", "What?!"), ('"Stop!" he said. Then.', '"Stop!"'), ("3.5 apples fell. X", "3.5 apples fell."), ("no end\nx", "no end"), ("12. Then he left. More.", ""), ("… … The end.", ""), ("Mr.Smith went. He", "Mr."), ("*** He left.\nMore.", "*** He left."), ("", ""), (None, ""), ("x" * 60_000, "x" * 50_000), ("  — 5.5 to go! ”) He", "— 5.5 to go!")])
 def test_first_sentence(spark, text, out):
     assert spans.first_sentence(spark.createDataFrame([("a", text)], "work string, text string")).first().first_sentence == out
 
@@ -143,12 +186,76 @@ def test_lexical(spark):
     words = spark.createDataFrame([("a", 0, "dogs", "dog"), ("a", 0, "zz", "zz")], "work string, chunk_id int, lower string, lemma string")
     r = lexical.coverage(words, spark.createDataFrame([("dogs",)], "word string"), spark.createDataFrame([("dog", 4.0)], "word string, score double")).first()
     assert (r.oov_per100, r.in_list_per100, r.concreteness_coverage_percent, r.concreteness_mean_matched) == (50, 50, 50, 4)
-    r = lexical.humor(spark.sql("select array(struct('LABEL_0' as label, 0.8d as score)) as predictions")).first()
-    assert (round(r.humor_prob, 6), r.nonhumor_prob, r.humor_label) == (0.2, 0.8, 0)
-    r = lexical.metaphor(spark.sql("select array(struct(0 as word_ix, 0.4d as prob), struct(0 as word_ix, 0.8d as prob)) as pieces, 2 as n_words")).first()
+
+
+def test_lists_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [(w, c, x, x.rstrip("s")) for w in "ab" for c in range(3) for x in ("dogs", "dog", "zz", "zz", "cats")]
+    words = spark.createDataFrame(rows, "work string, chunk_id int, lower string, lemma string")
+    lists = spark.createDataFrame([("dogs",), ("dogs",), ("cat",)], "word string"), spark.createDataFrame([("dog", 4.0), ("cat", 1.5)], "word string, score double")
+    small = sorted(lexical.coverage(words, *lists).collect())
+    monkeypatch.setattr(lexical, "BROADCAST_WORDS", 0)
+    assert sorted(lexical.coverage(words, *lists).collect()) == small
+    assert (small[0].n_words, small[0].in_list_per100, small[0].concreteness_sum_per100) == (5, 20, 190)
+
+
+HUMOR = [
+    ([("LABEL_0", 0.8)], (0.2, 0.8, 0)),
+    ([("HUMOR", 0.0), ("NO_HUMOR", 0.3)], (0.7, 0.3, 1)),
+    ([("LABEL_1", 0.0)], (0.0, 0.0, 0)),
+    ([(" label_1\n", 0.1), ("Label_1 ", 0.6)], (0.6, 0.4, 1)),
+    ([("LABEL_1", 0.9), ("humor", 0.2), ("other", 1.0)], (0.2, 0.8, 0)),
+    ([], (0.0, 0.0, 0)),
+    ([(None, 0.4), ("NO_HUMOR", 1.0)], (0.0, 1.0, 0)),
+]
+
+
+@pytest.mark.parametrize("predictions, out", HUMOR)
+def test_humor(spark, predictions, out):
+    rows = spark.createDataFrame([(predictions,)], "predictions array<struct<label: string, score: double>>")
+    r = scoring.humor(rows).first()
+    assert (round(r.humor_prob, 6), round(r.nonhumor_prob, 6), r.humor_label) == out
+
+
+def test_humor_of_one_label(spark):
+    rows = spark.createDataFrame([(("humor ", 0.7),), (("LABEL_0", 1.0),), (("else", 0.25),)], "predictions struct<label: string, score: double>")
+    assert [(round(r.humor_prob, 6), round(r.nonhumor_prob, 6)) for r in scoring.humor(rows).collect()] == [(0.7, 0.3), (0.0, 1.0), (0.75, 0.25)]
+
+
+def test_metaphor(spark):
+    r = scoring.metaphor(spark.sql("select array(struct(0 as word_ix, 0.4d as prob), struct(0 as word_ix, 0.8d as prob)) as pieces, 2 as n_words")).first()
     assert (r.metaphor_words_total, r.metaphor_word_percent, round(r.metaphor_prob_mean, 6)) == (1, 50, 0.3)
 
 
+def test_chunk_words(spark):
+    works = spark.createDataFrame([("a", "a1 b, c-d " * 60), ("b", None), ("c", "12 ..."), ("d", "x " * 100)], "work string, text string")
+    rows = {(r.work, r.chunk_id): r.words for r in scoring.chunk_words(works).collect()}
+    assert {k: len(w) for k, w in rows.items()} == {("a", 0): 100, ("a", 1): 100, ("a", 2): 40, ("d", 0): 100} and rows["a", 0][:4] == ["a", "b", "c", "d"]
+
+
+class Loud:
+    """A scorer that notes how often it is made in its worker."""
+
+    made = 0
+
+    def __init__(self):
+        Loud.made += 1
+
+    def labels(self, texts):
+        return [[("HUMOR", len(t) / 1000), ("made", float(Loud.made))] for t in texts]
+
+    def pieces(self, words):
+        return [[(None, 1.0), *((k, len(w) / 10) for k, w in enumerate(own))] for own in words]
+
+
+def test_scorer(spark):
+    works = spark.createDataFrame([(k, "word longerword " * 230) for k in range(20)], "work int, text string").repartition(5)
+    out = scoring.score(scoring.chunk_words(works), "loud", Loud, batch=3)
+    rows = scoring.metaphor(scoring.humor(out)).collect()
+    assert len(rows) == 100 and {round(r.humor_prob, 6) for r in rows} == {round(50 * 16 / 1000 - 0.001, 6), round(30 * 16 / 1000 - 0.001, 6)}
+    assert {r.metaphor_word_percent for r in rows} == {50.0} and {round(r.metaphor_prob_mean, 6) for r in rows} == {0.7}
+    assert max(p.score for r in rows for p in r.predictions if p.label == "made") == 1.0  # once in a worker
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "12_title_here.txt").write_bytes(b"a\xff b\nc")
     (tmp_path / "notes.TXT").write_text("x")

@@ -6,6 +6,9 @@ least SHINGLE characters also gets MinHash values of its character shingles, ban
 pair at the threshold shares a band with probability over 0.99.
 Distinct lines that share a band meet with their texts and are verified by exact Jaccard
 similarity of their shingle sets; a bucket emits a spanning forest of its verified links.
+Lines of a bucket of over WHOLE lines (numbered lines, table rows) don't meet in it: their shingles
+are ordered, rare ones first, and lines meet by each of the first n - ceil(0.8 n) + 1 of their n shingles, of which two
+similar lines always share one; so a large bucket is dealt over tasks by shingles and loses no link.
 Distributed union-find joins them, and of each component the line that comes first (by
 document id, then line number) stays, in that place only.
 
@@ -19,6 +22,7 @@ rows alike in id and text one keeps the lines. Other columns are kept, whatever
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,12 +171,59 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def verified(keys: np.ndarray, ids: np.ndarray, texts: list[str], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links between lines within each bucket.
+def few(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a few lines: a line is compared with each component so far until one member links."""
+    out, components = [], []
+    for x in sorted(range(len(sets)), key=lambda k: len(sets[k])):
+        joined, others, size = [x], [], len(sets[x])
+        for component in components:
+            for y in reversed(component):
+                n = len(sets[y])
+                if n < similarity * size:  # too short for this line, as are all before it
+                    others.append(component)
+                    break
+                both = common(sets[x], sets[y])
+                if both >= similarity * (size + n - both):
+                    out.append((x, y))
+                    joined = component + joined
+                    break
+            else:
+                others.append(component)
+        joined.sort(key=lambda k: len(sets[k]))
+        components = [*others, joined]
+    return out
 
-    Lines come in order of their number of shingles; a line is compared with each component
-    so far until one member links, so a group of near copies costs one comparison a line.
-    """
+
+def many(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of any number of lines: each line reached is compared with all lines not yet reached at once, by the lists of its shingles' lines."""
+    n, sizes = len(sets), np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    _, number, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    lines = np.repeat(np.arange(n), sizes)[np.argsort(number, kind="stable")]
+    ends, bounds = np.cumsum(df), np.r_[0, np.cumsum(sizes)]
+    unseen, left, out = np.ones(n, dtype=bool), n, []
+    for seed in range(n):
+        if not unseen[seed]:
+            continue
+        unseen[seed] = False
+        left, reached = left - 1, [seed]
+        while reached and left:
+            x = reached.pop()
+            own = number[bounds[x] : bounds[x + 1]]
+            both = np.bincount(np.concatenate([lines[e - k : e] for e, k in zip(ends[own].tolist(), df[own].tolist(), strict=True)]), minlength=n)
+            new = np.flatnonzero(unseen & (both >= similarity * (sizes + sizes[x] - both))).tolist()
+            unseen[new] = False
+            left -= len(new)
+            reached += new
+            out += [(x, y) for y in new]
+    return out
+
+
+#: Lines up to which a bucket's lines are compared one by one.
+FEW = 16
+
+
+def verified(keys: np.ndarray, ids: np.ndarray, texts: list[str], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between lines within each bucket."""
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
     place = {t: k for k, t in enumerate(dict.fromkeys(texts))}
@@ -181,32 +232,72 @@ def verified(keys: np.ndarray, ids: np.ndarray, texts: list[str], similarity: fl
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
         if e - s < 2:
             continue
-        rows = [(len(own), int(ids[r]), own) for r in order[s:e].tolist() for own in (sets[place[texts[r]]],)]
-        rows.sort(key=lambda x: x[:2])
-        components: list[list[tuple[int, int, np.ndarray]]] = []
-        for row in rows:
-            size, a, own = row
-            joined, others = [row], []
-            for component in components:
-                if component[-1][0] < similarity * size:
-                    continue  # too short for this line and for all after it
-                for n, b, other in reversed(component):
-                    if n < similarity * size:
-                        others.append(component)
-                        break
-                    both = common(own, other)
-                    if both >= similarity * (size + n - both):
-                        if a != b:
-                            out.add((max(a, b), min(a, b)))
-                        joined = component + joined
-                        break
-                else:
-                    others.append(component)
-            joined.sort(key=lambda x: x[:2])
-            components = [*others, joined]
+        rows = order[s:e].tolist()
+        own = [sets[place[texts[r]]] for r in rows]
+        for x, y in (few if e - s <= FEW else many)(own, similarity):
+            a, b = int(ids[rows[x]]), int(ids[rows[y]])
+            if a != b:
+                out.add((max(a, b), min(a, b)))
     return list(out)
 
 
+def shingle_hashes(lines: list[str], width: int = SHINGLE) -> list[np.ndarray]:
+    """Distinct shingles of each line as sorted 64-bit hashes that are the same in every task."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    h = np.zeros(max(0, len(codes) - width + 1), dtype=np.uint64)
+    for k in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)]
+    h, out, at = mix(h), [], 0
+    for line in lines:
+        out.append(np.unique(h[at : at + len(line) - width + 1]))
+        at += len(line)
+    return out
+
+
+#: A bucket of more lines is dealt by its lines' rare shingles.
+WHOLE = 1000
+#: Counters of shingles by their hashes, by which rare ones are told: a table of fixed size.
+COUNTERS = 1 << 18
+
+
+def shingle_counts(lines: DataFrame) -> np.ndarray:
+    """How many lines (id, line_text) have shingles of each counter, as a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(np.concatenate(shingle_hashes(batch.column("line_text").to_pylist())) % np.uint64(COUNTERS), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
+
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    for r in lines.mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.counter] = r.n
+    return out
+
+
+def rare_shingles(lines: DataFrame, similarity: float) -> DataFrame:
+    """Keys in the form of dealt()'s: each line (id, line_text) under its rarest shingles, enough of them that two similar lines share one.
+
+    Any one order of the shingles does for that; rare ones first makes few lines meet.
+    """
+    counts = lines.sparkSession.sparkContext.broadcast(shingle_counts(lines))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            for k, own in zip(batch.column("id").to_pylist(), shingle_hashes(batch.column("line_text").to_pylist()) if batch.num_rows else [], strict=True):
+                first = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+                own = own[np.lexsort((own, counts.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))][:first]
+                keys.append(own.view(np.int64))
+                ids.append(np.full(len(own), k, dtype=np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys)], ["id", "b0"])
+
+    return lines.mapInArrow(run, "id long, b0 long")
+
+
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id and its normalised text of `wanted` (id, own, line_no)."""
     by_doc = wanted.groupBy(F.col("own").alias("want_own")).agg(F.collect_list(F.struct("line_no", "id")).alias("want"))
@@ -226,14 +317,14 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "id long, line_text string")
 
 
-def dealt(distinct: DataFrame, tasks: int) -> DataFrame:
-    """Band keys with their lines' ids, packed into one row per batch and task."""
+def dealt(lines: DataFrame, tasks: int) -> DataFrame:
+    """Keys (b0 and on) with their lines' ids, packed into one row per batch and task."""
+    columns = [c for c in lines.columns if c in BAND_COLUMNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands = batch.select(BAND_COLUMNS)
-            keys = np.concatenate([c.to_numpy() for c in bands.columns])
-            pairs = np.stack([keys, np.tile(batch.column("id").to_numpy(), BANDS)], axis=1)
+            keys = np.concatenate([batch.column(c).to_numpy() for c in columns])
+            pairs = np.stack([keys, np.tile(batch.column("id").to_numpy(), len(columns))], axis=1)
             task = (keys.view(np.uint64) % np.uint64(tasks)).astype(np.int32)
             order = np.argsort(task, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(task[order]) != 0]) if len(order) else order
@@ -241,7 +332,7 @@ def dealt(distinct: DataFrame, tasks: int) -> DataFrame:
             packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(pairs[order]))])
             yield pa.RecordBatch.from_arrays([pa.array(task[order][starts]), packed], ["task", "pairs"])
 
-    return distinct.where("b0 is not null").select("id", *BAND_COLUMNS).mapInArrow(run, "task int, pairs binary").repartitionById(tasks, "task")
+    return lines.where("b0 is not null").select("id", *columns).mapInArrow(run, "task int, pairs binary").repartitionById(tasks, "task")
 
 
 def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +351,24 @@ def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(own), *[pa.array(np.repeat(x, n)) for x in (n, *digests)]], ["band", "id", "n", "x", "y"])
 
 
-def links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): verified links between the ids of distinct lines, enough to connect all that are linked through a shared band.
+def members(lines: DataFrame, n_keys: int) -> DataFrame:
+    """band, id and n of the keys that two lines or more share, n lines in all; of keys with the same lines one."""
+    tasks = max(partitions(lines), -(-n_keys // KEYS_PER_TASK))
+    buckets = dealt(lines, tasks).mapInArrow(shared_buckets, "band long, id long, n long, x long, y long")
+    return cut(buckets.groupBy("id", "n", "x", "y").agg(F.min("band").alias("band")).select("id", "band", "n"))
 
-    Of buckets with the same lines one is verified.
-    """
-    tasks = max(partitions(docs), -(-distinct.count() * BANDS // KEYS_PER_TASK))
-    buckets = dealt(distinct, tasks).mapInArrow(shared_buckets, "band long, id long, n long, x long, y long")
-    members = cut(buckets.groupBy("id", "n", "x", "y").agg(F.min("band").alias("band")).select("id", "band"))
-    wanted = cut(distinct.join(members.select(F.col("id").alias("w")).distinct(), F.col("id") == F.col("w"), "left_semi").select("id", "own", "line_no"))
+
+def links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): verified links between the ids of distinct lines, enough to connect all that are linked through a shared band."""
+    by_band = members(distinct, distinct.count() * BANDS)
+    wanted = cut(distinct.join(by_band.select(F.col("id").alias("w")).distinct(), F.col("id") == F.col("w"), "left_semi").select("id", "own", "line_no"))
+    texts = line_texts(docs, wanted)
+    met = by_band.where(f"n <= {WHOLE}")
+    if by_band.where(f"n > {WHOLE}").limit(1).count():
+        crowded = by_band.where(f"n > {WHOLE}").select(F.col("id").alias("w")).distinct()
+        lines = cut(texts.join(crowded, F.col("id") == F.col("w"), "left_semi"))
+        keys = cut(rare_shingles(lines, similarity))
+        met = met.unionByName(members(keys, keys.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -293,7 +393,7 @@ def links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield from out()
 
-    met = members.join(line_texts(docs, wanted), "id").select("band", "id", "line_text").repartition(partitions(docs), "band").sortWithinPartitions("band")
+    met = met.join(texts, "id").select("band", "id", "line_text").repartition(partitions(docs), "band").sortWithinPartitions("band")
     return met.mapInArrow(run, "u long, v long")
 
 
@@ -356,9 +456,9 @@ def rewrite(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     by_row = by_row.toDF(key := free_name(rows, "own_"), gone)
     joined = rows.join(by_row, F.col(own) == F.col(key), "left")
     # lines are numbered from 0 by splitting on line feeds only, as in occurrences()
-    lines = F.split("text", "\n", -1)
-    numbers = F.arrays_zip(lines.alias("x"), F.sequence(F.lit(0), F.size(lines) - 1).alias("k"))
-    stay = F.array_join(F.transform(F.filter(numbers, lambda z: ~F.array_contains(gone, z["k"])), lambda z: z["x"]), "\n")
+    # each step is linear in the lines, and a lambda's argument is worked out once
+    kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda k: F.get(lines, k))
+    stay = F.get(F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.array_join(kept(lines), "\n")), F.lit(0))
     out = joined.withColumn("text", F.when(F.col(gone).isNull() | F.col("text").isNull(), F.col("text")).otherwise(stay))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

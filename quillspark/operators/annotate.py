@@ -3,8 +3,8 @@
 A batch of works is one run of arrays, a row per token: what depends on a token's letters
 alone (lower case, lemma, classes) is worked out once per distinct token and worker and
 gathered by number; what depends on neighbours (sentences, part of speech after a sentence's
-begin, verb forms, shallow dependencies) is array arithmetic over the run. Nothing is
-shuffled, and a work is never split.
+begin, verb forms, shallow dependencies) is array arithmetic over the run. A part of a work that begins
+with a sentence is annotated as it would be within its work. A parser's token table can take the place of the rules.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from quillspark.functions import lexicons as L
 
 #: Covers every character of a text: words, digit runs, white space, single other characters.
 TOKEN = regex.compile(r"\p{L}+(?:['’]\p{L}+)*|\p{N}+|[\t-\r ]+|[^\t-\r \p{L}\p{N}]")
-POS = ["SPACE", "SYM", "PUNCT", "NUM", "AUX", "PART", "CCONJ", "PRON", "DET", "ADV", "SCONJ", "ADP", "VERB", "NOUN", "ADJ", "PROPN"]
+POS = ["SPACE", "SYM", "PUNCT", "NUM", "AUX", "PART", "CCONJ", "PRON", "DET", "ADV", "SCONJ", "ADP", "VERB", "NOUN", "ADJ", "PROPN", "INTJ", "X"]
 P = {name: k for k, name in enumerate(POS)}
 #: Verb forms and tenses as numbers; 0 is none.
 PART, INF, FIN = 1, 2, 3
 PAST, PRES = 1, 2
-DEPS = ["", "neg", "amod", "acomp", "prep", "advmod", "conj"]
+#: Relations that any feature asks for; the rules find the first few, a parser all of them.
+DEPS = ["", "neg", "amod", "acomp", "prep", "advmod", "conj", "cop", "advcl", "acl", "mod"]
 D = {name: k for k, name in enumerate(DEPS)}
 #: Distinct tokens that a worker remembers before it starts anew.
 MEMO_TOKENS = 500_000
@@ -148,29 +149,21 @@ def since(flag: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Works as token arrays: doc, tok columns, sent (a number of each sentence over all works), word numbers ix1 to ix4.
+    """Works, or parts of works, as token arrays: doc, tok columns, sent (a number of each sentence over all), word numbers ix[1] to ix[4].
 
-    w1 to w4 are the four word definitions: neither space nor mark; of those with a letter and
-    no number; letters only; letters only and no number word.
+    w[1] to w[4] are the four word definitions: neither space nor mark; of those with a letter and
+    no number; letters only; letters only and no number word. A part has `base` words of each definition before it in
+    its work and `total` in the whole work (docs x 4 each); only its first `own` characters are counted, what comes after
+    them is there to be looked at. speech and begins are spans found before, by doc, where a part can't tell.
     """
 
-    def __init__(self, texts: list[str], words: Words) -> None:
-        if len(words.number) > MEMO_TOKENS:
-            words.__init__()
-        self.texts, self.words = texts, words
+    speech = begins = None
+
+    def __init__(self, texts: list[str], words: Words, own: np.ndarray | None = None, base: np.ndarray | None = None, total: np.ndarray | None = None) -> None:
         found = [TOKEN.findall(t) for t in texts]
-        flat = [t for own in found for t in own]
-        if new := list(dict.fromkeys(t for t in flat if t not in words.number)):
-            words.learn(new)
-        sizes = np.array([len(own) for own in found], dtype=np.int64)
-        at = np.fromiter(map(words.number.__getitem__, flat), dtype=np.int64, count=len(flat))
-        self.flat, self.n = flat, len(flat)
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        self.first = np.cumsum(sizes) - sizes
-        of = {name: column[at] for name, column in words.of.items()}
-        self.lower, self.lemma, self.length = of["lower"], of["lemma"], of["length"]
-        self.space, self.punct, self.num, self.ing, self.comma, self.not_end = (of[k].astype(bool) for k in ("space", "punct", "num", "ing", "comma", "not_end"))
-        self.letters, self.syllables = of["letters"], of["syllables"]
+        of = self.describe(words, [t for one in found for t in one], np.array([len(one) for one in found], dtype=np.int64))
+        self.texts, self.lemma, self.num, self.vbn = texts, of["lemma"], of["num"].astype(bool), np.zeros(self.n, dtype=bool)
+        self.space, self.punct = of["space"].astype(bool), of["punct"].astype(bool)
         alpha, lettered = of["alpha"].astype(bool), of["lettered"].astype(bool)
         start = self.first[self.doc]
         ends = np.cumsum(self.length)
@@ -189,10 +182,35 @@ class Tokens:
         led = np.where(shifted(self.space, -1, self.doc, True), before2, before) & shifted(np.ones(self.n, dtype=bool), -1, self.sent, False)
         form = np.where(of["part"], PART, np.where(of["base"].astype(bool) & led, INF, FIN))
         self.form, self.tense = np.where(self.verb, form, 0), np.where(self.verb, of["tense"], 0)
+        self.number(alpha, lettered, None if own is None else self.idx < own[self.doc], base, total)
+        self.depend()
+
+    def describe(self, words: Words, flat: list[str], sizes: np.ndarray) -> dict[str, np.ndarray]:
+        """Columns that the tokens' letters alone decide."""
+        if len(words.number) > MEMO_TOKENS:
+            words.__init__()
+        if new := list(dict.fromkeys(t for t in flat if t not in words.number)):
+            words.learn(new)
+        at = np.fromiter(map(words.number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self.words, self.n = words, len(flat)
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.cumsum(sizes) - sizes
+        of = {name: column[at] for name, column in words.of.items()}
+        self.lower, self.length, self.letters, self.syllables = (of[k] for k in ("lower", "length", "letters", "syllables"))
+        self.ing, self.comma, self.not_end = (of[k].astype(bool) for k in ("ing", "comma", "not_end"))
+        return of
+
+    def number(self, alpha: np.ndarray, lettered: np.ndarray, own: np.ndarray | None, base: np.ndarray | None, total: np.ndarray | None) -> None:
+        """The word definitions and the words' numbers in their works."""
+        docs, word = len(self.first), ~self.space & ~self.punct
         self.w = {1: word, 2: word & ~self.num & (self.pos != P["SYM"]) & lettered, 3: alpha, 4: alpha & ~self.num}
-        self.ix = {k: np.cumsum(w) - np.r_[0, np.cumsum(w)][start] - 1 for k, w in self.w.items()}
+        self.own = np.ones(self.n, dtype=bool) if own is None else own
+        self.base = np.zeros((docs, 4), dtype=np.int64) if base is None else base
+        self.counts = np.stack([np.bincount(self.doc[w & self.own], minlength=docs) for w in self.w.values()], axis=1)
+        self.total = self.counts if total is None else total
+        start = self.first[self.doc]
+        self.ix = {k: np.cumsum(w) - np.r_[0, np.cumsum(w)][start] - 1 + self.base[self.doc, k - 1] for k, w in self.w.items()}
         self.seen = np.flatnonzero(~self.space)
-        self.depend()
 
     def has(self, words) -> np.ndarray:
         """Whether the lemma is one of the words; has_lower: the lower-case form."""
@@ -221,4 +239,46 @@ class Tokens:
             "conj": isin(self.pos, "ADJ", "ADV", "NOUN", "VERB") & isin(before, "CCONJ") & (before2 == self.pos),
         }
         self.dep = np.where(self.space, 0, np.select(list(tests.values()), [D[k] for k in tests], 0))
+        self.cop_child = np.zeros(self.n, dtype=bool)
         self.head_pos = np.select([(self.dep == D["amod"]) | (self.dep == D["advmod"]), self.dep == D["conj"], self.dep == D["acomp"], self.dep == D["prep"]], [after, before2, before, before], -1)
+
+
+class Parsed(Tokens):
+    """The same arrays from a parser's tokens: sentences, classes, forms and relations are the parser's, the rest follows from the letters."""
+
+    def __init__(self, sizes: np.ndarray, own: np.ndarray, columns: dict[str, list | np.ndarray], words: Words, base: np.ndarray, total: np.ndarray) -> None:
+        of = self.describe(words, columns["text"], sizes)
+        self.lemma = np.fromiter((words.string(x.lower()) for x in columns["lemma"]), dtype=np.int64, count=self.n)
+        self.pos = np.fromiter((P.get(x, P["X"]) for x in columns["pos"]), dtype=np.int64, count=self.n)
+        self.space, self.punct, self.num = (np.asarray(columns[k], dtype=bool) for k in ("is_space", "is_punct", "like_num"))
+        self.idx = np.asarray(columns["idx"], dtype=np.int64)
+        self.idx = self.idx - np.r_[self.idx, 0][self.first][self.doc]
+        self.texts = [self.text(d, columns["text"]) for d in range(len(sizes))]
+        sent = np.asarray(columns["sent_id"], dtype=np.int64)
+        self.sent = np.cumsum(np.r_[True, (sent[1:] != sent[:-1]) | (self.doc[1:] != self.doc[:-1])][: self.n]) - 1
+        self.verb = (self.pos == P["VERB"]) | (self.pos == P["AUX"])
+        form = np.fromiter(({"Part": PART, "Inf": INF, "Fin": FIN}.get(x, 0) for x in columns["verbform"]), dtype=np.int64, count=self.n)
+        self.form = np.where(self.verb | (form == PART), form, 0)
+        self.tense = np.where(self.verb, np.fromiter(({"Past": PAST, "Pres": PRES}.get(x, 0) for x in columns["tense"]), dtype=np.int64, count=self.n), 0)
+        self.vbn = np.fromiter((x == "VBN" for x in columns["tag"]), dtype=bool, count=self.n)
+        self.number(np.asarray(columns["is_alpha"], dtype=bool), of["lettered"].astype(bool), np.arange(self.n) - self.first[self.doc] < own[self.doc], base, total)
+        self.dep = np.fromiter((D["neg"] if x.endswith(":neg") else D.get(x, D[""]) for x in columns["dep"]), dtype=np.int64, count=self.n)
+        # a head is a token of the same sentence
+        place = self.sent.astype(np.int64) << 32 | np.asarray(columns["tok_i"], dtype=np.int64)
+        order = np.argsort(place, kind="stable")
+        wanted = self.sent.astype(np.int64) << 32 | np.asarray(columns["head_i"], dtype=np.int64)
+        at = np.minimum(np.searchsorted(place[order], wanted), max(0, self.n - 1))
+        head = np.where(place[order][at] == wanted, order[at], -1) if self.n else at
+        self.head_pos = np.where(head >= 0, self.pos[head], -1) if self.n else head
+        self.cop_child = np.zeros(self.n, dtype=bool)
+        self.cop_child[head[(self.dep == D["cop"]) & (head >= 0)]] = True
+        self.quoted = np.asarray(columns["quoted"], dtype=bool)
+
+    def text(self, d: int, tokens: list[str]) -> str:
+        """The part's text: tokens at their places, blanks between."""
+        a, out, at = int(self.first[d]), [], 0
+        b = int(self.first[d + 1]) if d + 1 < len(self.first) else self.n
+        for t, begin in zip(tokens[a:b], self.idx[a:b].tolist(), strict=True):
+            out += [" " * (begin - at), t]
+            at = max(at, begin) + len(t)
+        return "".join(out)

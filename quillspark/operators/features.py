@@ -5,22 +5,28 @@ sentence and counted in the chunk of the sentence's first word; dialogue spans i
 the first word at or after their begin. Per work each feature gets mean, least, greatest and
 population deviation over its chunks (unweighted, last chunk kept unless asked otherwise).
 
-One pass over the works gives any number of families: texts travel to workers in batches of
-bounded size, are annotated once and come back as (work, metric, value). Nothing is shuffled.
+Texts travel to workers in batches of bounded size, are annotated there and come back as a row of
+counts for each chunk; rates, statistics and totals are Spark's. A long work is cut into parts at sentences; the words
+of the parts are counted first, and from sums over the parts each knows its words' numbers, so that any tasks can take them.
+A parser's token table takes the same way, in parts of some hundred sentences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quillspark.functions import lexicons as L
 from quillspark.operators import spans
-from quillspark.operators.annotate import FIN, INF, PART, PAST, PRES, D, P, Tokens, Words
+from quillspark.operators.annotate import FIN, INF, PART, PAST, PRES, TOKEN, D, P, Parsed, Tokens, Words
+from quillspark.operators.statistics import chunk_stats
+from quillspark.sources.shared import cut
 
 CHUNK = 100
 #: Bytes of text annotated at a time; a longer work is a step of its own.
@@ -115,7 +121,7 @@ def token_tests(t: Tokens, which: str) -> dict[str, np.ndarray]:
         }
     words = np.flatnonzero(t.w[1])
     skip = isin(t.pos, L.PERFECT_SKIP_POS) | t.has(sql_form(L.PERFECT_SKIP)) | t.not_end
-    perfect = then(t, words, t.doc[words] << 32 | t.ix[1][words] // CHUNK, skip, t.form == PART, 3)
+    perfect = then(t, words, t.doc[words] << 32 | t.ix[1][words] // CHUNK, skip, (t.form == PART) & t.verb, 3)
     groups = {"1p": L.FIRST_PERSON, "2p": L.SECOND_PERSON, "3p": L.THIRD_PERSON, "demonstrative": L.DEMONSTRATIVES, "indefinite": L.INDEFINITES}
     every = [w for g in groups.values() for w in g]
     key = np.where(t.has(every), t.lemma, t.lower)
@@ -133,7 +139,7 @@ def token_tests(t: Tokens, which: str) -> dict[str, np.ndarray]:
         "gerund_nominals_ing_per100": (t.pos == P["NOUN"]) & (t.ing | ing),
         "total_pps_per100": (t.pos == P["ADP"]) & (t.dep == D["prep"]),
         "attributive_adjs_per100": (t.pos == P["ADJ"]) & (t.dep == D["amod"]) & isin(t.head_pos, ["NOUN", "PROPN"]),
-        "predicative_adjs_per100": (t.pos == P["ADJ"]) & (t.dep == D["acomp"]),
+        "predicative_adjs_per100": (t.pos == P["ADJ"]) & ((t.dep == D["acomp"]) | t.cop_child),
         "total_adverbs_per100": t.pos == P["ADV"],
     }
 
@@ -143,6 +149,18 @@ def sql_form(words: list[str]) -> list[str]:
     return [w.replace("'", "’") for w in words]
 
 
+def in_speech(t: Tokens) -> np.ndarray:
+    """Tokens that begin within quoted or dash-led speech."""
+    if isinstance(t, Parsed):
+        return t.quoted
+    inside = np.zeros(t.n, dtype=bool)
+    for d, text in enumerate(t.texts):
+        a, b = int(t.first[d]), int(t.first[d + 1]) if d + 1 < len(t.texts) else t.n
+        for begin, end in t.speech[d] if t.speech is not None else spans.merged(spans.quotes_in(text)):
+            inside[a + np.searchsorted(t.idx[a:b], begin) : a + np.searchsorted(t.idx[a:b], end)] = True
+    return inside
+
+
 def sentence_counts(t: Tokens, which: str) -> dict[str, np.ndarray]:
     """Feature to its number in each sentence."""
     s = Sentences(t)
@@ -156,15 +174,11 @@ def sentence_counts(t: Tokens, which: str) -> dict[str, np.ndarray]:
             "indirect_speech_per100": ~quoted & s.any(t.verb & t.has(L.SPEECH_VERBS)),
         }
     if which == "narration":
-        inside = np.zeros(t.n, dtype=bool)
-        for d, text in enumerate(t.texts):
-            a, b = int(t.first[d]), int(t.first[d + 1]) if d + 1 < len(t.texts) else t.n
-            for begin, end in spans.merged(spans.quotes_in(text)):
-                inside[a + np.searchsorted(t.idx[a:b], begin) : a + np.searchsorted(t.idx[a:b], end)] = True
+        inside = in_speech(t)
         return {"first_person_narration_per100": s.count(isin(t.pos, ["PRON", "DET"]) & t.has(L.NARRATOR) & ~inside)}
     seen, group = t.seen, t.sent[t.seen]
     skip = isin(t.pos, L.PASSIVE_SKIP_POS) | t.has(sql_form(L.NEGATIONS)) | t.not_end
-    participle = then(t, seen, group, skip, t.form == PART, 4)
+    participle = then(t, seen, group, skip, (t.form == PART) | t.vbn, 4)
     near = lambda x, ks: np.logical_or.reduce([t.nearby(x, k, False) for k in ks])
     infinitive = t.verb & (t.form == INF)
     inf_right, comma_right = near(infinitive, range(1, 7)), near(t.comma, range(1, 6))
@@ -178,7 +192,8 @@ def sentence_counts(t: Tokens, which: str) -> dict[str, np.ndarray]:
     be, there = s.any(t.has(["be"])), s.any(t.has(["there"]))
     analytic = s.any((t.dep == D["neg"]) | t.has_lower(["not", "n’t"]) | t.not_end)
     synthetic = s.any(t.has_lower(["nobody", "nothing", "none", "nowhere", "neither", "without"])) | s.says("no one")
-    part = lambda ing: s.any((t.form == PART) & (t.ing == ing) & (nth <= 3) & comma_right & ~t.space)
+    clause = np.isin(t.dep, [D["advcl"], D["acl"]]) | (nth <= 3) & comma_right
+    part = lambda ing: s.any((t.form == PART) & (t.ing == ing) & clause & ~t.space)
     adverb = t.pos == P["ADV"]
     classed = lambda lemmas, name, more: s.count(t.has(lemmas) & more) + s.says(name)
     modal = lambda lemmas: s.any(t.verb & t.has(lemmas) & inf_right)
@@ -187,7 +202,7 @@ def sentence_counts(t: Tokens, which: str) -> dict[str, np.ndarray]:
         "direct_wh_questions_per100": s.says("question") & (s.any(t.has_lower(L.WH_WORDS)) | s.says("question words")),
         "by_passives_per100": passive & by,
         "agentless_passives_per100": passive & ~by,
-        "copular_per100": be & ~there,
+        "copular_per100": s.any(t.has(["be"]) & (t.dep == D["cop"])) | be & ~there,
         "existential_per100": there & be,
         "infinitive_per100": s.any(t.form == INF),
         "present_participial_per100": part(True),
@@ -195,7 +210,7 @@ def sentence_counts(t: Tokens, which: str) -> dict[str, np.ndarray]:
         "rel_sentence_per100": s.says("which"),
         **{f"{k}_subord_per100": s.says(k) for k in ("causal", "concessive", "conditional", "other")},
         "conjuncts_per100": classed(L.CONJUNCTS, "conjuncts", isin(t.pos, ["ADV", "SCONJ", "CCONJ"])),
-        "downtoners_per100": classed(L.DOWNTONERS, "downtoners", adverb | t.has(["rather"]) & (t.dep == D["advmod"])),
+        "downtoners_per100": classed(L.DOWNTONERS, "downtoners", adverb | t.has(["rather"]) & np.isin(t.dep, [D["advmod"], D["mod"]])),
         "hedges_per100": classed(L.HEDGES, "hedges", adverb | t.has(["about", "around"]) & (t.pos == P["ADP"])),
         "amplifiers_per100": classed(L.AMPLIFIERS, "amplifiers", amplifies),
         "emphatics_per100": classed(L.EMPHATICS, "emphatics", adverb),
@@ -217,24 +232,27 @@ def sentence_counts(t: Tokens, which: str) -> dict[str, np.ndarray]:
 
 
 class Chunks:
-    """The chunks of a word definition: words of each, and where they belong."""
-
-    def __init__(self, t: Tokens, word: int, keep_tail: bool) -> None:
-        self.t, self.word, w = t, t.w[word], t.ix[word]
-        docs = len(t.texts)
-        n = np.bincount(t.doc[self.word], minlength=docs)
-        self.of_doc = n // CHUNK if not keep_tail else -(-n // CHUNK)
-        self.base = np.cumsum(self.of_doc) - self.of_doc
+    """The chunks of a word definition that a work or part has words in (or the first word after it), and where its tokens belong."""
+
+    def __init__(self, t: Tokens, word: int) -> None:
+        self.t, self.word, self.index = t, t.w[word] & t.own, t.ix[word]
+        docs = len(t.first)
+        base, self.total_of_doc = t.base[:, word - 1], t.total[:, word - 1]
+        self.end = base + t.counts[:, word - 1]
+        self.low = base // CHUNK
+        last = np.minimum(self.end, self.total_of_doc - 1)
+        self.of_doc = np.where(self.total_of_doc > base, last // CHUNK - self.low + 1, 0)
+        self.slot = np.cumsum(self.of_doc) - self.of_doc
         self.n = int(self.of_doc.sum())
         self.doc = np.repeat(np.arange(docs), self.of_doc)
-        self.words_of_doc, self.index = n, w
-        self.at = self.place(t.doc, w)
+        self.id = np.arange(self.n) - self.slot[self.doc] + self.low[self.doc]
+        self.at = self.place(t.doc, self.index)
         self.n_words = self.count(np.ones(t.n, dtype=bool))
 
     def place(self, doc: np.ndarray, ix: np.ndarray) -> np.ndarray:
         """Chunk of the word number of a work, -1 if it has none."""
-        own = ix // CHUNK
-        return np.where((ix >= 0) & (own < self.of_doc[doc]), self.base[doc] + own, -1)
+        own = ix // CHUNK - self.low[doc]
+        return np.where((ix >= 0) & (own >= 0) & (own < self.of_doc[doc]), self.slot[doc] + own, -1)
 
     def count(self, test: np.ndarray) -> np.ndarray:
         at = self.at[self.word & test]
@@ -242,7 +260,7 @@ class Chunks:
 
     def total(self, x: np.ndarray) -> np.ndarray:
         ok = self.word & (self.at >= 0)
-        return np.bincount(self.at[ok], weights=x[ok], minlength=self.n)
+        return np.bincount(self.at[ok], weights=x[ok], minlength=self.n).astype(np.int64)
 
     def distinct(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct values in each chunk, and those that occur once."""
@@ -250,110 +268,310 @@ class Chunks:
         keys, n = np.unique(self.at[ok].astype(np.int64) << 32 | x[ok], return_counts=True)
         return np.bincount(keys >> 32, minlength=self.n), np.bincount((keys >> 32)[n == 1], minlength=self.n)
 
-    def per100(self, x: np.ndarray) -> np.ndarray:
-        return x * 100.0 / np.maximum(self.n_words, 1)
-
 
 WORD = {"tokens1": 1, "sentences1": 1, "tokens2": 2, "narration": 2, "readability": 2, "richness": 2, "sentences3": 3, "dialogue": 3}
 FAMILIES = tuple(WORD)
+#: Counts of a chunk's different values can't be added up: a chunk that goes over the end of a part brings its words along instead.
+DISTINCT = {"richness": {"ttr_word": "lower", "ttr_lemma": "lemma"}, "readability": {"once": "lemma"}}
 
 
-def measured(t: Tokens, which: str, keep_tail: bool) -> tuple[Chunks, dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Chunks of a family, the value of each feature by chunk, and totals by work."""
-    c = Chunks(t, WORD[which], keep_tail)
-    by_doc = lambda x: np.bincount(c.doc, weights=x, minlength=len(t.texts))
+def counted(t: Tokens, which: str) -> tuple[Chunks, dict[str, np.ndarray], np.ndarray]:
+    """Chunks of a family, its counts in each chunk, and (dialogue) what belongs to no chunk by work or part."""
+    c = Chunks(t, WORD[which])
+    nowhere = np.zeros(len(t.first), dtype=np.int64)
     if which == "richness":
-        return c, {f"ttr_{k}": c.per100(c.distinct(x)[0]) for k, x in (("word", t.lower), ("lemma", t.lemma))}, {}
+        return c, {"ttr_word": c.distinct(t.lower)[0], "ttr_lemma": c.distinct(t.lemma)[0]}, nowhere
     if which == "readability":
-        sent = np.unique(c.at[c.word & (c.at >= 0)].astype(np.int64) << 32 | t.sent[c.word & (c.at >= 0)])
-        sentences, n = np.bincount(sent >> 32, minlength=c.n), np.maximum(c.n_words, 1)
-        letters, syllables = c.total(t.letters), c.total(t.syllables)
+        inside = c.word & (c.at >= 0)
+        sent = np.unique(c.at[inside].astype(np.int64) << 32 | t.sent[inside])
         # marks lie between a word and the next of the same chunk
-        last = c.index
-        inner = t.punct & (last >= 0) & (last < c.words_of_doc[t.doc] - 1) & ((last + 1) // CHUNK == last // CHUNK)
-        at = c.place(t.doc, last)[inner]
-        marks, once = np.bincount(at[at >= 0], minlength=c.n), c.distinct(t.lemma)[1]
-        content = c.count(np.isin(t.pos, [P[n] for n in L.CONTENT_POS]))
-        rest = c.n_words - content
-        values = {
-            "words_per_sentence": c.n_words / np.maximum(sentences, 1),
-            "syllables_per_sentence": syllables / np.maximum(sentences, 1),
-            "letters_per_word": letters / n,
-            "syllables_per_word": syllables / n,
-            "punctuation_per100": c.per100(marks),
-            "hapax_lemma_per100": c.per100(once),
-            "content_to_function_ratio": np.where(rest > 0, content / np.maximum(rest, 1), np.where(content > 0, 9999.0, 0.0)),
-        }
-        totals = {"punctuation_total": marks, "hapax_lemma_total": once, "content_total": content, "function_total": rest, "sentence_total_used": sentences}
-        return c, values, {k: by_doc(x) for k, x in totals.items()}
+        inner = t.own & t.punct & (c.index >= 0) & (c.index < c.total_of_doc[t.doc] - 1) & ((c.index + 1) // CHUNK == c.index // CHUNK)
+        at = c.place(t.doc, c.index)[inner]
+        return c, {
+            "sentences": np.bincount(sent >> 32, minlength=c.n),
+            "letters": c.total(t.letters),
+            "syllables": c.total(t.syllables),
+            "marks": np.bincount(at[at >= 0], minlength=c.n),
+            "once": c.distinct(t.lemma)[1],
+            "content": c.count(np.isin(t.pos, [P[n] for n in L.CONTENT_POS])),
+        }, nowhere
     if which == "dialogue":
-        hits, every = np.zeros(c.n, dtype=np.int64), np.zeros(len(t.texts))
+        hits = np.zeros(c.n, dtype=np.int64)
         for d, text in enumerate(t.texts):
-            found = spans.dialogue_in(text)
+            begins = t.begins[d] if t.begins is not None else [begin for begin, _ in spans.dialogue_in(text)]
             a, b = int(t.first[d]), int(t.first[d + 1]) if d + 1 < len(t.texts) else t.n
-            own = a + np.flatnonzero(c.word[a:b])
-            k = np.searchsorted(t.idx[own], [begin for begin, _ in found])
-            at = c.at[own[k[k < len(own)]]]
-            np.add.at(hits, at[at >= 0], 1)
-            every[d] = len(found)
-        return c, {"dialogue_per100": c.per100(hits)}, {"dialogue_total": every}
+            own = t.idx[a:b][c.word[a:b]]
+            ix = c.end[d] - len(own) + np.searchsorted(own, begins)  # the number of the first word at or after
+            at = c.place(np.full(len(ix), d), ix)
+            at = at[ix < c.total_of_doc[d]]
+            np.add.at(hits, at, 1)
+            nowhere[d] = len(begins) - len(at)
+        return c, {"dialogue_per100": hits}, nowhere
     if which.startswith("tokens"):
-        counts = {name: c.count(test) for name, test in token_tests(t, which).items()}
-    else:
-        s = sentence_counts(t, which)
-        place = np.full(int(t.sent[-1]) + 1 if t.n else 0, -1)
-        words = np.flatnonzero(c.word)[::-1]
-        place[t.sent[words]] = c.at[words]  # the first word of a sentence is written last
-        counts = {name: np.bincount(place[place >= 0], weights=x[place >= 0], minlength=c.n) for name, x in s.items()}
-    return c, {name: c.per100(x) for name, x in counts.items()}, {name.removesuffix("_per100") + "_total": by_doc(x) for name, x in counts.items()}
-
-
-def summary(t: Tokens, which: str, keep_tail: bool = True) -> tuple[list[str], np.ndarray]:
-    """Metrics of a family and their values, a row per work; works without words have zeros."""
-    c, values, totals = measured(t, which, keep_tail)
-    docs = len(t.texts)
-    has = np.flatnonzero(c.of_doc)
-    x = np.stack(list(values.values()))
-    out = np.zeros((4, len(values), docs))
-    if len(has):
-        n, starts = c.of_doc[has], c.base[has]
-        mean = np.add.reduceat(x, starts, axis=1) / n
-        spread = np.sqrt(np.add.reduceat((x - np.repeat(mean, n, axis=1)) ** 2, starts, axis=1) / n)
-        out[:, :, has] = [mean, np.minimum.reduceat(x, starts, axis=1), np.maximum.reduceat(x, starts, axis=1), spread]
-    out = np.floor(out * 10000 + 0.5 + 1e-9) / 10000
-    names = [f"{name}_{s}" for s in ("avg", "min", "max", "sd") for name in values]
-    used = np.bincount(c.doc, weights=c.n_words, minlength=docs)
-    rest = {**totals, "token_total": used, "chunk_count_used": c.of_doc, "chunk_size_words": np.full(docs, CHUNK)}
-    return [*names, *rest], np.concatenate([out.reshape(-1, docs), np.stack(list(rest.values()))]).T
+        return c, {name: c.count(test) for name, test in token_tests(t, which).items()}, nowhere
+    place = np.full(int(t.sent[-1]) + 1 if t.n else 0, -1)
+    words = np.flatnonzero(c.word)[::-1]
+    place[t.sent[words]] = c.at[words]  # the first word of a sentence is written last
+    return c, {name: np.bincount(place[place >= 0], weights=x[place >= 0], minlength=c.n).astype(np.int64) for name, x in sentence_counts(t, which).items()}, nowhere
+
+
+def count_names(which: str) -> list[str]:
+    return list(counted(Tokens([], Words()), which)[1])
+
+
+def rows_of(t: Tokens, which: str, parts: bool) -> list[pa.Array]:
+    """place (the work or part), chunk_id, n_words, counts, and where parts are asked for the words of the first and last chunk.
+
+    Every work or part has a row of no chunk too.
+    """
+    c, counts, nowhere = counted(t, which)
+    docs, lists = len(t.first), []
+    table = np.zeros((c.n + docs, len(counts)), dtype=np.int64)
+    table[: c.n] = np.stack(list(counts.values()), axis=1) if c.n else table[:0]
+    if which == "dialogue":
+        table[c.n :, 0] = nowhere
+    if parts:
+        edge = np.zeros(c.n, dtype=bool)
+        edge[c.slot[c.of_doc > 0]] = True
+        edge[(c.slot + c.of_doc - 1)[c.of_doc > 0]] = True
+        names = np.array(list(t.words.strings), dtype=object)
+        for k, name in enumerate(counts):
+            if source := DISTINCT.get(which, {}).get(name):
+                table[: c.n, k][edge] = 0
+                rows = np.flatnonzero(c.word & (c.at >= 0))
+                rows = rows[edge[c.at[rows]]]
+                ends = np.cumsum(np.bincount(c.at[rows], minlength=c.n + docs))
+                values = names[(t.lower if source == "lower" else t.lemma)[rows]] if len(rows) else []
+                lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values, pa.string())))
+    chunk = np.r_[c.id, np.zeros(docs, dtype=np.int64)]
+    at = np.arange(0, table.size + 1, max(1, len(counts)), dtype=np.int32)
+    return [
+        pa.array(np.r_[c.doc, np.arange(docs)]),
+        pa.array(chunk, pa.int64(), mask=np.arange(len(chunk)) >= c.n),
+        pa.array(np.r_[c.n_words, np.zeros(docs, dtype=np.int64)], pa.int64()),
+        pa.ListArray.from_arrays(pa.array(at), pa.array(table.reshape(-1))),
+        *lists,
+    ]
+
+
+#: Characters of a work that are annotated in one part; longer works are cut at sentences into parts that any tasks take.
+SEGMENT = 1 << 18
+#: The first word of a sentence: what follows an end mark and anything that is no word.
+SENTENCE = regex.compile(rf"[.!?…][^\p{{L}}\p{{N}}{regex.escape(''.join(sorted(L.SYMBOLS)))}]*")
+#: Words that are looked at beyond the end of a part.
+AHEAD = 3
+
+
+def cuts(text: str, size: int) -> list[int]:
+    """Where parts of about `size` characters begin: each at a sentence's first word."""
+    out, at = [0], 0
+    while at + size < len(text) and (found := SENTENCE.search(text, at + size)) and found.end() < len(text):
+        at = found.end()
+        out.append(at)
+    return out
+
+
+def segments(works: DataFrame, size: int) -> DataFrame:
+    """work, seg, text, own, speech and begins: the parts of long works, with some words more than their own, and the work's spans in each part's places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                begins = cuts(text, size)
+                ends = [*begins[1:], len(text)]
+                quotes = np.array(spans.merged(spans.quotes_in(text)), dtype=np.int64).reshape(-1, 2)
+                speech = np.sort(np.array([begin for begin, _ in spans.dialogue_in(text)], dtype=np.int64))
+                for seg, (a, b) in enumerate(zip(begins, ends, strict=True)):
+                    beyond, left = b, AHEAD
+                    for found in TOKEN.finditer(text, b):
+                        beyond = found.end()
+                        if not (row := words.describe(found[0]))[4] and not row[5]:  # neither space nor mark
+                            left -= 1
+                        if not left:
+                            break
+                    own = quotes[np.searchsorted(quotes[:, 1], a, "right") : np.searchsorted(quotes[:, 0], b)].clip(a, b) - a
+                    starts = speech[np.searchsorted(speech, a) : np.searchsorted(speech, b)] - a
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("work").slice(k, 1), pa.array([seg], pa.int32()), pa.array([text[a:beyond]]), pa.array([b - a], pa.int32()), pa.array([own.reshape(-1).tolist()], pa.list_(pa.int32())), pa.array([starts.tolist()], pa.list_(pa.int32()))],
+                        ["work", "seg", "text", "own", "speech", "begins"],
+                    )
+
+    empty = "cast(null as array<int>)"
+    schema = works.select("work", F.lit(0).alias("seg"), "text", F.lit(0).alias("own"), F.expr(empty).alias("speech"), F.expr(empty).alias("begins")).schema
+    return works.mapInArrow(run, schema)
+
+
+def with_bases(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """parts (work, seg and more) with base and total: sums of counts (work, seg, n: four numbers) over the parts before, and over the whole work."""
+    by_work = W.partitionBy("work")
+    before = by_work.orderBy("seg").rowsBetween(W.unboundedPreceding, -1)
+    each = lambda over: F.array(*[F.coalesce(F.sum(F.col("n")[k]).over(over), F.lit(0)) for k in range(4)])
+    sums = counts.select(F.col("work").alias("w_"), F.col("seg").alias("s_"), each(before).alias("base"), each(by_work).alias("total"))
+    return parts.join(sums, F.col("work").eqNullSafe(F.col("w_")) & (F.col("seg") == F.col("s_"))).drop("w_", "s_")
+
+
+def four(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, 4)
+
+
+def part_tokens(batch: pa.RecordBatch, words: Words) -> Tokens:
+    """The tokens of a batch of whole works (work, text), or of parts as segments() and with_bases() give them."""
+    texts = [x or "" for x in batch.column("text").to_pylist()]
+    if "own" not in batch.schema.names:
+        return Tokens(texts, words)
+    numbered = "base" in batch.schema.names
+    t = Tokens(texts, words, batch.column("own").to_numpy(), four(batch.column("base")) if numbered else None, four(batch.column("total")) if numbered else None)
+    t.speech = [np.array(x).reshape(-1, 2).tolist() for x in batch.column("speech").to_pylist()]
+    t.begins = batch.column("begins").to_pylist()
+    return t
 
 
 def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = np.array([len(x) if x is not None else 0 for x in batch.column("text").cast(pa.binary()).to_pylist()], dtype=np.int64)
+        sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         turn = np.cumsum(sizes) // STEP_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
-        yield from (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+        cut_at = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cut_at[:-1], cut_at[1:], strict=True) if b > a)
 
 
-def stats(works: DataFrame, families: tuple[str, ...] | list[str] = FAMILIES, keep_tail: bool = True) -> DataFrame:
-    """family, work, metric, value of works (work, text). A null text has no words; each row is a work of its own."""
+def chunk_rows(rows: DataFrame, families: list[str], tokens_of: Callable[[pa.RecordBatch, Words], Tokens], in_steps: Callable, parts: bool) -> DataFrame:
+    """family, work, chunk_id, n_words, counts (and, of parts, two lists of words) of annotated batches."""
+    lists = ["words", "words2"] if parts else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for part in steps(batches):
-            t = Tokens([x or "" for x in part.column("text").to_pylist()], words)
+        for part in in_steps(batches):
+            t = tokens_of(part, words)
             for which in families:
-                names, table = summary(t, which, keep_tail)
-                n = len(names)
-                work = part.column("work").take(pa.array(np.repeat(np.arange(part.num_rows), n)))
-                metric = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(n, dtype=np.int32), part.num_rows)), pa.array(names)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([which], pa.string()).take(pa.array(np.zeros(len(work), dtype=np.int32))), work, metric, pa.array(table.reshape(-1))], ["family", "work", "metric", "value"])
+                place, *columns = rows_of(t, which, parts)
+                n = len(place)
+                columns += [pa.nulls(n, pa.list_(pa.string()))] * (3 + len(lists) - len(columns))
+                yield pa.RecordBatch.from_arrays([pa.array([which], pa.string()).take(pa.array(np.zeros(n, dtype=np.int32))), part.column("work").take(place), *columns], ["family", "work", "chunk_id", "n_words", "counts", *lists])
 
+    texts = [F.expr("cast(null as array<string>)").alias(x) for x in lists]
+    schema = rows.select(F.lit("").alias("family"), "work", F.lit(None).cast("long").alias("chunk_id"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(null as array<bigint>)").alias("counts"), *texts).schema
+    return rows.mapInArrow(run, schema)
+
+
+def added_up(rows: DataFrame, families: list[str]) -> DataFrame:
+    """Chunks of parts as chunks of works: counts add up, words that chunks at the ends of parts brought along are counted together."""
+    most = max(len(count_names(w)) for w in families)
+    rows = rows.groupBy("family", "work", "chunk_id").agg(F.sum("n_words").alias("n_words"), F.array(*[F.sum(F.get("counts", F.lit(k))) for k in range(most)]).alias("counts"), *[F.flatten(F.collect_list(x)).alias(x) for x in ("words", "words2")])
+    lone = "size(filter(array_distinct(words), x -> size(filter(words, y -> y = x)) = 1))"
+    more = "case when family = 'richness' and k = 0 then size(array_distinct(words)) when family = 'richness' and k = 1 then size(array_distinct(words2))"
+    once = count_names("readability").index("once")
+    return rows.select("family", "work", "chunk_id", "n_words", F.expr(f"transform(counts, (c, k) -> c + {more} when family = 'readability' and k = {once} then {lone} else 0 end)").alias("counts"))
+
+
+def count_words(parts: DataFrame, tokens_of: Callable[[pa.RecordBatch, Words], Tokens], in_steps: Callable) -> DataFrame:
+    """work, seg and n: the words of each part by the four definitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for part in in_steps(batches):
+            n = tokens_of(part, words).counts
+            yield pa.RecordBatch.from_arrays([part.column("work"), part.column("seg"), pa.ListArray.from_arrays(pa.array(np.arange(0, n.size + 1, 4, dtype=np.int32)), pa.array(n.reshape(-1).astype(np.int64)))], ["work", "seg", "n"])
+
+    return parts.mapInArrow(run, parts.select("work", "seg", F.expr("cast(null as array<bigint>)").alias("n")).schema)
+
+
+def family_stats(rows: DataFrame, which: str, keep_tail: bool) -> DataFrame:
+    """work, metric, value of a family's chunks: rates, their statistics and totals, all in Spark."""
+    names = count_names(which)
+    count = lambda name: F.get("counts", F.lit(names.index(name)))
+    n = F.col("n_words")
+    in_chunk = lambda x: F.when(F.col("chunk_id").isNotNull(), x)
+    if which == "readability":
+        sentences, rest = F.greatest(count("sentences"), F.lit(1)), n - count("content")
+        features = {
+            "words_per_sentence": n / sentences,
+            "syllables_per_sentence": count("syllables") / sentences,
+            "letters_per_word": count("letters") / n,
+            "syllables_per_word": count("syllables") / n,
+            "punctuation_per100": count("marks") * 100.0 / n,
+            "hapax_lemma_per100": count("once") * 100.0 / n,
+            "content_to_function_ratio": F.when(rest > 0, count("content") / rest).when(count("content") > 0, 9999.0).otherwise(0.0),
+        }
+        totals = {"punctuation_total": count("marks"), "hapax_lemma_total": count("once"), "content_total": count("content"), "function_total": rest, "sentence_total_used": count("sentences")}
+    else:
+        features = {name: count(name) * 100.0 / n for name in names}
+        totals = {} if which == "richness" else {name.removesuffix("_per100") + "_total": count(name) for name in names}
+    if not keep_tail:
+        rows = rows.where(f"chunk_id is null or n_words = {CHUNK}")
+    return chunk_stats(rows, {name: in_chunk(x) for name, x in features.items()}, totals, {"chunk_size_words": CHUNK})
+
+
+def works_rows(works: DataFrame, families: list[str], size: int = SEGMENT) -> DataFrame:
+    """family, work, chunk_id, n_words, counts of works (work, text): works of up to `size` characters as they come, longer ones in parts."""
     cols = works.select("work", F.col("text").cast("string").alias("text"))
-    schema = cols.select(F.lit("").alias("family"), "work", F.lit("").alias("metric"), F.lit(0.0).alias("value")).schema
-    return cols.mapInArrow(run, schema)
+    short = chunk_rows(cols.where(f"text is null or octet_length(text) <= {size}"), families, part_tokens, steps, False)
+    parts = cut(segments(cols.where(f"octet_length(text) > {size}"), size))
+    numbered = with_bases(parts, count_words(parts, part_tokens, steps))
+    long_ = added_up(chunk_rows(numbered, families, part_tokens, steps, True), families)
+    return short.unionByName(long_)
+
+
+def family(works: DataFrame, which: str, keep_tail: bool = True, size: int = SEGMENT) -> DataFrame:
+    """work, metric, value of one family of works (work, text). A null text has no words; works have names of their own."""
+    return family_stats(works_rows(works, [which], size), which, keep_tail)
+
+
+def stats(works: DataFrame, families: tuple[str, ...] | list[str] = FAMILIES, keep_tail: bool = True, size: int = SEGMENT) -> DataFrame:
+    """family, work, metric, value of several families; the works are annotated once."""
+    rows = cut(works_rows(works, list(families), size))
+    each = [family_stats(rows.where(F.col("family") == which), which, keep_tail).select(F.lit(which).alias("family"), "*") for which in families]
+    return reduce(DataFrame.unionByName, each)
+
+
+#: Sentences of one part of a parsed work.
+SENTENCES = 500
+#: What a parser's token table has, and what stands for a column that is missing.
+TOKEN_COLUMNS = {
+    "sent_id": None, "tok_i": None, "idx": None, "text": None, "lemma": None, "pos": None, "head_i": None, "dep": "''", "tag": "''", "verbform": "''", "tense": "''", "quoted": "false",
+    "is_space": "pos = 'SPACE'", "is_punct": "pos = 'PUNCT'", "is_alpha": r"text rlike r'^\p{L}+$'", "like_num": "pos = 'NUM'",
+}
+
+
+def parsed_parts(tokens: DataFrame, sentences: int) -> DataFrame:
+    """work, seg, own and t (the part's tokens in order, then the first words of the parts after it)."""
+    have = {c.lower() for c in tokens.columns}
+    morph = {"verbform": "element_at(morph['VerbForm'], 1)", "tense": "element_at(morph['Tense'], 1)"} if "morph" in have else {}
+    columns = [F.coalesce(F.expr(c if c in have else morph.get(c, other)), F.expr(other or "null")).alias(c) for c, other in TOKEN_COLUMNS.items()]
+    rows = tokens.select("work", *columns).select("work", F.floor(F.col("sent_id") / sentences).cast("int").alias("seg"), F.struct(*TOKEN_COLUMNS).alias("x"))
+    parts = cut(rows.groupBy("work", "seg").agg(F.array_sort(F.collect_list("x")).alias("t")))
+    # the first words of each part go to the part before, one row for each part and work
+    heads = parts.select("work", "seg", F.slice(F.filter("t", lambda x: ~x["is_space"] & ~x["is_punct"]), F.lit(1), F.lit(AHEAD)).alias("head"))
+    later = W.partitionBy("work").orderBy("seg").rowsBetween(1, AHEAD)
+    heads = heads.select(F.col("work").alias("w_"), F.col("seg").alias("s_"), F.slice(F.flatten(F.collect_list("head").over(later)), F.lit(1), F.lit(AHEAD)).alias("ahead"))
+    joined = parts.join(heads, F.col("work").eqNullSafe(F.col("w_")) & (F.col("seg") == F.col("s_")))
+    return joined.select("work", "seg", F.size("t").alias("own"), F.concat("t", "ahead").alias("t"))
+
+
+def parsed_tokens(batch: pa.RecordBatch, words: Words) -> Tokens:
+    t = batch.column("t")
+    flat = t.flatten()
+    columns = {name: flat.field(name) for name in TOKEN_COLUMNS}
+    columns = {name: c.to_pylist() if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False) for name, c in columns.items()}
+    sizes = pc.list_value_length(t).to_numpy().astype(np.int64)
+    numbered = "base" in batch.schema.names
+    base, total = (four(batch.column(c)) if numbered else None for c in ("base", "total"))
+    return Parsed(sizes, batch.column("own").to_numpy(), columns, words, base, total)
+
+
+def parsed_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few parts at a time."""
+    for batch in batches:
+        yield from (batch.slice(k, 8) for k in range(0, batch.num_rows, 8))
 
 
-def family(works: DataFrame, which: str, keep_tail: bool = True) -> DataFrame:
-    """work, metric, value of one family."""
-    return stats(works, [which], keep_tail).drop("family")
+def family_of_tokens(tokens: DataFrame, which: str, keep_tail: bool = True, sentences: int = SENTENCES) -> DataFrame:
+    """work, metric, value of one family of a parser's tokens: work and TOKEN_COLUMNS (or morph in place of verbform and tense), any order.
+
+    head_i is the tok_i of the head, in the same sentence; narration goes by `quoted` (spans.outside() can tell), dialogue needs the texts.
+    """
+    if which == "dialogue":
+        raise ValueError("dialogue is found in texts, not in tokens")
+    parts = parsed_parts(tokens, sentences)
+    numbered = with_bases(parts, count_words(parts, parsed_tokens, parsed_steps))
+    return family_stats(added_up(chunk_rows(numbered, [which], parsed_tokens, parsed_steps, True), [which]), which, keep_tail)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.operators.statistics import chunk_stats
+
 
 #: Words of the lists that may be broadcast to the texts' words (about 60 bytes each).
 BROADCAST_WORDS = 500_000
@@ -35,28 +37,17 @@ def coverage(words: DataFrame, vocabulary: DataFrame, ratings: DataFrame) -> Dat
     )
 
 
-def chunk_stats(chunks: DataFrame, features: list[str], totals: dict[str, str]) -> DataFrame:
-    """work, metric, value: mean, least, greatest and population deviation of each feature over a work's chunks, then the totals.
-
-    chunks: work, chunk_id, n_words and the features; totals: name to an aggregate over the chunks.
-    """
-    four = lambda x: F.floor(x * 10000 + 0.5 + 1e-9) / 10000
-    parts = {f"{f}_{name}": four(how(f)) for f in features for name, how in (("avg", F.avg), ("min", F.min), ("max", F.max), ("sd", F.stddev_pop))}
-    parts |= {name: F.expr(e) for name, e in {**totals, "token_total": "sum(n_words)", "chunk_count_used": "count(*)"}.items()}
-    wide = chunks.groupBy("work").agg(*[x.cast("double").alias(name) for name, x in parts.items()])
-    return wide.unpivot("work", list(parts), "metric", "value")
-
-
 COVERAGE_FEATURES = ["oov_per100", "in_list_per100", "concreteness_coverage_percent", "concreteness_mean_matched", "concreteness_sum_per100"]
 
 
 def coverage_stats(chunks: DataFrame) -> DataFrame:
     """Statistics of coverage() by work, with the numbers of words out of the list, in it, and rated."""
-    count = lambda c: f"sum(cast(round({c} * n_words / 100) as bigint))"
-    return chunk_stats(chunks, COVERAGE_FEATURES, {"oov_total": count("oov_per100"), "in_list_total": count("in_list_per100"), "concreteness_matched_total": count("concreteness_coverage_percent")})
+    count = lambda c: F.round(F.col(c) * F.col("n_words") / 100)
+    totals = {"oov_total": count("oov_per100"), "in_list_total": count("in_list_per100"), "concreteness_matched_total": count("concreteness_coverage_percent")}
+    return chunk_stats(chunks, {f: F.col(f) for f in COVERAGE_FEATURES}, totals)
 
 
 def model_stats(chunks: DataFrame) -> DataFrame:
     """Statistics of scoring.humor() and scoring.metaphor() by work, with the numbers of chunks and words found positive."""
     features = ["humor_prob", "nonhumor_prob", "humor_label", "metaphor_word_percent", "metaphor_prob_mean", "metaphor_words_total"]
-    return chunk_stats(chunks, features, {"humor_chunks_positive_total": "sum(humor_label)", "metaphor_words_positive_total": "sum(metaphor_words_total)"})
+    return chunk_stats(chunks, {f: F.col(f) for f in features}, {"humor_chunks_positive_total": F.col("humor_label"), "metaphor_words_positive_total": F.col("metaphor_words_total")})

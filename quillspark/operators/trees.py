@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quillspark.operators.lexical import chunk_stats
+from quillspark.operators.statistics import chunk_stats
 
 #: Clause relations, and words that head a free relative.
 CLAUSES = ("ccomp", "xcomp", "advcl", "acl", "relcl")
@@ -49,4 +49,4 @@ def clause_stats(tokens: DataFrame, chunk: int = 100) -> DataFrame:
     hits = flags.join(first, ["work", "sent_id"]).groupBy("work", "chunk_id").agg(*[F.sum(F.col(f).cast("int")).alias(f) for f in CLAUSE_FLAGS])
     rated = sizes.join(hits, ["work", "chunk_id"], "left").select("work", "chunk_id", "n_words", *[F.coalesce(f, F.lit(0)).alias(f"{f}_total") for f in CLAUSE_FLAGS])
     rated = rated.select("*", *[(F.col(f"{f}_total") * 100 / F.col("n_words")).alias(f"{f}_per100") for f in CLAUSE_FLAGS])
-    return chunk_stats(rated, [f"{f}_per100" for f in CLAUSE_FLAGS], {f"{f}_total": f"sum({f}_total)" for f in CLAUSE_FLAGS})
+    return chunk_stats(rated, {f"{f}_per100": F.col(f"{f}_per100") for f in CLAUSE_FLAGS}, {f"{f}_total": F.col(f"{f}_total") for f in CLAUSE_FLAGS})

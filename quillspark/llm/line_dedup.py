@@ -255,7 +255,7 @@ def shingle_hashes(lines: list[str], width: int = SHINGLE) -> list[np.ndarray]:
 
 
 #: A bucket of more lines is dealt by its lines' rare shingles.
-WHOLE = 1000
+WHOLE = 10_000
 #: Counters of shingles by their hashes, by which rare ones are told: a table of fixed size.
 COUNTERS = 1 << 18
 

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.llm.classifier import sample as labelled
 from quillspark.llm.common import MEMO_WORDS, cut, steps, text_of
 
 #: Labelled documents that the lexicon and the model are fitted on, at most (those of least hash).
@@ -212,13 +213,11 @@ class Terms(dict):
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """text and toxic of at most `most` labelled training documents; the label side is bounded by `most` rows.
+    """doc_id, text and toxic of at most `most` labelled training documents, a row for each label's id.
 
-    Of labels of one document the highest counts.
+    Of labels of one document the highest counts, of rows of one id the text of the least hash.
     """
-    train = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and crc32(cast(label_id as string)) % 5 != 0")
-    train = train.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
-    return docs.join(F.broadcast(train), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic")
+    return labelled(docs, labels, "toxic", most).select(F.col("label_id").alias("doc_id"), "text", F.col("label").alias("toxic"))
 
 
 def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float], int, int]:
@@ -301,7 +300,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
     if words or starts:
         banned = near_misses(train, terms)
-        rows = train.select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").collect()  # at most max_labelled rows of a few numbers
+        rows = train.select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").collect()  # a row of a few numbers for each of at most max_labelled ids
         w = fit(np.array([r.x for r in rows]), np.array([float(r.toxic > 0) for r in rows]))
     else:
         w = np.r_[math.log((n1 + 0.5) / (n0 + 0.5)), np.zeros(n_features)]

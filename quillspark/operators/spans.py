@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Opening and closing marks, marks that end speech, and dash-led lines.
 QUOTES = ['""', "''", "«»", "“”", "‘’"]
@@ -81,33 +82,88 @@ def dialogue_spans(works: DataFrame) -> DataFrame:
     return _find(works, dialogue_in)
 
 
-def merge_spans(spans: DataFrame) -> DataFrame:
-    """Gaps and islands; a span that begins where another ends is one with it."""
-    w = W.partitionBy("work").orderBy("begin", "end")
-    fresh = F.coalesce(F.col("begin") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    island = F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return spans.withColumn("fresh", fresh).withColumn("island", island).groupBy("work", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
+#: Characters of a bucket of places; joins by place go by work and bucket.
+BUCKET = 1 << 14
 
 
-def next_word(spans: DataFrame, words: DataFrame) -> DataFrame:
-    """Forward as-of join: each span (work, begin, end) with word_ix of the first word (work, idx, word_ix) at or after it, or null."""
-    both = spans.select("work", F.col("begin").alias("idx"), F.lit(0).alias("kind"), "end", F.lit(None).cast("long").alias("word_ix")).unionByName(words.select("work", "idx", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("end"), F.col("word_ix").cast("long").alias("word_ix")))
-    w = W.partitionBy("work").orderBy(F.desc("idx"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("word_ix", F.min("word_ix").over(w)).where("kind = 0").select("work", F.col("idx").alias("begin"), "end", "word_ix")
+def bucket(place: Column, size: int) -> Column:
+    return F.floor(place / size)
 
 
-def outside(tokens: DataFrame, merged: DataFrame) -> DataFrame:
-    """Interval anti join: tokens (work, idx) in no merged span; the last span begun at each token decides."""
+def next_word(spans: DataFrame, words: DataFrame, size: int = BUCKET) -> DataFrame:
+    """Forward as-of join: each span (work, begin, end) with word_ix of the first word (work, idx, word_ix) at or after it, or null.
+
+    word_ix grows with idx. Spans and words meet by work and bucket of places; a span without a word after it in its bucket
+    has the first word of the next bucket that has one, known from a row for each bucket.
+    """
+    long_ = lambda x: F.lit(None).cast("long").alias(x)
+    both = spans.select("work", F.col("begin").alias("at"), F.lit(0).alias("kind"), "end", long_("ix")).unionByName(words.select("work", F.col("idx").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("end"), F.col("word_ix").cast("long").alias("ix")))
+    both = both.withColumn("bucket", bucket(F.col("at"), size))
+    firsts = both.groupBy(F.col("work").alias("w_"), F.col("bucket").alias("b_")).agg(F.min("ix").alias("first"))
+    later = W.partitionBy("w_").orderBy("b_").rowsBetween(1, W.unboundedFollowing)
+    firsts = firsts.select("w_", "b_", F.min("first").over(later).alias("carried"))
+    here = W.partitionBy("work", "bucket").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("ix", F.min("ix").over(here)).where("kind = 0")
+    joined = found.join(firsts, F.col("work").eqNullSafe(F.col("w_")) & (F.col("bucket") == F.col("b_")), "left")
+    return joined.select("work", F.col("at").alias("begin"), "end", F.coalesce("ix", "carried").alias("word_ix"))
+
+
+def outside(tokens: DataFrame, merged: DataFrame, size: int = BUCKET) -> DataFrame:
+    """Interval anti join: tokens (work, idx) in no merged span (work, begin, end).
+
+    A span goes to every bucket that it touches, cut at the bucket's ends; within a bucket the last span begun at each token decides.
+    """
     cols = tokens.columns
-    marks = merged.select("work", F.col("begin").alias("_at"), F.col("end").alias("_end"), F.lit(0).alias("_kind"))
-    both = tokens.withColumns({"_at": F.col("idx"), "_end": F.lit(None).cast("int"), "_kind": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
-    w = W.partitionBy("work").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("_open", F.max("_end").over(w)).where("_kind = 1 and (_open is null or idx >= _open)").select(*cols)
+    touched = merged.where("end > begin").select("work", "begin", "end", F.explode(F.sequence(bucket(F.col("begin"), size), bucket(F.col("end") - 1, size))).alias("_b"))
+    marks = touched.select("work", "_b", F.greatest("begin", F.col("_b") * size).alias("_at"), F.least("end", (F.col("_b") + 1) * size).alias("_end"), F.lit(0).alias("_kind"))
+    rows = tokens.withColumns({"_b": bucket(F.col("idx"), size), "_at": F.col("idx").cast("long"), "_end": F.lit(None).cast("long"), "_kind": F.lit(1)})
+    w = W.partitionBy("work", "_b").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_open", F.max("_end").over(w))
+    return both.where("_kind = 1 and (_open is null or _at >= _open)").select(*cols)
+
+
+def word_places(works: DataFrame) -> DataFrame:
+    """work, idx, word_ix and word: the runs of letters of each work."""
+    found = regex.compile(r"\p{L}+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                places = [(m.start(), m[0]) for m in found.finditer(text or "")]
+                for a in range(0, len(places), 10_000):
+                    part = places[a : a + 10_000]
+                    at = pa.array([k] * len(part), pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column("work").take(at), pa.array([p for p, _ in part], pa.int32()), pa.array(range(a, a + len(part)), pa.int64()), pa.array([w for _, w in part])], ["work", "idx", "word_ix", "word"])
+
+    schema = works.select("work", F.lit(0).alias("idx"), F.lit(0).cast("long").alias("word_ix"), F.lit("").alias("word")).schema
+    return works.select("work", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def dialogue_counts(works: DataFrame, words: DataFrame, chunk: int = 100) -> DataFrame:
+def dialogue_by_chunk(works: DataFrame, chunk: int = 100, size: int = BUCKET) -> DataFrame:
     """work, chunk_id, n of dialogue spans by the chunk of the first word at or after their begin (null: none follows)."""
-    return next_word(dialogue_spans(works), words).groupBy("work", F.floor(F.col("word_ix") / chunk).alias("chunk_id")).agg(F.count("*").alias("n"))
+    placed = next_word(dialogue_spans(works), word_places(works), size)
+    return placed.groupBy("work", F.floor(F.col("word_ix") / chunk).alias("chunk_id")).agg(F.count("*").alias("n"))
+
+
+def narrated_by_chunk(works: DataFrame, chunk: int = 100, size: int = BUCKET) -> DataFrame:
+    """work, chunk_id, n of words outside quoted and dash-led speech, by the chunk of their number among all words."""
+    return outside(word_places(works), quote_spans(works), size).groupBy("work", F.floor(F.col("word_ix") / chunk).alias("chunk_id")).agg(F.count("*").alias("n"))
+
+
+class SpeechSpans:
+    """Table function speech_spans(text, kind): begin, end and said of each span; kind is quotes (merged) or dialogue."""
+
+    def eval(self, text: str, kind: str):
+        found = {"quotes": lambda t: merged(quotes_in(t)), "dialogue": dialogue_in}
+        if kind not in found:
+            raise ValueError(f"speech_spans: kind is {' or '.join(found)}, not {kind}")
+        for begin, end in found[kind](text) if text else ():
+            yield begin, end, text[begin:end]
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes speech_spans known to the session's SQL: select work, s.* from works, lateral speech_spans(text, 'dialogue') s."""
+    spark.udtf.register("speech_spans", F.udtf(SpeechSpans, returnType="begin int, end int, said string"))
 
 
 #: Characters of a work in which the first sentence is looked for.

@@ -1,9 +1,19 @@
-"""Dependency features over an annotator's token table (work, sent_id, tok_i, lemma, pos, dep, head_i, verbform)."""
+"""Dependency features over a parser's token table (work, sent_id, tok_i, lemma, pos, dep, head_i, verbform).
+
+A sentence's tokens are numbered by a walk over its tree, so that a subtree is a range of numbers
+and "something in the subtree" a difference of two running counts; time is linear in the tokens.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
+from quillspark.operators.prefix import running
 from quillspark.operators.statistics import chunk_stats
 
 #: Clause relations, and words that head a free relative.
@@ -11,42 +21,118 @@ CLAUSES = ("ccomp", "xcomp", "advcl", "acl", "relcl")
 FREE = ("how", "what", "whatever", "when", "where", "which", "who", "whoever", "whom", "why")
 
 
-def with_ancestors(tokens: DataFrame) -> DataFrame:
-    """Adds head_pos, ancestors (nearest first, without the token) and depth, by climbing the sentence's heads as one array."""
-    heads = tokens.groupBy("work", "sent_id").agg(F.map_from_entries(F.collect_list(F.struct("tok_i", "head_i"))).alias("heads"), F.map_from_entries(F.collect_list(F.struct("tok_i", "pos"))).alias("poses"))
-    climb = "aggregate(sequence(1, size(heads)), cast(array() as array<int>), (a, k) -> case when element_at(heads, if(size(a) = 0, tok_i, element_at(a, -1))) = if(size(a) = 0, tok_i, element_at(a, -1)) or element_at(heads, if(size(a) = 0, tok_i, element_at(a, -1))) is null then a else array_append(a, element_at(heads, if(size(a) = 0, tok_i, element_at(a, -1)))) end)"
-    return tokens.join(heads, ["work", "sent_id"]).withColumn("ancestors", F.expr(climb)).withColumn("head_pos", F.expr("element_at(poses, head_i)")).drop("heads", "poses")
+def tour(head: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """For each token its number in a walk from the roots down, the number after its subtree's last, and its depth.
+
+    head is the place of each token's head; a root's is its own or none (-1). A ring of heads is cut at its first token.
+    """
+    n = len(head)
+    children: list[list[int]] = [[] for _ in range(n)]
+    roots = []
+    for k, h in enumerate(head):
+        if h < 0 or h == k:
+            roots.append(k)
+        else:
+            children[h].append(k)
+    enter, leave, depth, number = [-1] * n, [0] * n, [0] * n, 0
+    for start in [*roots, *range(n)]:
+        if enter[start] >= 0:
+            continue
+        stack = [(start, 0)]
+        while stack:
+            k, d = stack.pop()
+            if k < 0:
+                leave[~k] = number
+            elif enter[k] < 0:
+                enter[k], depth[k] = number, d
+                number += 1
+                stack.append((~k, d))
+                stack += [(c, d + 1) for c in reversed(children[k])]
+    return enter, leave, depth
+
+
+def subtrees(tokens: DataFrame, holds: dict[str, str], top: str = "false") -> DataFrame:
+    """work, sent_id and t: a sentence's tokens in order, as structs of their columns and more.
+
+    enter, leave, depth: the token's subtree is the tokens numbered enter to leave - 1; head_pos; for each name and
+    condition of `holds`, in_<name> (whether a token of its subtree meets it) and top_<name> (the same of the nearest token on
+    the way up, itself first, that meets `top` and isn't a root; of itself where there is none).
+    """
+    own = [c for c in tokens.columns if c not in ("work", "sent_id")]
+    marks = F.array(*[F.coalesce(F.expr(e), F.lit(False)) for e in (top, *holds.values())])
+    row = F.struct("tok_i", F.col("head_i").alias("head_"), marks.alias("marks_"), *[c for c in own if c not in ("tok_i",)])
+    grouped = tokens.groupBy("work", "sent_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
+    names = list(holds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            t = batch.column("t")
+            flat = t.flatten()
+            ids, heads = flat.field("tok_i").to_pylist(), flat.field("head_").to_pylist()
+            hit = flat.field("marks_").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names) + 1)
+            at = 0
+            for n in pc.list_value_length(t).to_pylist():
+                place = {x: k for k, x in enumerate(ids[at : at + n])}
+                head = [place.get(h, -1) for h in heads[at : at + n]]
+                enter, leave, depth = (np.array(x) for x in tour(head))
+                order = np.argsort(enter)
+                counts = np.zeros((n + 1, len(names)), dtype=np.int64)
+                np.cumsum(hit[at : at + n, 1:][order], axis=0, out=counts[1:])
+                within = counts[leave] > counts[enter]
+                up = np.arange(n)
+                for k in order.tolist():  # heads come before their tokens
+                    if not (hit[at + k, 0] and depth[k]) and depth[k]:
+                        up[k] = up[head[k]]
+                    elif not depth[k]:
+                        up[k] = -1
+                up = np.where(up < 0, np.arange(n), up)
+                out.append((enter, leave, depth, np.array(head), within, within[up]))
+                at += n
+            parts = [np.concatenate([x[k] for x in out]) if out else np.zeros((0, len(names)) if k > 3 else 0, dtype=bool if k > 3 else np.int64) for k in range(6)]
+            offsets = t.offsets
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in parts[:4]]
+            lists += [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x[:, k]))) for x in parts[4:] for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, *columns])
+
+    columns = ["enter", "leave", "depth", "head_at", *[f"in_{x}" for x in names], *[f"top_{x}" for x in names]]
+    kinds = ["int"] * 4 + ["boolean"] * (2 * len(names))
+    schema = grouped.select("*", *[F.expr(f"cast(null as array<{k}>)").alias(c) for c, k in zip(columns, kinds, strict=True)]).schema
+    rows = grouped.mapInArrow(run, schema)
+    fields = [f"x.{c} as {c}" for c in own] + [f"{c}[k] as {c}" for c in columns if c != "head_at"]
+    return rows.select("work", "sent_id", F.expr(f"transform(t, (x, k) -> struct({', '.join(fields)}, if(head_at[k] >= 0, t[head_at[k]].pos, null) as head_pos))").alias("t"))
+
+
+HOLDS = {"that": "dep = 'mark' and lemma = 'that'", "finite": "pos in ('VERB', 'AUX') and verbform = 'Fin'"}
+CLAUSE_FLAGS = ["that_verb_ccomp", "that_adj_ccomp", "wh_free_rel"]
 
 
 def clause_features(tokens: DataFrame) -> DataFrame:
-    """work, sent_id and three flags: that-clauses under verbs and adjectives, and free relatives."""
-    t = with_ancestors(tokens)
-    row = F.struct("tok_i", "lemma", "pos", "dep", "head_i", "verbform", "ancestors", "head_pos")
-    s = t.groupBy("work", "sent_id").agg(F.collect_list(row).alias("t"))
-    within = lambda top: f"(y.tok_i = {top} or array_contains(y.ancestors, {top}))"
-    that = "y.dep = 'mark' and y.lemma = 'that'"
-    finite = "y.pos in ('VERB', 'AUX') and y.verbform = 'Fin'"
-    top = f"coalesce(get(filter(concat(array(x.tok_i), x.ancestors), a -> exists(t, z -> z.tok_i = a and z.dep in {CLAUSES} and size(z.ancestors) > 0)), 0), x.tok_i)"
+    """work, sent_id, n_words and three flags: that-clauses under verbs and adjectives, and free relatives."""
+    s = subtrees(tokens, HOLDS, f"dep in {CLAUSES}")
     return s.select(
         "work",
         "sent_id",
-        F.expr(f"exists(t, x -> x.dep = 'ccomp' and x.head_pos = 'VERB' and exists(t, y -> {that} and {within('x.tok_i')}))").alias("that_verb_ccomp"),
-        F.expr(f"exists(t, x -> x.pos = 'ADJ' and exists(t, y -> {that} and {within('x.tok_i')}) and exists(t, y -> {finite} and {within('x.tok_i')}))").alias("that_adj_ccomp"),
-        F.expr(f"exists(t, x -> x.lemma in {FREE} and exists(t, y -> {finite} and {within(top)}))").alias("wh_free_rel"),
+        F.expr("size(filter(t, x -> x.pos not in ('SPACE', 'PUNCT')))").alias("n_words"),
+        F.expr("exists(t, x -> x.dep = 'ccomp' and x.head_pos = 'VERB' and x.in_that)").alias("that_verb_ccomp"),
+        F.expr("exists(t, x -> x.pos = 'ADJ' and x.in_that and x.in_finite)").alias("that_adj_ccomp"),
+        F.expr(f"exists(t, x -> x.lemma in {FREE} and x.top_finite)").alias("wh_free_rel"),
     )
 
 
-CLAUSE_FLAGS = ["that_verb_ccomp", "that_adj_ccomp", "wh_free_rel"]
+#: Sentences of a work whose words are numbered in one window.
+SENTENCES = 1000
 
 
-def clause_stats(tokens: DataFrame, chunk: int = 100) -> DataFrame:
+def clause_stats(tokens: DataFrame, chunk: int = 100, sentences: int = SENTENCES) -> DataFrame:
     """work, metric, value of the three features per 100 words: a sentence counts in the chunk of its first word."""
-    flags = clause_features(tokens)
-    order = W.partitionBy("work").orderBy("sent_id", "tok_i")
-    words = tokens.where("pos not in ('SPACE', 'PUNCT')").select("work", "sent_id", (F.row_number().over(order) - 1).alias("ix"))
-    sizes = words.groupBy("work", F.floor(F.col("ix") / chunk).alias("chunk_id")).agg(F.count("*").alias("n_words"))
-    first = words.groupBy("work", "sent_id").agg(F.floor(F.min("ix") / chunk).alias("chunk_id"))
-    hits = flags.join(first, ["work", "sent_id"]).groupBy("work", "chunk_id").agg(*[F.sum(F.col(f).cast("int")).alias(f) for f in CLAUSE_FLAGS])
-    rated = sizes.join(hits, ["work", "chunk_id"], "left").select("work", "chunk_id", "n_words", *[F.coalesce(f, F.lit(0)).alias(f"{f}_total") for f in CLAUSE_FLAGS])
-    rated = rated.select("*", *[(F.col(f"{f}_total") * 100 / F.col("n_words")).alias(f"{f}_per100") for f in CLAUSE_FLAGS])
-    return chunk_stats(rated, {f"{f}_per100": F.col(f"{f}_per100") for f in CLAUSE_FLAGS}, {f"{f}_total": F.col(f"{f}_total") for f in CLAUSE_FLAGS})
+    rows = running(clause_features(tokens), "work", "sent_id", "n_words", sentences)
+    flags = [F.col(f).cast("int").alias(f) for f in CLAUSE_FLAGS]
+    hits = rows.where("n_words > 0").select("work", F.floor(F.col("n_before") / chunk).alias("chunk_id"), *flags).groupBy("work", "chunk_id").agg(*[F.sum(f).alias(f) for f in CLAUSE_FLAGS])
+    # a work's chunks follow from its number of words
+    sizes = rows.groupBy(F.col("work").alias("w_")).agg(F.max("n_total").alias("n")).where("n > 0")
+    sizes = sizes.select("w_", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk))).alias("c_"))
+    sizes = sizes.select("w_", "c_", F.least(F.lit(chunk), F.col("n") - F.col("c_") * chunk).alias("n_words"))
+    rated = sizes.join(hits, F.col("work").eqNullSafe(F.col("w_")) & (F.col("chunk_id") == F.col("c_")), "left")
+    rated = rated.select(F.col("w_").alias("work"), F.col("c_").alias("chunk_id"), "n_words", *[F.coalesce(f, F.lit(0)).alias(f) for f in CLAUSE_FLAGS])
+    return chunk_stats(rated, {f"{f}_per100": F.col(f) * 100 / F.col("n_words") for f in CLAUSE_FLAGS}, {f"{f}_total": F.col(f) for f in CLAUSE_FLAGS})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.operators import cleaner, features, lexical, overuse, scoring, spans, trees
@@ -49,7 +52,6 @@ def add_family(which: str, table: str) -> None:
 
 for which in features.FAMILIES:
     add_family(which, "documents")
-for which in ("dialogue", "narration", "sentences1", "tokens1"):
     add_family(which, "conversations")
 
 
@@ -92,6 +94,52 @@ def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dialogue_spans(speech_as_works(spark, sf_dir))
 
 
+def place_ctes() -> list[tuple[str, str]]:
+    """`words` (work, idx, word_ix) of the runs of letters of `works`."""
+    renamed = lambda x: re.sub(r"\b(pieces|piece|placed_pieces|found)\b", r"\1_w", x)
+    return [(renamed(n), renamed(q)) for n, q in features_sql.quote_ctes([r"\p{L}+"])] + [("words", "select work, b as idx, row_number() over (partition by work order by b) - 1 as word_ix from found_w")]
+
+
+def by_chunk_sql(table: str, ctes: list[tuple[str, str]], rows: str) -> str:
+    ctes = place_ctes() + ctes + [("ixs", rows)]
+    return WORKS[table] + ",\n".join(f"{n} as ({q})" for n, q in ctes) + "\nselect work, cast(floor(word_ix / 100) as bigint) as chunk_id, count(*) as n from ixs group by all"
+
+
+SPEECH, QUOTED = features_sql.quote_ctes(features_sql.DIALOGUE_PATTERNS), features_sql.quote_ctes(features_sql.QUOTE_PATTERNS) + features_sql.merged_ctes()
+NEXT_WORD = "select f.work, f.k, f.b, min(w.word_ix) as word_ix from found f left join words w on w.work = f.work and w.idx >= f.b group by f.work, f.k, f.b"
+NARRATED = "select w.work, w.word_ix from words w where not exists (select 1 from merged m where m.work = w.work and w.idx >= m.b and w.idx < m.e)"
+
+
+@register("dialogue_by_chunk", by_chunk_sql("conversations", SPEECH, NEXT_WORD))
+def dialogue_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of join of spans and words as tables."""
+    return spans.dialogue_by_chunk(speech_as_works(spark, sf_dir))
+
+
+@register("narrated_by_chunk", by_chunk_sql("documents", QUOTED, NARRATED))
+def narrated_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval anti join of words and spans as tables."""
+    return spans.narrated_by_chunk(docs_as_works(spark, sf_dir))
+
+
+@register("narrated_by_chunk_conversations", by_chunk_sql("conversations", QUOTED, NARRATED))
+def speech_narrated_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.narrated_by_chunk(speech_as_works(spark, sf_dir))
+
+
+def said_sql(kind: str, last: str) -> str:
+    ctes = QUOTED if kind == "quotes" else SPEECH
+    return ",\n".join(f"{n} as ({q})" for n, q in ctes) + f"\nselect s.work, '{kind}' as kind, cast(b as integer) as begin, cast(e as integer) as \"end\", substr(w.text, cast(b + 1 as integer), cast(e - b as integer)) as said from {last} s join works w on w.work = s.work"
+
+
+@register("speech_spans", WORKS["conversations"] + f"q as (select * from ({'with ' + said_sql('quotes', 'merged')})),\nd as (select * from ({'with ' + said_sql('dialogue', 'found')}))\nselect * from q union all select * from d")
+def speech_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans from SQL: a table function beside its rows."""
+    spans.register_functions(spark)
+    call = "select w.work, {kind} as kind, s.begin, s.`end`, s.said from {works} w, lateral speech_spans(w.text, {kind}) s"
+    return reduce(DataFrame.unionByName, [spark.sql(call, works=speech_as_works(spark, sf_dir), kind=kind) for kind in ("quotes", "dialogue")])
+
+
 OVERUSE = r"""counted as (select work, lower(tok) as word, count(*) as n, count(*) filter (regexp_matches(tok, '^[A-Z]')) as caps, min((part, i)) as first_at from toks group by work, lower(tok)),
 shares as (select *, n * 1.0e0 / sum(n) over (partition by work) as book from counted),
 ratios as (select work, word, n, caps * 1.0e0 / n as cap_ratio, book, r.ref_pct, book / r.ref_pct as ratio, first_at from shares join ref r using (word) where n >= 5 and caps * 1.0e0 / n < 0.9e0 and r.ref_pct > 0),

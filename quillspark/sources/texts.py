@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-import io
-import re
-import zipfile
-from xml.etree import ElementTree
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quillspark.sources.datasource import register_sources
+
 #: Spellings of header and missing values that the lists come with.
 SCORE_HEADERS = ("conc.m", "conc_m", "concreteness", "concreteness mean", "mean")
-SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 MISSING = ("", "#n/a", "n/a", "na", "nan", "none", "null")
 
 
@@ -61,38 +56,10 @@ def read_works(spark: SparkSession, paths, pattern: str = "*_cleaned.txt") -> Da
     return files.select(F.regexp_replace("file_name", r"_cleaned\.txt$|\.txt$", "").alias("work"), "text")
 
 
-def read_spreadsheet(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of an .xlsx workbook as a table of strings, its first row the header; for lists of some 100,000 rows at most.
-
-    A workbook is an archive that only one process can read, so it is read on the driver.
-    """
-    row = spark.read.format("binaryFile").load(path).select("content").first()
-    if row is None:
-        raise FileNotFoundError(path)
-    with zipfile.ZipFile(io.BytesIO(row.content)) as book:
-        names = book.namelist()
-        texts: list[str] = []
-        if "xl/sharedStrings.xml" in names:
-            texts = ["".join(t.text or "" for t in item.iter(f"{SHEET}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
-        sheet = ElementTree.fromstring(book.read(min(n for n in names if n.startswith("xl/worksheets/sheet"))))
-    rows = []
-    for r in sheet.iter(f"{SHEET}row"):
-        cells: dict[int, str] = {}
-        for place, c in enumerate(r.iter(f"{SHEET}c")):
-            letters = re.match("[A-Z]*", c.get("r", ""))[0]
-            at = functools.reduce(lambda n, x: 26 * n + ord(x) - 64, letters, 0) - 1 if letters else place
-            value = c.findtext(f"{SHEET}v")
-            if c.get("t") == "s" and value is not None:
-                value = texts[int(value)]
-            elif c.get("t") == "inlineStr":
-                value = "".join(t.text or "" for t in c.iter(f"{SHEET}t"))
-            cells[at] = value
-        rows.append(cells)
-    if not rows:
-        raise ValueError(f"no rows in {path}")
-    header = {at: name for at, name in sorted(rows[0].items()) if name}
-    schema = ", ".join(f"`{name}` string" for name in header.values())
-    return spark.createDataFrame([tuple(r.get(at) for at in header) for r in rows[1:]], schema)
+def read_spreadsheet(spark: SparkSession, path: str, sheets: str = "first") -> DataFrame:
+    """The first sheet (or all) of .xlsx workbooks as a table of strings, its first row the header; a task for each sheet."""
+    register_sources(spark)
+    return spark.read.format("workbook").option("sheets", sheets).load(path)
 
 
 def number(c: Column) -> Column:

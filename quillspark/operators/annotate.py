@@ -257,8 +257,7 @@ class Parsed(Tokens):
         sent = np.asarray(columns["sent_id"], dtype=np.int64)
         self.sent = np.cumsum(np.r_[True, (sent[1:] != sent[:-1]) | (self.doc[1:] != self.doc[:-1])][: self.n]) - 1
         self.verb = (self.pos == P["VERB"]) | (self.pos == P["AUX"])
-        form = np.fromiter(({"Part": PART, "Inf": INF, "Fin": FIN}.get(x, 0) for x in columns["verbform"]), dtype=np.int64, count=self.n)
-        self.form = np.where(self.verb | (form == PART), form, 0)
+        self.form = np.fromiter(({"Part": PART, "Inf": INF, "Fin": FIN}.get(x, 0) for x in columns["verbform"]), dtype=np.int64, count=self.n)
         self.tense = np.where(self.verb, np.fromiter(({"Past": PAST, "Pres": PRES}.get(x, 0) for x in columns["tense"]), dtype=np.int64, count=self.n), 0)
         self.vbn = np.fromiter((x == "VBN" for x in columns["tag"]), dtype=bool, count=self.n)
         self.number(np.asarray(columns["is_alpha"], dtype=bool), of["lettered"].astype(bool), np.arange(self.n) - self.first[self.doc] < own[self.doc], base, total)

@@ -27,7 +27,7 @@ ADDRESSES = [r"(?iU)\b\S+\.(?:com|org|net)\b", r"(?iU)\bhttps?://\S+\b", r"(?iU)
 
 
 def trim(d: Spark, l: str) -> str:
-    return d.sub(l, r"^\s+|\s+$")
+    return f"trim(BOTH ' \t\n\x0b\f\r' FROM {l})"
 
 
 def terminal(d: Spark, l: str) -> str:

@@ -121,7 +121,7 @@ def token_tests(t: Tokens, which: str) -> dict[str, np.ndarray]:
         }
     words = np.flatnonzero(t.w[1])
     skip = isin(t.pos, L.PERFECT_SKIP_POS) | t.has(sql_form(L.PERFECT_SKIP)) | t.not_end
-    perfect = then(t, words, t.doc[words] << 32 | t.ix[1][words] // CHUNK, skip, (t.form == PART) & t.verb, 3)
+    perfect = then(t, words, t.doc[words] << 32 | t.ix[1][words] // CHUNK, skip, t.form == PART, 3)
     groups = {"1p": L.FIRST_PERSON, "2p": L.SECOND_PERSON, "3p": L.THIRD_PERSON, "demonstrative": L.DEMONSTRATIVES, "indefinite": L.INDEFINITES}
     every = [w for g in groups.values() for w in g]
     key = np.where(t.has(every), t.lemma, t.lower)
@@ -165,7 +165,7 @@ def sentence_counts(t: Tokens, which: str) -> dict[str, np.ndarray]:
     """Feature to its number in each sentence."""
     s = Sentences(t)
     isin = lambda x, names: np.isin(x, [P[n] for n in names])
-    finite = t.form == FIN
+    finite = t.verb & (t.form == FIN)
     if which == "sentences3":
         alpha, quoted = s.any(t.w[3]), s.says("quoted")
         return {

@@ -9,16 +9,24 @@ from quillspark.sources.shared import cut
 WORD = "[A-Za-z']+"
 
 
+#: Parts below this number and places of words make one long; others a wide decimal.
+LEAST_WIDE = 1 << 32
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """work, word, n, caps (with a capital first) and at (place of the first one) of texts (work, text, part).
 
     A work may have several parts, ordered by number; words are counted within each part's
     rows first, so one frequent word or one large work is no hot spot.
     """
-    words = texts.select("work", F.col("part").cast("long").alias("part"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("i", "tok"))
-    # a number that orders as (part, i) does, wide enough for any part
-    at = F.col("part").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("i")
-    return words.groupBy("work", F.lower("tok").alias("word")).agg(F.count("*").alias("n"), F.sum(F.expr("int(tok rlike '^[A-Z]')")).alias("caps"), F.min(at).alias("at"))
+    part = F.col("part").cast("long")
+    words = texts.select("work", part.alias("part"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("i", "tok"))
+    # a number that orders as (part, i) does; ids of any size fit the decimal, which is slow
+    ends = texts.agg(F.min(part).alias("least"), F.max(part).alias("most")).first()
+    wide = ends.most is not None and (ends.least < 0 or ends.most >= LEAST_WIDE)
+    at = F.col("part").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("i") if wide else F.col("part") * (1 << 31) + F.col("i")
+    capital = F.col("tok").between("A", "Z" + chr(0x7F))  # words begin with an ASCII letter or an apostrophe
+    return words.groupBy("work", F.lower("tok").alias("word")).agg(F.count("*").alias("n"), F.sum(capital.cast("int")).alias("caps"), F.min(at).alias("at"))
 
 
 def frequencies(counts: DataFrame) -> DataFrame:

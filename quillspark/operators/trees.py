@@ -21,33 +21,42 @@ CLAUSES = ("ccomp", "xcomp", "advcl", "acl", "relcl")
 FREE = ("how", "what", "whatever", "when", "where", "which", "who", "whoever", "whom", "why")
 
 
-def tour(head: list[int]) -> tuple[list[int], list[int], list[int]]:
+def tour(head: list[int], starts: list[int] | None = None) -> tuple[list[int], list[int], list[int]]:
     """For each token its number in a walk from the roots down, the number after its subtree's last, and its depth.
 
-    head is the place of each token's head; a root's is its own or none (-1). A ring of heads is cut at its first token.
+    head is the place of each token's head; a root's is its own or none (-1). `starts` says in which order
+    trees are walked (roots first, if not given); a ring of heads is cut at its first token in that order.
     """
     n = len(head)
-    children: list[list[int]] = [[] for _ in range(n)]
+    children: list[list[int] | None] = [None] * n
     roots = []
-    for k, h in enumerate(head):
+    for k in range(n - 1, -1, -1):
+        h = head[k]
         if h < 0 or h == k:
             roots.append(k)
+        elif children[h] is None:
+            children[h] = [k]
         else:
             children[h].append(k)
     enter, leave, depth, number = [-1] * n, [0] * n, [0] * n, 0
-    for start in [*roots, *range(n)]:
+    for start in starts if starts is not None else [*reversed(roots), *range(n)]:
         if enter[start] >= 0:
             continue
-        stack = [(start, 0)]
+        stack, down = [start], 0
         while stack:
-            k, d = stack.pop()
+            k = stack.pop()
             if k < 0:
                 leave[~k] = number
+                down -= 1
             elif enter[k] < 0:
-                enter[k], depth[k] = number, d
+                enter[k], depth[k] = number, down
                 number += 1
-                stack.append((~k, d))
-                stack += [(c, d + 1) for c in reversed(children[k])]
+                if children[k] is None:
+                    leave[k] = number
+                else:
+                    stack.append(~k)
+                    stack += children[k]
+                    down += 1
     return enter, leave, depth
 
 
@@ -66,33 +75,33 @@ def subtrees(tokens: DataFrame, holds: dict[str, str], top: str = "false") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             t = batch.column("t")
-            flat = t.flatten()
-            ids, heads = flat.field("tok_i").to_pylist(), flat.field("head_").to_pylist()
-            hit = flat.field("marks_").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names) + 1)
-            at = 0
-            for n in pc.list_value_length(t).to_pylist():
-                place = {x: k for k, x in enumerate(ids[at : at + n])}
-                head = [place.get(h, -1) for h in heads[at : at + n]]
-                enter, leave, depth = (np.array(x) for x in tour(head))
-                order = np.argsort(enter)
-                counts = np.zeros((n + 1, len(names)), dtype=np.int64)
-                np.cumsum(hit[at : at + n, 1:][order], axis=0, out=counts[1:])
-                within = counts[leave] > counts[enter]
-                up = np.arange(n)
-                for k in order.tolist():  # heads come before their tokens
-                    if not (hit[at + k, 0] and depth[k]) and depth[k]:
-                        up[k] = up[head[k]]
-                    elif not depth[k]:
-                        up[k] = -1
-                up = np.where(up < 0, np.arange(n), up)
-                out.append((enter, leave, depth, np.array(head), within, within[up]))
-                at += n
-            parts = [np.concatenate([x[k] for x in out]) if out else np.zeros((0, len(names)) if k > 3 else 0, dtype=bool if k > 3 else np.int64) for k in range(6)]
-            offsets = t.offsets
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in parts[:4]]
-            lists += [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x[:, k]))) for x in parts[4:] for k in range(len(names))]
+            flat, sizes = t.flatten(), pc.list_value_length(t).to_numpy().astype(np.int64)
+            n = len(flat)
+            sentence = np.repeat(np.arange(len(sizes)), sizes)
+            first = (np.cumsum(sizes) - sizes)[sentence]
+            hit = flat.field("marks_").flatten().to_numpy(zero_copy_only=False).reshape(n, len(names) + 1)
+            # tokens come in the order of their numbers: a head is looked up among its sentence's
+            key = sentence << 32 | flat.field("tok_i").to_numpy().astype(np.int64)
+            wanted = sentence << 32 | flat.field("head_").fill_null(-1).to_numpy().astype(np.int64) & 0xFFFFFFFF
+            at = np.minimum(np.searchsorted(key, wanted), max(0, n - 1))
+            head = np.where(key[at] == wanted, at, -1) if n else at
+            starts = np.lexsort((np.arange(n), ~((head < 0) | (head == np.arange(n))), sentence))
+            enter, leave, depth = (np.array(x, dtype=np.int64) for x in tour(head.tolist(), starts.tolist()))
+            order = np.argsort(enter)
+            counts = np.zeros((n + 1, len(names)), dtype=np.int64)
+            np.cumsum(hit[order, 1:], axis=0, out=counts[1:])
+            within = counts[leave] > counts[enter]
+            up = np.where(hit[:, 0] & (depth > 0), np.arange(n), -1)
+            by_depth, ends = np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth)) if n else depth
+            for low, high in zip(ends[:-1], ends[1:], strict=True):  # level by level, heads before their tokens
+                level = by_depth[low:high]
+                open_ = level[up[level] < 0]
+                up[open_] = up[head[open_]]
+            up = np.where(up < 0, np.arange(n), up)
+            found = [enter - first, leave - first, depth, np.where(head >= 0, head - first, -1)]
+            lists = [pa.ListArray.from_arrays(t.offsets, pa.array(x.astype(np.int32))) for x in found]
+            lists += [pa.ListArray.from_arrays(t.offsets, pa.array(np.ascontiguousarray(x[:, k]))) for x in (within, within[up]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, *columns])
 
     columns = ["enter", "leave", "depth", "head_at", *[f"in_{x}" for x in names], *[f"top_{x}" for x in names]]

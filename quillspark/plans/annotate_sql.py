@@ -1,4 +1,4 @@
-"""Rule annotator: a text as a token table, in SQL that both engines run.
+"""Rule annotator: a text as a token table, in the checking engine's SQL.
 
 Columns: work, i (token number), idx (character offset), tok, lower, lemma, pos, tag, tense,
 verbform, dep and head_pos (null: no parser), is_space, is_punct, is_alpha, like_num, sent_id
@@ -69,7 +69,7 @@ def annotate(d: Spark, works: str) -> list[tuple[str, str]]:
             "when pos = 'ADP' and after in ('ADJ', 'DET', 'NOUN', 'NUM', 'PRON', 'PROPN') then 'prep' when pos = 'ADV' and after in ('ADJ', 'ADV', 'VERB') then 'advmod' "
             "when pos in ('ADJ', 'ADV', 'NOUN', 'VERB') and before = 'CCONJ' and before2 = pos then 'conj' else '' end as dep from tok5",
         ),
-        ("tok5h", "select *, case when dep in ('amod', 'advmod') then after when dep = 'conj' then before2 when dep in ('acomp', 'prep') then before else '' end as head_pos from tok5d"),
+        ("tok5h", "select *, case when dep in ('amod', 'advmod') then after when dep = 'conj' then before2 when dep in ('acomp', 'prep') then before else '' end as head_pos, false as cop_child from tok5d"),
         (
             "tok6",
             f"select *, case when verbform = 'Part' and tense = 'Past' then 'VBN' else '' end as tag, not is_space and not is_punct as w1, not is_space and not is_punct and not like_num and pos <> 'SYM' and {d.like('tok', r'\p{L}')} as w2, is_alpha as w3, is_alpha and not like_num as w4 from tok5h",

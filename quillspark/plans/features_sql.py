@@ -68,7 +68,7 @@ def token_features(d: Spark) -> dict[str, dict[str, str]]:
             "gerund_nominals_ing_per100": f"pos = 'NOUN' and ({d.like('lower', 'ing$')} or {d.like('lemma', 'ing$')})",
             "total_pps_per100": "pos = 'ADP' and dep = 'prep'",
             "attributive_adjs_per100": "pos = 'ADJ' and dep = 'amod' and head_pos in ('NOUN', 'PROPN')",
-            "predicative_adjs_per100": "pos = 'ADJ' and dep = 'acomp'",
+            "predicative_adjs_per100": "pos = 'ADJ' and (dep = 'acomp' or cop_child)",
             "total_adverbs_per100": "pos = 'ADV'",
         },
         "2": {
@@ -190,12 +190,13 @@ def merged_ctes() -> list[tuple[str, str]]:
     ]
 
 
-def family(d: Spark, which: str) -> str:
-    """SQL of one feature family over a table `works` (work, text)."""
+def family(d: Spark, which: str, annotated: list[tuple[str, str]] | None = None) -> str:
+    """SQL of one feature family over a table `works` (work, text), by the rules or another annotation of it."""
     word = {"tokens1": "1", "tokens2": "2", "sentences1": "1", "sentences3": "3", "readability": "2", "richness": "2", "narration": "2", "dialogue": "3"}[which]
     sums: dict[str, str] = {}
     w, ix, chunk = f"w{word}", f"ix{word}", f"floor(ix{word} / {CHUNK})"
-    ctes = annotate(d, "works")
+    ctes = list(annotated or annotate(d, "works"))
+    between = "" if annotated is None else " "
     if which.startswith("tokens"):
         tests = token_features(d)[word]
         ctes += [("ahead", windows(d)), ("chunked", f"select work, {chunk} as chunk_id, count(*) as n_words, {', '.join(f'{flag(t)} as h{k}' for k, t in enumerate(tests.values()))} from ahead where {w} group by work, {chunk}")]
@@ -204,7 +205,7 @@ def family(d: Spark, which: str) -> str:
         tests = sentence_features(d)[word]
         ctes += [
             ("ahead", windows(d)),
-            ("texts", f"select work as tw, sent_id as ts, {d.joined('tok', 'i')} as txt from tokens group by work, sent_id"),
+            ("texts", f"select work as tw, sent_id as ts, string_agg(tok, '{between}' order by i) as txt from tokens group by work, sent_id"),
             ("sents", f"select work, sent_id, min(case when {w} then {ix} end) as first_word, {', '.join(f'{t} as h{k}' for k, t in enumerate(tests.values()))} from ahead join texts on work = tw and sent_id = ts group by work, sent_id"),
             ("hits", f"select work as hw, floor(first_word / {CHUNK}) as hc, {', '.join(f'sum(h{k}) as h{k}' for k in range(len(tests)))} from sents where first_word is not null group by work, floor(first_word / {CHUNK})"),
             ("sizes", f"select work, {chunk} as chunk_id, count(*) as n_words from tokens where {w} group by work, {chunk}"),

@@ -1,15 +1,18 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text blocks with their root-to-leaf tag paths. For each path the text
+A page is cut into text blocks with their root-to-leaf tag paths. A part of a path is the element with its
+class (else its id), digits left out; a container without either has its place among its parent's children, near the
+page's top, so that a page of plain containers has more than one path. For each path the text
 length and the punctuation are aggregated over the page; the length ratio (characters per
-node) and the punctuation ratio are smoothed over paths that follow each other on the page,
-fused as a product, and only paths above a threshold from the page's own mean and deviation
-can be content. All article and main elements together are one container, every other parent
+node) and the punctuation ratio (and one) are smoothed, as logarithms, over paths that follow each other on the page,
+fused as a product, and only paths above a threshold can be content: the geometric mean of the page's
+fused ratios over their geometric deviation, which no single heavy path moves far. All article and main elements together are one container, every other parent
 is one. If the article and main elements hold the most fused mass, all their paths above the
-threshold and their headings, short by nature, are content and paths outside are not; else those of the heaviest parent are, and
-paths anywhere that reach the mean. Subtrees whose element
-or whose class, id or role says menu, header, footer, sidebar, notice, advert, form, script,
-style or comments are never content.
+threshold and their headings, short by nature, are content and paths outside are not; else the paths of the heaviest
+parent and headings in it are, and paths anywhere that reach its mean ratio. Subtrees whose element
+is a menu, header, footer and so on, or that are hidden, and blocks
+whose class, id or role says menu, header, footer, sidebar, notice, advert, form, script,
+style or comments are never content; an inline element is part of its text whatever its class.
 
 Cases: a null or empty page, and a page without text, give an empty text; unclosed and
 misnested tags are closed by their parents; text outside any element is a path of its own;
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,35 +86,52 @@ def markup(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
 
 
 def boilerplate(tag: str, attrs: str) -> bool:
+    """Whether a subtree is no content by its element, its names or its being hidden; names of inline elements don't count."""
     if tag in SKIP:
         return True
     if not attrs or tag in ("html", "body", "main", "article"):
         return False
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and NAMED.search(value):
+        if name in ("class", "id") and tag not in INLINE and NAMED.search(value):
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
 
 
+#: Containers that are told apart by their place, and how deep in the page.
+PLACED, NEAR_TOP = frozenset("div section table".split()), 4
+
+
+def label(tag: str, attrs: str, place: int, depth: int) -> str:
+    """A part of a tag path: the element, and its class or id or place."""
+    named = {name.lower(): value.strip("\"'").lower() for name, value in ATTR.findall(attrs)} if attrs else {}
+    if value := named.get("class") or named.get("id"):
+        return f"{tag}.{'.'.join(sorted(NUMBER.sub('', value).split())[:3])}".replace("/", "")
+    return f"{tag}:{place}" if tag in PLACED and depth < NEAR_TOP else tag
+
+
+NUMBER = re.compile(r"\d+")
+
+
 def blocks(page: str) -> list[tuple[str, str, bool]]:
     """(tag path, text, not boilerplate) of each block in page order; inline elements don't end a block."""
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, str]] = []
+    places: list[int] = [0]  # children so far of each open element
     out: list[tuple[str, str, bool]] = []
     text: list[str] = []
 
     def flush() -> None:
         if text:
             if t := GLUE.sub(" ", entities.unescape("".join(text))).strip():
-                out.append(("/".join(x for x, _ in stack if x not in INLINE), t, not any(b for _, b in stack)))
+                out.append(("/".join(path for x, _, path in stack if x not in INLINE), t, not any(b for _, b, _ in stack)))
             text.clear()
 
     def close(k: int) -> None:
-        if any(x not in INLINE or b for x, b in stack[k:]):
+        if any(x not in INLINE or b for x, b, _ in stack[k:]):
             flush()
-        del stack[k:]
+        del stack[k:], places[k + 1 :]
 
     pieces, at, moved = markup(page), 0, None
     while True:
@@ -154,43 +174,54 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             continue
         if len(stack) >= DEPTH:
             close(DEPTH - 1)
-        stack.append((tag, skip))
+        if tag not in INLINE:
+            places[-1] += 1
+        stack.append((tag, skip, label(tag, attrs, places[-1], len(stack))))
+        places.append(0)
     flush()
     return out
 
 
-def content(page: str) -> str:
-    """Main text of one page."""
-    found = [b for b in blocks(page) if b[2]]
-    if not found:
-        return ""
-    order: dict[str, int] = {}
-    nodes, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, _ in found:
-        order.setdefault(path, len(order))
+def fused_ratios(found: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
+    """The paths of blocks (path, text) in page order, and their smoothed and fused ratios."""
+    nodes, chars, marks = Counter(), Counter(), Counter()
+    for path, text in found:
         nodes[path] += 1
         chars[path] += len(text)
         marks[path] += len(PUNCT.findall(text))
-    names = list(order)
+    names = list(nodes)
     length = np.array([chars[p] / nodes[p] for p in names])
     punct = np.array([marks[p] / nodes[p] for p in names])
-    fused = smooth(length) * (1 + smooth(punct))
-    limit = max(0.0, float(fused.mean() - fused.std())) * (1 - 1e-9)
+    return names, np.exp(smooth(np.log(length)) + smooth(np.log1p(punct)))
+
+
+def content(page: str) -> str:
+    """Main text of one page."""
+    found = [b for b in blocks(page) if b[2]]
+    if not found:
+        return ""
+    names, fused = fused_ratios([(p, t) for p, t, _ in found])
+    nodes = Counter(p for p, _, _ in found)
+    logs = np.log(fused)
+    limit = float(np.exp(logs.mean() - logs.std())) * (1 - 1e-6)
     # the fused mass of all article and main elements' paths above the limit, and of each other parent
     inner, named, mass = set(), 0.0, defaultdict(float)
+    tags = {p: {x.partition(".")[0].partition(":")[0] for x in p.split("/")} for p in names}
     for p, f in zip(names, fused, strict=True):
-        parts = p.split("/")
-        if not SEMANTIC.isdisjoint(parts):
-            if f >= limit or not HEADINGS.isdisjoint(parts):
+        if not SEMANTIC.isdisjoint(tags[p]):
+            if f >= limit or not HEADINGS.isdisjoint(tags[p]):
                 inner.add(p)
                 named += float(f) * nodes[p]
         else:
-            mass["/".join(parts[:-1])] += float(f) * nodes[p]
+            mass[p.rpartition("/")[0]] += float(f) * nodes[p]
     best = max(mass, key=mass.__getitem__, default=None)
     if best is None or inner and named >= mass[best]:
         keep = inner
     else:
-        keep = {p for p, f in zip(names, fused, strict=True) if f >= limit and (p not in inner and p.startswith(best) or f >= fused.mean())}
+        within = lambda p: p not in inner and (p == best or p.startswith(best + "/") or not best)
+        own = [float(f) for p, f in zip(names, fused, strict=True) if within(p) and f >= limit]
+        high = sum(own) / len(own) if own else limit
+        keep = {p for p, f in zip(names, fused, strict=True) if within(p) and (f >= limit or not HEADINGS.isdisjoint(tags[p])) or f >= max(high, limit)}
     return " ".join(t for p, t, _ in found if p in keep)
 
 

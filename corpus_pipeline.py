@@ -57,12 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again. At the end these tables go."""
+    """All stages over documents; each but the last is written to the shared folder and read again. At the end, or when a stage fails, these tables go."""
     docs, folder = read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    name, stage = STAGES[-1]
-    out = cut(stage(spark, docs, sf_dir))
-    remove_folder(spark, folder)
-    return out
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+        name, stage = STAGES[-1]
+        return cut(stage(spark, docs, sf_dir))
+    finally:  # also where a stage fails
+        remove_folder(spark, folder)

@@ -11,8 +11,9 @@ doubled and a control string gets a backslash after its first character, so deco
 drop one backslash of each.
 
 Cases: a null text or role is empty; equal turns are told apart by role and text; a message
-whose parent is missing is a root; a tree without rows isn't there; an empty table gives no
-rows. Everything is DataFrame operations.
+whose parent is missing is a root; a tree without rows isn't there; rows of a null conversation are
+one conversation; of paths with one score the one with the least leaf is better; a null turn comes first; an empty table gives no
+rows; other columns, whatever their names, are ignored. Everything is DataFrame operations.
 """
 
 from __future__ import annotations

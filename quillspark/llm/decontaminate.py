@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import kept, split_words, steps, text_of
+from quillspark.llm.common import cut, kept, split_words, steps, text_of
 
 #: Items that are broadcast at a time.
 ITEM_BLOCK = 20_000
@@ -247,24 +247,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     """doc_id, item_id, distance, similarity, begin, end (words) of every document and item that it holds.
 
     An item is held if a part of the text is within (1 - similarity) of the item's words by
-    word edit distance. One pass over the documents for each block of items, no shuffle.
+    word edit distance; rows of the benchmark alike in id and text are one item. One pass over the documents for each block of
+    items, no shuffle; of several blocks each is written to the shared folder before the next.
     """
     docs = text_of(docs, id_column, text_column)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     n, out = items.count(), None
     blocks = max(1, -(-n // ITEM_BLOCK))
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        block = [(r.item_id, r.text) for r in own.toLocalIterator()]
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            keys, symbols = prepared(tuple(block), similarity)
-            for part, texts in steps(batches):
-                rows = matches(texts, keys, symbols)
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                size = [len(keys.words[i]) for i in cols[1]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array([keys.ids[i] for i in cols[1]], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([1 - x / s for x, s in zip(cols[2], size, strict=True)], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "item_id", "distance", "similarity", "begin", "end"])
-
-        found = docs.mapInArrow(run, "doc_id long, item_id long, distance long, similarity double, begin long, end long")
+        block = tuple((r.item_id, r.text) for r in own.toLocalIterator())
+        found = found_in(docs, block, similarity)
+        if blocks > 1:  # the driver holds the texts of one block at a time
+            found = cut(found)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def found_in(docs: DataFrame, block: tuple[tuple[int | None, str], ...], similarity: float) -> DataFrame:
+    """contaminated() of the items of one block, which travel with its tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, symbols = prepared(block, similarity)
+        for part, texts in steps(batches):
+            rows = matches(texts, keys, symbols)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            size = [len(keys.words[i]) for i in cols[1]]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array([keys.ids[i] for i in cols[1]], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([1 - x / s for x, s in zip(cols[2], size, strict=True)], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "item_id", "distance", "similarity", "begin", "end"])
+
+    return docs.mapInArrow(run, "doc_id long, item_id long, distance long, similarity double, begin long, end long")

@@ -8,7 +8,8 @@ a group with few documents takes the fence of its language's merged sketch, and
 the whole corpus. The fences are joined back to the measures.
 
 Cases: a null or empty text has no words and fails the base rule; null language or source is
-a group of its own; ties in a measure share a bin; an empty table gives no rows.
+a group of its own; ties in a measure share a bin; rows of repeated or null ids are measured and judged each, and counted each in
+the sketches; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

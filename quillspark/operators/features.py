@@ -464,13 +464,13 @@ def added_up(rows: DataFrame, families: list[str]) -> DataFrame:
     return rows.select("family", "work", "chunk_id", "n_words", F.expr(f"transform(counts, (c, k) -> c + {more} when family = 'readability' and k = {once} then {lone} else 0 end)").alias("counts"))
 
 
-def count_words(parts: DataFrame, tokens_of: Callable[[pa.RecordBatch, Words], Tokens], in_steps: Callable) -> DataFrame:
+def count_words(parts: DataFrame) -> DataFrame:
     """work, seg and n: the words of each part by the four definitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for part in in_steps(batches):
-            n = tokens_of(part, words).counts
+        for part in steps(batches):
+            n = part_tokens(part, words).counts
             yield pa.RecordBatch.from_arrays([part.column("work"), part.column("seg"), pa.ListArray.from_arrays(pa.array(np.arange(0, n.size + 1, 4, dtype=np.int32)), pa.array(n.reshape(-1).astype(np.int64)))], ["work", "seg", "n"])
 
     return parts.mapInArrow(run, parts.select("work", "seg", F.expr("cast(null as array<bigint>)").alias("n")).schema)
@@ -507,7 +507,7 @@ def works_rows(works: DataFrame, families: list[str], size: int = SEGMENT) -> Da
     cols = works.select("work", F.col("text").cast("string").alias("text"))
     short = chunk_rows(cols.where(f"text is null or octet_length(text) <= {size}"), families, part_tokens, steps, False)
     parts = cut(segments(cols.where(f"octet_length(text) > {size}"), size))
-    numbered = with_bases(parts, count_words(parts, part_tokens, steps))
+    numbered = with_bases(parts, count_words(parts))
     long_ = added_up(chunk_rows(numbered, families, part_tokens, steps, True), families)
     return short.unionByName(long_)
 
@@ -534,7 +534,7 @@ TOKEN_COLUMNS = {
 
 
 def parsed_parts(tokens: DataFrame, sentences: int) -> DataFrame:
-    """work, seg, own and t (the part's tokens in order, then the first words of the parts after it)."""
+    """work, seg, own and t (the part's tokens in order, then the first words of the parts after it), base and total."""
     have = {c.lower() for c in tokens.columns}
     morph = {"verbform": "element_at(morph['VerbForm'], 1)", "tense": "element_at(morph['Tense'], 1)"} if "morph" in have else {}
     columns = [F.coalesce(F.expr(c if c in have else morph.get(c, other)), F.expr(other or "null")).alias(c) for c, other in TOKEN_COLUMNS.items()]
@@ -545,7 +545,9 @@ def parsed_parts(tokens: DataFrame, sentences: int) -> DataFrame:
     later = W.partitionBy("work").orderBy("seg").rowsBetween(1, AHEAD)
     heads = heads.select(F.col("work").alias("w_"), F.col("seg").alias("s_"), F.slice(F.flatten(F.collect_list("head").over(later)), F.lit(1), F.lit(AHEAD)).alias("ahead"))
     joined = parts.join(heads, F.col("work").eqNullSafe(F.col("w_")) & (F.col("seg") == F.col("s_")))
-    return joined.select("work", "seg", F.size("t").alias("own"), F.concat("t", "ahead").alias("t"))
+    rows = joined.select("work", "seg", F.size("t").alias("own"), F.concat("t", "ahead").alias("t"))
+    is_word = ["not x.is_space and not x.is_punct", "not x.is_space and not x.is_punct and not x.like_num and x.pos != 'SYM' and x.text rlike r'\\p{L}'", "x.is_alpha", "x.is_alpha and not x.like_num"]
+    return with_bases(rows, parts.select("work", "seg", F.expr(f"array({', '.join(f'cast(size(filter(t, x -> {w})) as long)' for w in is_word)})").alias("n")))
 
 
 def parsed_tokens(batch: pa.RecordBatch, words: Words) -> Tokens:
@@ -554,9 +556,7 @@ def parsed_tokens(batch: pa.RecordBatch, words: Words) -> Tokens:
     columns = {name: flat.field(name) for name in TOKEN_COLUMNS}
     columns = {name: c.to_pylist() if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False) for name, c in columns.items()}
     sizes = pc.list_value_length(t).to_numpy().astype(np.int64)
-    numbered = "base" in batch.schema.names
-    base, total = (four(batch.column(c)) if numbered else None for c in ("base", "total"))
-    return Parsed(sizes, batch.column("own").to_numpy(), columns, words, base, total)
+    return Parsed(sizes, batch.column("own").to_numpy(), columns, words, four(batch.column("base")), four(batch.column("total")))
 
 
 def parsed_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -572,6 +572,4 @@ def family_of_tokens(tokens: DataFrame, which: str, keep_tail: bool = True, sent
     """
     if which == "dialogue":
         raise ValueError("dialogue is found in texts, not in tokens")
-    parts = parsed_parts(tokens, sentences)
-    numbered = with_bases(parts, count_words(parts, parsed_tokens, parsed_steps))
-    return family_stats(added_up(chunk_rows(numbered, [which], parsed_tokens, parsed_steps, True), [which]), which, keep_tail)
+    return family_stats(added_up(chunk_rows(parsed_parts(tokens, sentences), [which], parsed_tokens, parsed_steps, True), [which]), which, keep_tail)

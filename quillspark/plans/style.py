@@ -24,6 +24,36 @@ works as (select conv_id as work, string_agg('“' || upper(substr(t, 1, 1)) ||
 }
 
 
+#: English sentences that all features find something in; each takes a word from a row of the tables at the star.
+SENTENCES = """Who is the * that she has not yet taken?|The house was taken by *, which was odd.|The old * was never forgotten.|There is nothing behind the * today.
+I have to understand * and to go outside.|Having seen it, we stayed with *.|Because it rains, the * is nearly empty.|Although they knew *, nobody could say why.|If you go, the * must stay here.
+After that we said that * is absolutely true.|However, he is rather a useful * indeed.|It is about noon and almost generally *.|She is very useful and truly harmless, kind of *.|Well, this is certainly a day for these *.
+We may go, and they can see *.|They should try to see *.|He will tell them of *.|I believe that they announce * and suggest a plan.|It seems that it looks like *.|The useful and harmless * came.
+And then he said nothing of *.|They neither saw * nor the others.|The murder of * was sexual and the dead said no more.|“I will go,” said my friend *.|I see that he is beautiful, but she does not know *.|He is here, in the kingdom near *.
+How many of these * do you know?|A fragment of *.|— Come in, said the *.|She whispered that * was gone; he went for sure.|He met Robert and his * in town, and he has seen them.|He was walking, a * asking for no one.""".replace("\n", "|").split("|")
+PER_TURN = 6
+
+
+def sentence(number: str, word: str) -> str:
+    """SQL of a sentence by its number, in both engines."""
+    cases = " ".join(f"when {k} then concat('{a}', {word}, '{b}')" for k, (a, b) in enumerate(x.split("*") for x in SENTENCES))
+    return f"case ({number}) % {len(SENTENCES)} {cases} end"
+
+
+WORKS["prose"] = rf"""with turns as (select conv_id, turn, regexp_extract(lower(coalesce(text, '')), '\p{{L}}+') as w, coalesce(length(text), 0) as n from conversations),
+lines as (select conv_id, turn, w, n, k, {sentence(f'turn * {PER_TURN} + n + k * 5', 'w')} as line from turns, range({PER_TURN}) r(k)),
+works as (select conv_id as work, string_agg(line, ' ' order by turn, w, n, k) as text from lines group by conv_id),
+"""
+
+
+def prose_as_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A work for each conversation, of sentences that take a word from each turn."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract(F.lower(F.coalesce("text", F.lit(""))), r"\p{L}+", 0).alias("w"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    lines = F.expr(f"transform(sequence(0, {PER_TURN - 1}), k -> {sentence(f'turn * {PER_TURN} + n + k * 5', 'w')})")
+    rows = turns.select("conv_id", "turn", "w", "n", lines.alias("x")).groupBy(F.col("conv_id").alias("work")).agg(F.array_sort(F.collect_list(F.struct("turn", "w", "n", "x"))).alias("t"))
+    return rows.select("work", F.array_join(F.flatten("t.x"), " ").alias("text"))
+
+
 def table(sf_dir: str, name: str) -> str:
     return f"parquet.`{sf_dir}/{name}.parquet`"
 
@@ -40,7 +70,7 @@ def speech_as_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("work", F.array_join(F.transform("x", line), "\n").alias("text"))
 
 
-READERS = {"documents": docs_as_works, "conversations": speech_as_works}
+READERS = {"documents": docs_as_works, "conversations": speech_as_works, "prose": prose_as_works}
 
 
 def add_family(which: str, table: str) -> None:
@@ -52,8 +82,8 @@ def add_family(which: str, table: str) -> None:
 
 
 for which in features.FAMILIES:
-    add_family(which, "documents")
-    add_family(which, "conversations")
+    for name in READERS:
+        add_family(which, name)
 
 
 @register("clean_line_rules", cleaner_sql.LINE_RULES)

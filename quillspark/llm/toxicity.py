@@ -137,10 +137,10 @@ class Trie:
 class Lexicon(dict):
     """Raw word to (kind, weight, term); kinds: 0 none, 1 word, 2 beginning, 3 misspelling."""
 
-    def __init__(self, words: dict[str, float], starts: dict[str, float], banned: frozenset[str] = frozenset()) -> None:
+    def __init__(self, words: dict[str, float], starts: dict[str, float], banned: frozenset[str] = frozenset(), edits: bool = True) -> None:
         super().__init__()
         self.words, self.starts, self.banned = words, starts, banned
-        self.trie = Trie([w for w in words if len(w) >= LEAST_LETTERS], words.__getitem__)
+        self.trie = Trie([w for w in words if len(w) >= LEAST_LETTERS] if edits else [], words.__getitem__)
         self.heads = {w[: PREFIXES[0]] for w in starts}
 
     def __missing__(self, raw: bytes) -> tuple[int, float, str]:
@@ -160,9 +160,9 @@ class Lexicon(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def lexicon_of(words: tuple[tuple[str, float], ...], starts: tuple[tuple[str, float], ...], banned: frozenset[str]) -> Lexicon:
+def lexicon_of(words: tuple[tuple[str, float], ...], starts: tuple[tuple[str, float], ...], banned: frozenset[str], edits: bool = True) -> Lexicon:
     """A worker's lexicon, kept from task to task."""
-    return Lexicon(dict(words), dict(starts), banned)
+    return Lexicon(dict(words), dict(starts), banned, edits)
 
 
 def within_quotes(words: list[bytes], at: int) -> bool:
@@ -284,8 +284,11 @@ def near_misses(train: DataFrame, terms: tuple) -> frozenset[str]:
     return frozenset(r.word for r in rows if r.word and r.clean and (r.toxic + 0.5) * (n0 + 1) <= 3 * (r.clean + 0.5) * (n1 + 1))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted, n_hits and n_near (hits by a misspelling) of every row; scoring is one pass without a shuffle."""
+def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text", misspellings: bool = True) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_hits and n_near (hits by a misspelling) of every row; scoring is one pass without a shuffle.
+
+    Without `misspellings` no term is run through the trie, to tell what the automaton adds.
+    """
     docs = text_of(docs, id_column, text_column)
     train = cut(sample(docs, labels, max_labelled))
     words, starts, n1, n0 = learn_lexicon(train)
@@ -293,20 +296,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     n_features = len(features([], 0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = lexicon_of(*terms, banned)
+        lexicon = lexicon_of(*terms, banned, misspellings)
         for part, texts in steps(batches):
             x = [features(hits(w, lexicon), len(w)) for t in texts for w in (t.split(),)]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
     if words or starts:
-        banned = near_misses(train, terms)
+        banned = near_misses(train, terms) if misspellings else banned
         rows = train.select("text", "toxic").mapInArrow(measure, "toxic int, x array<double>").collect()  # a row of a few numbers for each of at most max_labelled ids
         w = fit(np.array([r.x for r in rows]), np.array([float(r.toxic > 0) for r in rows]))
     else:
         w = np.r_[math.log((n1 + 0.5) / (n0 + 0.5)), np.zeros(n_features)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = lexicon_of(*terms, banned)
+        lexicon = lexicon_of(*terms, banned, misspellings)
         for part, texts in steps(batches):
             found = [(hits(own := t.split(), lexicon), len(own)) for t in texts]
             z = np.array([features(*f) for f in found]) @ w[1:] + w[0]

@@ -507,6 +507,8 @@ def works_rows(works: DataFrame, families: list[str], size: int = SEGMENT) -> Da
     cols = works.select("work", F.col("text").cast("string").alias("text"))
     short = chunk_rows(cols.where(f"text is null or octet_length(text) <= {size}"), families, part_tokens, steps, False)
     parts = cut(segments(cols.where(f"octet_length(text) > {size}"), size))
+    if parts.isEmpty():
+        return short
     numbered = with_bases(parts, count_words(parts))
     long_ = added_up(chunk_rows(numbered, families, part_tokens, steps, True), families)
     return short.unionByName(long_)
@@ -539,7 +541,7 @@ def parsed_parts(tokens: DataFrame, sentences: int) -> DataFrame:
     morph = {"verbform": "element_at(morph['VerbForm'], 1)", "tense": "element_at(morph['Tense'], 1)"} if "morph" in have else {}
     columns = [F.coalesce(F.expr(c if c in have else morph.get(c, other)), F.expr(other or "null")).alias(c) for c, other in TOKEN_COLUMNS.items()]
     rows = tokens.select("work", *columns).select("work", F.floor(F.col("sent_id") / sentences).cast("int").alias("seg"), F.struct(*TOKEN_COLUMNS).alias("x"))
-    parts = cut(rows.groupBy("work", "seg").agg(F.array_sort(F.collect_list("x")).alias("t")))
+    parts = cut(rows.groupBy("work", "seg").agg(F.sort_array(F.collect_list("x")).alias("t")))
     # the first words of each part go to the part before, one row for each part and work
     heads = parts.select("work", "seg", F.slice(F.filter("t", lambda x: ~x["is_space"] & ~x["is_punct"]), F.lit(1), F.lit(AHEAD)).alias("head"))
     later = W.partitionBy("work").orderBy("seg").rowsBetween(1, AHEAD)

@@ -70,7 +70,7 @@ def subtrees(tokens: DataFrame, holds: dict[str, str], top: str = "false") -> Da
     own = [c for c in tokens.columns if c not in ("work", "sent_id")]
     marks = F.array(*[F.coalesce(F.expr(e), F.lit(False)) for e in (top, *holds.values())])
     row = F.struct("tok_i", F.col("head_i").alias("head_"), marks.alias("marks_"), *[c for c in own if c not in ("tok_i",)])
-    grouped = tokens.groupBy("work", "sent_id").agg(F.array_sort(F.collect_list(row)).alias("t"))
+    grouped = tokens.groupBy("work", "sent_id").agg(F.sort_array(F.collect_list(row)).alias("t"))
     names = list(holds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

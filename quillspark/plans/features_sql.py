@@ -196,7 +196,8 @@ def family(d: Spark, which: str, annotated: list[tuple[str, str]] | None = None)
     sums: dict[str, str] = {}
     w, ix, chunk = f"w{word}", f"ix{word}", f"floor(ix{word} / {CHUNK})"
     ctes = list(annotated or annotate(d, "works"))
-    between = "" if annotated is None else " "
+    # a parser's tokens stand at their places, with blanks between
+    blanks = "" if annotated is None else "coalesce(repeat(' ', cast(idx - lag(idx + length(tok)) over (partition by work, sent_id order by i) as integer)), '') || "
     if which.startswith("tokens"):
         tests = token_features(d)[word]
         ctes += [("ahead", windows(d)), ("chunked", f"select work, {chunk} as chunk_id, count(*) as n_words, {', '.join(f'{flag(t)} as h{k}' for k, t in enumerate(tests.values()))} from ahead where {w} group by work, {chunk}")]
@@ -205,7 +206,7 @@ def family(d: Spark, which: str, annotated: list[tuple[str, str]] | None = None)
         tests = sentence_features(d)[word]
         ctes += [
             ("ahead", windows(d)),
-            ("texts", f"select work as tw, sent_id as ts, string_agg(tok, '{between}' order by i) as txt from tokens group by work, sent_id"),
+            ("texts", f"select work as tw, sent_id as ts, string_agg(x, '' order by i) as txt from (select work, sent_id, i, {blanks}tok as x from tokens) group by work, sent_id"),
             ("sents", f"select work, sent_id, min(case when {w} then {ix} end) as first_word, {', '.join(f'{t} as h{k}' for k, t in enumerate(tests.values()))} from ahead join texts on work = tw and sent_id = ts group by work, sent_id"),
             ("hits", f"select work as hw, floor(first_word / {CHUNK}) as hc, {', '.join(f'sum(h{k}) as h{k}' for k in range(len(tests)))} from sents where first_word is not null group by work, floor(first_word / {CHUNK})"),
             ("sizes", f"select work, {chunk} as chunk_id, count(*) as n_words from tokens where {w} group by work, {chunk}"),

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.operators import cleaner, features, lexical, overuse, scoring, spans, trees
-from quillspark.operators.prefix import running
 from quillspark.plans import cleaner_sql, features_sql
 from quillspark.plans.dialect import Duck, Spark
 from quillspark.plans.registry import ORACLES, QUERIES, register
@@ -125,10 +124,10 @@ def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dialogue_spans(speech_as_works(spark, sf_dir))
 
 
-def place_ctes() -> list[tuple[str, str]]:
-    """`words` (work, idx, word_ix) of the runs of letters of `works`."""
+def place_ctes(name: str = "words") -> list[tuple[str, str]]:
+    """`words`, or a table of another name, (work, idx, word_ix) of the runs of letters of `works`."""
     renamed = lambda x: re.sub(r"\b(pieces|piece|placed_pieces|found)\b", r"\1_w", x)
-    return [(renamed(n), renamed(q)) for n, q in features_sql.quote_ctes([r"\p{L}+"])] + [("words", "select work, b as idx, row_number() over (partition by work order by b) - 1 as word_ix from found_w")]
+    return [(renamed(n), renamed(q)) for n, q in features_sql.quote_ctes([r"\p{L}+"])] + [(name, "select work, b as idx, row_number() over (partition by work order by b) - 1 as word_ix from found_w")]
 
 
 def by_chunk_sql(table: str, ctes: list[tuple[str, str]], rows: str) -> str:
@@ -334,7 +333,7 @@ STAND_IN = {
     "sent_id": "cast(i {div} 14 as int)",
     "tok_i": "cast(i % 14 as int)",
     "text": "case when i % 14 = 13 then '.' else tok end",
-    "lemma": f"case when i % 14 = 13 then '.' when length(tok) % 3 = 0 then tok else {picked('length(tok) * 5 + i * 7', LEMMAS)} end",
+    "lemma": f"case when i % 14 = 13 then '.' when length(tok) % 3 = 0 then lower(tok) else {picked('length(tok) * 5 + i * 7', LEMMAS)} end",
     "pos": f"case when i % 14 = 13 then 'PUNCT' else {picked('length(tok) * 3 + i * 5', CLASSES)} end",
     "dep": picked("length(tok) + i * 3", RELATIONS),
     "tag": "case when length(tok) % 4 = 1 then 'VBN' else 'X' end",
@@ -342,10 +341,10 @@ STAND_IN = {
     "tense": picked("length(tok) * 2 + i", ["Past", "Pres", ""]),
     "head_i": "cast((i % 14) {div} 2 as int)",
 }
-WORD_LIST = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')"
 PARSED_CTES = [
-    ("p0", f"select work, unnest(range(len(t))) as i, unnest(t) as tok from (select work, {WORD_LIST} as t from works)"),
-    ("p1", "select work, i as n, " + ", ".join(f"{e.format(div='//')} as {n}" for n, e in STAND_IN.items()) + " from p0"),
+    *place_ctes("runs"),
+    ("p0", "select w.work, word_ix as i, idx, regexp_extract(substr(text, cast(idx + 1 as integer)), '^\\p{L}+') as tok from runs w join works t on t.work = w.work"),
+    ("p1", "select work, i as n, idx, " + ", ".join(f"{e.format(div='//')} as {n}" for n, e in STAND_IN.items()) + " from p0"),
     ("p2", "select work, n as i, text as tok, lower(text) as lower, * exclude (work, n, text), false as is_space, pos = 'PUNCT' as is_punct, pos <> 'PUNCT' as is_alpha, pos = 'NUM' as like_num from p1"),
     ("p3", "select c.*, h.pos as head_pos, exists (select 1 from p2 x where x.work = c.work and x.sent_id = c.sent_id and x.head_i = c.tok_i and x.dep = 'cop') as cop_child from p2 c join p2 h on h.work = c.work and h.sent_id = c.sent_id and h.tok_i = c.head_i"),
     ("p4", "select *, not is_punct as w1, not is_punct and not like_num and pos <> 'SYM' as w2, is_alpha as w3, is_alpha and not like_num as w4 from p3"),
@@ -354,11 +353,8 @@ PARSED_CTES = [
 
 
 def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
-    words = docs_as_works(spark, sf_dir).select("work", F.posexplode(found).alias("i", "tok"))
-    tokens = words.select("work", "i", *[F.expr(e.format(div="div")).alias(n) for n, e in STAND_IN.items()])
-    # places in the text with one blank between tokens
-    return running(tokens.withColumn("n", F.length("text") + 1), "work", "i", "n", 1 << 14).withColumn("idx", F.col("n_before").cast("int"))
+    words = spans.word_places(docs_as_works(spark, sf_dir)).withColumnsRenamed({"word_ix": "i", "word": "tok"})
+    return words.select("work", "idx", *[F.expr(e.format(div="div")).alias(n) for n, e in STAND_IN.items()])
 
 
 def add_parsed(which: str) -> None:

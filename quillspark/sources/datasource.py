@@ -157,7 +157,7 @@ class WorksWriter(DataSourceWriter):
         for row in rows:
             name = self.named(row[0])
             with system.open_output_stream(f"{staged}/.{attempt}") as f:
-                f.write((row[1] or "").encode())
+                f.write(f"{row[1] or ''}\n".encode())  # Spark's readers pass over files of no bytes
             system.move(f"{staged}/.{attempt}", f"{staged}/{name}")
             names.append(name)
         return Written(names)
@@ -199,7 +199,7 @@ class WorksWriter(DataSourceWriter):
 
 
 class Works(DataSource):
-    """format("works"): a file {work}_cleaned.txt for each row of work and text; option archive: one archive a task instead.
+    """format("works"): a file {work}_cleaned.txt for each row of work and text, with a line feed at its end; option archive: one archive a task instead, texts as they are.
 
     The whole output appears at once, or not at all: overwrite replaces the folder, append adds files to it.
     """

@@ -49,7 +49,7 @@ def test_all_works_or_none(spark, tmp_path):
     for mode in ("overwrite", "append"):
         with pytest.raises(Exception, match="lost"):
             sinks.write_texts(failing, str(out), mode=mode)
-        assert names(tmp_path) == ["out"] and {p.read_text() for p in out.iterdir()} == {f"text {k}" for k in range(30)}
+        assert names(tmp_path) == ["out"] and {p.read_text() for p in out.iterdir()} == {f"text {k}\n" for k in range(30)}
     with pytest.raises(Exception, match="lost"):
         sinks.write_texts(failing, str(tmp_path / "fresh"))
     assert names(tmp_path) == ["out"]
@@ -60,7 +60,7 @@ def test_append_overwrite_and_archives(spark, tmp_path):
     one = spark.createDataFrame([("a", "1"), ("b", None)], "work string, cleaned string")
     sinks.write_texts(one, str(out))
     sinks.write_texts(spark.createDataFrame([("b", "2"), ("c", "3")], "work string, cleaned string"), str(out), mode="append")
-    assert {p.name: p.read_text() for p in out.iterdir()} == {"a_cleaned.txt": "1", "b_cleaned.txt": "2", "c_cleaned.txt": "3"}
+    assert {p.name: p.read_text() for p in out.iterdir()} == {"a_cleaned.txt": "1\n", "b_cleaned.txt": "2\n", "c_cleaned.txt": "3\n"}
     sinks.write_texts(one.limit(1), str(out))
     assert names(out) == ["a_cleaned.txt"]
     totals = sinks.zip_texts(cleaner.clean(spark.createDataFrame([(k, "He sat there.  ") for k in range(20)], "work int, text string").repartition(3)), str(tmp_path / "z"))

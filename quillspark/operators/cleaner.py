@@ -39,7 +39,7 @@ def n_words(d: Spark, l: str) -> str:
 
 
 def all_caps(d: Spark, l: str) -> str:
-    return f"({d.like(l, '[A-Z]')} and not {d.like(l, '[a-z]')})"
+    return f"(not {d.like(l, '[a-z]')} and {d.like(l, '[A-Z]')})"  # lines without small letters are few: tested first
 
 
 def few_words_after_keyword(d: Spark, l: str) -> str:
@@ -68,7 +68,7 @@ def dropped_first(d: Spark, l: str) -> str:
         d.like(l, r"^\s*[•·]\s*.+:\s*.+[^.!?…]$"),
         d.like(l, r"^\s*\*\s*.+:\s*.+"),
         d.like(l, r"^\s*.:\s*$"),
-        f"({d.count(l, ':')} >= 2 and not {d.like(l, r'\.')} and not {terminal(d, l)})",
+        f"(not {d.like(l, r'\.')} and {d.count(l, ':')} >= 2 and not {terminal(d, l)})",
         d.like(l, r"^\s*(?:[.…]\s*){2,}$"),
         d.like(l, r"^\s*\d+\.?\s*.*[;:-]"),
         d.like(l, r"^\s*[a-z][^\s]*\.[a-z]{1,4}(?:\s|$)"),
@@ -89,7 +89,7 @@ def dropped_second(d: Spark, l: str) -> str:
     """Rules 28 and 29."""
     s = trim(d, l)
     heavy = f"({s} <> '' and not {d.like(l, r'^\s*[A-Z]')} and not {terminal(d, l)} and 1 - {d.count(s, '[A-Za-z]')} * 1.0e0 / greatest(length({s}), 1) > 0.5e0)"
-    caps = f"({n_words(d, l)} between 1 and 12 and {all_caps(d, l)} and not {terminal(d, l)})"
+    caps = f"({all_caps(d, l)} and not {terminal(d, l)} and {n_words(d, l)} between 1 and 12)"
     return f"({heavy} or {caps})"
 
 
@@ -143,7 +143,7 @@ def clean(raw: DataFrame, long_numbers_off: Column | None = None) -> DataFrame:
     line = "l"
     df = raw.select("work", "text").withColumn("_l", e(f"split({text_rules(d, "coalesce(text, '')")}, r'[\\n\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]', -1)"))
     blank = lambda x: f"({trim(d, x)} = '')"
-    caps5 = lambda x: f"({n_words(d, x)} between 1 and 5 and {all_caps(d, x)})"
+    caps5 = lambda x: f"({all_caps(d, x)} and {n_words(d, x)} between 1 and 5)"
     lowered = lambda x: f"concat(upper(left(lower({trim(d, x)}), 1)), substr(lower({trim(d, x)}), 2))"
 
     def head() -> str:
@@ -170,8 +170,8 @@ def clean(raw: DataFrame, long_numbers_off: Column | None = None) -> DataFrame:
     df = df.withColumn("_l", e(f"transform(filter({around}, x -> not ({d.like(trim(d, 'x.l'), r'^\d+\s+\S+')} and not {blank('x.p')} and not {blank('x.n')} and not {terminal(d, 'x.p')} and not {d.like('x.n', r'^\s*[A-Z]')})), x -> x.l)"))
     # 28 and 29; 30 and 31
     df = df.withColumn("_l", e(f"filter(_l, l -> not {dropped_second(d, line)})"))
-    title = f"({n_words(d, 'x.l')} between 1 and 6 and ({d.like('x.l', r'^\s*[A-Z]')} or {all_caps(d, 'x.l')}) and not {terminal(d, 'x.l')})"
-    alone = f"({blank('x.p')} and {blank('x.n')} and {n_words(d, 'x.l')} between 1 and 6 and {all_caps(d, 'x.l')})"
+    title = f"(not {terminal(d, 'x.l')} and ({d.like('x.l', r'^\s*[A-Z]')} or {all_caps(d, 'x.l')}) and {n_words(d, 'x.l')} between 1 and 6)"
+    alone = f"({blank('x.p')} and {blank('x.n')} and {all_caps(d, 'x.l')} and {n_words(d, 'x.l')} between 1 and 6)"
     df = df.withColumn("_l", e(f"filter(transform(filter({around}, x -> not ({title} or {alone})), x -> x.l), l -> not {crumb(d, line)})"))
     # 32 to 35: the first line that isn't blank
     at = f"(array_min(transform(filter(transform(_l, (l, k) -> struct(l as l, k as k)), x -> not {blank('x.l')}), x -> x.k)))"

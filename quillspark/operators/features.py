@@ -506,9 +506,10 @@ def works_rows(works: DataFrame, families: list[str], size: int = SEGMENT) -> Da
     """family, work, chunk_id, n_words, counts of works (work, text): works of up to `size` characters as they come, longer ones in parts."""
     cols = works.select("work", F.col("text").cast("string").alias("text"))
     short = chunk_rows(cols.where(f"text is null or octet_length(text) <= {size}"), families, part_tokens, steps, False)
-    parts = cut(segments(cols.where(f"octet_length(text) > {size}"), size))
-    if parts.isEmpty():
+    long_works = cols.where(f"octet_length(text) > {size}")
+    if long_works.isEmpty():
         return short
+    parts = cut(segments(long_works, size))
     numbered = with_bases(parts, count_words(parts))
     long_ = added_up(chunk_rows(numbered, families, part_tokens, steps, True), families)
     return short.unionByName(long_)

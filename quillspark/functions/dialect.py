@@ -1,4 +1,4 @@
-"""Two SQL dialects behind one vocabulary: every plan is written once and rendered for Spark and for a checking engine."""
+"""Expressions of two SQL dialects behind one vocabulary: Spark and the checking engine."""
 
 from __future__ import annotations
 

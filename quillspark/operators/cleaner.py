@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.plans.dialect import Spark
+from quillspark.functions.dialect import Spark
 
 WORDS = r"[A-Za-z0-9'’-]+"
 TERMINAL = r"""[.!?]["”’'\)\]]*$"""

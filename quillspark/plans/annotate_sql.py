@@ -9,7 +9,7 @@ any other annotator can take its place.
 from __future__ import annotations
 
 from quillspark.functions.lexicons import ADPOSITIONS, ADVERBS, DETERMINERS, IRREGULAR, MODALS, PARTICIPLES, PRONOUNS, SUBORDINATORS, VERBS
-from quillspark.plans.dialect import TOKEN, Spark, sql_list
+from quillspark.functions.dialect import TOKEN, Spark, sql_list
 
 def lemma(d: Spark) -> str:
     forms = " ".join(f"when lower in {sql_list(v.split())} then '{k}'" for k, v in IRREGULAR.items())

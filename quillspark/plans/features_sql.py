@@ -11,7 +11,7 @@ import re
 
 from quillspark.functions import lexicons as L
 from quillspark.plans.annotate_sql import annotate
-from quillspark.plans.dialect import Spark, rounded, sql_list
+from quillspark.functions.dialect import Spark, rounded, sql_list
 
 CHUNK = 100
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.operators import cleaner, features, lexical, overuse, scoring, spans, trees
 from quillspark.plans import cleaner_sql, features_sql
-from quillspark.plans.dialect import Duck, Spark
+from quillspark.functions.dialect import Duck, Spark
 from quillspark.plans.registry import ORACLES, QUERIES, register
 from quillspark.sources import sinks
 from quillspark.sources.tables import read_table, spread

@@ -9,7 +9,6 @@ import pytest
 
 from quillspark.operators import cleaner, features, lexical, overuse, scoring, spans
 from quillspark.plans import catalog, cleaner_sql
-from quillspark.plans.dialect import Spark
 from quillspark.sources import sinks, texts
 from quillspark.streaming import works
 

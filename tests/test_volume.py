@@ -1,8 +1,13 @@
 """What queries shuffle and hold is in proportion to their input and small beside it."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.operators import features
+from quillspark.operators.annotate import Words
 
 
 def shuffled(spark, df):
@@ -35,3 +40,22 @@ def test_tokens_of_one_place_have_a_fixed_order(spark):
     for which in ("tokens1", "readability"):
         got = [sorted(map(tuple, features.family_of_tokens(table.repartition(k), which, sentences=10).collect())) for k in (1, 7)]
         assert got[0] == got[1]
+
+
+def test_annotation_takes_bounded_memory():
+    """A batch of many works, nearly all words different: what a worker holds at a time goes by the step, not by the batch or the words seen."""
+    texts = [" ".join(f"w{chr(97 + k % 26)}{'abcdefghij'[j % 10]}{np.base_repr(k * 700 + j, 26)}." if j % 9 == 0 else f"V{np.base_repr(k * 700 + j, 36)}x" for j in range(700)) for k in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["work", "text"])
+    assert batch.nbytes > 5 << 19
+    words, seen = Words(), 0
+    tracemalloc.start()
+    for part in features.steps([batch]):
+        assert part.num_rows == 1 or part.column("text").nbytes <= features.STEP_BYTES + 4 * part.num_rows + 64
+        t = features.part_tokens(part, words)
+        for which in ("tokens1", "sentences1"):
+            features.rows_of(t, which, False)
+        seen += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(texts)
+    assert peak < 150e6, peak

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspark.operators import features
+from quillspark.operators import features, trees
 from quillspark.operators.annotate import Words
 
 
@@ -59,3 +59,16 @@ def test_annotation_takes_bounded_memory():
     tracemalloc.stop()
     assert seen == len(texts)
     assert peak < 150e6, peak
+
+
+def test_clause_tokens_travel_packed(spark):
+    assert shuffled(spark, lambda: trees.clause_stats(tokens(spark, 200_000))) < 12 * 200_000
+
+
+def test_clause_blocks_in_any_order(spark):
+    """Sentences of a null work, blocks of any size and tokens in any order make the same features."""
+    table = tokens(spark, 6000).withColumns({"lemma": F.expr("if(tok_i = 2, 'that', if(tok_i = 5, 'what', lemma))"), "dep": F.expr("if(tok_i = 2, 'mark', dep)"), "work": F.expr("nullif(work, 1)")})
+    got = [sorted(map(repr, trees.clause_stats(table.repartition(k), sentences=n).collect())) for k, n in ((1, 1000), (5, 7))]
+    assert got[0] == got[1] and any("that_verb" in x and "total" in x and "value=0.0" not in x for x in got[0])
+    rows = [sorted(map(repr, trees.clause_features(x).collect())) for x in (table, table.repartition(5))]
+    assert rows[0] == rows[1] and len(rows[0]) == 3 * 143

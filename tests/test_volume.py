@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillspark.operators import features, trees
+from quillspark.operators import features, overuse, trees
 from quillspark.operators.annotate import Words
 
 
@@ -72,3 +72,13 @@ def test_clause_blocks_in_any_order(spark):
     assert got[0] == got[1] and any("that_verb" in x and "total" in x and "value=0.0" not in x for x in got[0])
     rows = [sorted(map(repr, trees.clause_features(x).collect())) for x in (table, table.repartition(5))]
     assert rows[0] == rows[1] and len(rows[0]) == 3 * 143
+
+
+def test_words_of_no_list_are_not_shuffled(spark, monkeypatch):
+    """Few of the words are on the list; with a list too long to broadcast the same comes out."""
+    texts = spark.range(2000).selectExpr("nullif(id div 2, 7) as work", "concat(repeat('the Of ', 5 + cast(id % 3 as int)), array_join(transform(sequence(1, 200), k -> conv(id * 200 + k + 1000000, 10, 36)), ' x')) as text")
+    ref = spark.createDataFrame([("the", 0.001), ("of", 0.5), ("x", 0.0)], "word string, ref_pct double")
+    assert shuffled(spark, lambda: overuse.report(texts, ref)) < 500_000
+    got = sorted(map(repr, overuse.report(texts, ref).collect()))
+    monkeypatch.setattr(overuse, "BROADCAST_WORDS", 1)
+    assert got == sorted(map(repr, overuse.report(texts, ref).collect())) and len(got) == 1000

@@ -1,13 +1,16 @@
 """What queries shuffle and hold is in proportion to their input and small beside it."""
 
+import re
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import functions as F
 
-from quillspark.operators import features, overuse, trees
+from quillspark.operators import annotate, features, overuse, spans, trees
 from quillspark.operators.annotate import Words
+from quillspark.plans import style
 
 
 def shuffled(spark, df):
@@ -82,3 +85,72 @@ def test_words_of_no_list_are_not_shuffled(spark, monkeypatch):
     got = sorted(map(repr, overuse.report(texts, ref).collect()))
     monkeypatch.setattr(overuse, "BROADCAST_WORDS", 1)
     assert got == sorted(map(repr, overuse.report(texts, ref).collect())) and len(got) == 1000
+
+
+def test_methods_of_parsed_queries_are_compiled(spark):
+    """The virtual machine leaves methods of over 8,000 bytes to its interpreter, which takes many times as long."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan is the last one
+    try:
+        tokens = style.parsed_documents(spark, "/root/testdata/sf0.001").withColumns({"is_alpha": F.expr("pos <> 'PUNCT'"), "like_num": F.expr("pos = 'NUM'")})
+        plan = features.parsed_fragments(tokens, features.SENTENCES)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_parsed_tokens_are_asked_only_what_a_family_needs(spark, monkeypatch):
+    """Lemmas and classes are the parser's; syllables are counted once for each distinct word."""
+    parts = pa.Table.from_batches(features.parsed_parts(tokens(spark, 20_000), features.SENTENCES).toArrow().to_batches()).combine_chunks().to_batches()[0]
+    asked = []
+    monkeypatch.setattr(annotate, "syllables", lambda w: asked.append(w) or 1)
+    for name in ("lemma_of", "pos_of"):
+        monkeypatch.setattr(annotate, name, None)
+    words = Words()
+    for which in ("tokens1", "sentences1", "sentences3"):
+        features.rows_of(features.parsed_tokens(parts, words), which, True)
+    assert not asked
+    for _ in range(2):
+        features.rows_of(features.parsed_tokens(parts, words), "readability", True)
+    assert 0 < len(asked) == len(set(asked)) <= len(words.strings)
+
+
+def test_chunks_of_one_part_are_not_added(spark):
+    """Chunks that go over the ends of parts add up, those of one part stay; families in one table keep their own counts."""
+    schema = "family string, work long, chunk_id long, n_words long, counts array<long>, words array<string>, words2 array<string>"
+    part = lambda family, chunk, n, counts, *lists: (family, 1, chunk, n, counts, *(lists or (None, None)))
+    rows = [part("tokens2", 0, 100, [1, 2]), part("tokens2", 1, 30, [3, 4]), part("tokens2", 1, 70, [5, 6]), part("tokens2", None, 0, [0, 0]), part("richness", 0, 2, [0, 0], ["a", "b"], ["a", "c"]), part("richness", 0, 2, [0, 0], ["a", "d"], ["c", "c"])]
+    got = {(r.family, r.chunk_id): (r.n_words, r.counts) for r in features.added_up(spark.createDataFrame(rows, schema).repartition(3), ["tokens2", "richness"]).collect()}
+    assert got == {("tokens2", 0): (100, [1, 2]), ("tokens2", 1): (100, [8, 10]), ("tokens2", None): (0, [0, 0]), ("richness", 0): (4, [3, 2])}
+    few = features.added_up(spark.createDataFrame(rows[:4], schema), ["tokens2"])
+    assert shuffled(spark, lambda: few) > 0 and sorted(map(repr, few.select("chunk_id", "n_words", "counts").collect())) == sorted(f"Row(chunk_id={k}, n_words={n}, counts={c})" for (f, k), (n, c) in got.items() if f == "tokens2")
+
+
+def test_words_of_works_cut_anywhere(spark, monkeypatch):
+    """Places and numbers of words are those of a plain search, however a long work is cut."""
+    texts = ["", None, "ab é𝒳漢. - cd", "x" * 50 + " ǅ “y”1z" * 9, "\n", "a\0b", "end"]
+    want = [(k, m.start(), i, m[0]) for k, t in enumerate(texts) for i, m in enumerate(regex.finditer(r"\p{L}+", t or ""))]
+    for size in (1, 7, spans.SCAN):
+        monkeypatch.setattr(spans, "SCAN", size)
+        pieces, got, before = list(spans.slices(pa.array(texts))), [], {}
+        for rows, places, found in pieces:
+            for of, at, word in zip(*[x.tolist() for x in spans.words_in(found)[:2]], spans.words_in(found)[2].to_pylist(), strict=True):
+                k = rows[of]
+                got.append((k, places[of] + at, before.get(k, 0), word))
+                before[k] = before.get(k, 0) + 1
+        assert got == want
+        assert size > 50 or len(pieces) > 3
+    table = spark.createDataFrame(list(enumerate(texts)), "work long, text string")
+    assert sorted(map(tuple, spans.word_places(table).collect())) == want
+
+
+def test_text_of_tokens_at_odd_places():
+    """Tokens lie at their places, or after the one before where places go back or overlap."""
+    texts, idx, sizes = ["One", "é𝒳", ".", "a", "bcd", "x"], [5, 7, 20, 3, 1, 3], [3, 2, 1]
+    column = pa.array(texts)
+    distinct = (texts, np.arange(6))
+    zeros = np.zeros(6, dtype=np.int64)
+    columns = {"text": distinct, "lemma": distinct, "length": np.array([len(x) for x in texts]), "utf8": "".join(column.to_pylist()).encode(), "sent_id": zeros, "tok_i": np.arange(6), "idx": np.array(idx), "head_i": zeros, **dict.fromkeys(("pos", "dep", "form", "tense", *features.MARKS), zeros)}
+    t = annotate.Parsed(np.array(sizes), np.array(sizes), columns, Words(), np.zeros((3, 4), dtype=np.int64), np.zeros((3, 4), dtype=np.int64))
+    assert t.texts == ["Oneé𝒳" + " " * 10 + ".", "abcd", "x"]
